@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pieces, pii, quality, simhash
+from . import decontam, licenses, pieces, pii, quality, rules, sharding, simhash
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,15 +41,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), model_path())
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1,
         "op2_decontamination": op2,
         "op3_quality": op3,
+        "op4_licenses": op4,
         "op5_simhash": op5,
         "op6_sentencepiece": op6,
+        "op8_sharding": op8,
+        "op9_rules": op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.ORACLE, "op2_decontamination": decontam.ORACLE}
+    return {"op1_pii": pii.ORACLE, "op2_decontamination": decontam.ORACLE, "op4_licenses": licenses.ORACLE}
