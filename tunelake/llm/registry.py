@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, pieces, pii, quality, rules, sharding, simhash
+from . import decontam, licenses, lm, pieces, pii, quality, rules, sharding, simhash, toxicity
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), model_path())
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_all(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1,
@@ -57,8 +65,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_licenses": op4,
         "op5_simhash": op5,
         "op6_sentencepiece": op6,
+        "op7_language_model": op7,
         "op8_sharding": op8,
         "op9_rules": op9,
+        "op10_toxicity": op10,
     }
 
 
