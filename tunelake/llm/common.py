@@ -58,10 +58,10 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], fields:
     """
     new = {name.lower() for name, _ in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
     out = [(n, t) for n, t in fields if n != where]
-    kept = T.StructType([f for f in source.schema.fields if f.name != "__text"])
-    schema = T.StructType([*kept.fields, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in out)).fields])
+    kept = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(keep, source.schema.fields, strict=False)]
+    schema = T.StructType([*kept, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in out)).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

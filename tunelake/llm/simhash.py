@@ -198,11 +198,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_limit: int = RUN_LIMIT) -> DataFrame:
     """The documents without their near-copies: of each component the row with the smallest id (null last), one row only."""
-    table = common.written(fingerprints(docs, text).withColumn("__row", F.monotonically_increasing_id()))
-    keyed = table.select("fp", F.col(id_col).alias("id"), "__row")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*inner)
+    table = common.written(fingerprints(own, inner[docs.columns.index(text)]).withColumn("__row", F.monotonically_increasing_id()))
+    keyed = table.select("fp", F.col(inner[docs.columns.index(id_col)]).alias("id"), "__row")
     found = components(keyed, "id", run_limit).withColumnRenamed("fp", "__fp")
     # exact groups first: each fingerprint's best row, by partial aggregation; then the best of each component
     best = keyed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "__row")).alias("best"))
     place = F.xxhash64("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     first = best.join(found, best.fp == found.__fp).groupBy("component_id", place).agg(F.min("best").alias("best"))
-    return table.join(first.select(F.col("best.__row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return table.join(first.select(F.col("best.__row").alias("__row")), "__row", "left_semi").select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
