@@ -149,22 +149,15 @@ class ResultSet:
     def unique_fuzzy(self, threshold: float = 0.9) -> ResultSet:
         """As unique, and of an artist's titles that match fuzzily only the first in order of key stays.
 
-        The greedy pass runs within an artist and the title's first letter, on distinct titles only.
+        The greedy pass runs over the distinct titles of an artist with the same first letter.
         """
-        import pandas as pd
-
-        from tunelake.functions.text import ratio
-
-        def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-            kept: list = []
-            for row in pdf.sort_values("key").itertuples():
-                if not any(ratio(row.t, k) >= 100 * threshold for k in kept):
-                    kept.append(row.t)
-            return pdf[pdf["t"].isin(kept)][["key"]]
+        from tunelake.functions.text import greedy_udf
 
         first = self.unique()
-        titles = first.df.select("key", "grandparent_key", F.lower("title").alias("t"), F.substring(F.lower("title"), 1, 1).alias("b"))
-        kept = titles.groupBy("grandparent_key", "b").applyInPandas(greedy, titles.select("key").schema).withColumnRenamed("key", "__k")
+        titles = first.df.select("key", "grandparent_key", F.lower("title").alias("t"))
+        groups = titles.groupBy("grandparent_key", F.substring("t", 1, 1)).agg(F.sort_array(F.collect_list(F.struct("key", "t"))).alias("m"))
+        chosen = groups.select("m", F.explode(greedy_udf("m.t", F.lit(100 * threshold))).alias("i"))
+        kept = chosen.select(F.get("m", "i")["key"].alias("__k"))
         return first._with(first.df.join(kept, first.df["key"] == F.col("__k"), "left_semi"))
 
     def _same(self, other: ResultSet) -> None:
