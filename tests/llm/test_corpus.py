@@ -76,6 +76,8 @@ def test_contamination(edge, empty, benchmark_table):
     assert none.filter("n_hit > 0 OR contaminated").count() == 0 and none.count() == edge.count()
     kept = decontam.decontaminated(edge, benchmark_table)
     assert kept.columns == edge.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
+    cut = {r.doc_id: r.text for r in decontam.excised(edge, benchmark_table).collect() if r.doc_id is not None}
+    assert cut[3] == "" and cut[4] == " two" and cut[0] is None and cut[13] == edge.filter("doc_id = 13").first().text
     assert decontam.without_spans("A b, c d", [(1, 3)]) == "A  d"
 
 

@@ -17,13 +17,14 @@ by their id.  An empty table of documents gives an empty result, an empty benchm
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -33,7 +34,7 @@ WINDOW = 13
 SAMPLE = 16
 BLOCK = 256
 SHARD_WORDS = 400_000
-PHRASE_BYTES = 32 << 20
+PHRASE_BYTES = 2 << 20
 #: Every byte that isn't part of a word becomes a space; A-Z become a-z.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -260,21 +261,30 @@ def phrase_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "t
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, keep: list[str] | None = None, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """For each document: the kept columns, n_words, the merged ``spans`` of words [start, end) and the ``items`` that occur."""
-    spark = docs.sparkSession
     keep = [c for c in (keep or [id_col]) if c.lower() not in ("n_words", "spans", "items")]
-    passes = [spark.sparkContext.broadcast(Phrases(b, window)) for b in phrase_blocks(benchmark, limit=phrase_bytes)]
-    if len(passes) == 1:
-        return _pass(docs, keep, text, passes[0], shard_words)
-    # more blocks of phrases than one: find each block's spans in turn, the documents passing from one to the next
-    out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]).withColumns({"__spans": F.expr("cast(array() as array<struct<start:int, end:int>>)"), "__items": F.expr("cast(array() as array<string>)")})
-    for phrases in passes:
-        found = _pass(out, out.columns, text, phrases, shard_words)
-        out = found.withColumns({"__spans": F.concat("__spans", "spans"), "__items": F.array_union("__items", "items")}).drop("spans", "items") if phrases is passes[-1] else found.withColumns({"__spans": F.concat("__spans", "spans"), "__items": F.array_union("__items", "items")}).drop("spans", "items", "n_words")
-    merged = F.expr("""aggregate(array_sort(__spans), cast(array() as array<struct<start:int, end:int>>), (done, s) ->
+    share = lambda block: docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+    blocks = phrase_blocks(benchmark, limit=phrase_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _pass(docs, keep, text, share(first), shard_words)
+    # more phrases than one block: each block's hits are written before the next block is sent out, then they are joined by row
+    inner = {f"c{i}": c for i, c in enumerate(keep)}
+    own = common.written(docs.select(*[F.col(f"`{c}`").alias(i) for i, c in inner.items()], F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("row")))
+    words, hits = None, []
+    for block in itertools.chain([first, second], blocks):
+        phrases = share(block)
+        found = common.written(_pass(own, ["row"], "t", phrases, shard_words))
+        words = found.select("row", "n_words") if words is None else words
+        hits.append(found.filter(F.size("items") > 0).select("row", "spans", "items"))
+        phrases.unpersist()
+    met = functools.reduce(DataFrame.union, hits).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = F.expr("""aggregate(spans, cast(array() as array<struct<start:int, end:int>>), (done, s) ->
         CASE WHEN size(done) > 0 AND s.start <= element_at(done, -1).end
              THEN concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end))))
              ELSE concat(done, array(s)) END)""")
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", merged.alias("spans"), F.array_sort("__items").alias("items"))
+    out = own.drop("t").join(words, "row").join(met.select("row", merged.alias("spans"), "items"), "row", "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as {kind})")).alias(c)
+    return out.select(*[F.col(i).alias(c) for i, c in inner.items()], "n_words", none("spans", "array<struct<start:int,end:int>>"), none("items", "array<string>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, **how) -> DataFrame:
@@ -305,8 +315,18 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def excised(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The documents with every merged span cut out of its text, for those who keep contaminated documents."""
+    inner = [f"__{k}" for k in range(len(docs.columns))]
+    own, at = docs.toDF(*inner), inner[docs.columns.index(text)]
+    found = occurrences(own, benchmark, inner[0], at, keep=inner, **how)
+
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without_spans(t, [(s["start"], s["end"]) for s in of]) for t, of in zip(texts, spans, strict=True)], dtype=object)
+
+    clean = F.when(F.size("spans") > 0, cut(F.col(at), F.col("spans"))).otherwise(F.col(at))
+    return found.select(*[(clean if i == at else F.col(i)).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 
 ORACLE = r"""

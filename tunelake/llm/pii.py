@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import let
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 NEAR = 40
@@ -44,11 +46,6 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def let(value: Column, body) -> Column:
-    """body of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
