@@ -110,3 +110,27 @@ def disambiguate(links: DataFrame, known: DataFrame, by: str = "query") -> DataF
     own = links.filter(~F.lower("link").contains("disambiguation")).join(known.select(F.col("link").alias("__l")).distinct(), F.col("link") == F.col("__l"), "left")
     some = keep_if_any(own.withColumn("__known", F.col("__l").isNotNull()), by, "__known")
     return some.select(by, "link", (F.count("*").over(Window.partitionBy(by)) > 1).alias("ambiguous"))
+
+
+def languages(categories: Column) -> Column:
+    """The languages that categories name, sorted."""
+    words = F.flatten(F.transform(categories, lambda c: F.split(F.lower(c), r"[^a-z]+")))
+    names = {"korean": "Korean", "k": "Korean", "japanese": "Japanese", "j": "Japanese", "chinese": "Chinese", "mandarin": "Chinese", "english": "English"}
+    table = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    return F.sort_array(F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull())))
+
+
+def page_language(categories: Column, text: Column) -> Column:
+    """The categories' language if there is one, else that of the text's script."""
+    from tunelake.functions.scalar import script
+
+    found = languages(categories)
+    of_script = F.when(script(text) == "hangul", "Korean").when(script(text) == "japanese", "Japanese").when(script(text) == "chinese", "Chinese").when(script(text) == "latin", "English")
+    return F.when(F.size(found) == 1, found[0]).otherwise(of_script)
+
+
+def with_singles(tracks: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, num, title): the track lists; an entry without one is a single: its title and the instrumental."""
+    bare = entries.join(tracks.select(F.col("entry").alias("__e")).distinct(), F.col("entry") == F.col("__e"), "left_anti")
+    made = bare.select("entry", F.posexplode(F.array(F.col("title"), F.concat("title", F.lit(" (Inst.)")))).alias("i", "title"))
+    return tracks.select("entry", "num", "title").unionByName(made.select("entry", (F.col("i") + 1).alias("num"), "title"))

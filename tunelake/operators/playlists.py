@@ -112,3 +112,24 @@ def apply_rules(tracks: DataFrame, rules: dict[str, dict] | None = None) -> Data
             ok = ok & predicate(tracks, k, q)
         made.append(F.when(ok, F.lit(name)))
     return tracks.select("key", F.explode(F.array_compact(F.array(*made))).alias("name")).select("name", "key")
+
+
+def duplicates_by_artist(duplicates: DataFrame, artist: str = "grandparent_key") -> DataFrame:
+    """(artist, n, titles) of duplicate ratings, titles sorted."""
+    return duplicates.groupBy(artist).agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("title")).alias("titles"))
+
+
+def blank_titles(tracks: DataFrame) -> DataFrame:
+    """The albums that have a track with an empty title."""
+    return tracks.filter(F.col("title") == "").select("parent_key").distinct()
+
+
+def title_tree(tracks: DataFrame) -> DataFrame:
+    """(grandparent_key, albums): an artist's albums, each with its sorted titles."""
+    album = tracks.groupBy("grandparent_key", "parent_key").agg(F.sort_array(F.collect_set("title")).alias("titles"))
+    return album.groupBy("grandparent_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("parent_key", "titles")))).alias("albums"))
+
+
+def kinds(lists: DataFrame) -> DataFrame:
+    """The lists with ``ordered``: neither smart nor synced from outside."""
+    return lists.withColumn("ordered", ~F.col("smart") & ~F.col("externally_synced"))

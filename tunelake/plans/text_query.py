@@ -65,3 +65,16 @@ def parse(text: str, escape: str = "()", allow_inst: bool = False, title: str |
     if not allow_inst:
         out.setdefault("title__not_like", INSTRUMENTAL)
     return out
+
+
+def merge_in(a: dict[str, object], b: dict[str, object], union: bool = False) -> dict[str, object]:
+    """Filters of both; two ``__in`` sets of the same field are intersected, or united."""
+    out = dict(a)
+    for key, q in b.items():
+        if key in out and key.endswith("__in"):
+            out[key] = sorted(set(out[key]) | set(q) if union else set(out[key]) & set(q), key=str)
+        elif key in out and out[key] != q:
+            raise InvalidQuery(f"{key} is given twice")
+        else:
+            out[key] = q
+    return out

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tunelake.functions import scalar, text
-from tunelake.operators import pages, playlists, reports, tags
+from tunelake.functions import albums as titles, scalar, text
+from tunelake.operators import matching, pages, playlists, reports, tags
 from tunelake.operators.predicates import where
 from tunelake.operators.results import ResultSet
-from tunelake.plans import update
+from tunelake.plans import records, update
+from tunelake.plans.text_query import merge_in
 from tunelake.sources import catalog, playlist_files
 from tunelake.sources.catalog import from_star, star
 
@@ -70,6 +71,19 @@ on_tracks("op_even", "user_rating % 2 = 0", user_rating__is_even=True)
 on_tracks("op_generic_negation", "NOT starts_with(coalesce(original_title, ''), 'Guest Brand#1')", original_title__not__startswith="Guest Brand#1")
 on_tracks("op_path_exists_array", "contains(lower(file), '/02. ')", media__part__file__icontains="/02. ")
 on_tracks("op_path_all_negative", "NOT ends_with(file, 'flac')", media__codec__ne="flac")
+on_tracks("op_eq", "user_rating = 3", user_rating__eq=3)
+on_tracks("op_is", "user_rating IS NULL", user_rating__is=None)
+on_tracks("op_endswith", "ends_with(title, 'bolt')", title__endswith="bolt")
+on_tracks("op_istartswith", "starts_with(lower(title), 'red')", title__istartswith="RED")
+on_tracks("op_inot_contains", "NOT contains(lower(title), 'ring')", title__inot_contains="RING")
+on_tracks("op_inot_in_any", "original_title IS NULL OR NOT contains('guest brand#11', lower(original_title)) AND NOT contains('guest brand#12', lower(original_title))", original_title__inot_in_any=["guest brand#11", "guest brand#12"])
+on_tracks("op_iregex", "regexp_matches(title, '(?i)^RED|BOLT$')", title__iregex="^RED|BOLT$")
+on_tracks("op_sregex", "regexp_matches(title, 'o.t')", title__sregex="o.t")
+on_tracks("op_nsregex", "original_title IS NULL OR NOT regexp_matches(original_title, '[135]$')", original_title__nsregex="[135]$")
+on_tracks("op_like_exact", "regexp_matches(title, '(?i)d b')", title__like_exact="D B")
+on_tracks("op_lt_missing", "user_rating < 3", user_rating__lt=3)
+on_tracks("op_custom", "parent_key % 7 = index", any__custom=lambda df: df["parent_key"] % 7 == df["index"])
+on_tracks("op_merged_in", "user_rating IN (2, 3)", **merge_in({"user_rating__in": [1, 2, 3]}, {"user_rating__in": [2, 3, 4]}))
 on_tracks("op_missing_attribute", "user_rating >= 9", nothing__not_contains="x", user_rating__gte=9)
 
 
@@ -481,3 +495,109 @@ def weighted_ratio(spark: SparkSession, d: str) -> DataFrame:
 def artist_split(spark: SparkSession, d: str) -> DataFrame:
     return star(spark, d, "part").select("p_partkey", text.split_balanced_udf(F.concat("p_name", F.lit(", "), "p_brand", F.lit(" (a, b) & "), "p_type")).alias("artists"))
 
+
+
+@query("SELECT grandparent_key, CAST(sum(n) AS BIGINT) AS n, list_sort(list_distinct(list(title))) AS titles FROM (SELECT user_rating, grandparent_key, title, count(*) AS n FROM track WHERE user_rating >= 1 GROUP BY ALL HAVING count(*) > 1) GROUP BY grandparent_key", TRACK)
+def ratings_duplicates_by_artist(spark: SparkSession, d: str) -> DataFrame:
+    return playlists.duplicates_by_artist(playlists.ratings_duplicates(catalog.tracks(spark, d)))
+
+
+@query("SELECT DISTINCT parent_key FROM track WHERE title = 'red bolt'", TRACK)
+def blank_title_albums(spark: SparkSession, d: str) -> DataFrame:
+    t = catalog.tracks(spark, d).withColumn("title", F.when(F.col("title") == "red bolt", "").otherwise(F.col("title")))
+    return playlists.blank_titles(t)
+
+
+@query("SELECT grandparent_key, parent_key, list_sort(list_distinct(list(title))) AS titles FROM track GROUP BY ALL", TRACK)
+def title_tree(spark: SparkSession, d: str) -> DataFrame:
+    tree = playlists.title_tree(catalog.tracks(spark, d))
+    return tree.select("grandparent_key", F.explode("albums").alias("parent_key", "titles"))
+
+
+@query("SELECT grandparent_key, count(*) AS n FROM track WHERE user_rating > 8 GROUP BY 1", TRACK)
+def sql_over_views(spark: SparkSession, d: str) -> DataFrame:
+    return from_star(spark, d).sql(spark, "SELECT grandparent_key, count(*) AS n FROM track WHERE user_rating > :least GROUP BY 1", least=8)
+
+
+part_query("album_name_parse", "p_name AS name, CASE WHEN p_size % 3 = 0 THEN '2nd Mini Album' END AS num, CASE p_size % 3 WHEN 0 THEN 'Mini Album' WHEN 1 THEN 'Soundtrack' END AS type, CASE WHEN p_size % 3 = 1 THEN p_size END AS part, CASE WHEN p_size % 3 = 2 THEN ['A', 'B'] ELSE [] END AS feat", lambda: [titles.parse_album(_album())[c] for c in ("name", "num", "type", "part", "feat")], "name", "num", "type", "part", "feat")
+part_query("track_extras", "CASE p_size % 5 WHEN 0 THEN 'instrumental' WHEN 1 THEN 'version' WHEN 2 THEN 'remix' WHEN 3 THEN 'other' END AS kind", lambda: [titles.track_extras(F.concat("p_name", F.expr("element_at(array(' (Inst.)', ' (Japanese ver.)', ' [EDM Remix]', ' (x)', ''), p_size % 5 + 1)")))], "kind")
+part_query("full_title", "p_name || CASE WHEN p_size > 20 THEN ' (' || p_brand || ')' ELSE '' END || ' (x)' AS title", lambda: [titles.full_title(F.col("p_name"), F.when(F.col("p_size") > 20, F.col("p_brand")), F.lit("x"))], "title")
+part_query("page_language", "CASE p_size % 3 WHEN 0 THEN 'Japanese' WHEN 1 THEN 'English' ELSE 'Korean' END AS language", lambda: [pages.page_language(F.expr("CASE p_size % 3 WHEN 0 THEN array('Japanese singles', 'x') WHEN 1 THEN array('Korean-Japanese songs') ELSE array() END"), F.when(F.col("p_size") % 3 == 2, "노래").otherwise(F.col("p_name")))], "language")
+part_query("numbered_type", "p_size || CASE WHEN p_size % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_size % 10 = 1 THEN 'st' WHEN p_size % 10 = 2 THEN 'nd' WHEN p_size % 10 = 3 THEN 'rd' ELSE 'th' END || ' Japanese Album' || CASE WHEN p_partkey % 2 = 0 THEN ' Repackage' ELSE '' END AS kind", lambda: [pages.numbered_type(F.col("p_size"), F.lit("Japanese"), F.lit("Album"), F.col("p_partkey") % 2 == 0)], "kind")
+part_query("intro_names", "[p_name, 'x' || p_size, 'Other ' || p_brand] AS names", lambda: [titles.intro_names(F.concat("p_name", F.lit(" (x"), "p_size", F.lit("), also known as Other "), "p_brand", F.lit(" is a song. It was out.")))], "names")
+
+
+def _album() -> Column:
+    return F.expr("CASE p_size % 3 WHEN 0 THEN concat(p_name, ' [2nd Mini Album]') WHEN 1 THEN concat(p_name, ' OST Part.', p_size) ELSE concat(p_name, ' (feat. A & B)') END")
+
+
+def _entries(spark: SparkSession, d: str, side: str) -> DataFrame:
+    p = star(spark, d, "part").filter(f"p_partkey % 2 = {0 if side == 'album' else 1}")
+    return p.select(F.col("p_partkey").alias(side), F.concat("p_brand", F.lit("/"), "p_size").alias("artist"), F.col("p_name").alias("name"), F.expr("CASE WHEN p_size % 2 = 0 THEN 'EP' ELSE 'Album' END AS type"), (F.col("p_partkey") % 3).alias("num"), F.lit(False).alias("repackage"))
+
+
+@query("SELECT a.p_partkey AS album, b.p_partkey AS entry, CASE WHEN a.p_name = b.p_name THEN 'name' ELSE 'number' END AS by FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND (a.p_name = b.p_name OR a.p_partkey % 3 = b.p_partkey % 3)")
+def album_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return matching.album_candidates(_entries(spark, d, "album"), _entries(spark, d, "entry"), 100).select("album", "entry", "by")
+
+
+@query("SELECT a.l_orderkey AS album, b.l_orderkey AS entry FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) b ON b.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) WHERE a.l_orderkey % 5 = 0 AND (a.n = b.n OR NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c WHERE c.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) AND c.n = a.n))")
+def candidates_narrowed(spark: SparkSession, d: str) -> DataFrame:
+    line = star(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("num"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("title"))
+    files = line.filter("l_orderkey % 5 = 0").withColumnRenamed("l_orderkey", "album")
+    pairs = files.select("album").distinct().select("album", F.explode(F.array(F.col("album") + 1, F.col("album") + 2)).alias("entry"))
+    tracks = line.withColumnRenamed("l_orderkey", "entry")
+    pairs = pairs.join(tracks.select("entry").distinct(), "entry", "left_semi")
+    return matching.narrowed(matching.track_overlap(pairs, files, tracks))
+
+
+@query("SELECT c_nationkey AS title, c_mktsegment AS site, min(c_custkey) AS page FROM customer GROUP BY ALL")
+def pages_by_title(spark: SparkSession, d: str) -> DataFrame:
+    c = star(spark, d, "customer").select(F.col("c_nationkey").alias("title"), F.col("c_mktsegment").alias("site"), F.col("c_custkey").alias("page_id"))
+    return matching.pages_by_title(c).select("title", F.explode("pages").alias("site", "page"))
+
+
+@query("SELECT n_name, CASE WHEN n_name = upper(n_name) THEN upper(n_name[1]) || lower(n_name[2:]) ELSE n_name END AS retry FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) AND NOT contains(n_name, ' ')")
+def unresolved_titles(spark: SparkSession, d: str) -> DataFrame:
+    n = star(spark, d, "nation").filter("NOT contains(n_name, ' ')")
+    found = n.join(star(spark, d, "supplier").filter("s_acctbal < 0"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
+    return matching.unresolved(n, found, "n_name", F.col("n_name")).select("n_name", "retry")
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n <= 3")
+def top_per_group(spark: SparkSession, d: str) -> DataFrame:
+    return matching.top_per_group(star(spark, d, "customer"), "c_nationkey", [F.desc("c_acctbal"), "c_custkey"], 3).select("c_nationkey", "c_custkey")
+
+
+@query("SELECT l_orderkey AS folder, max(l_linenumber % 2)::INTEGER AS disks, list_sort(CASE WHEN count(DISTINCT l_returnflag) = 1 THEN ['all', min(l_returnflag)] ELSE ['all'] END) AS genres, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_orderkey")
+def album_records(spark: SparkSession, d: str) -> DataFrame:
+    files = star(spark, d, "lineitem").select(F.col("l_orderkey").alias("folder"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("path"), (F.col("l_linenumber") % 2).alias("disk"), F.col("l_linenumber").alias("num"), F.col("l_partkey").cast("string").alias("title"), F.lit("a").alias("album"), F.lit("b").alias("artist"), F.array(F.lit("all"), "l_returnflag").alias("genres"))
+    back = records.from_json(records.to_json(records.from_files(files)))
+    return back.select("folder", "disks", "genres", F.size("tracks").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN '/m/' || n_name WHEN n_nationkey % 3 = 1 THEN '/m/' || lower(n_name) END AS found FROM nation")
+def found_in_library(spark: SparkSession, d: str) -> DataFrame:
+    n = star(spark, d, "nation").select("n_nationkey", "n_name")
+    folders = n.filter("n_nationkey % 3 < 2").select(F.expr("concat('/m/', CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE lower(n_name) END) AS path"))
+    return records.in_library(n, folders, F.concat(F.lit("/m/"), "n_name"), F.concat(F.lit("/m/"), F.lower("n_name")))
+
+
+@query("SELECT c_nationkey AS k, CASE WHEN max(c_acctbal) > 9900 THEN 'high' ELSE 'any' END AS v FROM customer GROUP BY 1")
+def maps_coalesced(spark: SparkSession, d: str) -> DataFrame:
+    c = star(spark, d, "customer")
+    high, some = (f.select(F.col("c_nationkey").alias("k"), F.lit(v).alias("v")).distinct() for f, v in ((c.filter("c_acctbal > 9900"), "high"), (c, "any")))
+    return records.coalesced_maps([high, some], "k", "v")
+
+
+@query("SELECT c_nationkey AS k, count(DISTINCT c_custkey) AS a, count(DISTINCT s_suppkey) AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
+def maps_inner(spark: SparkSession, d: str) -> DataFrame:
+    a = star(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("a"))
+    b = star(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("b"))
+    return records.inner_maps([a, b], "k")
+
+
+@query("SELECT s_suppkey AS entry, 1 AS num, s_name AS title FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, unnest([1, 2]), s_name || unnest(['', ' (Inst.)']) FROM supplier WHERE s_suppkey % 2 = 1")
+def singles_filled_in(spark: SparkSession, d: str) -> DataFrame:
+    s = star(spark, d, "supplier").select(F.col("s_suppkey").alias("entry"), F.col("s_name").alias("title"))
+    return pages.with_singles(s.filter("entry % 2 = 0").withColumn("num", F.lit(1)), s)

@@ -34,6 +34,23 @@ class Catalog:
     def section(self, name: str) -> str:
         return SECTIONS[type_name(name)]
 
+    def find(self, name: str, **filters) -> DataFrame:
+        """The rows of a type that fit the filters."""
+        from tunelake.operators.predicates import where
+
+        return where(self.frame(name), filters)
+
+    def views(self) -> list[str]:
+        """Register every type as a temporary view for SQL; their names."""
+        for name in self.frames:
+            self.frame(name).createOrReplaceTempView(name)
+        return sorted(self.frames)
+
+    def sql(self, spark: SparkSession, text: str, **args) -> DataFrame:
+        """A statement over the views, its parameters bound by name."""
+        self.views()
+        return spark.sql(text, args=args)
+
 
 def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
