@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunelake.functions import names, scalar, text
-from tunelake.operators.pages import ALBUM_TYPES, album_type
+from tunelake.functions.albums import parse_album
+from tunelake.operators.pages import ALBUM_TYPES, CLASSES, album_type, classify, kinds_of
 from tunelake.plans.text_query import InvalidQuery, parse
 
 
 @pytest.mark.parametrize(
     "args, want",
-    [(("a (b) c",), ("a", "b", "c")), (('"a (b) "c"', False), ("", "a (b)", 'c"')), (("a - (b) - c", False, True), ("a -", "b", "- c")), (("abc",), None)],
+    [(("a (b) c",), ("a", "b", "c")), (('"a (b) "c"', False), ("", "a (b)", 'c"')), (("a - (b) - c", False, True), ("a -", "b", "- c")), (("abc",), None), ((')a (b) "c"', True), (")a (b)", "c", ""))],
 )
 def test_partition_enclosed(args, want):
     assert text.partition_enclosed(*args) == want
@@ -60,6 +61,52 @@ def test_album_type_takes_the_first_in_order(spark):
     assert got == {"Mini Album"} and ALBUM_TYPES[0][0] == "Mini Album"
 
 
+def test_album_type_of_categories(spark):
+    cases = {("mini albums", "albums", "2020 mini albums", "2020 releases"): "Mini Album", ("Singles", "As featured artist"): "Feature", ("Studio albums",): "Album", ("EPs",): "EP", ("others",): "UNKNOWN", ("x",): "UNKNOWN", (): "UNKNOWN"}
+    rows = spark.createDataFrame([(list(c), want) for c, want in cases.items()], "c array<string>, want string").select("want", album_type(F.col("c")).alias("got")).collect()
+    assert all(r.want == r.got for r in rows)
+
+
+def test_classes(spark):
+    expected = {"singer": "Singer", "group": "Group", "discography": "Discography", "album": "Album", "single": "Single", "soundtrack": "Soundtrack", "agency": "Agency", "competition": "SpecialEvent", "television program": "TVSeries"}
+    many = ["emi group artists", "japanese-language singers of south korea", "k-pop music groups", "musical groups established in 2011", "musical groups from seoul", "south korean girl groups"]
+    rows = [(c, [c]) for c in expected] + [("many", many), ("none", ["test test test"])]
+    df = spark.createDataFrame(rows, "url string, categories array<string>")
+    got = {r.url: r["class"] for r in classify(df).collect()}
+    assert got == expected | {"many": "Group", "none": "WikiEntity"}
+    every = [c for c, *_ in CLASSES]
+    for requested in every:
+        found = {r.url: (r["class"], r.error) for r in classify(df, requested).collect()}
+        for url, cls in [*expected.items(), ("none", "WikiEntity")]:
+            ok = requested in kinds_of(cls)
+            assert found[url] == ((cls, False) if ok else (None, True)), (requested, url)
+    tricky = spark.createDataFrame([("t", ["test artists", "test group members"])], "url string, categories array<string>")
+    assert classify(tricky, "Artist").first()["class"] == "Singer"
+
+
+@pytest.mark.parametrize("title, want", [
+    ("The Red [1st Album]", ("The Red", "1st Album", "Album", [], False, None)),
+    ("#Cookie Jar [1st Japanese Mini Album]", ("#Cookie Jar", "1st Japanese Mini Album", "Mini Album", [], False, None)),
+    ("화랑 OST Part.2", ("화랑", None, "Soundtrack", [], True, 2)),
+    ("슬기로운 감빵생활 O.S.T Part.5", ("슬기로운 감빵생활", None, "Soundtrack", [], True, 5)),
+    ("Make It Right (feat. Lauv) (EDM Remix)", ("Make It Right", None, None, ["Lauv"], False, None)),
+    ("Wannabe (Feat. San E)", ("Wannabe", None, None, ["San E"], False, None)),
+    ("어린왕자 OST", ("어린왕자", None, "Soundtrack", [], True, None)),
+    ("SAPPY - Single", ("SAPPY", None, "Single", [], False, None)),
+    ("OBSESSION - The 6th Album", ("OBSESSION", "6th Album", "Album", [], False, None)),
+    ("&TWICE (Repackage)", ("&TWICE", None, None, [], False, None)),
+    ("OST Best - Flash Back", ("OST Best - Flash Back", None, None, [], False, None)),
+])
+def test_album_titles(spark, title, want):
+    r = spark.range(1).select(parse_album(F.lit(title)).alias("a")).first().a
+    assert (r.name, r.num, r.type, r.feat, r.ost, r.part) == want
+
+
+def test_ordinals_and_titles(spark):
+    row = spark.range(1).select(*[scalar.find_ordinal(F.lit(x)).alias(f"o{i}") for i, x in enumerate(["My Debut album", "the Twentieth", "12th x", "no"])], scalar.title_case(F.lit("THE (wind-up) bird OF a day")).alias("t")).first()
+    assert tuple(row) == (1, 20, 12, None, "The (Wind-Up) Bird of a Day")
+
+
 def test_names(spark):
     df = spark.createDataFrame([(1, "IU (아이유)"), (2, "아이유"), (3, "Somebody"), (4, None)], "id long, t string").select("id", names.from_enclosed(F.col("t")).alias("name"))
     first = df.orderBy("id").first().name

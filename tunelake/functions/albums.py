@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 KINDS = "Mini Album|Digital Single|Single Album|Special Album|Studio Album|Live Album|Album|Single|EP"
-NUMBERED = rf"(?i)[\[(]\s*((?:[0-9]+(?:st|nd|rd|th)|First|Second|Third|Fourth|Fifth)\s+(?:Japanese\s+|Repackage\s+)*({KINDS}))\s*[\])]"
+NUMBERED = rf"(?i)(?:[\[(]|-\s*The)\s*((?:[0-9]+(?:st|nd|rd|th)|First|Second|Third|Fourth|Fifth)\s+(?:Japanese\s+|Repackage\s+)*({KINDS}))\s*(?:[\])]|$)"
+SUFFIX = rf"(?i)\s+-\s+({KINDS})$"
+OST = r"(?i)(?<=\S\s)\bO\.?S\.?T\b\.?"
 FEATURING = r"(?i)[\[(]\s*(?:feat|ft|featuring|with)\.?\s+([^\])]+)[\])]"
 VERSION = r"(?i)[\[(]\s*([^\[\]()]*\bver(?:sion|\.)?)\s*[\])]"
 REMIX = r"(?i)[\[(]\s*([^\[\]()]*\bre-?mix)\s*[\])]"
@@ -20,16 +22,18 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
 def parse_album(c: Column) -> Column:
     """struct(name, num, type, edition, version, remix, feat, ost, part, repackage) of a title."""
     bare = c
-    for pattern in (NUMBERED, FEATURING, VERSION, REMIX, EDITION, r"(?i)[\[(]\s*repackage(?:d)?(?:\s+album)?\s*[\])]"):
+    for pattern in (NUMBERED, SUFFIX, FEATURING, VERSION, REMIX, EDITION, r"(?i)[\[(]\s*repackage(?:d)?(?:\s+album)?\s*[\])]"):
         bare = F.regexp_replace(bare, pattern, "")
-    ost = bare.rlike(r"(?i)\bOST\b")
-    part = F.regexp_extract(F.trim(bare), PART, 1).try_cast("int")
-    name = F.when(ost, F.regexp_replace(F.trim(bare), r"(?i)\s*-?\s*\bOST\b.*$", "")).otherwise(F.when(part.isNotNull(), F.regexp_replace(F.trim(bare), PART, "")).otherwise(bare))
+    bare = F.trim(bare)
+    # a title that ends in a soundtrack's mark, its part, or other text in parentheses is a soundtrack's
+    ost = bare.rlike(OST + r"(?:\s*-?\s*part\.?\s*[0-9]+)?(?:\s*\(.*\))?$")
+    part = F.regexp_extract(bare, PART, 1).try_cast("int")
+    name = F.when(ost, F.regexp_replace(bare, r"\s*-?\s*" + OST + ".*$", "")).otherwise(F.when(part.isNotNull(), F.regexp_replace(bare, PART, "")).otherwise(bare))
     singers = F.filter(F.split(F.coalesce(_first(c, FEATURING), F.lit("")), r"\s*(?:,|&)\s*"), lambda x: x != "")
     return F.struct(
         F.trim(F.regexp_replace(name, r"\s+", " ")).alias("name"),
         _first(c, NUMBERED).alias("num"),
-        F.when(ost, "Soundtrack").otherwise(_first(c, NUMBERED, 2)).alias("type"),
+        F.when(ost, "Soundtrack").otherwise(F.coalesce(_first(c, NUMBERED, 2), _first(c, SUFFIX))).alias("type"),
         _first(c, EDITION).alias("edition"),
         _first(c, VERSION).alias("version"),
         _first(c, REMIX).alias("remix"),

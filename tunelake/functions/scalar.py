@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy.MM.dd", "yyyyMMdd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy-MM", "yyyy")
-SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "for", "in", "of", "or", "the")
-ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+# Words that a title has in lower case, and ordinals from 1 on.
+SMALL_WORDS = ("an", "to", "in", "a", "by", "the", "and", "but", "for", "at", "of")
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth")
 LANGUAGES = {"chn": "Chinese", "jp": "Japanese", "jap": "Japanese", "kor": "Korean", "eng": "English"}
 
 
@@ -15,24 +16,39 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in DATE_FORMATS])
 
 
-def stars_from_256(c: Column, out_of: int = 10) -> Column:
-    """A file's rating of 0-255 as 1-5 stars, or 1-10 half stars; 0 is unrated; null beyond the range."""
-    # the fixed points of the scale: 1, 64, 128, 196, 255 for whole stars, midpoints between them for halves
-    five = F.when(c < 32, 1).when(c < 96, 2).when(c < 160, 3).when(c < 224, 4).otherwise(5)
-    ten = F.ceil(c * 10 / 255).cast("int")
-    return F.when(c.between(1, 255), five if out_of == 5 else ten)
+# Of each whole star the first and last file rating, and the one that is written for it.
+RATINGS = ((1, 31, 15), (32, 95, 64), (96, 159, 128), (160, 223, 196), (224, 255, 255))
+
+
+def stars_from_256(c: Column, out_of: int = 5) -> Column:
+    """A file's rating of 0-255 as 1-5 stars, or 1-10 half stars; 0 is unrated; null beyond the range.
+
+    A half star is added above the rating that is written for a whole one, and 1 is left below that of the first star.
+    """
+    out = F.lit(None).cast("int")
+    for k, (low, high, written) in enumerate(RATINGS, 1):
+        ten = 2 * k + (c > written).cast("int")
+        value = F.lit(k) if out_of == 5 else F.when(c < written, 1).otherwise(ten) if k == 1 else ten
+        out = F.when(c.between(low, high), value).otherwise(out)
+    return out
 
 
 def stars_to_256(c: Column, out_of: int = 10) -> Column:
-    """1-10 half stars (or 1-5 stars) as a file's rating, truncated; 0 and null give null."""
-    return F.when(c.between(1, out_of), F.floor(c * 255 / out_of).cast("int"))
+    """1-10 half stars (or 1-5 stars) as a file's rating: a half star is one more than the whole one below; 0 gives null."""
+    out = F.lit(None).cast("int")
+    for k, (_, _, written) in enumerate(RATINGS, 1):
+        if out_of == 5:
+            out = F.when(c == k, written).otherwise(out)
+        else:
+            out = F.when(c == 2 * k, written).when((c == 2 * k + 1) & F.lit(k < 5), written + 1).otherwise(out)
+    return out if out_of == 5 else F.when(c == 1, 1).otherwise(out)
 
 
 def stars(c: Column) -> Column:
     """Ten half stars as text: full, half, empty."""
     full = F.floor(c / 2).cast("int")
     half = (c % 2).cast("int")
-    return F.concat(F.repeat(F.lit("★"), full), F.repeat(F.lit("½"), half), F.repeat(F.lit("☆"), F.lit(5) - full - half))
+    return F.concat(F.repeat(F.lit("★"), full), F.repeat(F.lit("½"), half), F.repeat(F.lit("✰"), F.lit(5) - full - half))
 
 
 def duration(ms: Column) -> Column:
@@ -65,20 +81,25 @@ def ordinal(n: Column) -> Column:
 
 
 def find_ordinal(c: Column) -> Column:
-    """The first ordinal in a text, by word or by number up to 20; null without one."""
-    found = F.lower(F.regexp_extract(c, rf"(?i)\b({'|'.join(ORDINALS)}|(?:[1-9]|1[0-9]|20)(?:st|nd|rd|th))\b", 1))
-    out = F.regexp_extract(found, r"^([0-9]+)", 1).try_cast("int")
-    for k, w in enumerate(ORDINALS, 1):
-        out = F.when(found == w, k).otherwise(out)
+    """The first ordinal in a text, by word up to twentieth (debut is the first) or by number up to 20; null without one."""
+    numbers = [f"{n}{'th' if 11 <= n <= 13 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}" for n in range(1, 21)]
+    found = F.regexp_extract(F.lower(c), f"(debut|{'|'.join(ORDINALS)}|{'|'.join(numbers)})", 1)
+    out = F.when(found == "debut", 1)
+    for n, pair in enumerate(zip(ORDINALS, numbers, strict=True), 1):
+        out = out.when(found.isin(*pair), n)
     return out
 
 
 def title_case(c: Column) -> Column:
-    """Words capitalised, small words only at the beginning."""
-    def word(w: Column, i: Column) -> Column:
-        return F.when((i > 0) & F.lower(w).isin(*SMALL_WORDS), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))
+    """Words capitalised, small words only at the beginning; what is between words stays."""
+    parts = F.split(c, r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)", -1)
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10**6)))
+
+    def cased(p: Column) -> Column:
+        first = F.when(F.get(p, F.lit(0)).rlike(r"(?U)^\w"), 0).otherwise(1)
+        return F.transform(p, lambda w, i: F.when((i > first) & F.lower(w).isin(*SMALL_WORDS), F.lower(w)).otherwise(capital(w)))
 
-    return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), word), " ")
+    return F.array_join(F.transform(F.array(parts), cased)[0], "")
 
 
 def normalize_case(c: Column) -> Column:
@@ -159,4 +180,4 @@ def int_words(c: Column) -> Column:
         done = F.when(v >= 1000, a["done"] + F.greatest(a["now"], F.lit(1)) * v).otherwise(a["done"])
         return F.struct(done.cast("bigint").alias("done"), now.cast("bigint").alias("now"), (a["ok"] & v.isNotNull()).alias("ok"))
 
-    return F.when(F.size(words) > 0, F.aggregate(words, zero, step, lambda a: F.when(a["ok"], a["done"] + a["now"])))
+    return F.coalesce(F.trim(c).try_cast("bigint"), F.when(F.size(words) > 0, F.aggregate(words, zero, step, lambda a: F.when(a["ok"], a["done"] + a["now"]))))

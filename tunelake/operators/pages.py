@@ -4,42 +4,99 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: (class, category part, weight): parts that speak for a class, and against it; fixed values.
-INDICATORS = (
-    ("album", "albums", 1), ("album", "discography", -1), ("album", "singles", 1), ("artist", "artists", 1), ("artist", "singers", 1),
-    ("group", "groups", 1), ("group", "bands", 1), ("group", "members", -1), ("soundtrack", "osts", 1), ("soundtrack", "soundtracks", 1), ("discography", "discographies", 1),
+# A class, the class it is a kind of, category parts that speak for it, and parts that speak against it.
+CLASSES = (
+    ("WikiEntity", None, (), ()),
+    ("PersonOrGroup", "WikiEntity", (), ()),
+    ("Artist", "PersonOrGroup", (), ()),
+    ("Singer", "Artist", ("singer", "actor", "actress", "member", "rapper", "lyricist", "pianist", "songwriter", "births", "male", "kcomposer"), ("groups", "record labels")),
+    ("Group", "Artist", ("group", "subunits", "duos"), ("group processes", "belief", "single")),
+    ("Agency", "PersonOrGroup", ("agency", "agencies", "record label"), ()),
+    ("SpecialEvent", "WikiEntity", ("competition",), ()),
+    ("TVSeries", "WikiEntity", ("television program", "television series", "drama", "survival show", "music shows"), ()),
+    ("Discography", "WikiEntity", ("discography", "discographies"), ()),
+    ("DiscographyEntry", "WikiEntity", (), ()),
+    ("Album", "DiscographyEntry", ("album", "extended play", " eps", "-language eps", "mixtape"), ()),
+    ("Single", "DiscographyEntry", ("single", "song", "collaboration", "feature"), ("songwriter",)),
+    ("Soundtrack", "DiscographyEntry", ("ost", "soundtrack"), ()),
 )
-#: Album types in their order, the category parts that name them; the first that fits wins.
+# Album types in their order, category parts that name them, folder, whether they are numbered.
 ALBUM_TYPES = (
-    ("Mini Album", ("mini album", "mini-album")), ("Soundtrack", ("soundtrack", "osts")), ("Single", ("single",)), ("Feature", ("as featured", "features")),
-    ("Collaboration", ("collaboration",)), ("EP", ("extended play", "eps")), ("Live", ("live album",)), ("Compilation", ("compilation", "best album")), ("Album", ("studio album", "album")),
+    ("Mini Album", ("mini album",), "Mini Albums", True),
+    ("EP", ("extended play", "digital eps"), "EPs", False),
+    ("Single Album", ("single album",), "Single Albums", True),
+    ("Special Album", ("special album",), "Special Albums", True),
+    ("Compilation", ("compilation", "best album"), "Compilations", False),
+    ("Feature", ("feature",), "Collaborations", False),
+    ("Live Album", ("live album",), "Live", False),
+    ("Competition", ("participation release",), "Other", False),
+    ("MixTape", ("mixtape",), "Other", False),
+    ("Cover Album", ("cover album", "remake album"), "Other", False),
+    ("Soundtrack", ("soundtrack", "ost"), "Soundtracks", False),
+    ("Single", ("single", "song", "digital single", "promotional single", "special single", "other release", "digital download"), "Singles", False),
+    ("Album", ("studio album", "repackage album", "full-length album", "album"), "Albums", True),
+    ("Collaboration", ("collaboration",), "Collaborations", False),
+    ("Christmas", ("christmas",), "Christmas", False),
+    ("Holiday", ("holiday",), "Holiday", False),
+    ("UNKNOWN", ("others",), "Other", False),
 )
 
 
-def classify(pages: DataFrame, key: str = "url", categories: str = "categories") -> DataFrame:
-    """(key, class, score): the best class with a positive score; ties go to the last name."""
-    rules = F.broadcast(pages.sparkSession.createDataFrame(list(INDICATORS), "class string, part string, weight int"))
-    rows = pages.select(key, F.explode(categories).alias("category"))
-    scored = rows.join(rules, F.lower("category").contains(F.col("part"))).groupBy(key, "class").agg(F.sum("weight").alias("score")).filter("score > 0")
-    return scored.groupBy(key).agg(F.max(F.struct("score", "class")).alias("b")).select(key, "b.class", "b.score")
+def kinds_of(name: str) -> set[str]:
+    """A class and the classes it is a kind of."""
+    above = {c: up for c, up, _, _ in CLASSES}
+    out = set()
+    while name:
+        out.add(name)
+        name = above[name]
+    return out
+
+
+def class_scores(pages: DataFrame, key: str = "url", categories: str = "categories") -> DataFrame:
+    """(key, class, score): a point for each category and part of the class in it; a category with a part against the
+    class costs a point for each of the class's parts."""
+    spark = pages.sparkSession
+    parts = [(c, p, 1) for c, _, good, _ in CLASSES for p in good]
+    against = [(c, p, len(good)) for c, _, good, bad in CLASSES for p in bad]
+    rows = pages.select(key, F.posexplode(categories).alias("i", "category"))
+    met = lambda rules: rows.join(F.broadcast(spark.createDataFrame(rules, "class string, part string, w int")), F.lower("category").contains(F.col("part")))
+    plus = met(parts).select(key, "class", "w")
+    minus = met(against).select(key, "i", "class", (-F.col("w")).alias("w")).distinct().select(key, "class", "w")
+    return plus.union(minus).groupBy(key, "class").agg(F.sum("w").alias("score"))
+
+
+def classify(pages: DataFrame, requested: str = "WikiEntity", key: str = "url", categories: str = "categories") -> DataFrame:
+    """(key, class, score, error): the best class with a positive score that is a kind of the requested one, the last name
+    of equal scores.  A page of no class is a plain WikiEntity, and an error if another class was requested."""
+    fits = [c for c, *_ in CLASSES if requested in kinds_of(c)]
+    good = class_scores(pages, key, categories).filter("score > 0").filter(F.col("class").isin(*fits))
+    best = good.groupBy(key).agg(F.max(F.struct("score", "class")).alias("b")).select(F.col(key).alias("__k"), "b.class", "b.score")
+    scored = class_scores(pages, key, categories).select(F.col(key).alias("__s")).distinct()
+    out = pages.select(key).join(best, F.col(key) == F.col("__k"), "left").join(scored, F.col(key) == F.col("__s"), "left")
+    plain = F.lit(requested == "WikiEntity") & F.col("__s").isNull()
+    name = F.coalesce("class", F.when(plain, "WikiEntity"))
+    return out.select(key, name.alias("class"), "score", name.isNull().alias("error"))
 
 
 def album_type(categories: Column) -> Column:
-    """The first type in order that any category names."""
-    out = F.lit(None).cast("string")
-    for name, parts in reversed(ALBUM_TYPES):
-        out = F.when(F.exists(categories, _names(parts)), name).otherwise(out)
+    """The first type in order that any category names, UNKNOWN without one; ``ep`` alone is an EP."""
+    out = F.lit("UNKNOWN")
+    # a category counts for its own first type only; of all categories' types the first in order wins
+    rank = F.array_min(F.filter(F.transform(categories, _rank), lambda r: r.isNotNull()))
+    for i, (name, *_) in enumerate(ALBUM_TYPES):
+        out = F.when(rank == i, name).otherwise(out)
     return out
 
 
-def _names(parts: tuple[str, ...]):
-    def test(c: Column) -> Column:
-        out = F.lit(False)
+def _rank(c: Column) -> Column:
+    c = F.translate(F.lower(F.trim(c)), "-_", "  ")
+    out = F.when(c.isin("ep", "eps"), 1)
+    for i, (_, parts, *_) in reversed(list(enumerate(ALBUM_TYPES))):
+        hit = F.lit(False)
         for p in parts:
-            out = out | F.lower(c).contains(p)
-        return out
-
-    return test
+            hit = hit | c.contains(p)
+        out = F.when(hit, i).otherwise(out)
+    return out
 
 
 def merge_discographies(entries: DataFrame) -> DataFrame:

@@ -4,29 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Logical tags and their ids in the formats mp4, id3 and vorbis; fixed values.
+# Logical tags and their ids in the formats mp4, id3 and vorbis.
 TAG_IDS = (
     ("title", "©nam", "TIT2", "TITLE"),
+    ("date", "©day", "TDRC", "DATE"),
+    ("genre", "©gen", "TCON", "GENRE"),
     ("album", "©alb", "TALB", "ALBUM"),
+    ("album_title", None, None, "ALBUMTITLE"),
     ("artist", "©ART", "TPE1", "ARTIST"),
     ("album_artist", "aART", "TPE2", "ALBUMARTIST"),
     ("track", "trkn", "TRCK", "TRACKNUMBER"),
     ("disk", "disk", "TPOS", "DISCNUMBER"),
-    ("date", "©day", "TDRC", "DATE"),
-    ("genre", "©gen", "TCON", "GENRE"),
+    ("grouping", "©grp", "TIT1", "GROUPING"),
+    ("album_sort_order", "soal", "TSOA", "ALBUMSORT"),
+    ("track_sort_order", "sonm", "TSOT", "TITLESORT"),
+    ("album_artist_sort_order", "soaa", "TSO2", "ALBUMARTISTSORT"),
+    ("track_artist_sort_order", "soar", "TSOP", "ARTISTSORT"),
+    ("isrc", "----:com.apple.iTunes:ISRC", "TSRC", "ISRC"),
+    ("compilation", "cpil", "TCMP", "COMPILATION"),
+    ("podcast", "pcst", "PCST", None),
+    ("bpm", "tmpo", "TBPM", "BPM"),
+    ("language", "----:com.apple.iTunes:LANGUAGE", "TLAN", "LANGUAGE"),
+    ("lyrics", "©lyr", "USLT", "LYRICS"),
     ("cover", "covr", "APIC", "metadata_block_picture"),
+    ("wiki:album", "----:WIKI:ALBUM", "WXXX:WIKI:ALBUM", "WIKI:ALBUM"),
+    ("wiki:artist", "----:WIKI:ARTIST", "WXXX:WIKI:ARTIST", "WIKI:ARTIST"),
+    ("kpop:gen", "KPOP:GEN", "TXXX:KPOP:GEN", "KPOP:GEN"),
+    ("rating", "POPM", "POPM", "POPM"),
 )
 
 
 def dimension(spark) -> DataFrame:
     """(tag_type, tag_id, name): a small fixed table."""
-    rows = [(kind, row[k + 1], row[0]) for row in TAG_IDS for k, kind in enumerate(("mp4", "id3", "vorbis"))]
+    rows = [(kind, row[k + 1], row[0]) for row in TAG_IDS for k, kind in enumerate(("mp4", "id3", "vorbis")) if row[k + 1]]
     return spark.createDataFrame(rows, "tag_type string, tag_id string, name string")
 
 
 def explode_tags(files: DataFrame) -> DataFrame:
     """(path, tag_id, name, value) of files with a map of tags; id3 ids are cut to four characters, unknown names are null."""
-    rows = files.select("path", "tag_type", F.explode("tags").alias("id", "values")).select("path", "tag_type", F.when(F.col("tag_type") == "id3", F.substring("id", 1, 4)).otherwise(F.col("id")).alias("tag_id"), F.explode("values").alias("value"))
+    rows = files.select("path", "tag_type", F.explode("tags").alias("id", "values")).select("path", "tag_type", F.when((F.col("tag_type") == "id3") & ~F.col("id").rlike("^(?:WXXX|TXXX):"), F.substring("id", 1, 4)).otherwise(F.col("id")).alias("tag_id"), F.explode("values").alias("value"))
     return rows.join(F.broadcast(dimension(files.sparkSession)), ["tag_type", "tag_id"], "left").select("path", "tag_id", "name", "value")
 
 

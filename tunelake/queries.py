@@ -256,12 +256,18 @@ def part_query(name: str, sql: str, columns: Callable[[], list[Column]], *names:
     QUERIES[name], SQL[name] = of_parts(columns, *names), f"SELECT p_partkey, {sql} FROM part"
 
 
-part_query("stars_from_256", "CASE WHEN x BETWEEN 1 AND 255 THEN CASE WHEN x < 32 THEN 1 WHEN x < 96 THEN 2 WHEN x < 160 THEN 3 WHEN x < 224 THEN 4 ELSE 5 END END AS five, CASE WHEN x BETWEEN 1 AND 255 THEN CAST(ceil(x * 10 / 255) AS INTEGER) END AS ten".replace("x", "(p_partkey % 300)"), lambda: [scalar.stars_from_256(F.col("p_partkey") % 300, 5), scalar.stars_from_256(F.col("p_partkey") % 300)], "five", "ten")
-part_query("stars_to_256", "CASE WHEN p_partkey % 12 BETWEEN 1 AND 10 THEN CAST(floor((p_partkey % 12) * 255 / 10) AS INTEGER) END AS rating, CASE WHEN p_partkey % 7 BETWEEN 1 AND 5 THEN CAST(floor((p_partkey % 7) * 255 / 5) AS INTEGER) END AS five", lambda: [scalar.stars_to_256(F.col("p_partkey") % 12), scalar.stars_to_256(F.col("p_partkey") % 7, 5)], "rating", "five")
-part_query("stars_text", "repeat('★', CAST((p_size % 11) // 2 AS INTEGER)) || repeat('½', p_size % 11 % 2) || repeat('☆', 5 - (p_size % 11) // 2 - p_size % 11 % 2) AS stars", lambda: [scalar.stars(F.col("p_size") % 11)], "stars")
+part_query(
+    "stars_from_256",
+    "CASE WHEN x BETWEEN 1 AND 31 THEN 1 WHEN x BETWEEN 32 AND 95 THEN 2 WHEN x BETWEEN 96 AND 159 THEN 3 WHEN x BETWEEN 160 AND 223 THEN 4 WHEN x BETWEEN 224 AND 255 THEN 5 END AS five, CASE WHEN x BETWEEN 1 AND 14 THEN 1 WHEN x = 15 THEN 2 WHEN x BETWEEN 16 AND 31 THEN 3 WHEN x BETWEEN 32 AND 64 THEN 4 WHEN x BETWEEN 65 AND 95 THEN 5 WHEN x BETWEEN 96 AND 128 THEN 6 WHEN x BETWEEN 129 AND 159 THEN 7 WHEN x BETWEEN 160 AND 196 THEN 8 WHEN x BETWEEN 197 AND 223 THEN 9 WHEN x BETWEEN 224 AND 255 THEN 10 END AS ten FROM (SELECT p_partkey, p_partkey % 300 AS x FROM part) AS part --",
+    lambda: [scalar.stars_from_256(F.col("p_partkey") % 300, 5), scalar.stars_from_256(F.col("p_partkey") % 300, 10)],
+    "five",
+    "ten",
+)
+part_query("stars_to_256", "[NULL, 1, 15, 16, 64, 65, 128, 129, 196, 197, 255, NULL][p_partkey % 12 + 1] AS rating, [NULL, 15, 64, 128, 196, 255, NULL][p_partkey % 7 + 1] AS five", lambda: [scalar.stars_to_256(F.col("p_partkey") % 12), scalar.stars_to_256(F.col("p_partkey") % 7, 5)], "rating", "five")
+part_query("stars_text", "repeat('★', CAST((p_size % 11) // 2 AS INTEGER)) || repeat('½', p_size % 11 % 2) || repeat('✰', 5 - (p_size % 11) // 2 - p_size % 11 % 2) AS stars", lambda: [scalar.stars(F.col("p_size") % 11)], "stars")
 part_query("duration_format", "CASE WHEN s >= 86400 THEN '(' || s // 86400 || ')d ' ELSE '' END || printf('%02d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) AS clock FROM (SELECT p_partkey, CAST(floor(p_partkey * 73313 / 1000) AS BIGINT) AS s FROM part) AS part --", lambda: [scalar.duration(F.col("p_partkey") * 73313)], "clock")
 part_query("path_sanitize", "replace(replace(translate('a/b:' || p_name || '|' || chr(92) || p_brand || '?*', '/:' || chr(92) || '|', '_-_-'), '?', ''), '*', '') AS path", lambda: [scalar.sanitize_path(F.concat(F.lit("a/b:"), "p_name", F.lit("|\\"), "p_brand", F.lit("?*")))], "path")
-part_query("title_case", "list_aggregate(list_transform(string_split('the ' || p_name || ' OF a', ' '), lambda w, i: CASE WHEN i > 1 AND lower(w) IN ('a', 'an', 'and', 'as', 'at', 'but', 'for', 'in', 'of', 'or', 'the') THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), 'string_agg', ' ') AS title", lambda: [scalar.title_case(F.concat(F.lit("the "), "p_name", F.lit(" OF a")))], "title")
+part_query("title_case", "list_aggregate(list_transform(string_split('the ' || p_name || ' OF a', ' '), lambda w, i: CASE WHEN i > 1 AND lower(w) IN ('an', 'to', 'in', 'a', 'by', 'the', 'and', 'but', 'for', 'at', 'of') THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), 'string_agg', ' ') AS title", lambda: [scalar.title_case(F.concat(F.lit("the "), "p_name", F.lit(" OF a")))], "title")
 part_query("ordinal_find", "CASE p_partkey % 3 WHEN 0 THEN CAST(p_partkey % 10 + 1 AS INTEGER) WHEN 1 THEN 2 END AS n", lambda: [scalar.find_ordinal(F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('The ', p_partkey % 10 + 1, CASE p_partkey % 10 + 1 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END, ' Album') WHEN 1 THEN concat(p_name, ' Second single') ELSE p_name END"))], "n")
 part_query("ordinal_format", "p_partkey || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS n", lambda: [scalar.ordinal(F.col("p_partkey"))], "n")
 part_query("title_cleanup_regex", "CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '(96 kHz)' END AS title", lambda: [scalar.clean_title(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" (96 kHz)"))).otherwise("(96 kHz)"))], "title")
@@ -385,13 +391,13 @@ def page_site(spark: SparkSession, d: str) -> DataFrame:
 CATEGORIES = "CASE p_size % 5 WHEN 0 THEN array('Test albums', 'Singles of 2001') WHEN 1 THEN array('Music groups', 'Test artists', 'Test group members') WHEN 2 THEN array('Drama OSTs') WHEN 3 THEN array('Album discography', p_name) ELSE array('Artists discographies', 'Singers') END"
 
 
-@query("SELECT p_partkey AS url, CASE p_size % 5 WHEN 0 THEN 'album' WHEN 1 THEN 'artist' WHEN 2 THEN 'soundtrack' ELSE 'artist' END AS class, CASE p_size % 5 WHEN 0 THEN 2 WHEN 4 THEN 2 ELSE 1 END AS score FROM part WHERE p_size % 5 <> 3")
+@query("SELECT p_partkey AS url, CASE p_size % 5 WHEN 0 THEN 'Single' WHEN 1 THEN 'Group' WHEN 2 THEN 'TVSeries' WHEN 3 THEN 'Discography' ELSE 'Singer' END AS class, CASE p_size % 5 WHEN 1 THEN 2 ELSE 1 END AS score FROM part")
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     p = star(spark, d, "part").select(F.col("p_partkey").alias("url"), F.expr(CATEGORIES).alias("categories"))
     return pages.classify(p).select("url", "class", F.col("score").cast("int").alias("score"))
 
 
-@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Single' WHEN 2 THEN 'Soundtrack' WHEN 3 THEN 'Album' END AS kind FROM part")
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Single' WHEN 2 THEN 'Soundtrack' WHEN 3 THEN 'Album' ELSE 'UNKNOWN' END AS kind FROM part")
 def album_type_order(spark: SparkSession, d: str) -> DataFrame:
     return star(spark, d, "part").select("p_partkey", pages.album_type(F.expr(CATEGORIES)).alias("kind"))
 
