@@ -19,6 +19,9 @@ LINKS = {
     ("album", "track"): ("key", "parent_key"),
     ("artist", "track"): ("key", "grandparent_key"),
     ("artist", "album"): ("key", "parent_key"),
+    ("season", "show"): ("parent_key", "key"),
+    ("episode", "show"): ("grandparent_key", "key"),
+    ("episode", "season"): ("parent_key", "key"),
 }
 SORTS = {"track": ("grandparent_key", "parent_key", "index", "key"), "album": ("parent_key", "year", "title", "key"), "artist": ("title", "key")}
 
@@ -65,13 +68,13 @@ class ResultSet:
                 out = out.with_mood(q, not key.endswith(("not", "ne", "!")))
             elif name == "year" and self.kind == "track":
                 own["parent_year" + key[4:]] = q
-            elif name in ("genre", "artist", "album") and name != self.kind and name not in self.df.columns:
+            elif name in ("genre", "artist", "album", "show") and name != self.kind and name not in self.df.columns:
                 group.setdefault(name, {})[key] = q
             else:
                 own[key] = q
         out = out._with(predicates.where(out.df, own))
         for name, some in group.items():
-            out = {"genre": out.with_genre, "artist": out.from_artist, "album": out.from_album}[name](**_sub(name, some))
+            out = {"genre": out.with_genre, "artist": out.from_artist, "album": out.from_album, "show": out.of_show}[name](**_sub(name, some))
         return out
 
     def in_playlist(self, name: str, column: str = "key") -> ResultSet:
@@ -112,6 +115,10 @@ class ResultSet:
         met = self.df.join(keys, self.df["grandparent_key"] == F.col("__k"), "left")
         return self._with(met.filter(F.col("__hit").isNotNull() | F.coalesce(own & F.col("original_title").isNotNull(), F.lit(False))).drop("__k", "__hit"))
 
+    def of_show(self, **filters) -> ResultSet:
+        """Seasons or episodes of the shows that fit."""
+        return self._semi("show", predicates.where(self.catalog.frame("show"), filters))
+
     def _go(self, kind: str, filters: dict) -> ResultSet:
         if kind == self.kind:
             return self.filter(**filters)
