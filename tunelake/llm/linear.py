@@ -53,15 +53,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, want: Column, targets: l
     met = met.withColumn("n", F.coalesce(F.octet_length("__text"), F.lit(0)))
     # documents may repeat an id; the running total keeps rows and bytes bounded even then
     sizes = met.select("h", "__id", "n").orderBy("h", "__id", "n").limit(rows).collect()
-    total, last = 0, None
-    for r in sizes:
-        if (total := total + r.n) > most_bytes:
-            break
-        last = r
-    if last is None:
+    total, k = 0, 0
+    while k < len(sizes) and total + sizes[k].n <= most_bytes:
+        total += sizes[k].n
+        k += 1
+    if not k:
         return []
+    last = sizes[k - 1]  # rows that tie with it have its size, so any k rows in this order are within the bound
     chosen = met.filter((F.col("h") < last.h) | (F.col("h") == last.h) & ((F.col("__id") < last["__id"]) | (F.col("__id") == last["__id"]) & (F.col("n") <= last.n)))
-    out = chosen.orderBy("h", "__id", "n", "__text", *targets).limit(rows).collect()
+    out = chosen.orderBy("h", "__id", "n", "__text", *targets).limit(k).collect()
     return [((r["__text"] or "").encode(), *[r[t] for t in targets]) for r in out]
 
 
