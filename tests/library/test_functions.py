@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tunelake.functions import names, scalar, text
 from tunelake.functions.albums import parse_album
-from tunelake.operators.pages import ALBUM_TYPES, CLASSES, album_type, classify, kinds_of
+from tunelake.operators import playlists
+from tunelake.operators.pages import ALBUM_TYPES, CLASSES, album_type, classify, kinds_of, type_from_folder
 from tunelake.plans.text_query import InvalidQuery, parse
 
 
@@ -131,3 +132,32 @@ def test_scalars(spark):
         scalar.parse_date(F.lit("2021.01.02")).alias("day"),
     ).first()
     assert tuple(row)[:7] == ("Hello You", "ost", "A (96 kHz)", "la la", "Japanese Ver", "1.50 KB", None) and str(row.day) == "2021-01-02"
+
+
+def test_more_enclosed():
+    assert text.extract_enclosed("a (b (c)) (d)") == "(b (c))" and text.extract_enclosed("a (b") is None
+    assert text.is_enclosed("[a]") and not text.is_enclosed("[a") and text.ends_with_enclosed("a (b)") == "()" and text.ends_with_enclosed("(b) a") is None
+    assert text.strip_unpaired("a) b") == "a b"
+
+
+def test_paths_and_folders(spark):
+    row = spark.range(1).select(
+        scalar.map_path(F.lit("/media/a/b.mp3"), "/media", "/home/x/").alias("p"),
+        scalar.map_path(F.lit("/other"), "/media", "/home").alias("q"),
+        scalar.repair_date(F.lit(" "), F.lit("2001")).alias("d"),
+        scalar.single(F.array(F.lit("a"))).alias("s"),
+        type_from_folder(F.lit("X/Mini Albums/[2001.01.01] T [2nd Mini Album]")).alias("f"),
+        type_from_folder(F.lit("X/Soundtracks/T")).alias("g"),
+        type_from_folder(F.lit("X/Albums/T")).alias("h"),
+        scalar.escape_space(F.lit("a\nb")).alias("e"),
+    ).first()
+    assert (row.p, row.q, row.d, row.s, tuple(row.f), tuple(row.g), row.h, row.e) == ("/home/x/a/b.mp3", None, "2001", "a", ("Mini Album", 2), ("Soundtrack", 1), None, "a\\nb")
+
+
+def test_playlist_create_and_sync_limits(spark):
+    t = spark.createDataFrame([(1, "b"), (2, "a")], "key long, title string")
+    assert [tuple(r) for r in playlists.create(t, "x", ["title"]).orderBy("pos").collect()] == [("x", 0, 2), ("x", 1, 1)]
+    files = spark.createDataFrame([("/m/a", 1, 5), ("/n/b", 2, 9)], "path string, file_stars int, modified int")
+    lib = spark.createDataFrame([("/m/a", 3), ("/n/b", 3)], "path string, user_rating int")
+    assert [r.path for r in playlists.rating_sync(files, lib, False, below="/n").collect()] == ["/n/b"]
+    assert [r.path for r in playlists.rating_sync(files, lib, False, since=1, until=6).collect()] == ["/m/a"]

@@ -181,3 +181,23 @@ def int_words(c: Column) -> Column:
         return F.struct(done.cast("bigint").alias("done"), now.cast("bigint").alias("now"), (a["ok"] & v.isNotNull()).alias("ok"))
 
     return F.coalesce(F.trim(c).try_cast("bigint"), F.when(F.size(words) > 0, F.aggregate(words, zero, step, lambda a: F.when(a["ok"], a["done"] + a["now"]))))
+
+
+def map_path(c: Column, strip: str, root: str) -> Column:
+    """A server's path below another root; null if it isn't below the server's."""
+    return F.when(c.startswith(strip), F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(F.lit("/"), F.substring(c, len(strip) + 1, 10**6))))
+
+
+def repair_date(date: Column, user_defined: Column) -> Column:
+    """The date, or a user-defined one where it is missing or blank."""
+    return F.coalesce(F.nullif(F.trim(date), F.lit("")), F.nullif(F.trim(user_defined), F.lit("")))
+
+
+def single(values: Column) -> Column:
+    """The value of a tag that has exactly one, else null."""
+    return F.when(F.size(values) == 1, values[0])
+
+
+def escape_space(c: Column) -> Column:
+    """Escaped white space for display."""
+    return F.replace(F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))

@@ -99,6 +99,23 @@ def _rank(c: Column) -> Column:
     return out
 
 
+def type_from_folder(path: Column) -> Column:
+    """struct(type, num) of an album folder ``.../Mini Albums/[date] title [2nd Mini Album]``; null for unknown folders.
+
+    A type that isn't numbered is the first of its kind; of types with the same folder the first counts.
+    """
+    folder, kind = F.regexp_extract(path, r"([^/]+)/[^/]+/?$", 1), F.regexp_extract(path, r"\[[0-9]+(?:st|nd|rd|th) ([^\]]+)\]/?$", 1)
+    num = F.regexp_extract(path, r"\[([0-9]+)(?:st|nd|rd|th) [^\]]+\]/?$", 1).try_cast("int")
+    out, seen = F.lit(None).cast("struct<type:string,num:int>"), set()
+    for name, _, place, numbered in ALBUM_TYPES:
+        if place in seen:
+            continue
+        seen.add(place)
+        found = F.when(kind == name, F.struct(F.lit(name).alias("type"), num.alias("num")))
+        out = F.when(folder == place, found if numbered else found.otherwise(F.struct(F.lit(name).alias("type"), F.lit(1).alias("num")))).otherwise(out)
+    return out
+
+
 def merge_discographies(entries: DataFrame) -> DataFrame:
     """(artist, year, name, type, sites, links): entries of the same year, upper-case name without its part, and type."""
     name = F.trim(F.regexp_replace(F.upper("title"), r"\s+OST(\s+PART.*)?$", " OST"))

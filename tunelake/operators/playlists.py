@@ -78,8 +78,20 @@ def rating_offset(tracks: DataFrame, low: int, high: int, offset: int) -> DataFr
     return tracks.filter(F.col("user_rating").between(low, high)).select("key", F.col("user_rating").alias("old"), (F.col("user_rating") + offset).alias("new"))
 
 
-def rating_sync(files: DataFrame, tracks: DataFrame, to_files: bool) -> DataFrame:
-    """(path, file_stars, rating, action): files and library rows whose ratings differ, joined by path."""
+def create(tracks: DataFrame, name: str, order: list, key: str = "key") -> DataFrame:
+    """(name, pos, track_key): a list of the tracks in order; one list is numbered in one task, so it is a listener's, not a corpus."""
+    return tracks.select(F.lit(name).alias("name"), key, *order).withColumn("pos", F.row_number().over(Window.partitionBy("name").orderBy(*order, key)) - 1).select("name", F.col("pos").cast("bigint").alias("pos"), F.col(key).alias("track_key"))
+
+
+def rating_sync(files: DataFrame, tracks: DataFrame, to_files: bool, below: str | None = None, since=None, until=None) -> DataFrame:
+    """(path, file_stars, rating, action): files and library rows whose ratings differ, joined by path.
+
+    below: only paths with this beginning; since, until: only files modified in between (column modified).
+    """
+    if below:
+        files = files.filter(F.col("path").startswith(below))
+    for limit, test in ((since, lambda m: m >= F.lit(since)), (until, lambda m: m < F.lit(until))):
+        files = files.filter(test(F.col("modified"))) if limit is not None else files
     both = files.select("path", "file_stars").join(tracks.select("path", "user_rating"), "path").filter(~F.col("file_stars").eqNullSafe(F.col("user_rating")))
     both = both.filter("user_rating >= 1") if to_files else both.filter("file_stars IS NOT NULL")
     return both.select("path", "file_stars", F.col("user_rating").alias("rating"), F.lit("write file" if to_files else "rate track").alias("action"))
