@@ -33,3 +33,42 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def best_titles(rows):
+    """Brute force: rows (artist, title, rated, added, key) best first; each stays unless its name matches one that stays."""
+    from tunelake.functions import names
+
+    seen, scores = {}, {}
+
+    def near(a, b):
+        if (a, b) not in scores:
+            scores[a, b] = names.score(*[{"eng": x, "non_eng": None, "romanized": None} for x in (a, b)]) >= 90
+        return scores[a, b]
+
+    for artist, title, rated, added, key in sorted(rows, key=lambda r: (not r[2], -r[3].toordinal(), r[4])):
+        kept = seen.setdefault(artist, {})
+        if not any(near(title.lower(), t) for t in kept.values()):
+            kept[key] = title.lower()
+    return sorted(k for kept in seen.values() for k in kept)
+
+
+def test_fuzzy_titles_of_all_tracks(spark):
+    from tunelake.sources.catalog import tracks
+
+    rows = tracks(spark, DATA).selectExpr("grandparent_key", "title", "coalesce(user_rating, 0) > 0", "to_date(added_at)", "key").collect()
+    assert sorted(r.key for r in QUERIES["dedup_unique_fuzzy"](spark, DATA).collect()) == best_titles(rows)
+
+
+def test_fuzzy_titles_of_other_first_letters(spark):
+    import datetime
+
+    from tunelake.operators.results import ResultSet
+    from tunelake.sources.catalog import Catalog
+
+    titles = ["cold ring", "old ring", "Ring Cold", "hot bolt", "the winding mountain road", "winding mountain road", "abcde", "abcdf", "", "$$", "$$ ", "ab", "a b", "xabcdefghij", "abcdefghij", "abcdefghijx", "bcdefghijx", None]
+    rows = [(f"{i:02d}{a}", a, t, None if (i + (a or 0)) % 3 else 5, datetime.date(2020, 1, 1 + (7 * i) % 11)) for a in (1, 2, None) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "key string, grandparent_key long, title string, user_rating int, added_at date")
+    got = sorted(r.key for r in ResultSet(Catalog(), "track", df).unique_fuzzy().df.collect())
+    want = best_titles([(r[1], r[2], bool(r[3]), r[4], r[0]) for r in rows if r[2] is not None])
+    assert got == sorted([*want, *(r[0] for r in rows if r[2] is None)])

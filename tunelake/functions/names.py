@@ -55,6 +55,45 @@ def score(a: dict, b: dict) -> int:
     return max(found)
 
 
+def match_keys(name: dict, threshold: int) -> set[tuple[str, int]]:
+    """(key, length of its spelling): names that score the threshold share a key; from 90 on, of lengths within 3 to 2.
+
+    Keys are the spellings, their words and the trigrams of the spellings and of their sorted words.  A ratio of 90 leaves a
+    trigram whole (texts of four letters or less must be equal), a token set a word, and partial matches stay under 90.  Lower
+    thresholds take single letters, which any score over 0 shares.
+    """
+    out = set()
+    for f in ("eng", "non_eng", "romanized"):
+        if not name[f]:
+            continue
+        once = fuzz_process(name[f])
+        for text in {once, fuzz_process(once)}:  # a second pass may take another suffix
+            words = text.split()
+            orders = {text, " ".join(sorted(words)), " ".join(sorted(set(words)))}
+            if threshold >= 90:
+                keys = {text, *words, *(t[i : i + 3] for t in orders for i in range(len(t) - 2))}
+            else:
+                keys = {text, *text}
+            out.update((k, len(text)) for k in keys)
+    return out
+
+
+def keyed(df: DataFrame, threshold: int, name: str = "name") -> DataFrame:
+    """A row for each match key of each name: the columns, ``__k`` and ``__len``."""
+
+    @F.pandas_udf("array<struct<k:string,n:int>>")
+    def make(c: pd.DataFrame) -> pd.Series:
+        return pd.Series([[{"k": k, "n": n} for k, n in sorted(match_keys(x, threshold))] for x in c.to_dict("records")], dtype=object)
+
+    plain = F.struct(*[F.col(f"{name}.{f}").alias(f) for f in FIELDS])
+    return df.withColumn("__x", F.explode(make(plain))).select(*df.columns, F.col("__x.k").alias("__k"), F.col("__x.n").alias("__len"))
+
+
+def lengths_fit(a: Column, b: Column, threshold: int) -> Column:
+    """Lengths of spellings that can score the threshold."""
+    return 2 * F.greatest(a, b) <= 3 * F.least(a, b) if threshold >= 90 else F.lit(True)
+
+
 @F.pandas_udf(T.IntegerType())
 def score_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series([score(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunelake.plans.text_query import parse, resolve
 from tunelake.sources.catalog import Catalog, type_name
@@ -37,6 +39,35 @@ def _sub(prefix: str, filters: dict) -> dict:
     return out
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows in the checkpoint folder, without their lineage."""
+    sc = df.sparkSession.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-"))
+    return df.checkpoint()
+
+
+def _greedy(edges: DataFrame) -> DataFrame:
+    """(__artist, __n): what goes if each place in order stays unless an earlier one that stays is linked to it.
+
+    edges: artist, n_a, n_b with n_a before n_b.  A place that no open link reaches stays, what it is linked to goes; a round
+    settles all such places at once, so there are as many rounds as the longest chain of links is deep.
+    """
+    edges, gone = _cut(edges), []
+
+    def of(df: DataFrame, c: str) -> DataFrame:
+        return df.select(F.col("artist").alias("__artist"), F.col(c).alias("__n")).distinct()
+
+    def met(df: DataFrame, c: str, places: DataFrame, how: str) -> DataFrame:
+        return df.join(places, df["artist"].eqNullSafe(places["__artist"]) & (df[c] == places["__n"]), how)
+
+    while not gone or not edges.isEmpty():
+        stays = met(edges, "n_a", of(edges, "n_b"), "left_anti")
+        gone.append(_cut(of(stays, "n_b")))
+        edges = _cut(met(met(edges, "n_a", gone[-1], "left_anti"), "n_b", gone[-1], "left_anti"))
+    return reduce(DataFrame.union, gone)
+
+
 @dataclass
 class ResultSet:
     catalog: Catalog
@@ -140,9 +171,12 @@ class ResultSet:
         r = F.coalesce(F.col("user_rating").cast("double"), F.lit(0.0))
         return self._with(self.df.filter({"eq": r == rating, "ne": r != rating, "gt": r > rating, "gte": r >= rating, "lt": r < rating, "lte": r <= rating}[op]))
 
-    def unique(self, rated: bool = True, latest: bool = True, singles: bool = False) -> ResultSet:
-        """One track for each artist and lower-case title: rated first, then albums before singles, newest, lowest key."""
-        artist = F.when(F.col("grandparent_title") == "Various Artists", F.col("original_title")) if "grandparent_title" in self.df.columns else F.lit(None).cast("string")
+    def _artist(self) -> Column:
+        """What stands for a track's artist: of various artists' albums, the original title."""
+        own = F.when(F.col("grandparent_title") == "Various Artists", F.col("original_title")) if "grandparent_title" in self.df.columns else F.lit(None).cast("string")
+        return F.coalesce(own, F.col("grandparent_key").cast("string"))
+
+    def _best_first(self, rated: bool = True, latest: bool = True, singles: bool = False) -> list:
         order = []
         if rated:
             order.append((F.coalesce("user_rating", F.lit(0)) > 0).desc())
@@ -150,22 +184,39 @@ class ResultSet:
             if singles and "file" in self.df.columns:
                 order.append(F.col("file").contains("/singles/").asc())
             order.append(F.col("added_at").desc_nulls_last())
-        w = Window.partitionBy(F.coalesce(artist, F.col("grandparent_key").cast("string")), F.lower("title")).orderBy(*order, "key")
+        return [*order, "key"]
+
+    def unique(self, rated: bool = True, latest: bool = True, singles: bool = False) -> ResultSet:
+        """One track for each artist and lower-case title: rated first, then albums before singles, newest, lowest key."""
+        w = Window.partitionBy(self._artist(), F.lower("title")).orderBy(*self._best_first(rated, latest, singles))
         return self._with(self.df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n"))
 
     def unique_fuzzy(self, threshold: float = 0.9) -> ResultSet:
-        """As unique, and of an artist's titles that match fuzzily only the first in order of key stays.
+        """As unique, and an artist's track goes if its title matches, as a name, that of a better one that stays.
 
-        The greedy pass runs over the distinct titles of an artist with the same first letter.
+        Better is unique's order.  The reference takes tracks as they come and swaps in the better of two that match; in
+        this order the earlier is always the better, so nothing is swapped.  All titles of an artist are candidates that
+        share a match key; distinct pairs of titles are scored once.
         """
-        from tunelake.functions.text import greedy_udf
+        from tunelake.functions import names
 
+        least = round(100 * threshold)
         first = self.unique()
-        titles = first.df.select("key", "grandparent_key", F.lower("title").alias("t"))
-        groups = titles.groupBy("grandparent_key", F.substring("t", 1, 1)).agg(F.sort_array(F.collect_list(F.struct("key", "t"))).alias("m"))
-        chosen = groups.select("m", F.explode(greedy_udf("m.t", F.lit(100 * threshold))).alias("i"))
-        kept = chosen.select(F.get("m", "i")["key"].alias("__k"))
-        return first._with(first.df.join(kept, first.df["key"] == F.col("__k"), "left_semi"))
+        w = Window.partitionBy(first._artist()).orderBy(*first._best_first())
+        nodes = _cut(first.df.select("key", first._artist().alias("artist"), F.lower("title").alias("t"), F.row_number().over(w).alias("n")))
+        spelled = nodes.filter("t IS NOT NULL").select("t").distinct().select("t", names.from_enclosed(F.col("t")).alias("name"))
+        spelled = _cut(spelled.select("t", F.struct(*[F.col(f"name.{f}").alias(f) for f in names.FIELDS]).alias("name")))
+        at = nodes.join(names.keyed(spelled, least).select("t", "__k", "__len"), "t")
+        a, b = (at.select("artist", "__k", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "t", "__len")]) for side in "ab")
+        same = a["artist"].eqNullSafe(b["artist"]) & (a["__k"] == b["__k"]) & F.expr("n_a < n_b") & names.lengths_fit(F.col("__len_a"), F.col("__len_b"), least)
+        pairs = _cut(a.join(b, same).select(a["artist"], "n_a", "n_b", F.least("t_a", "t_b").alias("x"), F.greatest("t_a", "t_b").alias("y")).distinct())
+        titles = pairs.select("x", "y").distinct()
+        for c in "xy":
+            titles = titles.join(spelled.select(F.col("t").alias(c), F.col("name").alias(f"name_{c}")), c)
+        titles = titles.filter(names.score_udf("name_x", "name_y") >= least).select("x", "y")
+        gone = _greedy(pairs.join(titles, ["x", "y"]).select("artist", "n_a", "n_b"))
+        dropped = nodes.join(gone, nodes["artist"].eqNullSafe(gone["__artist"]) & (nodes["n"] == gone["__n"]), "left_semi").select(F.col("key").alias("__k"))
+        return first._with(first.df.join(dropped, first.df["key"] == F.col("__k"), "left_anti"))
 
     def _same(self, other: ResultSet) -> None:
         if not isinstance(other, ResultSet):
