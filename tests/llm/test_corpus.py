@@ -357,3 +357,39 @@ def test_queries_match_sql(spark, name):
     assert sorted(want.columns) == sorted(got.columns)
     key = lambda rows: sorted(map(repr, rows))
     assert key(tuple(r) for r in got.collect()) == key(want.select(*[f'"{c}"' for c in got.columns]).fetchall())
+
+
+def test_near_dedup_links_all_pairs_of_the_similarity(spark, edge, empty):
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(40, 250))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, max(2, len(base) // 35))):
+                copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(copy))
+    rnd.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    want = [i for i in range(len(sets)) if root[i] == i]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    assert len(want) < len(simhash.keep_one(docs).collect())
+    kept = corpus_pipeline.near_dedup(spark, edge, "")
+    assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} & {0, 5, 6, 7} == {0, 5}
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
