@@ -72,3 +72,19 @@ def test_fuzzy_titles_of_other_first_letters(spark):
     got = sorted(r.key for r in ResultSet(Catalog(), "track", df).unique_fuzzy().df.collect())
     want = best_titles([(r[1], r[2], bool(r[3]), r[4], r[0]) for r in rows if r[2] is not None])
     assert got == sorted([*want, *(r[0] for r in rows if r[2] is None)])
+
+
+def test_restore_of_whole_lists(spark, tables):
+    from tunelake.functions.text import weighted_ratio
+
+    parts = tables.sql("SELECT p_partkey, p_brand, p_type, p_name FROM part").fetchall()
+    best = {}
+    for key, artist, album, title in parts:
+        if key % 3 == 0:
+            found = [(1 if album == c[2] else 2, -weighted_ratio(title, c[3]), c[0]) for c in parts if c[0] % 3 and c[1] == artist]
+            best[key] = min((x for x in found if x[1] <= -90), default=(0, 0, None))[2]
+    here = {p[0] for p in parts if p[0] % 3}
+    items = tables.sql("SELECT 'list ' || user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, CAST(floor(value) AS BIGINT) FROM events").fetchall()
+    want = sorted(repr((n, p, k, k in here, None if k in here else best.get(k))) for n, p, k in items)
+    got = QUERIES["playlist_restore_whole"](spark, DATA).select("name", "pos", "track_key", "kept", "replacement").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want and max(p for _, p, _ in items) >= 20 and any(best.values())
