@@ -88,3 +88,22 @@ def test_restore_of_whole_lists(spark, tables):
     want = sorted(repr((n, p, k, k in here, None if k in here else best.get(k))) for n, p, k in items)
     got = QUERIES["playlist_restore_whole"](spark, DATA).select("name", "pos", "track_key", "kept", "replacement").collect()
     assert sorted(repr(tuple(r)) for r in got) == want and max(p for _, p, _ in items) >= 20 and any(best.values())
+
+
+def test_fuzzy_album_candidates(spark, tables):
+    from tunelake.functions.text import weighted_ratio
+
+    parts = tables.sql("SELECT p_partkey, p_brand || '/' || p_size, p_name, p_size % 2, p_partkey % 3 FROM part").fetchall()
+    # all parts of an artist have one size, so one type
+    pairs = [(a, b) for a in parts if a[0] % 2 == 0 for b in parts if b[0] % 2 and a[1] == b[1]]
+    near = {(a[0], b[0]): weighted_ratio(a[2], b[2]) >= 90 for a, b in pairs}
+    want = {(a[0], b[0], "name" if near[a[0], b[0]] else "number") for a, b in pairs if near[a[0], b[0]] or a[4] == b[4]}
+    assert {tuple(r) for r in QUERIES["album_candidates_fuzzy"](spark, DATA).collect()} == want
+
+
+def test_album_candidates_whose_names_differ(spark):
+    from tunelake.operators.matching import album_candidates
+
+    df = spark.createDataFrame([(1, "x", "cold ring"), (2, "x", "old ring"), (3, "x", "hot bolt"), (4, "y", "old ring")], "album long, artist string, name string").selectExpr("*", "'EP' AS type", "CAST(NULL AS INT) AS num", "false AS repackage")
+    got = album_candidates(df.filter("album = 1"), df.filter("album > 1").withColumnRenamed("album", "entry"))
+    assert [(r.entry, r.by) for r in got.collect()] == [(2, "name")]

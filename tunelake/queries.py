@@ -557,14 +557,30 @@ def album_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.l_orderkey AS album, b.l_orderkey AS entry FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) b ON b.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) WHERE a.l_orderkey % 5 = 0 AND (a.n = b.n OR NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c WHERE c.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) AND c.n = a.n))")
 def candidates_narrowed(spark: SparkSession, d: str) -> DataFrame:
+    return _narrowed(spark, d, "l_orderkey % 5 = 0")
+
+
+def _narrowed(spark: SparkSession, d: str, files: str) -> DataFrame:
     line = star(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("num"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("title"))
-    files = line.filter("l_orderkey % 5 = 0").withColumnRenamed("l_orderkey", "album")
+    files = line.filter(files).withColumnRenamed("l_orderkey", "album")
     pairs = files.select("album").distinct().select("album", F.explode(F.array(F.col("album") + 1, F.col("album") + 2)).alias("entry"))
     tracks = line.withColumnRenamed("l_orderkey", "entry")
     pairs = pairs.join(tracks.select("entry").distinct(), "entry", "left_semi")
     return matching.narrowed(matching.track_overlap(pairs, files, tracks))
 
 
+@query()
+def album_candidates_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """As album_candidates, at the operator's own threshold."""
+    return matching.album_candidates(_entries(spark, d, "album"), _entries(spark, d, "entry")).select("album", "entry", "by")
+
+
+@query("SELECT a.l_orderkey AS album, b.l_orderkey AS entry FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) b ON b.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) WHERE a.n = b.n OR NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c WHERE c.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) AND c.n = a.n)")
+def candidates_narrowed_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As candidates_narrowed, with all orders as files."""
+    return _narrowed(spark, d, "true")
+
+
 @query("SELECT c_nationkey AS title, c_mktsegment AS site, min(c_custkey) AS page FROM customer GROUP BY ALL")
 def pages_by_title(spark: SparkSession, d: str) -> DataFrame:
     c = star(spark, d, "customer").select(F.col("c_nationkey").alias("title"), F.col("c_mktsegment").alias("site"), F.col("c_custkey").alias("page_id"))
