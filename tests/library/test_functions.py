@@ -161,3 +161,26 @@ def test_playlist_create_and_sync_limits(spark):
     lib = spark.createDataFrame([("/m/a", 3), ("/n/b", 3)], "path string, user_rating int")
     assert [r.path for r in playlists.rating_sync(files, lib, False, below="/n").collect()] == ["/n/b"]
     assert [r.path for r in playlists.rating_sync(files, lib, False, since=1, until=6).collect()] == ["/m/a"]
+
+
+def test_best_match_and_members_against_all_pairs(spark):
+    from tunelake.operators.matching import members
+
+    left = ["The Winding Mountain Road", "Xrange Caramel", "IU (아이유)", "Boyz", "ab", "ring cold", "nothing like it", "Old One"]
+    right = ["Winding Mountain Road", "Orange Caramel", "아이유", "The Boyz", "a b", "cold ring", "old ring", "Boyz OST", "Something"]
+    name = names.from_enclosed(F.col("t")).alias("name")
+    a, b = (spark.createDataFrame(list(enumerate(t)), "id long, t string").select("id", "t", name) for t in (left, right))
+    a = a.withColumn("name", F.when(F.col("t") == "Old One", names.merge(F.col("name"), F.expr("named_struct('eng', 'Something', 'non_eng', NULL, 'romanized', NULL, 'lit', NULL, 'versions', name.versions)"))).otherwise(F.col("name")))
+    plain = lambda n: [{f: x[f] for f in names.FIELDS} for x in (n, *n["versions"])]
+    want = {}
+    for x in a.collect():
+        scores = [(-max(names.score(p, q) for p in plain(x.name) for q in plain(y.name)), y.id) for y in b.collect()]
+        if min(scores)[0] <= -90:
+            want[x.id] = (min(scores)[1], -min(scores)[0])
+    for threshold in (90, 60):
+        got = {r.id: (r.id_match, r.score) for r in names.best_match(a, b, "id", "id", threshold=threshold).collect()}
+        assert {k: v for k, v in got.items() if v[1] >= 90} == want
+    assert want[1][0] == 1 and want[7][0] == 8
+    edges, people = a.selectExpr("id AS group", "t AS name"), b.selectExpr("id AS member", "t AS name")
+    near = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if text.weighted_ratio(x, y) >= 90}
+    assert {tuple(r) for r in members(edges, edges.select("group"), people).collect()} == near and (1, 1) in near

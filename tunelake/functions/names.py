@@ -44,7 +44,7 @@ def merge(a: Column, b: Column) -> Column:
 
 
 def score(a: dict, b: dict) -> int:
-    """The best score of two names (without versions): their spellings of other scripts first, then the English ones."""
+    """The best score of two names, versions apart: their spellings of other scripts first, then the English ones."""
     found = [0]
     for x, y in ((a["non_eng"], b["non_eng"]), (a["eng"], b["eng"]), (a["romanized"], b["romanized"]), (a["eng"], b["romanized"]), (a["romanized"], b["eng"])):
         if x and y:
@@ -100,18 +100,18 @@ def score_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
 
 
 def best_match(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", threshold: int = 90) -> DataFrame:
-    """For each left row its best right row by name score; candidates share a block (first word's first three letters).
+    """For each left row its best right row by the score of the names or of any of their versions.
 
-    Candidates come from an equi-join on the block, so no row meets all others.
+    Candidates come from an equi-join on the match keys, which no pair that scores the threshold escapes.
     """
 
-    def block(df: DataFrame, key: str, side: str) -> DataFrame:
-        spellings = F.array(*[F.col(f"{name}.{f}") for f in FIELDS])
-        blocks = F.array_distinct(F.transform(F.filter(spellings, lambda s: s.isNotNull()), lambda s: F.substring(F.lower(s), 1, 3)))
+    def spelled(df: DataFrame, key: str, side: str) -> DataFrame:
         plain = F.struct(*[F.col(f"{name}.{f}").alias(f) for f in FIELDS])
-        return df.select(F.col(key).alias(side), plain.alias(f"{side}_name"), F.explode(blocks).alias("block"))
+        every = F.concat(F.array(plain).cast(VERSIONS), F.coalesce(F.col(f"{name}.versions"), F.array().cast(VERSIONS)))
+        one = df.select(F.col(key).alias(side), F.explode(every).alias(f"{side}_name"))
+        return keyed(one, threshold, f"{side}_name").withColumnRenamed("__len", f"{side}_len")
 
-    pairs = block(left, id_left, "l").join(block(right, id_right, "r"), "block").dropDuplicates(["l", "r"])
+    pairs = spelled(left, id_left, "l").join(spelled(right, id_right, "r"), "__k").filter(lengths_fit(F.col("l_len"), F.col("r_len"), threshold)).select("l", "l_name", "r", "r_name").distinct()
     scored = pairs.withColumn("score", score_udf("l_name", "r_name")).filter(F.col("score") >= threshold)
     w = Window.partitionBy("l").orderBy(F.desc("score"), "r")
     return scored.withColumn("n", F.row_number().over(w)).filter("n = 1").select(F.col("l").alias(id_left), F.col("r").alias(f"{id_right}_match"), "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tunelake.functions import names
 from tunelake.functions.text import weighted_ratio_udf
 
 from .pages import keep_if_any
@@ -75,13 +76,17 @@ def pages_by_title(pages: DataFrame, title: str = "title", site: str = "site", p
 def members(edges: DataFrame, groups: DataFrame, people: DataFrame, threshold: int = 90) -> DataFrame:
     """(group, member): people linked to a group, found by name among its links.
 
-    edges: group, name; groups: group; people: member, name.  Candidates share the first three letters.
+    edges: group, name; groups: group; people: member, name.  Candidates share a match key, as all that score the threshold do.
     """
-    block = lambda c: F.substring(F.lower(c), 1, 3)
-    e = edges.join(groups.select("group").distinct(), "group", "left_semi").withColumn("b", block("name"))
-    p = people.select("member", F.col("name").alias("__name"), block("name").alias("b"))
-    scored = e.join(p, "b").filter(weighted_ratio_udf("name", "__name") >= threshold)
-    return scored.select("group", "member").distinct()
+
+    def spelled(df: DataFrame, side: str) -> DataFrame:
+        name = F.struct(*[(F.col("name") if f == "eng" else F.lit(None).cast("string")).alias(f) for f in names.FIELDS])
+        return names.keyed(df.withColumn("__name", name), threshold, "__name").drop("__name").withColumnsRenamed({"name": f"{side}_name", "__len": f"{side}_len"})
+
+    e = spelled(edges.join(groups.select("group").distinct(), "group", "left_semi").select("group", "name"), "e")
+    p = spelled(people.select("member", "name"), "p")
+    pairs = e.join(p, "__k").filter(names.lengths_fit(F.col("e_len"), F.col("p_len"), threshold)).select("group", "member", "e_name", "p_name").distinct()
+    return pairs.filter(weighted_ratio_udf("e_name", "p_name") >= threshold).select("group", "member").distinct()
 
 
 def top_per_group(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:
