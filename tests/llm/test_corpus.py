@@ -393,3 +393,18 @@ def test_near_dedup_links_all_pairs_of_the_similarity(spark, edge, empty):
     kept = corpus_pipeline.near_dedup(spark, edge, "")
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} & {0, 5, 6, 7} == {0, 5}
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
+
+
+def test_labelled_sample_passes_over_what_does_not_fit(spark):
+    docs = spark.createDataFrame([(i, f"{i:010d}") for i in range(12)], "doc_id long, text string")
+    first = docs.orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("x"), 1000)).otherwise(F.col("text")))
+    docs = docs.union(docs.filter("doc_id % 4 = 0"))
+    labels = docs.select("doc_id").distinct().withColumn("quality", F.lit(1))
+    sample = lambda most, rows=100: linear.labelled_sample(docs, labels, F.lit(True), ["quality"], rows, most)
+    short = sorted(r.text.encode() for r in docs.filter(f"doc_id <> {first}").collect())
+    assert sorted(t for t, _ in sample(999)) == short
+    assert len(sample(75)) == 7 and set(t for t, _ in sample(75)) <= set(short)
+    assert len(sample(5000)) == docs.count() and len(sample(5000, 5)) == 5
+    with pytest.raises(ValueError):
+        sample(9)

@@ -5,12 +5,13 @@ Small helpers for the operators that learn from labels; the rows to learn from a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import common
 
@@ -45,6 +46,7 @@ def mix(*parts: np.ndarray, seed: int = 0) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, want: Column, targets: list[str], rows: int, most_bytes: int, id_col: str = "doc_id", text: str = "text") -> list[tuple]:
     """At most ``rows`` labelled documents and ``most_bytes`` of text, in the order of a hash of the id: (text bytes, targets...).
 
+    A text that would pass the bytes is left out and the next ones go on; if no labelled text fits, that is an error.
     The sample of labels is bounded, so it may be broadcast; what the driver collects is bounded in rows and bytes.
     """
     picked = labels.filter(want).dropna(subset=[id_col, *targets]).select(F.col(id_col).alias("__id"), *targets).orderBy(F.xxhash64("__id"), "__id", *targets).limit(rows)
@@ -53,15 +55,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, want: Column, targets: l
     met = met.withColumn("n", F.coalesce(F.octet_length("__text"), F.lit(0)))
     # documents may repeat an id; the running total keeps rows and bytes bounded even then
     sizes = met.select("h", "__id", "n").orderBy("h", "__id", "n").limit(rows).collect()
-    total, k = 0, 0
-    while k < len(sizes) and total + sizes[k].n <= most_bytes:
-        total += sizes[k].n
-        k += 1
-    if not k:
+    total, fit = 0, []
+    for row in sizes:  # a text that doesn't fit is passed over
+        if total + row.n <= most_bytes:
+            total += row.n
+            fit.append(row)
+    if not fit:
+        if sizes:
+            raise ValueError(f"none of {len(sizes)} labelled texts fits into {most_bytes} bytes")
         return []
-    last = sizes[k - 1]  # rows that tie with it have its size, so any k rows in this order are within the bound
-    chosen = met.filter((F.col("h") < last.h) | (F.col("h") == last.h) & ((F.col("__id") < last["__id"]) | (F.col("__id") == last["__id"]) & (F.col("n") <= last.n)))
-    out = chosen.orderBy("h", "__id", "n", "__text", *targets).limit(k).collect()
+    counts = Counter((row.h, row["__id"], row.n) for row in fit)
+    # rows that tie in all three have one size, so any so many of them are within the bound
+    spark = docs.sparkSession
+    places = spark.createDataFrame([(*k, c) for k, c in counts.items()], T.StructType([met.schema["h"], met.schema["__id"], met.schema["n"], T.StructField("most", T.IntegerType())]))
+    ties = Window.partitionBy("h", "__id", "n").orderBy("__text", *targets)
+    chosen = met.join(F.broadcast(places), ["h", "__id", "n"]).withColumn("at", F.row_number().over(ties)).filter("at <= most")
+    out = chosen.orderBy("h", "__id", "n", "__text", *targets).collect()
     return [((r["__text"] or "").encode(), *[r[t] for t in targets]) for r in out]
 
 
