@@ -239,44 +239,97 @@ def test_language_model(edge, empty):
         words = [*WORD.findall(lower(r.text)), None]
         want[r.doc_id, crc(r.doc_id, 7) == 2, len(words), sum(c[w] > 0 for w in words), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words), 6)] += 1
     for hot in (10, 100_000):
-        got = lm.score_all(edge, symbols=8, hot=hot).collect()
+        got = lm.score_all(edge, hot=hot).collect()
         assert collections.Counter((*r[:5], round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 for r in got)
     assert lm.score_all(empty).count() == 0
+    nothing = lm.score_all(edge.filter("doc_id = 0 OR doc_id = 1")).collect()
+    assert all(r.n_tokens == 1 for r in nothing)
+
+
+def vocabulary():
+    return lm.Vocabulary({bytes([65 + i]): i for i in range(40)}, 7, np.arange(40) + 1.0, np.full(lm.SPELLINGS, 9.0), np.full(lm.SPELLINGS, 4.0))
+
+
+def test_language_model_scores_equal_a_plain_walk(edge):
+    """Each document's score, from the same counts and parameters, one token after the other in float64."""
+    model = lm.train(edge, rates=(5e-3, 2e-3))
+    words, v = model.words, model.words.vocabulary
+    counts = {bytes(r.word): r.n for r in words.counts.collect()}
+    p = {k: x.astype(np.float64) for k, x in lm.shaped(model.parameters, v).items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    want = {}
+    for r in edge.collect():
+        if r.doc_id is None:
+            continue
+        h, before, total, d = np.zeros(lm.WIDTH), v.symbols[b""], 0.0, lm.WIDTH
+        for w in lm.tokens(None if r.text is None else r.text.encode()):
+            x, a = p["inputs"][before], h @ p["recur"]
+            reset, keep = sigmoid(x[:d] + a[:d]), sigmoid(x[d : 2 * d] + a[d : 2 * d])
+            h = keep * h + (1 - keep) * np.tanh(x[2 * d :] + reset * (a[2 * d :] + p["bias_n"]))
+            i = v.symbols.get(w)
+            every = softmax(np.append(h, 1) @ p["to_class"])
+            if i is None:
+                s = lm.spelling(w)
+                share = (counts.get(w, 0) + 1) / (v.rest[s] + v.kinds[s] + 1)
+                total += math.log10(every[v.learned + s] * share)
+                before = v.known + s
+            else:
+                total += math.log10(every[i // v.size] * softmax(np.append(h, 1) @ p["to_word"][i // v.size])[i % v.size])
+                before = i
+        want[r.doc_id] = total
+    got = {r.doc_id: r.score for r in lm.score(edge, model).collect() if r.doc_id is not None}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
+
+
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_language_model_beats_its_base_on_held_out_documents(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    held = lm.score_all(docs).filter("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    assert held.score > held.base + 0.1 * held.n
 
 
 def test_language_model_is_a_distribution():
-    v = lm.Vocabulary({bytes([65 + i]): i for i in range(40)}, np.arange(41) + 1.0)
-    p = lm.start(v)
-    total = sum(math.exp(lm.score_documents(p, [np.array([3, k], np.int32)])[0] - lm.score_documents(p, [np.array([3], np.int32)])[0]) for k in [0])
-    first = [float(np.exp(lm.outputs(p, np.zeros((1, lm.WIDTH), np.float32), np.array([k]))[0][0])) for k in range(v.n)]
-    assert abs(sum(first) - 1) < 1e-4 and total > 0
+    v = vocabulary()
+    p = {k: x.astype(np.float64) for k, x in lm.start(v).items()}
+    rng = np.random.default_rng(0)
+    for big in (1, 300):
+        p["to_class"][: lm.WIDTH] *= big
+        for h in rng.uniform(-1, 1, (4, lm.WIDTH)):
+            assert abs(np.exp(lm.outputs(p, v, np.tile(h, (v.n, 1)), np.arange(v.n))[0]).sum() - 1) < 1e-6
 
 
 def test_language_model_gradients_and_windows():
-    rng = np.random.default_rng(1)
-    v = lm.Vocabulary({bytes([65 + i]): i for i in range(40)}, np.arange(41) + 1.0)
+    rng, v = np.random.default_rng(1), vocabulary()
     p = {k: x.astype(np.float64) for k, x in lm.start(v, 5).items()}
-    docs = [rng.integers(0, 41, size=k).astype(np.int32) for k in (7, 5, 3)]
+    docs = [rng.integers(0, v.n, size=k).astype(np.int32) for k in (7, 5, 3)]
     _, own, given, target, mask = next(iter(lm.windows(docs, 3, 8)))
 
     def loss(q):
         states, _ = lm.forward(q, given, np.zeros((3, 5)))
-        return -lm.outputs(q, states[mask].astype(np.float64), target[mask])[0].sum()
+        return -lm.outputs(q, v, states[mask], target[mask])[0].sum()
 
     grads = {k: np.zeros_like(x) for k, x in p.items()}
     states, kept = lm.forward(p, given, np.zeros((3, 5)))
     back = np.zeros_like(states)
-    back[mask] = lm.outputs(p, states[mask], target[mask], grads)[1]
+    back[mask] = lm.outputs(p, v, states[mask], target[mask], grads)[1]
     lm.backward(p, given, kept, back, grads)
     for k in lm.NAMES:
         at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
         up, down = ({a: x.copy() for a, x in p.items()} for _ in range(2))
-        up[k][at] += 1e-2
-        down[k][at] -= 1e-2
-        assert abs((loss(up) - loss(down)) / 2e-2 - grads[k][at]) < 1e-3
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert abs((loss(up) - loss(down)) / 2e-4 - grads[k][at]) < 1e-4
     f = lm.start(v)
-    assert np.allclose(lm.score_documents(f, docs, window=2), lm.score_documents(f, docs, window=64), atol=1e-3)
+    docs = [rng.integers(0, v.n, size=k).astype(np.uint16) for k in (700, 5, 1, 90)]
+    assert np.allclose(lm.score_documents(f, v, docs, window=2), lm.score_documents(f, v, docs, lanes=2, window=64), atol=1e-3)
+
+
+def test_vectors_are_summed_in_a_tree(spark):
+    rows = [(k, np.full(3, float(k)).tobytes()) for k in range(1, 400)]
+    n, total = lm.summed(spark.createDataFrame(rows, "n long, p binary").repartition(300))
+    assert n == sum(range(1, 400)) and total.tolist() == [n] * 3
 
 
 def test_shards(edge, empty):
