@@ -1,95 +1,126 @@
 """Licence scans: normalised text against licence templates, by Dice over word bigrams.
 
-Everything is DataFrame expressions.  Texts are lower-cased and cut into words; every line, and the whole text, is a unit.
-A unit matches a template if the Dice coefficient of their sets of word bigrams is ``DICE`` or more.  A unit whose number of
-bigrams rules that out for a template isn't compared with it, and one without any bigram of the templates with none.
-
-Null, empty and one-word texts match nothing; ties go to the template listed first.  Rows are independent, so repeated
-rows give equal rows; an empty table gives an empty result.
+Everything is DataFrame expressions.  Texts are lower-cased (A-Z) and cut into words across line ends and punctuation, so
+wrapping, comment marks and indentation don't matter.  A unit is a window of the text with as many words as a template, laid so
+that one of the template's key bigrams falls in its place; it matches if the Dice coefficient of the two sets of word bigrams
+is ``DICE`` or more.  Keys are chosen so that no window can match a template without one of them: without the bigrams of its
+key words a template has under ``DICE`` / (2 - ``DICE``) of its bigrams left, the size bound of the coefficient.  So a text
+without any key word is passed over, a window is made only where a key occurs, and one whose number of bigrams rules the
+coefficient out isn't compared.
+
+Of matches that overlap only the best is reported: the higher coefficient, then the longer template, the one listed first,
+the first place.  A match that overlaps a better one is left out even if that one is left out itself.
+
+Null, empty and one-word texts match nothing.  A text may have any length and hold any number of notices.  Rows are
+independent, so repeated rows give equal rows; columns besides the id and the text aren't read, so their names can't clash.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import let
+from .license_texts import TEMPLATES
 
 DICE = 0.75
-#: Licence notices, (identifier, text); fixed values.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("LicenseRef-Proprietary", "All rights reserved."),
-)
-#: Words are letters, digits and all that isn't ASCII; a line feed ends a unit.
-BREAKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def template_bigrams(text: str) -> list[str]:
-    words = re.sub(BREAKS, " ", text.lower().replace("\n", " ")).split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
-
-
-def bigrams(unit: Column) -> Column:
-    """The distinct word bigrams of a normalised unit."""
-    pairs = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
-    return let(F.filter(F.split(unit, " "), lambda x: x != ""), lambda w: F.array_distinct(pairs(w)))
+#: Words are letters, digits and all that isn't ASCII.
+BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words too frequent in any text to be keys.
+COMMON = frozenset("the of and to in or a any is for this that by with at on be it as its you can from an all if not was in are will 0 1 2 3 4 may use work under free form copy version without no if source their anyone".split())
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES, dice: float = DICE) -> DataFrame:
-    """One row for each document: id, n_lines, matches (template, licence, unit, dice; unit -1 is the whole text)."""
-    made = [(n, name, template_bigrams(t)) for n, (name, t) in enumerate(templates)]
-    bound = dice / (2 - dice)  # sizes a and b allow the coefficient only if min / max is at least this
-    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b")) for n, name, b in made])
-    every = F.array(*[F.lit(x) for x in dict.fromkeys(x for _, _, b in made for x in b)])
-    low, high = bound * min(len(b) for _, _, b in made), max(len(b) for _, _, b in made) / bound
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), BREAKS, " ")
+def template_words(text: str) -> list[str]:
+    return re.sub(BREAKS, " ", text.lower()).split()
+
 
-    def unit(u: Column, n: Column) -> Column:
-        return F.struct(n.alias("unit"), bigrams(u).alias("b"))
+def pairs(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
-    def compared(u: Column) -> Column:
-        def one(t: Column) -> Column:
-            a, b = F.size(u["b"]), F.size(t["b"])
-            fits = (F.least(a, b) >= F.lit(bound) * F.greatest(a, b)) & (a > 0)
-            value = F.when(fits, F.lit(2.0) * F.size(F.array_intersect(u["b"], t["b"])) / (a + b)).otherwise(F.lit(0.0))
-            return F.struct(t["n"].alias("template"), t["license"].alias("license"), u["unit"].alias("unit"), value.alias("dice"))
 
-        return F.filter(F.transform(known, one), lambda m: m["dice"] >= dice)
+def key_words(templates: tuple, dice: float = DICE) -> list[str]:
+    """Words such that every template loses more of its bigrams than the size bound allows if none of them is there."""
+    sets = [set(pairs(template_words(t))) for _, t in templates]
+    left, chosen, most = [set(s) for s in sets], [], dice / (2 - dice)
+    while True:
+        gain: Counter = Counter()
+        for s, rest in zip(sets, left, strict=True):
+            if rest and len(rest) >= most * len(s):
+                for pair in sorted(rest):  # a frequent word only where there is no other
+                    gain.update({w: 1 / len(s) - (w in COMMON) for w in set(pair.split())})
+        if not gain:
+            return sorted(chosen)
+        best = max(sorted(gain), key=gain.__getitem__)
+        chosen.append(best)
+        left = [{p for p in rest if best not in p.split()} for rest in left]
 
-    def matches(t: Column) -> Column:
-        lines = F.split(t, "\n", -1)
-        units = F.transform(lines, unit)
-        # a whole text with more words than any template allows needs no unit
-        longest = int(high) * max(len(w) for _, _, b in made for w in b) * 4
-        whole = F.when(t.contains("\n") & (F.length(t) <= longest), F.array(unit(F.replace(t, F.lit("\n"), F.lit(" ")), F.lit(-1)))).otherwise(F.slice(units, 1, 0))
-        near = F.filter(F.concat(units, whole), lambda u: (F.size(u["b"]) >= low) & (F.size(u["b"]) <= high) & F.arrays_overlap(u["b"], every))
-        return F.struct(F.size(lines).cast("long").alias("n_lines"), F.flatten(F.transform(near, compared)).alias("matches"))
 
-    return docs.select(F.col(id_col), let(plain, matches).alias("__m")).select(id_col, "__m.n_lines", "__m.matches")
+def keys(templates: tuple, dice: float = DICE) -> dict[str, list[tuple[int, int]]]:
+    """Key bigram -> (template, place in it)."""
+    words, out = set(key_words(templates, dice)), defaultdict(list)
+    for n, (_, t) in enumerate(templates):
+        for at, pair in enumerate(pairs(template_words(t))):
+            if words & set(pair.split()):
+                out[pair].append((n, at))
+    return dict(out)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES, dice: float = DICE) -> DataFrame:
+    """One row for each document: id, n_lines, matches (template, licence, start and size in words, dice), none overlapped by a better one."""
+    made = [(n, name, template_words(t)) for n, (name, t) in enumerate(templates)]
+    bound = dice / (2 - dice)  # sizes a and b allow the coefficient only if min / max is at least this
+    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(name).alias("license"), F.lit(len(w)).alias("size"), F.array(*map(F.lit, sorted(set(pairs(w))))).alias("b")) for n, name, w in made])
+    stems = key_words(templates, dice)
+    starts = sorted({w[0] for w in stems})
+    #: a superset of the texts with a key word, cheap: only where a word begins
+    hint = "(?i)(?<![0-9A-Za-z])(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in stems if w[0] == c)})" for c in starts) + ")"
+    stem_set = F.array(*map(F.lit, stems))
+    places = F.create_map(*[x for pair, of in sorted(keys(templates, dice).items()) for x in (F.lit(pair), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(at).alias("at")) for n, at in of]))])
+    kind = "array<struct<template:int,license:string,start:int,size:int,dice:double>>"
+
+    def matches(w: Column) -> Column:
+        pair = lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
+        own = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(stem_set, x), i)), lambda i: i.isNotNull())
+        near = F.filter(F.array_distinct(F.flatten(F.transform(own, lambda i: F.array(i - 1, i)))), lambda i: (i >= 0) & (i < F.size(w) - 1))
+        found = F.flatten(F.transform(near, lambda i: F.coalesce(F.transform(F.try_element_at(places, pair(i)), lambda k: F.struct(k["n"].alias("n"), (i - k["at"]).alias("at"))), F.expr("cast(array() as array<struct<n:int,at:int>>)"))))
+
+        def window(c: Column) -> Column:
+            t = F.get(known, c["n"])
+            start = F.greatest(c["at"], F.lit(0))
+            size = F.least(t["size"] + c["at"], F.size(w)) - start
+
+            def compared(b: Column) -> Column:
+                a, n = F.size(b), F.size(t["b"])
+                value = F.when(F.least(a, n) >= F.lit(bound) * F.greatest(a, n), F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (a + n)).otherwise(F.lit(0.0))
+                return F.struct(c["n"].alias("template"), t["license"].alias("license"), start.alias("start"), size.alias("size"), value.alias("dice"))
+
+            own = F.slice(w, start + 1, size)
+            return let(F.array_distinct(F.transform(F.slice(own, F.lit(1), F.greatest(size - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, start + i + 1)))), compared)
+
+        good = F.filter(F.transform(F.array_distinct(found), window), lambda m: m["dice"] >= dice)
+        rank = lambda m: F.struct((-m["dice"]).alias("d"), (-F.get(known, m["template"])["size"]).alias("s"), m["template"].alias("t"), m["start"].alias("p"))
+        over = lambda m, o: (o["start"] < m["start"] + m["size"]) & (m["start"] < o["start"] + o["size"]) & (rank(o) < rank(m))
+        return let(good, lambda g: F.filter(g, lambda m: ~F.exists(g, lambda o: over(m, o))))
+
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    words = F.filter(F.split(F.translate(t, UPPER, LOWER), BREAKS), lambda x: x != "")
+    got = F.when(t.rlike(hint), let(words, matches).cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
+    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1
+    return docs.select(F.col(id_col), lines.cast("long").alias("n_lines"), got.alias("matches"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row for each document: id, n_lines, n_license_units, licenses, best_license, best_dice (null without a match)."""
     found = scan(docs, id_col, text, **how)
-    best = F.sort_array(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["template"], m["license"])))
+    best = F.sort_array(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["template"], m["start"], m["license"])))
     return found.select(
         id_col,
         "n_lines",
-        F.size(F.array_distinct(F.transform("matches", lambda m: m["unit"]))).cast("long").alias("n_license_units"),
+        F.size("matches").cast("long").alias("n_license_units"),
         F.array_join(F.sort_array(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
         F.get(best, F.lit(0))["license"].alias("best_license"),
         (-F.get(best, F.lit(0))["d"]).alias("best_dice"),
@@ -97,20 +128,26 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"({n}, '{name}', {template_bigrams(t)!r})" for n, (name, t) in enumerate(TEMPLATES))
+    made = [(n, name, template_words(t)) for n, (name, t) in enumerate(TEMPLATES)]
+    rows = ", ".join(f"({n}, '{name}', {len(w)}, {sorted(set(pairs(w)))!r})" for n, name, w in made)
+    places = ", ".join(f"('{pair}', {n}, {at})" for pair, of in sorted(keys(TEMPLATES).items()) for n, at in of)
     bound = DICE / (2 - DICE)
     return rf"""
-WITH t(n, license, b) AS (VALUES {rows}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '{BREAKS}', ' ', 'g'), chr(10)) AS l FROM documents),
-u AS (SELECT r, unnest(range(len(l))) AS unit, unnest(l) AS s FROM d UNION ALL SELECT r, -1, array_to_string(l, ' ') FROM d WHERE len(l) > 1),
-w AS (SELECT r, unit, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM u),
-g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-m AS (SELECT r, unit, t.n, license, 2.0::DOUBLE * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g JOIN t
-      ON least(len(g.b), len(t.b)) >= {bound!r}::DOUBLE * greatest(len(g.b), len(t.b)) AND list_has_any(g.b, t.b)),
-k AS (SELECT * FROM m WHERE dice >= {DICE}),
-a AS (SELECT r, count(DISTINCT unit) AS units, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, arg_min(license, (-dice, n)) AS best, max(dice) AS dice FROM k GROUP BY r)
-SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, coalesce(units, 0) AS n_license_units, coalesce(licenses, '') AS licenses, best AS best_license, dice AS best_dice
-FROM d LEFT JOIN a USING (r)"""
+WITH t(n, license, size, b) AS (VALUES {rows}),
+k(pair, n, place) AS (VALUES {places}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(translate(t, '{UPPER}', '{LOWER}'), '{BREAKS}'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT r, unnest(range(0, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM w WHERE len(w) > 1),
+s AS (SELECT DISTINCT r, n, i - place AS lead FROM p JOIN k USING (pair)),
+c AS (SELECT r, s.n, license, size AS full_size, b, w, greatest(lead, 0) AS a, least(lead + size, len(w)) AS z FROM s JOIN t ON s.n = t.n JOIN w USING (r)),
+g AS (SELECT r, n, license, full_size, b, a, z, list_distinct(list_transform(range(a + 1, z), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM c),
+m AS (SELECT r, n, license, full_size, a, z, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g WHERE least(len(g), len(b)) >= {bound!r}::DOUBLE * greatest(len(g), len(b))),
+o AS (SELECT * FROM m WHERE dice >= {DICE}),
+f AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM o AS x WHERE x.r = o.r AND x.a < o.z AND o.a < x.z AND
+  (x.dice > o.dice OR x.dice = o.dice AND (x.full_size > o.full_size OR x.full_size = o.full_size AND (x.n < o.n OR x.n = o.n AND x.a < o.a))))),
+e AS (SELECT r, count(*) AS units, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, arg_min(license, (-dice, n, a)) AS best, max(dice) AS dice FROM f GROUP BY r)
+SELECT doc_id, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS BIGINT) AS n_lines, coalesce(units, 0) AS n_license_units, coalesce(licenses, '') AS licenses, best AS best_license, dice AS best_dice
+FROM d LEFT JOIN e USING (r)"""
 
 
 ORACLE = _oracle()
