@@ -6,8 +6,10 @@ of its hashed words and word pairs between two multinomials over ``BUCKETS`` buc
 target (documents labelled good) and the raw corpus (all documents).  Counts are over all documents; only their sums, one
 pair for each bucket, reach the driver.  ``kept`` is a mean of ``THRESHOLD`` or more, the same for every document.
 
-Null texts have no words, lines or symbols, so they fail.  Repeated windows are found by 64-bit hashes of their words.
-Repeated rows are counted as often as they occur; a document labelled more than once counts as trusted if any label says so.
+Null texts have no words, lines or symbols, so they fail.  A text may have any length; its words are in one row's memory.
+A ratio equal to the threshold is kept.  Repeated windows are found by 64-bit hashes of their words.  Repeated rows are
+counted as often as they occur; a document labelled more than once counts as trusted if any label says so, one with a null id
+never does.  Columns besides the id and the text aren't read, so their names can't clash.
 Without trusted documents every ratio is zero and the verdict is to keep.  An empty table gives an empty result.
 """
 
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import SPACES, let
 
 BUCKETS = 10_000
+#: Bits of the bitmap of trusted ids, as a power of two; it has this size whatever their number.
+ID_BITS = 22
 THRESHOLD = -0.05
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,6 +61,16 @@ def buckets(w: Column, n: int = BUCKETS) -> Column:
     return F.concat(one, two)
 
 
+def maybe_in(column: Column, ids: DataFrame, bits: int = ID_BITS) -> Column:
+    """False only for values that aren't among the ids (one column): a bitmap of their hashes, of bounded size, tested in place."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = ids.select(place(F.col(ids.columns[0])).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("b"))
+    found = {r.w: r.b for r in words.collect()}
+    table = F.from_json(F.lit(json.dumps([found.get(w, 0) for w in range(1 << bits - 6)])), "array<bigint>")
+    p = place(column)
+    return F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = BUCKETS) -> list[float]:
     """Each bucket's log ratio of target to raw probability, from counts over all documents."""
     own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
@@ -66,9 +80,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: st
         return {r.b: r.n for r in grams.groupBy("b").agg(F.count("*").alias("n")).collect()}
 
     raw = counts(own)
-    # always one shuffle of the texts, whatever the labels' size: the plan at small sizes is the plan at large ones
-    ids = trusted.select(F.col(id_col).alias("__id")).distinct().hint("shuffle_hash")
-    good = counts(own.join(ids, "__id", "left_semi"))
+    ids = trusted.select(F.col(id_col).cast(dict(own.dtypes)["__id"]).alias("__id")).dropna().distinct()
+    # texts that can't be trusted by the bitmap stay where they are; the others meet the ids in a shuffle, whatever their size
+    good = counts(own.filter(maybe_in(F.col("__id"), ids)).join(ids.hint("shuffle_hash"), "__id", "left_semi"))
     if not good:
         return [0.0] * n
     all_raw, all_good = sum(raw.values()) + n, sum(good.values()) + n
