@@ -7,8 +7,9 @@ then projected through that alignment to spans of original bytes.
 
 Segmentation itself is the sentencepiece library's, on whole texts, and so is decoding: ids must equal the library's.
 
-Null texts count as empty; an empty text has the end id only and decodes to an empty text.  Repeated rows give equal
-rows.  An empty table gives an empty result.
+Null texts count as empty; an empty text has the end id only and decodes to an empty text.  A text may have any length: its
+ids and places are in one task's memory.  Among segmentations that tie the library decides.  Repeated rows give equal rows.
+New columns replace input columns of the same name, others pass through.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,19 +167,11 @@ class Encoder:
         self.digits = [str(i) for i in ids]
 
     def lengths(self, ids: np.ndarray, text: bytes) -> np.ndarray:
-        """Each piece's bytes in the normalised text; an unknown piece reaches to where the next known one is found."""
+        """Each piece's bytes in the normalised text; those of an unknown piece are in the library's own piece."""
         if self.unknown < 0 or not (ids == self.unknown).any():
             return self.size[ids]
-        normalised, n, at, ids = self.normalizer(text)[0], [], 0, ids.tolist()
-        for k, i in enumerate(ids):
-            size = int(self.size[i])
-            if i == self.unknown:
-                after = ids[k + 1] if k + 1 < len(ids) else None
-                stop = normalised.find(self.pieces[after], at + 1) if after is not None and not self.byte[after] else -1
-                size = (stop if stop > 0 else len(normalised)) - at
-            n.append(size)
-            at += size
-        return np.array(n, np.int64)
+        pieces = self.model.encode(text.decode(), out_type=str)
+        return np.array([len(p.encode()) if i == self.unknown else self.size[i] for i, p in zip(ids.tolist(), pieces, strict=True)], np.int64)
 
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str, str]]:
         """For each text (ids, starts, ends, decoded text, the ids' digits joined by a blank); the end id's span is empty."""
@@ -186,7 +179,9 @@ class Encoder:
         for text, plain in zip(texts, self.model.encode([t.decode() for t in texts], num_threads=1, return_type="numpy", add_eos=self.end), strict=True):
             ids, place = plain[: len(plain) - self.end], self.normalizer(text)[1]
             edge = np.concatenate([[0], np.cumsum(self.lengths(ids, text))])
-            edge = place[np.minimum(edge, len(place) - 1)]
+            if edge[-1] != len(place) - 1:
+                raise ValueError("the pieces don't add up to the normalised text")
+            edge = place[edge]
             last, full = [len(text)] * self.end, plain.tolist()
             yield plain, np.append(edge[:-1], last), np.append(edge[1:], last), self.model.decode(full), " ".join([self.digits[i] for i in full])
 
@@ -197,12 +192,13 @@ def read_model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-FIELDS = [("n_tokens", "bigint"), ("ids", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>"), ("decoded", "string"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+FIELDS = [("n_tokens", "bigint"), ("ids", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>"), ("decoded", "string"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("spans_sha256", "string")]
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None, end: bool = True, outputs: tuple[str, ...] = ("n_tokens", "ids", "starts", "ends", "decoded")) -> DataFrame:
     """The kept columns and the outputs asked for: ``ids`` with their spans [``starts``, ``ends``) in original bytes,
-    ``decoded``, the number of ids, and the hex digests of the ids' digits and of the decoded text."""
+    ``decoded``, the number of ids, and the hex digests of the ids' digits, of the decoded text, and of the spans (each start
+    and end as 32 bits, little-endian)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def lists(values: list[np.ndarray]) -> pa.Array:
@@ -224,6 +220,8 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
                 out["ids_sha256"] = [hashlib.sha256(g[4].encode()).hexdigest() for g in got]
             if "decoded_sha256" in outputs:
                 out["decoded_sha256"] = [hashlib.sha256(g[3].encode()).hexdigest() for g in got]
+            if "spans_sha256" in outputs:
+                out["spans_sha256"] = [hashlib.sha256(np.stack(g[1:3], axis=1).astype("<i4").tobytes()).hexdigest() for g in got]
             return out
 
         return run
@@ -232,8 +230,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
 
 
 def encode_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: its id, n_tokens, ids_sha256 and decoded_sha256."""
-    return encode(docs, read_model(docs.sparkSession, model_path), text, [id_col], outputs=("n_tokens", "ids_sha256", "decoded_sha256")).select(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+    """One row for each document: its id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256."""
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
+    return encode(docs, read_model(docs.sparkSession, model_path), text, [id_col], outputs=outputs).select(id_col, *outputs)
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", name: str = "decoded") -> DataFrame:
