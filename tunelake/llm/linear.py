@@ -134,8 +134,11 @@ class Model:
         return float(sigmoid(np.float64(self.a * margin + self.b)))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, size: int, extra: np.ndarray | None = None, folds: int = 4, cost: float = 1.0, alpha: float = 1.0) -> tuple[Model, np.ndarray]:
-    """Naive Bayes support vectors: (model, out-of-fold probabilities).  y is 1 or 0, sets are distinct hashed indicators."""
+def fit(sets: list[np.ndarray], y: np.ndarray, size: int, extra: np.ndarray | None = None, folds: int = 4, cost: float = 1.0, alpha: float = 1.0, least: int = 2) -> tuple[Model, np.ndarray]:
+    """Naive Bayes support vectors: (model, out-of-fold probabilities).  y is 1 or 0, sets are distinct hashed indicators.
+
+    least: an indicator counts if so many documents have it.
+    """
     extra = np.zeros((len(sets), 0)) if extra is None else extra
     k = extra.shape[1]
     if not len(sets) or len(set(y.tolist())) < 2:
@@ -146,7 +149,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, size: int, extra: np.ndarray | No
         counts = [np.full(size, alpha), np.full(size, alpha)]
         for i in own:
             counts[int(y[i])][sets[i]] += 1
-        seen = counts[0] + counts[1] > 2 * alpha + 1  # an n-gram of one document says nothing about others
+        seen = counts[0] + counts[1] >= 2 * alpha + least  # an n-gram of so few documents says nothing about others
         ratio = np.where(seen, np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum()), 0.0)
         place = np.arange(size, size + k)
         rows = [np.r_[sets[i], place] for i in own]

@@ -6,9 +6,11 @@ by the log-count ratio of the classes, a linear hinge-loss model is fitted by du
 to out-of-fold margins turns its margin into a score.
 
 The fit uses at most ``SAMPLE_ROWS`` labelled rows and ``SAMPLE_BYTES`` of their text, the first in the order of a hash
-of the id, from those that aren't held out.  Every document is scored whole.  Null and empty texts have no n-grams and
-get the score of the sigmoid's constant.  Labels that are null are left out; a label that repeats counts again.  Without
-labels of both classes the score is their smoothed rate (0.5 without any).  An empty table gives an empty result.
+of the id, from those that aren't held out.  Every document is scored whole; a text may have any length, its n-grams are in
+one task's memory.  Null and empty texts have no n-grams and get the score of the sigmoid's constant.  A score equal to the
+threshold is good.  Labels that are null are left out; a label that repeats counts again.  Repeated rows are scored alike.
+Columns besides the id and the text aren't read, so their names can't clash.  Without labels of both classes the score is
+their smoothed rate (0.5 without any).  An empty table gives an empty result.
 """
 
 from __future__ import annotations
