@@ -8,8 +8,10 @@ by more than ``run_limit`` fingerprints is cut again, by one-wildcard variants o
 what then shares a key agrees in 46 bits, so no group can exceed 2**18 fingerprints.  Connected components come from
 alternating large-star and small-star steps on the links, checkpointed after each round.
 
-Null and empty texts have the fingerprint zero and are linked like any other.  Repeated rows have one fingerprint and
-fall into one component.  A component whose ids are all null has a null id.  An empty table gives an empty result.
+Null and empty texts have the fingerprint zero and are linked like any other.  A text may have any length: its shingles are
+in one task's memory.  A bit that is set in exactly half of the hashes is zero.  Repeated rows have one fingerprint and fall
+into one component; of rows with equal ids any one is kept by :func:`keep_one`.  A component whose ids are all null has a null
+id.  Input columns of any names may be there.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from . import common
 
 DISTANCE = 3
 RUN_LIMIT = 1024
+#: Rows of one fingerprint that may meet in a task, and how many fingerprints may have more.
+HOT_ROWS, MOST_HOT = 1000, 10_000
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -76,15 +80,15 @@ def _forest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d += 1
         live = live[left[live] > d]
         if sum(map(len, froms)) > 2_000_000:  # fold what is known so far, so memory stays bounded
-            label = _spread(label, np.concatenate(froms), np.concatenate(tos))
+            label = spread(label, np.concatenate(froms), np.concatenate(tos))
             froms, tos = [np.flatnonzero(label != np.arange(n))], [label[label != np.arange(n)]]
     if froms:
-        label = _spread(label, np.concatenate(froms), np.concatenate(tos))
+        label = spread(label, np.concatenate(froms), np.concatenate(tos))
     linked = np.flatnonzero(label != np.arange(n))
     return fps[linked], fps[label[linked]]
 
 
-def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -191,9 +195,16 @@ def components(keyed: DataFrame, id_col: str = "doc_id", run_limit: int = RUN_LI
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_limit: int = RUN_LIMIT) -> DataFrame:
     """One row for each document: its id, ``fingerprint`` in 16 hex digits and ``component_id``."""
-    keyed = common.checkpoint(fingerprints(docs, text, [id_col]))
-    found = components(keyed, id_col, run_limit)
-    return keyed.join(found, "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    keyed = common.checkpoint(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")), "t", ["id"]))
+    found = common.checkpoint(components(keyed, "id", run_limit))
+    # a fingerprint with more rows than this is looked up where its rows are; there are at most MOST_HOT of them
+    rows = keyed.groupBy("fp").agg(F.count("*").alias("n"))
+    most = max(HOT_ROWS, -(-keyed.count() // MOST_HOT))
+    hot = found.join(rows.filter(F.col("n") > most).select("fp"), "fp", "left_semi").withColumn("hot", F.lit(True))
+    marked = keyed.join(F.broadcast(hot), "fp", "left")
+    cool = marked.filter("hot is null").select("id", "fp").join(found, "fp", "left")
+    out = marked.filter("hot").select("id", "fp", "component_id").unionByName(cool.select("id", "fp", "component_id"))
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run_limit: int = RUN_LIMIT) -> DataFrame:
