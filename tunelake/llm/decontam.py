@@ -8,11 +8,12 @@ blocks that overlap by one word less than the longest phrase, each with a termin
 whole within some block and suffixes are told apart after a block's length at most.  A very long document simply
 spans several shards' worth of blocks, its words counted once.
 
-Test phrases go to the tasks in blocks of at most ``PHRASE_BYTES``, one pass over the documents for each block, so that
-what is broadcast stays bounded whatever the benchmark's size.
+Test phrases go to the tasks in blocks of about ``PHRASE_BYTES``, one pass over the documents for each block, so that
+what is broadcast stays bounded whatever the benchmark's size; an item that is longer is cut between its windows.
 
 Null and empty texts have no words and no hits; null or wordless benchmark items have no phrases.  Repeated items count
-by their id.  An empty table of documents gives an empty result, an empty benchmark gives zero hits.
+by their id, repeated documents are separate rows.  Occurrences that overlap or tie are merged.  New columns replace input
+columns of the same name.  An empty table of documents gives an empty result, an empty benchmark gives zero hits.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def suffix_order(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(width):
         key <<= bits
-        key[: n - k] |= first[k:]
+        key[: max(n - k, 0)] |= first[k:]
     order = np.argsort(key, kind="stable" if n < 16 else None)
     rank, fresh = np.empty(n, np.int64), np.empty(n, bool)
     fresh[0], fresh[1:] = True, key[order[1:]] != key[order[:-1]]
@@ -246,16 +247,28 @@ def _pass(docs: DataFrame, keep: list[str], text: str, phrases, shard_words: int
     return source.mapInArrow(run, schema)
 
 
-def phrase_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = PHRASE_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The items with words, in blocks of at most limit bytes of text, streamed a partition at a time."""
+def overlapping(text: bytes, window: int, limit: int) -> Iterator[bytes]:
+    """The text in pieces of about limit bytes that together hold each of its windows of words."""
+    words, since, size = words_of(text), 0, 0
+    for k, w in enumerate(words):
+        size += len(w) + 1
+        if size > limit and k - since >= window:
+            yield b" ".join(words[since:k])
+            since = k - window + 1
+            size = sum(len(x) + 1 for x in words[since : k + 1])
+    yield b" ".join(words[since:])
+
+
+def phrase_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = PHRASE_BYTES, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+    """The items with words, longer ones cut, in blocks of about limit bytes of text, streamed a partition at a time."""
     block, size = [], 0
     for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").toLocalIterator():
-        item = ("" if row.i is None else row.i, row.t.encode())
-        if block and size + len(item[1]) > limit:
-            yield block
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1])
+        for piece in overlapping(row.t.encode(), window, limit):
+            if block and size + len(piece) > limit:
+                yield block
+                block, size = [], 0
+            block.append(("" if row.i is None else row.i, piece))
+            size += len(piece)
     yield block
 
 
@@ -263,7 +276,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """For each document: the kept columns, n_words, the merged ``spans`` of words [start, end) and the ``items`` that occur."""
     keep = [c for c in (keep or [id_col]) if c.lower() not in ("n_words", "spans", "items")]
     share = lambda block: docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-    blocks = phrase_blocks(benchmark, limit=phrase_bytes)
+    blocks = phrase_blocks(benchmark, limit=phrase_bytes, window=window)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _pass(docs, keep, text, share(first), shard_words)
