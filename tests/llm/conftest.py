@@ -14,7 +14,7 @@ def passages():
     near[40] = "changed"
     texts = [None, "", " \n\t ", "one", "One two", base, base, " ".join(near), say(60) + " mail a.b@c.de, call +1 (555) 123-4567.\nip 10.0.0.255 and 10.0.0.256"]
     texts += ["card 4111 1111 1111 1111 not 4111 1111 1111 1112", "IBAN DE89 3704 0044 0532 0130 00 ok", "x@y.z_w@v.u", "SSN 123-45-6789 and 000-12-3456"]
-    texts += ["word " * 70, say(3000), "a" * 5000, "Intro\nReleased under the MIT License.\nend", "\n".join(["same line"] * 4), "x.x@" * 300 + "1.2.3.4.5.6"]
+    texts += ["word " * 70, say(3000), "a" * 5000, "Intro\nReleased under the MIT License.\nend", "\n".join(["same line"] * 4), "x.x@" * 300 + "1.2.3.4.5.6", "\u4f60\U00012000 x\U0001f600\U0001f600 \u00a9  two"]
     texts += [say(rnd.randrange(20, 120)) for _ in range(20)]
     return texts
 

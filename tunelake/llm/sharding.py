@@ -8,8 +8,11 @@ partitions and narrows the bracket to the cell in which the boundary lies, until
 Then rows are exchanged once, by shard and a cell of about ``CELL_ROWS`` rows, and numbered: a cell's offset within its
 shard plus the row's place in the cell.  Texts with more rows than a cell holds are cut by the second hash.
 
-Null texts have no bytes and the checksum of an empty one.  Repeated rows are separate rows.  Every row gets a shard and a
-slot; shards may be empty if there are few rows.  An empty table gives an empty result.
+Null texts have no bytes and the checksum of an empty one.  A text may have any length; one that is longer than a shard's
+share makes its shard larger.  Repeated rows are separate rows.  The second hash holds the row's place in its partition, so
+where one text's rows are cut between shards depends on how the rows were dealt; so do slots of rows that tie.  Every row gets
+a shard and a slot; shards may be empty if there are few rows.  Columns besides the id and the text aren't read, so their
+names can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
