@@ -185,7 +185,9 @@ def int_words(c: Column) -> Column:
 
 def map_path(c: Column, strip: str, root: str) -> Column:
     """A server's path below another root; null if it isn't below the server's."""
-    return F.when(c.startswith(strip), F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(F.lit("/"), F.substring(c, len(strip) + 1, 10**6))))
+    below = strip.rstrip("/")
+    rest = F.substr(c, F.lit(len(below) + 1))
+    return F.when(c.startswith(below) & ((rest == "") | rest.startswith("/")), F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(rest, F.lit("/"))))
 
 
 def repair_date(date: Column, user_defined: Column) -> Column:
