@@ -23,7 +23,7 @@ def test_split_enclosed_and_unpaired():
     assert text.split_enclosed("((a) b)", 1) == ["a", "b"]
     assert text.split_enclosed("((a (b)) c)", 1) == ["a (b)", "c"]
     assert (text.unpaired("())"), text.unpaired("(()"), text.unpaired("(a)b [(c)d-e]")) == (2, 0, None)
-    assert text.strip_enclosed("(a b)") == "a b" and text.strip_enclosed("(a) (b)") == "(a) (b)"
+    assert text.strip_enclosed("(a b)") == "a b" and text.strip_enclosed("(a) (b)") == "a) (b" and text.strip_enclosed("a (b)") == "a (b)"
 
 
 def test_fuzzy_text():
@@ -134,10 +134,22 @@ def test_scalars(spark):
     assert tuple(row)[:7] == ("Hello You", "ost", "A (96 kHz)", "la la", "Japanese Ver", "1.50 KB", None) and str(row.day) == "2021-01-02"
 
 
-def test_more_enclosed():
-    assert text.extract_enclosed("a (b (c)) (d)") == "(b (c))" and text.extract_enclosed("a (b") is None
-    assert text.is_enclosed("[a]") and not text.is_enclosed("[a") and text.ends_with_enclosed("a (b)") == "()" and text.ends_with_enclosed("(b) a") is None
-    assert text.strip_unpaired("a) b") == "a b"
+def test_more_enclosed(spark):
+    assert text.extract_enclosed("a ('b (c)') (d)") == "b (c)" and text.extract_enclosed("a (b") == "a (b"
+    assert text.ends_with_enclosed("a (b)") == "()" and text.ends_with_enclosed("(b) a") is None and text.ends_with_enclosed("a") is None
+    assert text.strip_unpaired("a)") == "a" and text.strip_unpaired("a) b") == "a) b" and text.strip_enclosed('"a b c', True) == "a b c"
+    assert text.partition_enclosed("a - (b) - c", inner=True) == ("a -", "b", "- c") and text.partition_enclosed(')a (b) "c"', reverse=True) == (")a (b)", "c", "")
+    assert text.partition_enclosed("it's a (b's) c") == ("it's a", "b's", "c") and text.partition_enclosed("「a」 b") == ("", "a", "b")
+    assert text.split_enclosed("a (b) c", maxsplit=1) == ["a", "(b) c"] and text.split_enclosed("a (b) c", maxsplit=1, reverse=True) == ["a (b)", "c"]
+    assert text.split_enclosed("a (b) c [d] e", maxsplit=2) == ["a", "b", "c [d] e"] and text.split_enclosed("a (b) c [d] e") == list("abcde")
+    assert text.split_enclosed("((a (b)) c)", 2) == ["a", "b", "c"] and text.split_enclosed("a", maxsplit=1) == ["a"]
+    assert text.combine_with_parens(["a (x)", "b (x)"]) == "a (b) (x)" and text.combine_with_parens(["a"]) == "a"
+    assert len(text.OPENERS) == len(text.CLOSERS) == 42
+    df = spark.createDataFrame([("a (b) c",), ("(a)",), ("a)",), (None,)], "t string").select(text.is_enclosed(F.col("t")).alias("e"), text.partition_enclosed_column(F.col("t")).alias("p"), text.split_enclosed_column(F.col("t"), maxsplit=1).alias("s"), text.strip_unpaired_udf("t").alias("u"), text.extract_enclosed_udf("t").alias("x"), text.ends_with_enclosed_udf("t").alias("m"))
+    got = df.collect()
+    assert [r.e for r in got] == [False, True, False, False] and [r.p and tuple(r.p) for r in got] == [("a", "b", "c"), ("", "a", ""), None, None]
+    assert [r.s for r in got] == [["a", "(b) c"], ["a"], ["a)"], None] and [r.u for r in got] == ["a (b) c", "(a)", "a", None]
+    assert [r.x for r in got] == ["b", "a", "a)", None] and [r.m for r in got] == [None, "()", None, None]
 
 
 def test_paths_and_folders(spark):

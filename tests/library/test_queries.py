@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from tunelake import media_queries  # noqa: F401
 from tunelake.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"

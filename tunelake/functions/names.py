@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .scalar import script
-from .text import fuzz_process, ratio, weighted_ratio
+from .text import fuzz_process, weighted_ratio
 
 FIELDS = ("eng", "non_eng", "romanized", "lit")
 VERSIONS = "array<struct<eng:string,non_eng:string,romanized:string,lit:string>>"
@@ -43,38 +45,158 @@ def merge(a: Column, b: Column) -> Column:
     return F.struct(*[F.when(conflict, a[f]).otherwise(F.coalesce(a[f], b[f])).alias(f) for f in FIELDS], F.when(conflict, F.array_union(versions, F.array(own))).otherwise(versions).alias("versions"))
 
 
+def from_parts(parts: Column) -> Column:
+    """A name from its parts, each put by its script: the first in another script, the first English one, and a further English
+    one as romanization where it spells the other script; ``versions`` stay empty and what has no place is left out."""
+
+    @F.pandas_udf("struct<eng:string,non_eng:string,romanized:string,lit:string>")
+    def make(c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([name_of(p) for p in c], columns=list(FIELDS))
+
+    name = make(parts)
+    return F.struct(*[name[f].alias(f) for f in FIELDS], F.array().cast(VERSIONS).alias("versions"))
+
+
+def name_of(parts) -> tuple[str | None, str | None, str | None, str | None]:
+    """(eng, non_eng, romanized, lit) of a name's parts."""
+    eng = non = romanized = None
+    for part in () if parts is None else parts:
+        if not part:
+            continue
+        latin = not any(ord(c) > 0x2FF and c.isalpha() for c in part)
+        if not latin and non is None:
+            non = part
+        elif latin and eng is None:
+            eng = part
+        elif latin and non and romanized is None and romanizes(non, part):
+            romanized = part
+        elif latin and non and romanized is None and romanizes(non, eng):
+            eng, romanized = part, eng
+    return eng, non, romanized, None
+
+
+#: How the letters of a Hangul syllable may be spelled, in the order of their codes; fixed values.
+INITIAL = "g|k,kk|gg|k,n,d|t,tt|dd|t,r|l,m,b|p,pp|bb|p,s|sh,ss|s,,j|ch,jj|j,ch|j,k,t,p,h".split(",")
+VOWEL = "a|ah,ae|e,ya|yah,yae|ye,eo|u|o|uh,e|eh,yeo|yu|yo|you,ye,o|oh,wa,wae|oae,oe|we|wae,yo,u|oo|woo|wu,wo|weo,we,wi|ui|we,yu|yoo|you,eu|u,ui|eui|ee|i,i|ee|y|yi".split(",")
+FINAL = ",g|k,g|k,g|k,n,n,n,d|t,l|r,g|k,m,l,l,l,p,l,m,b|p,b|p,d|t,d|t,ng,d|t,d|t,k|g,d|t,p|b,|h".split(",")
+#: The consonants of a spelling, where letters that may stand for each other are one; all others go.
+SOUNDS = dict(zip("gkqdtbpsjrlmn", "KKKTTPPSJLLMN", strict=True))
+
+
+def spelled(text: str) -> str:
+    """Lower-case letters and digits only."""
+    return "".join(c for c in text.lower() if c.isalnum())
+
+
+def squeezed(text: str) -> str:
+    """A spelling to compare: folded, without blanks."""
+    return fuzz_process(text).replace(" ", "")
+
+
+def romanizes(non_eng: str, eng: str) -> bool:
+    """Whether the English text spells the Hangul one, letter by letter."""
+    own = spelled(non_eng)
+    if not any("가" <= c <= "힣" for c in own):
+        return False
+    rule = ""
+    for c in own:
+        if "가" <= c <= "힣":
+            code = ord(c) - 0xAC00
+            rule += "".join(f"(?:{x})" for x in (INITIAL[code // 588], VOWEL[code % 588 // 28], FINAL[code % 28]))
+        else:
+            rule += re.escape(c)
+    return re.fullmatch(rule, spelled(eng)) is not None
+
+
+def sounds(text: str) -> str:
+    """The consonants of a text in classes: equal for a Hangul text and every spelling of it."""
+    out = ""
+    for c in text.lower():
+        if "가" <= c <= "힣":
+            code = ord(c) - 0xAC00
+            out += "".join(x.split("|")[0] for x in (INITIAL[code // 588], FINAL[code % 28])).replace("ch", "j")
+        else:
+            out += c
+    out = "".join(SOUNDS.get(c, "") for c in out.replace("ch", "j"))
+    return "".join(c for k, c in enumerate(out) if not k or out[k - 1] != c)
+
+
+def scores(a: dict, b: dict, romanized: int = 95, ost: bool = True) -> list[int]:
+    """Every score of two names and of their versions, 0 to 100.
+
+    Spellings in the same script by the weighted ratio (averaged with the English parts' where they are equal), English ones
+    likewise, ``romanized`` where one spells the other, and all that again without a soundtrack suffix.
+    """
+    out, english = [], None
+    if a["non_eng"] and b["non_eng"] and _script(a["non_eng"]) == _script(b["non_eng"]):
+        found = weighted_ratio(squeezed(a["non_eng"]), squeezed(b["non_eng"]))
+        if found == 100 and a["eng"] and b["eng"]:
+            english = weighted_ratio(squeezed(a["eng"]), squeezed(b["eng"]))
+            found = (found + english) // 2
+        out.append(found)
+    if a["eng"] and b["eng"]:
+        out.append(weighted_ratio(squeezed(a["eng"]), squeezed(b["eng"])))
+    for x, y in ((a, b), (b, a)):
+        other = y["eng"] or y["romanized"]
+        if other and (x["romanized"] and spelled(x["romanized"]) == spelled(other) or x["non_eng"] and romanizes(x["non_eng"], other)):
+            out.append(romanized if english is None else (romanized + english) // 2)
+    for x, y in ((a, b), (b, a)):
+        for version in (x.get("versions") if x.get("versions") is not None else ()):
+            out += scores({**version, "versions": ()}, {**y, "versions": () if x is b else y.get("versions")}, romanized, ost)
+    if ost:
+        for x, y in ((a, b), (b, a)):
+            if any(v and v.lower().endswith(" ost") for v in map(x.get, FIELDS)):
+                bare = {f: x[f][:-4].strip() if x[f] and x[f].lower().endswith(" ost") else x[f] for f in FIELDS}
+                return out + scores({**bare, "versions": x.get("versions")}, y, romanized, False)
+    return out
+
+
+def _script(text: str) -> str:
+    return "hangul" if any("가" <= c <= "힣" for c in text) else "kana" if any("\u3040" <= c <= "\u30ff" for c in text) else "other"
+
+
 def score(a: dict, b: dict) -> int:
-    """The best score of two names, versions apart: their spellings of other scripts first, then the English ones."""
-    found = [0]
-    for x, y in ((a["non_eng"], b["non_eng"]), (a["eng"], b["eng"]), (a["romanized"], b["romanized"]), (a["eng"], b["romanized"]), (a["romanized"], b["eng"])):
-        if x and y:
-            x, y = fuzz_process(x), fuzz_process(y)
-            found.append(100 if x == y else weighted_ratio(x, y))
-    if a["non_eng"] and b["non_eng"] and a["eng"] and b["eng"] and ratio(a["non_eng"], b["non_eng"]) == 100:
-        return round((100 + weighted_ratio(a["eng"], b["eng"])) / 2)
-    return max(found)
+    """The best score, or 0."""
+    return max(scores(a, b), default=0)
+
+
+def equal_fields(a: Column, b: Column) -> list[Column]:
+    """For each field whether both names have the same; null where one lacks it."""
+    return [F.lower(a[f]) == F.lower(b[f]) for f in FIELDS]
+
+
+def is_version_of(a: Column, b: Column, partial: bool = False) -> Column:
+    """One field at least is the same, and unless partial none that both have differs."""
+    same, differ = F.lit(False), F.lit(False)
+    for e in equal_fields(a, b):
+        same, differ = same | F.coalesce(e, F.lit(False)), differ | F.coalesce(~e, F.lit(False))
+    return same if partial else same & ~differ
+
+
+def should_merge(a: Column, b: Column) -> Column:
+    """A version of the other, and not the same name."""
+    equal = F.lit(True)
+    for f in FIELDS:
+        equal = equal & a[f].eqNullSafe(b[f])
+    return is_version_of(a, b) & ~equal
 
 
 def match_keys(name: dict, threshold: int) -> set[tuple[str, int]]:
     """(key, length of its spelling): names that score the threshold share a key; from 90 on, of lengths within 3 to 2.
 
-    Keys are the spellings, their words and the trigrams of the spellings and of their sorted words.  A ratio of 90 leaves a
-    trigram whole (texts of four letters or less must be equal), a token set a word, and partial matches stay under 90.  Lower
-    thresholds take single letters, which any score over 0 shares.
+    Spellings are compared without blanks.  A ratio of 90 leaves three letters in a row (shorter ones must be equal) and partial
+    matches stay under 90, so the keys are the spellings and their trigrams.  Lower thresholds take single letters, which any
+    ratio over 0 shares.  What spells a Hangul text has its consonants, at any length.
     """
     out = set()
     for f in ("eng", "non_eng", "romanized"):
         if not name[f]:
             continue
-        once = fuzz_process(name[f])
-        for text in {once, fuzz_process(once)}:  # a second pass may take another suffix
-            words = text.split()
-            orders = {text, " ".join(sorted(words)), " ".join(sorted(set(words)))}
-            if threshold >= 90:
-                keys = {text, *words, *(t[i : i + 3] for t in orders for i in range(len(t) - 2))}
-            else:
-                keys = {text, *text}
-            out.update((k, len(text)) for k in keys)
+        bare = name[f][:-4].strip() if name[f].lower().endswith(" ost") else name[f]
+        for text in {squeezed(name[f]), squeezed(bare)}:
+            parts = {text[i : i + 3] for i in range(len(text) - 2)} if threshold >= 90 else set(text)
+            out.update((k, len(text)) for k in (text, *parts))
+        out.update((mark + of(x), 0) for x in (name[f], bare) for mark, of in (("~", sounds), ("=", spelled)))
     return out
 
 
@@ -100,18 +222,23 @@ def score_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
 
 
 def best_match(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", threshold: int = 90) -> DataFrame:
-    """For each left row its best right row by the score of the names or of any of their versions.
+    """For each left row its best right row by the score of the names or of any of their versions."""
+    w = Window.partitionBy(id_left).orderBy(F.desc("score"), f"{id_right}_match")
+    return best_matches(left, right, id_left, id_right, name, threshold).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+
+
+def best_matches(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", threshold: int = 90) -> DataFrame:
+    """(left id, right id, score) of all pairs whose names, or any of their versions, score the threshold.
 
     Candidates come from an equi-join on the match keys, which no pair that scores the threshold escapes.
     """
 
-    def spelled(df: DataFrame, key: str, side: str) -> DataFrame:
+    def keys_of(df: DataFrame, key: str, side: str) -> DataFrame:
         plain = F.struct(*[F.col(f"{name}.{f}").alias(f) for f in FIELDS])
         every = F.concat(F.array(plain).cast(VERSIONS), F.coalesce(F.col(f"{name}.versions"), F.array().cast(VERSIONS)))
         one = df.select(F.col(key).alias(side), F.explode(every).alias(f"{side}_name"))
         return keyed(one, threshold, f"{side}_name").withColumnRenamed("__len", f"{side}_len")
 
-    pairs = spelled(left, id_left, "l").join(spelled(right, id_right, "r"), "__k").filter(lengths_fit(F.col("l_len"), F.col("r_len"), threshold)).select("l", "l_name", "r", "r_name").distinct()
+    pairs = keys_of(left, id_left, "l").join(keys_of(right, id_right, "r"), "__k").filter(lengths_fit(F.col("l_len"), F.col("r_len"), threshold)).select("l", "l_name", "r", "r_name").distinct()
     scored = pairs.withColumn("score", score_udf("l_name", "r_name")).filter(F.col("score") >= threshold)
-    w = Window.partitionBy("l").orderBy(F.desc("score"), "r")
-    return scored.withColumn("n", F.row_number().over(w)).filter("n = 1").select(F.col("l").alias(id_left), F.col("r").alias(f"{id_right}_match"), "score")
+    return scored.groupBy("l", "r").agg(F.max("score").alias("score")).select(F.col("l").alias(id_left), F.col("r").alias(f"{id_right}_match"), "score")

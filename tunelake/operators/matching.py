@@ -25,12 +25,21 @@ def album_candidates(files: DataFrame, entries: DataFrame, threshold: int = 90)
 
     files: album, artist, name, type, num, repackage; entries: entry, artist, name, type, num, repackage.
     """
-    e = entries.select("artist", "entry", *[F.col(c).alias(f"e_{c}") for c in ("name", "type", "num", "repackage")])
-    pairs = files.join(e, "artist").filter(compatible(F.col("type"), F.col("e_type")))
-    scored = pairs.withColumn("score", weighted_ratio_udf("name", "e_name"))
+    columns = ("artist", "name", "type", "num", "repackage")
+    e = entries.select("entry", *[F.col(c).alias(f"e_{c}") for c in columns])
+    both = F.col("artist") == F.col("e_artist")
+    counted = files.join(e, both & (F.col("type") == F.col("e_type")) & (F.col("num") == F.col("e_num")))
+    # names that score the threshold share a match key, so only those pairs are scored
+    f, g = (names.keyed(df.withColumn("__name", _as_name(F.col(c))), threshold, "__name").drop("__name").withColumnRenamed("__len", n) for df, c, n in ((files, "name", "__f"), (e, "e_name", "__e")))
+    near = f.join(g, ["__k"]).filter(both & names.lengths_fit(F.col("__f"), F.col("__e"), threshold) & F.col("repackage").eqNullSafe(F.col("e_repackage")) & compatible(F.col("type"), F.col("e_type")))
+    every = near.select(*counted.columns).unionByName(counted).distinct().withColumn("score", weighted_ratio_udf("name", "e_name"))
     named = (F.col("score") >= threshold) & F.col("repackage").eqNullSafe(F.col("e_repackage"))
-    counted = F.coalesce((F.col("type") == F.col("e_type")) & (F.col("num") == F.col("e_num")), F.lit(False))
-    return scored.filter(named | counted).select("album", "entry", "score", F.when(named, "name").otherwise("number").alias("by"))
+    numbered = F.coalesce((F.col("type") == F.col("e_type")) & (F.col("num") == F.col("e_num")), F.lit(False))
+    return every.filter(named | numbered).select("album", "entry", "score", F.when(named, "name").otherwise("number").alias("by"))
+
+
+def _as_name(c: Column) -> Column:
+    return F.struct(*[(c if f == "eng" else F.lit(None).cast("string")).alias(f) for f in names.FIELDS])
 
 
 def track_overlap(candidates: DataFrame, files: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -80,8 +89,7 @@ def members(edges: DataFrame, groups: DataFrame, people: DataFrame, threshold: i
     """
 
     def spelled(df: DataFrame, side: str) -> DataFrame:
-        name = F.struct(*[(F.col("name") if f == "eng" else F.lit(None).cast("string")).alias(f) for f in names.FIELDS])
-        return names.keyed(df.withColumn("__name", name), threshold, "__name").drop("__name").withColumnsRenamed({"name": f"{side}_name", "__len": f"{side}_len"})
+        return names.keyed(df.withColumn("__name", _as_name(F.col("name"))), threshold, "__name").drop("__name").withColumnsRenamed({"name": f"{side}_name", "__len": f"{side}_len"})
 
     e = spelled(edges.join(groups.select("group").distinct(), "group", "left_semi").select("group", "name"), "e")
     p = spelled(people.select("member", "name"), "p")
@@ -93,3 +101,58 @@ def top_per_group(rows: DataFrame, by: str, order: list, most: int) -> DataFrame
     """At most so many rows of each group, in order: the limit is the report's own."""
     w = Window.partitionBy(by).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
+
+
+def artist_lookup(files: DataFrame, artists: DataFrame, threshold: int = 90) -> DataFrame:
+    """(path, artist, by): by the url tag, else by the best name; what no artist fits stays without one; various artists are left out.
+
+    files: path, url, name (struct); artists: artist, url, name (struct).
+    """
+    own = files.filter(~F.coalesce(F.lower("name.eng") == "various artists", F.lit(False)))
+    direct = own.join(artists.select("url", "artist").dropna(), "url").groupBy("path").agg(F.min("artist").alias("artist"))
+    rest = own.join(direct.select("path"), "path", "left_anti")
+    spelled = rest.select("name").distinct().withColumn("__id", F.to_json("name"))
+    best = names.best_match(spelled, artists, "__id", "artist", threshold=threshold)
+    met = rest.select("path", F.to_json("name").alias("__id")).join(best.select("__id", F.col("artist_match").alias("artist")), "__id", "left")
+    by_name = met.select("path", "artist", F.when(F.col("artist").isNotNull(), "name").otherwise("none").alias("by"))
+    return direct.select("path", "artist", F.lit("url").alias("by")).unionByName(by_name)
+
+
+def album_lookup(files: DataFrame, entries: DataFrame, threshold: int = 90) -> DataFrame:
+    """(album, entry, by): by the url tag, else the best of the candidates by name, else one of the artist's type and number.
+
+    files: album, url and what album_candidates takes; entries: entry, url and likewise.
+    """
+    direct = files.select("album", "url").join(entries.select("url", "entry").dropna(), "url").groupBy("album").agg(F.min("entry").alias("entry"))
+    rest = files.join(direct.select("album"), "album", "left_anti")
+    order = F.struct(F.when(F.col("by") == "name", 0).otherwise(1).alias("o"), (-F.col("score")).alias("s"), "entry", "by")
+    found = album_candidates(rest.drop("url"), entries.drop("url"), threshold).groupBy("album").agg(F.min(order).alias("b"))
+    return direct.select("album", "entry", F.lit("url").alias("by")).unionByName(found.select("album", "b.entry", "b.by"))
+
+
+def match_scores(wanted: DataFrame, targets: DataFrame, least: int = 90) -> DataFrame:
+    """(id, kind, target, score): entries, editions and parts whose names score against the wanted ones, best first within a kind.
+
+    wanted: id, name (struct); targets: kind, target, name (struct).
+    """
+    keyed = targets.withColumn("__t", F.struct("kind", "target"))
+    return names.best_matches(wanted, keyed, "id", "__t", threshold=least).select("id", F.col("__t_match.kind").alias("kind"), F.col("__t_match.target").alias("target"), "score")
+
+
+def replacement_tiers(gone: DataFrame, tracks: DataFrame, threshold: int = 90) -> DataFrame:
+    """(track_key, replacement, score, priority): tracks whose title scores against that of an item that is gone.
+
+    Priorities: 1 the same artist and album by id, 2 by title, 3 an artist and album whose names score the threshold.
+    gone: track_key, artist_key, album_key, artist, album, title; tracks: key and likewise.
+    """
+    title = names.from_enclosed(F.col("title")).alias("name")
+    titles = names.best_matches(gone.select("track_key", title), tracks.select("key", title), "track_key", "key", threshold=threshold)
+    t = tracks.select(F.col("key").alias("replacement"), *[F.col(c).alias(f"__{c}") for c in ("artist_key", "album_key", "artist", "album")])
+    pairs = titles.withColumnRenamed("key_match", "replacement").join(gone.drop("title"), "track_key").join(t, "replacement")
+    for c in ("artist", "album"):
+        a, b = (pairs.select(F.col(n).alias("t")).distinct().select(F.col("t").alias(c), names.from_enclosed(F.col("t")).alias("name")) for n in (c, f"__{c}"))
+        near = names.best_matches(a, b, c, c, threshold=threshold).select(c, F.col(f"{c}_match").alias(f"__{c}"), F.lit(True).alias(f"__near_{c}"))
+        pairs = pairs.join(near, [c, f"__{c}"], "left")
+    same = lambda a, b: F.coalesce((F.col(a) == F.col(f"__{a}")) & (F.col(b) == F.col(f"__{b}")), F.lit(False))
+    priority = F.when(same("artist_key", "album_key"), 1).when(same("artist", "album"), 2).when(F.col("__near_artist") & F.col("__near_album"), 3)
+    return pairs.select("track_key", "replacement", "score", priority.alias("priority")).filter("priority IS NOT NULL")

@@ -55,25 +55,25 @@ def kinds_of(name: str) -> set[str]:
 def class_scores(pages: DataFrame, key: str = "url", categories: str = "categories") -> DataFrame:
     """(key, class, score): a point for each category and part of the class in it; a category with a part against the
     class costs a point for each of the class's parts."""
-    spark = pages.sparkSession
-    parts = [(c, p, 1) for c, _, good, _ in CLASSES for p in good]
-    against = [(c, p, len(good)) for c, _, good, bad in CLASSES for p in bad]
-    rows = pages.select(key, F.posexplode(categories).alias("i", "category"))
-    met = lambda rules: rows.join(F.broadcast(spark.createDataFrame(rules, "class string, part string, w int")), F.lower("category").contains(F.col("part")))
-    plus = met(parts).select(key, "class", "w")
-    minus = met(against).select(key, "i", "class", (-F.col("w")).alias("w")).distinct().select(key, "class", "w")
-    return plus.union(minus).groupBy(key, "class").agg(F.sum("w").alias("score"))
+    one = lambda c, parts: sum((F.when(c.contains(p), 1).otherwise(0) for p in parts), F.lit(0))
+
+    def of_category(c: Column) -> Column:
+        """What a category gives each class that it touches."""
+        rules = [(name, one(c, good), one(c, bad), len(good)) for name, _, good, bad in CLASSES if good or bad]
+        return F.filter(F.array(*[F.when((plus > 0) | (minus > 0), F.struct(F.lit(name).alias("class"), (plus - F.when(minus > 0, size).otherwise(0)).alias("w"))) for name, plus, minus, size in rules]), lambda x: x.isNotNull())
+
+    rows = pages.select(key, F.explode(categories).alias("__c")).select(key, F.explode(of_category(F.lower("__c"))).alias("__s"))
+    return rows.groupBy(key, F.col("__s.class").alias("class")).agg(F.sum("__s.w").alias("score"))
 
 
 def classify(pages: DataFrame, requested: str = "WikiEntity", key: str = "url", categories: str = "categories") -> DataFrame:
     """(key, class, score, error): the best class with a positive score that is a kind of the requested one, the last name
     of equal scores.  A page of no class is a plain WikiEntity, and an error if another class was requested."""
     fits = [c for c, *_ in CLASSES if requested in kinds_of(c)]
-    good = class_scores(pages, key, categories).filter("score > 0").filter(F.col("class").isin(*fits))
-    best = good.groupBy(key).agg(F.max(F.struct("score", "class")).alias("b")).select(F.col(key).alias("__k"), "b.class", "b.score")
-    scored = class_scores(pages, key, categories).select(F.col(key).alias("__s")).distinct()
-    out = pages.select(key).join(best, F.col(key) == F.col("__k"), "left").join(scored, F.col(key) == F.col("__s"), "left")
-    plain = F.lit(requested == "WikiEntity") & F.col("__s").isNull()
+    fit = (F.col("score") > 0) & F.col("class").isin(*fits)
+    best = class_scores(pages, key, categories).groupBy(key).agg(F.max(F.when(fit, F.struct("score", "class"))).alias("b")).select(F.col(key).alias("__k"), "b.class", "b.score")
+    out = pages.select(key).join(best, F.col(key) == F.col("__k"), "left")
+    plain = F.lit(requested == "WikiEntity") & F.col("__k").isNull()
     name = F.coalesce("class", F.when(plain, "WikiEntity"))
     return out.select(key, name.alias("class"), "score", name.isNull().alias("error"))
 
@@ -208,3 +208,87 @@ def with_singles(tracks: DataFrame, entries: DataFrame) -> DataFrame:
     bare = entries.join(tracks.select(F.col("entry").alias("__e")).distinct(), F.col("entry") == F.col("__e"), "left_anti")
     made = bare.select("entry", F.posexplode(F.array(F.col("title"), F.concat("title", F.lit(" (Inst.)")))).alias("i", "title"))
     return tracks.select("entry", "num", "title").unionByName(made.select("entry", (F.col("i") + 1).alias("num"), "title"))
+
+
+def lookup(wanted: DataFrame, pages: DataFrame, by: str) -> DataFrame:
+    """(wanted columns, page_id): pages by ``url``, ``title`` (any case, blanks for underscores) or ``link`` (the url's last part)."""
+    fold = lambda c: F.lower(F.trim(F.translate(c, "_", " ")))
+    ends = lambda c: fold(F.url_decode(F.regexp_extract(c, "([^/?#]+)/?(?:[?#].*)?$", 1)))
+    here, there = {"url": (F.col(by), F.col("url")), "title": (fold(F.col(by)), fold(F.col("title"))), "link": (ends(F.col(by)), ends(F.col("url")))}[by]
+    first = pages.select(there.alias("__k"), "page_id").groupBy("__k").agg(F.min("page_id").alias("page_id"))
+    return wanted.withColumn("__w", here).join(first, F.col("__w") == F.col("__k"), "left").drop("__w", "__k")
+
+
+def entry_pages(entries: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(entry, page_id): for each entry the page of its first link that has one; entries without a page have none.
+
+    entries: entry; links: entry, pos, url; pages: page_id, url.
+    """
+    met = links.join(pages.select("url", "page_id"), "url").groupBy("entry").agg(F.min(F.struct("pos", "page_id")).alias("b"))
+    return entries.select("entry").join(met.select("entry", "b.page_id"), "entry", "left")
+
+
+def entry_type(kind: Column, title: Column, source: Column) -> Column:
+    """The entry's type; a soundtrack if its title or the album that it is from says so."""
+    ost = lambda c: F.coalesce(F.concat(F.lit(" "), F.upper(c), F.lit(" ")).contains(" OST "), F.lit(False))
+    return F.when(ost(title) | ost(source), "Soundtrack").otherwise(kind)
+
+
+def edition_language(*languages: Column) -> Column:
+    """The first that is known: the edition's own, the template's, the artist's, the site's default."""
+    return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in languages])
+
+
+def full_name(base: Column, edition: Column, part: Column) -> Column:
+    """``base (edition) (part)``, of what there is; an edition that repeats the base is left out."""
+    own = F.when(F.lower(F.trim(edition)) != F.lower(F.trim(base)), F.nullif(F.trim(edition), F.lit("")))
+    wrap = lambda c: F.concat(F.lit("("), c, F.lit(")"))
+    return F.concat_ws(" ", F.trim(base), wrap(own), wrap(F.nullif(F.trim(part), F.lit(""))))
+
+
+def artist_name(artist: Column, collaborators: Column) -> Column:
+    """``artist (with a, b and c)``."""
+    n, others = F.size(collaborators), F.array_join(F.slice(collaborators, F.lit(1), F.greatest(F.size(collaborators) - 1, F.lit(0))), ", ")
+    listed = F.when(n == 1, collaborators[0]).otherwise(F.concat(others, F.lit(" and "), F.element_at(collaborators, -1)))
+    return F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(artist, F.lit(" (with "), listed, F.lit(")"))).otherwise(artist)
+
+
+def merged_names(rows: DataFrame, by: str = "artist", name: str = "name", order: str = "page_id") -> DataFrame:
+    """(artist, names): each artist's names from all pages; names of one English spelling, or of one in another script, are one.
+
+    Each missing field is filled from the first page that has it.
+    """
+    rows = rows.select(by, order, *[F.col(f"{name}.{f}").alias(f) for f in ("eng", "non_eng", "romanized", "lit")])
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    # names that have only one of the two scripts take the other from those of the same spelling
+    both = rows.filter("eng IS NOT NULL AND non_eng IS NOT NULL")
+    pair = both.groupBy(by, F.lower("eng").alias("__e")).agg(F.min("non_eng").alias("__n"))
+    back = both.groupBy(by, F.col("non_eng").alias("__o")).agg(F.min("eng").alias("__g"))
+    filled = rows.join(pair.withColumnRenamed(by, "__b"), (F.col(by) == F.col("__b")) & (F.lower("eng") == F.col("__e")), "left").drop("__b")
+    filled = filled.join(back.withColumnRenamed(by, "__b"), (F.col(by) == F.col("__b")) & (F.col("non_eng") == F.col("__o")), "left")
+    filled = filled.select(by, order, F.coalesce("eng", "__g").alias("eng"), F.coalesce("non_eng", "__n").alias("non_eng"), "romanized", "lit")
+    one = filled.groupBy(by, F.lower("eng").alias("__e"), F.col("non_eng").alias("__n")).agg(first("eng"), first("non_eng"), first("romanized"), first("lit"))
+    return one.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("eng", "non_eng", "romanized", "lit"))).alias("names"))
+
+
+def group_edges(people: DataFrame) -> DataFrame:
+    """(group, member, sub_unit): edges of persons to their groups, from rows member, groups (array), units (array of group/unit)."""
+    own = people.select("member", F.explode("groups").alias("group"), F.lit(None).cast("string").alias("sub_unit"))
+    unit = people.select("member", F.explode("units").alias("u")).select("member", F.substring_index("u", "/", 1).alias("group"), F.substring_index("u", "/", -1).alias("sub_unit"))
+    return own.unionByName(unit).select("group", "member", "sub_unit").distinct()
+
+
+def soloist(name: Column, group: Column, override: Column | None = None) -> Column:
+    """A member's name as an album artist: an override, else ``name (group)``."""
+    plain = F.when(group.isNotNull(), F.concat(name, F.lit(" ("), group, F.lit(")"))).otherwise(name)
+    return plain if override is None else F.coalesce(override, plain)
+
+
+def entity_report(entries: DataFrame, editions: DataFrame, tracks: DataFrame, types: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """(artist, entry, type, n_editions, n_tracks), of some types, at most so many entries of an artist by year if asked."""
+    own = entries if types is None else entries.filter(F.col("type").isin(types))
+    if most is not None:
+        own = own.withColumn("__n", F.row_number().over(Window.partitionBy("artist").orderBy("year", "entry"))).filter(F.col("__n") <= most).drop("__n")
+    e = editions.groupBy("entry").agg(F.count("*").alias("n_editions"))
+    t = tracks.groupBy("entry").agg(F.count("*").alias("n_tracks"))
+    return own.select("artist", "entry", "type").join(e, "entry", "left").join(t, "entry", "left").select("artist", "entry", "type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_editions", "n_tracks")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tunelake.functions.scalar import glob_to_regex
+from tunelake.sources.catalog import checkpointed
 
 
 def sync_plan(items: DataFrame, expected: DataFrame, name: str = "name", key: str = "track_key") -> DataFrame:
@@ -79,8 +80,14 @@ def rating_offset(tracks: DataFrame, low: int, high: int, offset: int) -> DataFr
 
 
 def create(tracks: DataFrame, name: str, order: list, key: str = "key") -> DataFrame:
-    """(name, pos, track_key): a list of the tracks in order; one list is numbered in one task, so it is a listener's, not a corpus."""
-    return tracks.select(F.lit(name).alias("name"), key, *order).withColumn("pos", F.row_number().over(Window.partitionBy("name").orderBy(*order, key)) - 1).select("name", F.col("pos").cast("bigint").alias("pos"), F.col(key).alias("track_key"))
+    """(name, pos, track_key): a list of the tracks in order: sorted by ranges, then numbered by each range's own offset."""
+    ranged = checkpointed(tracks.orderBy(*order, key).select(F.col(key).alias("track_key"), F.monotonically_increasing_id().alias("__m")))
+    part, nth = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))
+    # one row for each range of the sort
+    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return ranged.join(F.broadcast(offsets), part == F.col("__p")).select(F.lit(name).alias("name"), (F.col("__before") + nth).alias("pos"), "track_key")
 
 
 def rating_sync(files: DataFrame, tracks: DataFrame, to_files: bool, below: str | None = None, since=None, until=None) -> DataFrame:
@@ -145,3 +152,69 @@ def title_tree(tracks: DataFrame) -> DataFrame:
 def kinds(lists: DataFrame) -> DataFrame:
     """The lists with ``ordered``: neither smart nor synced from outside."""
     return lists.withColumn("ordered", ~F.col("smart") & ~F.col("externally_synced"))
+
+
+#: Titles and genres that the unrated lists leave out; fixed values.
+NOT_SONGS = r"(?:^|\()(?:intro|outro)(?:$|\s|:|\))|\(inst(?:\.?|rumental)|(?:japanese|jp|karaoke|mandarin|chinese) ver(?:\.|sion)|christmas|santa|remix|snow"
+FESTIVE = "christmas|santa"
+
+
+def star_rules(prefix: str, artists: str | None = None) -> dict[str, dict]:
+    """The curated lists by stars: all tracks, each step of stars alone and from it on, and those of some artists."""
+    rules: dict[str, dict] = {f"{prefix} ALL": {}, f"{prefix} 1 Star": {"user_rating": 2}, f"{prefix} 2 Stars": {"user_rating": 4}}
+    for rating, text in ((6, "3"), (7, "3½"), (8, "4")):
+        rules[f"{prefix} {text} Stars"] = {"user_rating": rating}
+        rules[f"{prefix} {text}+ Stars"] = {"user_rating__gte": rating}
+    rules[f"{prefix} 4~4½ Stars"] = {"user_rating__gte": 8, "user_rating__lte": 9}
+    rules[f"{prefix} 4½ Stars"] = {"user_rating": 9}
+    rules[f"{prefix} 5 Stars"] = {"user_rating__gte": 10}
+    if artists:
+        rules[f"{prefix} Artists 3+ Stars"] = {"user_rating__gte": 6, "grandparent_title__iregex": artists}
+    return rules
+
+
+def songs(tracks: DataFrame, genre: str, least: int = 60_000) -> DataFrame:
+    """Unrated tracks of a genre that are songs: no interludes, instrumentals or festive ones, a minute long at least."""
+    like = lambda c, pattern: F.coalesce(F.lower(F.col(c)).rlike(pattern), F.lit(False))
+    of_genre = F.exists("genres", lambda g: F.lower(g).rlike(f"^(?:{genre})$")) & ~F.exists("genres", lambda g: F.lower(g).rlike("christmas"))
+    keep = F.coalesce(F.col("user_rating"), F.lit(0)) == 0
+    return tracks.filter(keep & F.coalesce(of_genre, F.lit(False)) & ~like("title", NOT_SONGS) & ~like("parent_title", FESTIVE) & (F.col("duration") >= least))
+
+
+def songs_of_known_artists(tracks: DataFrame, genre: str, rating: int = 6) -> DataFrame:
+    """As songs, of artists with a track that has the rating or more."""
+    known = tracks.filter(F.col("user_rating") >= rating).select("grandparent_key").distinct()
+    return songs(tracks, genre).join(known, "grandparent_key", "left_semi")
+
+
+def compare_strict(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of a whose key b doesn't have."""
+    return a.join(b.select(F.col(key).alias("__key")).distinct(), a[key] == F.col("__key"), "left_anti")
+
+
+def content(tracks: DataFrame, what) -> DataFrame:
+    """(track_key): the distinct tracks of a result set, a frame with a key, or filters."""
+    from .predicates import where
+
+    df = where(tracks, what) if isinstance(what, dict) else getattr(what, "df", what)
+    return df.select(F.col("key").alias("track_key")).distinct()
+
+
+def listed(lists: DataFrame, items: DataFrame, pattern: str = "*", ordered_only: bool = False, most: int | None = None) -> DataFrame:
+    """(name, n): lists by a shell pattern, only those in an order of their own if asked, with at most so many items."""
+    own = kinds(lists).filter(F.col("ordered") if ordered_only else F.lit(True)).select("name")
+    return matching(items.join(own, "name", "left_semi"), pattern, most)
+
+
+def details(lists: DataFrame, items: DataFrame, tracks: DataFrame) -> DataFrame:
+    """info with the list's flags and times, and how many items each codec has."""
+    t = tracks.select(F.col("key").alias("track_key"), "codec")
+    codecs = items.join(t, "track_key").groupBy("name", "codec").agg(F.count("*").alias("n"))
+    codecs = codecs.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("codec", "n")))).alias("codecs"))
+    return info(items, tracks).join(kinds(lists), "name").join(codecs, "name", "left")
+
+
+def tunes_plan(library: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, old, new, action): ratings of another player's library (rating out of 100) to set from the files' stars out of 10."""
+    both = library.select("path", F.col("rating").alias("old")).join(files.select("path", (F.col("stars") * 10).cast("int").alias("new")), "path")
+    return both.filter("new IS NOT NULL AND NOT (old <=> new)").select("path", "old", "new", F.when(F.col("old").isNull(), "insert").otherwise("update").alias("action"))

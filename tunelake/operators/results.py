@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunelake.plans.text_query import parse, resolve
-from tunelake.sources.catalog import Catalog, type_name
+from tunelake.sources.catalog import Catalog, checkpointed, type_name
 
 from . import predicates
 
@@ -39,21 +38,13 @@ def _sub(prefix: str, filters: dict) -> dict:
     return out
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows in the checkpoint folder, without their lineage."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-"))
-    return df.checkpoint()
-
-
 def _greedy(edges: DataFrame) -> DataFrame:
     """(__artist, __n): what goes if each place in order stays unless an earlier one that stays is linked to it.
 
     edges: artist, n_a, n_b with n_a before n_b.  A place that no open link reaches stays, what it is linked to goes; a round
     settles all such places at once, so there are as many rounds as the longest chain of links is deep.
     """
-    edges, gone = _cut(edges), []
+    edges, gone = checkpointed(edges), []
 
     def of(df: DataFrame, c: str) -> DataFrame:
         return df.select(F.col("artist").alias("__artist"), F.col(c).alias("__n")).distinct()
@@ -63,8 +54,8 @@ def _greedy(edges: DataFrame) -> DataFrame:
 
     while not gone or not edges.isEmpty():
         stays = met(edges, "n_a", of(edges, "n_b"), "left_anti")
-        gone.append(_cut(of(stays, "n_b")))
-        edges = _cut(met(met(edges, "n_a", gone[-1], "left_anti"), "n_b", gone[-1], "left_anti"))
+        gone.append(checkpointed(of(stays, "n_b")))
+        edges = checkpointed(met(met(edges, "n_a", gone[-1], "left_anti"), "n_b", gone[-1], "left_anti"))
     return reduce(DataFrame.union, gone)
 
 
@@ -115,9 +106,11 @@ class ResultSet:
     def with_mood(self, mood: str, has: bool = True) -> ResultSet:
         """Rows with a mood, or without it; a mood that no row has is an error when asked for."""
         held = F.coalesce(F.array_contains("moods", mood), F.lit(False))
-        if has and self.catalog.frame(self.kind).filter(held).isEmpty():
-            raise ValueError(f"unknown mood: {mood}")
-        return self._with(self.df.filter(held if has else ~held))
+        if not has:
+            return self._with(self.df.filter(~held))
+        # looked up when the rows are read, not when the plan is made
+        known = self.catalog.frame(self.kind).select(F.bool_or(held)).scalar()
+        return self._with(self.df.filter(F.when(known, held).otherwise(F.raise_error(F.lit(f"unknown mood: {mood}")).cast("boolean"))))
 
     def with_genre(self, **filters) -> ResultSet:
         """Tracks by their album's genres; other types by their own."""
@@ -203,13 +196,13 @@ class ResultSet:
         least = round(100 * threshold)
         first = self.unique()
         w = Window.partitionBy(first._artist()).orderBy(*first._best_first())
-        nodes = _cut(first.df.select("key", first._artist().alias("artist"), F.lower("title").alias("t"), F.row_number().over(w).alias("n")))
+        nodes = checkpointed(first.df.select("key", first._artist().alias("artist"), F.lower("title").alias("t"), F.row_number().over(w).alias("n")))
         spelled = nodes.filter("t IS NOT NULL").select("t").distinct().select("t", names.from_enclosed(F.col("t")).alias("name"))
-        spelled = _cut(spelled.select("t", F.struct(*[F.col(f"name.{f}").alias(f) for f in names.FIELDS]).alias("name")))
+        spelled = checkpointed(spelled.select("t", F.struct(*[F.col(f"name.{f}").alias(f) for f in names.FIELDS]).alias("name")))
         at = nodes.join(names.keyed(spelled, least).select("t", "__k", "__len"), "t")
         a, b = (at.select("artist", "__k", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "t", "__len")]) for side in "ab")
         same = a["artist"].eqNullSafe(b["artist"]) & (a["__k"] == b["__k"]) & F.expr("n_a < n_b") & names.lengths_fit(F.col("__len_a"), F.col("__len_b"), least)
-        pairs = _cut(a.join(b, same).select(a["artist"], "n_a", "n_b", F.least("t_a", "t_b").alias("x"), F.greatest("t_a", "t_b").alias("y")).distinct())
+        pairs = checkpointed(a.join(b, same).select(a["artist"], "n_a", "n_b", F.least("t_a", "t_b").alias("x"), F.greatest("t_a", "t_b").alias("y")).distinct())
         titles = pairs.select("x", "y").distinct()
         for c in "xy":
             titles = titles.join(spelled.select(F.col("t").alias(c), F.col("name").alias(f"name_{c}")), c)

@@ -56,9 +56,8 @@ def unique_values(tags: DataFrame) -> DataFrame:
 
 def profile(tags: DataFrame) -> DataFrame:
     """For each tag: values, files, distinct values, its share of all files, and values for each file that has it."""
-    total = tags.select("path").distinct().count()
     by = tags.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("path").alias("n_files"), F.count_distinct("value").alias("n_values"))
-    share = F.round(F.col("n_files") / F.lit(total), 6) if total else F.lit(None).cast("double")
+    share = F.round(F.col("n_files") / tags.select(F.count_distinct("path")).scalar(), 6)
     return by.select("tag", "n", "n_files", "n_values", share.alias("share"), F.round(F.col("n") / F.col("n_files"), 6).alias("per_file"))
 
 
@@ -141,3 +140,81 @@ def truncated(c: Column, head: int = 125, tail: int = 25) -> Column:
 def transcode_plan(files: DataFrame, bitrate: int = 256) -> DataFrame:
     """(path, action): lossless files and better lossy ones are transcoded, the rest is copied, so nothing gains bits."""
     return files.select("path", F.when(F.col("lossless") | (F.col("bitrate") > bitrate), "transcode").otherwise("copy").alias("action"))
+
+
+def leaf_folders(files: DataFrame, path: str = "path") -> DataFrame:
+    """(folder, n): folders that hold files and no folder that does."""
+    own = files.select(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("folder")).groupBy("folder").agg(F.count("*").alias("n"))
+    steps = F.split("folder", "/")
+    above = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k - 1), "/"))).alias("folder")).distinct()
+    return own.join(above, "folder", "left_anti")
+
+
+def length_text(seconds: Column) -> Column:
+    return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.format_string("%02d", (F.floor(seconds) % 60).cast("bigint")))
+
+
+def technical(files: DataFrame) -> DataFrame:
+    """(path, codec, length, bitrate, sample_rate, lossless, size) as texts, for reading."""
+    from .reports import readable_bytes
+
+    kbps, khz = F.format_string("%d Kbps", F.col("bitrate").cast("bigint")), F.format_string("%.1f kHz", F.col("sample_rate") / F.lit(1000.0))
+    return files.select("path", "codec", length_text(F.col("length")).alias("length"), kbps.alias("bitrate"), khz.alias("sample_rate"), F.when(F.col("lossless"), "yes").otherwise("no").alias("lossless"), readable_bytes(F.col("size")).alias("size"))
+
+
+COMMON = ("title", "artist", "album", "album_artist", "date", "genre", "track", "disk", "rating", "language")
+
+
+def common_row(tags: DataFrame, names: tuple[str, ...] = COMMON) -> DataFrame:
+    """One row for each file, a column for each of the common tags: its values, sorted and joined."""
+    return tags.groupBy("path").pivot("tag", list(names)).agg(F.when(F.count("value") > 0, F.array_join(F.array_sort(F.collect_list(F.trim("value"))), ";")))
+
+
+def merged_artists(wide: DataFrame) -> DataFrame:
+    """The pivoted table with artist and album artist in one column where all files agree in both."""
+    one = wide.select(F.count_if(~F.col("artist").eqNullSafe(F.col("album_artist")))).scalar() == 0
+    return wide.select(*[c for c in wide.columns if c != "album_artist"], F.when(~one, F.col("album_artist")).alias("album_artist"), one.alias("artists_agree"))
+
+
+def listing(tags: DataFrame, ids: DataFrame, tag_type: str) -> DataFrame:
+    """(path, tag_id, tag, value): each file's tags with their ids in a format, long values shortened."""
+    named = ids.filter(F.col("tag_type") == tag_type).select(F.col("name").alias("tag"), "tag_id")
+    return tags.join(F.broadcast(named), "tag", "left").select("path", "tag_id", "tag", truncated(F.col("value")).alias("value"))
+
+
+def physical_id(tags: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (path, tag_type, tag, value) with the tag's id in the file's own format; null where it has none."""
+    return tags.join(F.broadcast(ids.withColumnRenamed("name", "tag")), ["tag_type", "tag"], "left")
+
+
+def version_counts(files: DataFrame) -> DataFrame:
+    """(version, n, share) of the files with a tag version."""
+    own = files.filter("version IS NOT NULL").groupBy("version").agg(F.count("*").alias("n"))
+    return own.select("version", "n", F.round(F.col("n") / own.agg(F.sum("n")).scalar(), 6).alias("share"))
+
+
+def processed(files: DataFrame) -> DataFrame:
+    """(kind, value) of what a scan met: its albums, artists, and the files with an error."""
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value"))
+    failed = F.struct(F.lit("error").alias("kind"), F.when(F.col("error").isNotNull(), F.concat_ws(": ", "path", "error")).alias("value"))
+    return files.select(F.explode(F.array(pair("album", "album"), pair("artist", "artist"), failed)).alias("x")).select("x.*").filter("value IS NOT NULL").distinct()
+
+
+def album_length(tracks: DataFrame, by: str, seconds: str = "length") -> DataFrame:
+    return tracks.groupBy(by).agg(F.sum(seconds).alias("seconds"))
+
+
+def remove_plan(tags: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(path, tag, removed): what goes from each file, all tags by default, with the number of its values."""
+    own = tags if names is None else tags.filter(F.col("tag").isin(names))
+    return own.groupBy("path", "tag").agg(F.count("*").alias("removed"))
+
+
+def copy_plan(source: DataFrame, target: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(disk, num, tag, old, new): tags to take over from another album's track of the same disk and number."""
+    own = source if names is None else source.filter(F.col("tag").isin(names))
+    at = ["disk", "num", "tag"]
+    joined = lambda df, c: df.groupBy(*at).agg(F.array_join(F.array_sort(F.collect_set("value")), ";").alias(c))
+    there = target.select("disk", "num").distinct()
+    both = joined(own, "new").join(joined(target, "old"), at, "left").join(there, ["disk", "num"], "left_semi")
+    return both.filter("NOT (old <=> new)").select(*at, "old", "new")

@@ -7,6 +7,7 @@ filters and column pruning reach the Parquet scans.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -100,3 +101,13 @@ def playlist_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def from_star(spark: SparkSession, sf_dir: str) -> Catalog:
     made = {"artist": artists, "album": albums, "track": tracks, "playlist_item": playlist_items}
     return Catalog({k: (lambda f=f: f(spark, sf_dir)) for k, f in made.items()})
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the checkpoint folder, without their lineage; on one machine a temporary folder will do."""
+    sc = df.sparkSession.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-"))
+    return df.checkpoint()
