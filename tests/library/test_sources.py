@@ -66,3 +66,28 @@ def test_rating_stream(spark, tmp_path):
     plan = ratings.run_plan(ratings.changes(spark, f"{tmp_path}/in"), tracks, f"{tmp_path}/out", f"{tmp_path}/ck")
     plan.awaitTermination(120)
     assert [tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/out").select("path", "file_stars", "rating").collect()] == [("b", 5, 6)]
+
+
+def test_playlists_by_content_and_in_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    import pytest
+
+    items = spark.createDataFrame([("p", 0, 3), ("p", 1, 2), ("q", 0, 3)], "name string, pos long, track_key long")
+    playlist_files.write_json(items, f"{tmp_path}/j")
+    playlist_files.write_xml(items, f"{tmp_path}/x", "none")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(items)
+    assert playlist_files.kind_of(spark, f"{tmp_path}/j") == "json" and playlist_files.kind_of(spark, f"{tmp_path}/x") == "xml"
+    assert rows(playlist_files.read_any(spark, f"{tmp_path}/j")) == want == rows(playlist_files.read_any(spark, f"{tmp_path}/x"))
+    with tarfile.open(f"{tmp_path}/lists.tgz", "w:gz") as tar:
+        for r in playlist_files.as_rows(items).toJSON().collect():
+            data = r.encode()
+            info = tarfile.TarInfo(f"{len(data)}.json")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    assert rows(playlist_files.read_archives(spark, f"{tmp_path}/lists.tgz")) == want
+    spark.createDataFrame([("plain",)], "value string").write.text(f"{tmp_path}/t")
+    with pytest.raises(ValueError):
+        playlist_files.kind_of(spark, f"{tmp_path}/t")

@@ -67,3 +67,37 @@ def intro_names(c: Column) -> Column:
     known = F.split(F.regexp_extract(first, r"(?i)(?:also|better) known as\s+(.+?)(?:\)|,|\s+(?:is|are|was|were)\s|$)", 1), r"\s+or\s+")
     names = F.transform(F.concat(F.array(subject), inside, known), lambda x: F.trim(F.translate(x, "'\"()", "")))
     return F.array_distinct(F.filter(names, lambda x: (x != "") & ~x.rlike("(?i)^(?:also|better) known as")))
+
+
+STATION = r"(?i)\s*(?:-|\bX)\s*SM STATION\s*$"
+NETWORK = r"(?i)[\[(]\s*((?:KBS|MBC|SBS|tvN|JTBC|OCN|MBN|ENA|EBS)[0-9]?\b[^\[\]()]*)[\])]"
+TOGETHER = r"(?i)[\[(]\s*with\.?\s+([^\])]+)[\])]"
+REMASTER = r"(?i)[\[(]?\s*\bremaster(?:ed)?\b[^\[\]()]*[\])]?"
+
+
+def album_name(c: Column) -> Column:
+    """All that a title says, a struct of 16 fields: those of :func:`parse_album` and sm_station, remastered, network_info,
+    part_name, collabs, song_name; name is the English or only part, and other_name what is enclosed beside it."""
+    station, network = c.rlike(STATION), _first(c, NETWORK)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, STATION, ""), NETWORK, ""), TOGETHER, ""), REMASTER, "")
+    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    part_name = _first(bare, r"(?i)\bpart\.?\s*[0-9]+\s*(?:[-:]\s*|[\[(])\s*([^\[\]()]+?)\s*[\])]?\s*$")
+    bare = F.trim(F.when(part_name.isNotNull(), F.regexp_replace(bare, r"(?i)(\bpart\.?\s*[0-9]+)\s*(?:[-:]\s*|[\[(]).*$", "$1")).otherwise(bare))
+    p = parse_album(bare)
+    both = r"^(.*?)\s*[\[(]([^\[\]()]+)[\])]\s*$"
+    outer, inner = _first(p["name"], both, 1), _first(p["name"], both, 2)
+    together = F.filter(F.split(F.coalesce(_first(c, TOGETHER), F.lit("")), r"\s*(?:,|&)\s*"), lambda x: x != "")
+    song = F.when(p["ost"], _first(bare, OST + r"(?:\s*-?\s*part\.?\s*[0-9]+)?\s*[\[(]([^\[\]()]+)[\])]\s*$"))
+    kept = ("num", "type", "edition", "version", "remix", "feat", "ost", "part", "repackage")
+    return F.struct(
+        F.coalesce(outer, p["name"]).alias("name"), inner.alias("other_name"), *[p[f].alias(f) for f in kept], station.alias("sm_station"),
+        c.rlike(r"(?i)\bremaster").alias("remastered"), network.alias("network_info"), part_name.alias("part_name"), together.alias("collabs"), song.alias("song_name"),
+    )
+
+
+def ordered_parts(parts: Column) -> Column:
+    """A name's parts: the English ones first, then those in other scripts, mixed ones last, each in their order."""
+    latin, other = (lambda x: x.rlike(r"\p{IsLatin}")), (lambda x: x.rlike(r"[\p{L}&&[^\p{IsLatin}]]"))
+    rank = lambda x: F.when(latin(x) & other(x), 2).when(other(x), 1).otherwise(0)
+    ranked = F.array_sort(F.transform(parts, lambda x, i: F.struct(rank(x).alias("r"), i.alias("i"), x.alias("x"))))
+    return F.transform(ranked, lambda s: s["x"])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tunelake.functions import names, text
+from tunelake.functions import albums as titles, names, text
 from tunelake.operators import matching, pages, playlists, reports, tags
 from tunelake.queries import ITEMS, TAGS, TRACK, _tags, query
+from tunelake.operators.results import ResultSet
+from tunelake.plans import update
 from tunelake.sources import catalog
-from tunelake.sources.catalog import star
+from tunelake.sources.catalog import from_star, star
 
 #: Line items as media streams, orders as media items; customers as movies, episodes and tracks below nations and regions.
 SERVER = """streams AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS media_item_id, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS stream_type_id,
@@ -106,7 +108,7 @@ def duration_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 FILES = """files AS (SELECT '/m/' || o_custkey || '/' || o_orderkey AS folder, '/m/' || o_custkey || '/' || o_orderkey || '/' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '.flac' AS path, CASE WHEN l_linestatus = 'O' THEN 'flac' ELSE 'mp3' END AS codec,
-  l_quantity * 11 AS length, l_linestatus = 'O' AS lossless, CAST(l_extendedprice AS BIGINT) AS size, l_partkey, o_orderkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+  l_quantity * 11 AS length, l_linestatus = 'O' AS lossless, CAST(round(l_extendedprice) AS BIGINT) AS size, l_partkey, o_orderkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -360,3 +362,26 @@ def enclosed_modes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, p_name AS stripped, p_name || ' (' || p_brand || ') (Live)' AS combined FROM part")
 def enclosed_combine(spark: SparkSession, d: str) -> DataFrame:
     return star(spark, d, "part").select("p_partkey", text.strip_unpaired_udf(F.concat("p_name", F.lit(")"))).alias("stripped"), text.combine_with_parens_udf(F.expr("array(concat(p_name, ' (Live)'), concat(p_brand, ' (Live)'))")).alias("combined"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'The ' || p_name WHEN 1 THEN p_name WHEN 2 THEN p_name WHEN 3 THEN p_name WHEN 4 THEN p_name ELSE p_name END AS name, CASE WHEN p_partkey % 6 = 1 THEN '가' END AS other_name, CASE WHEN p_partkey % 6 = 0 THEN '1st Album' END AS num, p_partkey % 6 = 2 AS sm_station, p_partkey % 6 = 3 AS remastered, CASE WHEN p_partkey % 6 = 4 THEN 'KBS2 Drama' END AS network_info, CASE WHEN p_partkey % 6 = 4 THEN 3 END AS part, CASE WHEN p_partkey % 6 = 5 THEN ['a', 'b'] ELSE [] END AS collabs, p_partkey % 6 = 4 AS ost FROM part")
+def album_name_fields(spark: SparkSession, d: str) -> DataFrame:
+    c = F.expr("CASE p_partkey % 6 WHEN 0 THEN concat('The ', p_name, ' [1st Album]') WHEN 1 THEN concat(p_name, ' (가)') WHEN 2 THEN concat(p_name, ' - SM STATION') WHEN 3 THEN concat(p_name, ' (Remastered 2010)') WHEN 4 THEN concat(p_name, ' (KBS2 Drama) OST Part.3') ELSE concat(p_name, ' (with a & b)') END")
+    return star(spark, d, "part").select("p_partkey", titles.album_name(c).alias("a")).select("p_partkey", *[f"a.{f}" for f in ("name", "other_name", "num", "sm_station", "remastered", "network_info", "part", "collabs", "ost")])
+
+
+@query("SELECT p_partkey, [p_name, p_brand, '한', '가', 'z한'] AS parts FROM part")
+def name_part_order(spark: SparkSession, d: str) -> DataFrame:
+    return star(spark, d, "part").select("p_partkey", titles.ordered_parts(F.array(F.lit("z한"), F.lit("한"), "p_name", F.lit("가"), "p_brand")).alias("parts"))
+
+
+@query("SELECT p_partkey AS path, CASE WHEN p_partkey = 7 THEN 'Seven' WHEN p_partkey % 2 = 0 THEN p_name || ' (feat. x, y)' ELSE p_name END AS title, p_type AS album, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ' (with x and y)' ELSE p_brand END AS artist, CASE p_partkey % 3 WHEN 0 THEN 'K-Pop' WHEN 1 THEN 'J-Pop' END AS genre FROM part")
+def album_info_from_match(spark: SparkSession, d: str) -> DataFrame:
+    m = star(spark, d, "part").selectExpr("p_partkey AS path", "p_name AS name", "concat(p_type, ' ') AS album", "p_brand AS artist", "IF(p_partkey % 2 = 0, array('x', 'y'), array()) AS collaborators", "CASE p_partkey % 3 WHEN 0 THEN 'Korean' WHEN 1 THEN 'Japanese' ELSE 'English' END AS language", "1 AS disk", "p_size AS num")
+    own = spark.range(1).selectExpr("7L AS path", "'title' AS field", "'Seven' AS value")
+    return update.overridden(update.album_info(m), own).select("path", "title", "album", "artist", "genre")
+
+
+@query("SELECT key, title, index, parent_year, duration, user_rating FROM track WHERE user_rating = 10", TRACK)
+def track_table(spark: SparkSession, d: str) -> DataFrame:
+    return ResultSet.new(from_star(spark, d), "track", user_rating=10).table().select("key", "title", "index", "parent_year", "duration", "user_rating")

@@ -24,6 +24,14 @@ LINKS = {
     ("episode", "show"): ("grandparent_key", "key"),
     ("episode", "season"): ("parent_key", "key"),
 }
+#: The columns of a listing by type.
+SHOWN = {
+    "track": ("key", "grandparent_title", "parent_title", "parent_year", "index", "title", "duration", "user_rating", "view_count"),
+    "album": ("key", "parent_title", "title", "year", "originally_available_at", "leaf_count", "genres"),
+    "artist": ("key", "title", "genres", "countries", "user_rating"),
+    "playlist": ("name", "smart", "added_at", "updated_at"),
+    "episode": ("key", "grandparent_title", "parent_title", "index", "title"),
+}
 SORTS = {"track": ("grandparent_key", "parent_key", "index", "key"), "album": ("parent_key", "year", "title", "key"), "artist": ("title", "key")}
 
 
@@ -248,3 +256,17 @@ class ResultSet:
 
     def count(self) -> int:
         return self.df.count()
+
+    def __len__(self) -> int:
+        return self.count()
+
+    def __bool__(self) -> bool:
+        return not self.df.isEmpty()
+
+    def __iter__(self):
+        """The rows, streamed a partition at a time."""
+        return self.df.toLocalIterator()
+
+    def table(self) -> DataFrame:
+        """The columns that a listing of this type shows, those of them that the frame has."""
+        return self.df.select(*[c for c in SHOWN.get(self.kind, ("key", "title")) if c in self.df.columns])

@@ -58,3 +58,30 @@ def zip_files(files: DataFrame, tracks: DataFrame, by: str) -> DataFrame:
     x = place(files).withColumn("__n", F.count("*").over(w)).filter("__n = 1").select(by, "__d", "num", "path")
     y = place(tracks).withColumn("__n", F.count("*").over(w)).filter("__n = 1").select(by, "__d", "num", "track")
     return x.join(y, [by, "__d", "num"]).select(by, "path", "track")
+
+
+#: Languages whose albums have a genre of their own; fixed values.
+POP = ("Chinese", "Japanese", "Korean", "Mandarin")
+
+
+def album_info(matched: DataFrame, titles: str = "both", keep_genre: bool = True) -> DataFrame:
+    """(path, title, album, artist, genre, disk, num) of matched files: what their tags should say.
+
+    matched: path, name, album, artist, collaborators (array), language, disk, num.  titles: where collaborators go, ``title``,
+    ``artist`` or ``both``.
+    """
+    from tunelake.operators.pages import artist_name
+
+    some = F.size("collaborators") > 0
+    others = F.concat(F.lit(" (feat. "), F.array_join("collaborators", ", "), F.lit(")"))
+    title = F.concat("name", F.when(some, others).otherwise("")) if titles in ("title", "both") else F.col("name")
+    artist = artist_name(F.col("artist"), F.col("collaborators")) if titles in ("artist", "both") else F.col("artist")
+    genre = F.when(F.col("language").isin(*POP), F.concat(F.substring("language", 1, 1), F.lit("-Pop"))) if keep_genre else F.lit(None).cast("string")
+    return matched.select("path", title.alias("title"), F.trim("album").alias("album"), artist.alias("artist"), genre.alias("genre"), "disk", "num")
+
+
+def overridden(info: DataFrame, overrides: DataFrame, key: str = "path") -> DataFrame:
+    """The records with what a table of overrides (key, field, value) says instead."""
+    named = overrides.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("__o"))
+    met = info.join(named, key, "left")
+    return met.select(*[c if c == key else F.coalesce(F.try_element_at("__o", F.lit(c)).cast(t), F.col(c)).alias(c) for c, t in info.dtypes])

@@ -54,3 +54,36 @@ def itunes_tracks(lines: DataFrame, column: str = "value") -> DataFrame:
     """(name, artist, rating) from the key/value pairs of a plist's track dicts; ratings of 0-100 become 0-10."""
     value = lambda k, t: F.nullif(F.regexp_extract(column, rf"<key>{k}</key>\s*<{t}>(.*?)</{t}>", 1), F.lit(""))
     return lines.select(value("Name", "string").alias("name"), value("Artist", "string").alias("artist"), (value("Rating", "integer").cast("int") / 10).cast("int").alias("rating")).filter("name IS NOT NULL")
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """``xml`` or ``json``, by the first character that the file or folder holds."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    if first is None or first.c not in "<{[":
+        raise ValueError(f"neither XML nor JSON: {path}")
+    return "xml" if first.c == "<" else "json"
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """The items of playlists in either format, plain or compressed."""
+    return (read_xml if kind_of(spark, path) == "xml" else read_json)(spark, path)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The items of playlists in tar archives of JSON files; an archive is read in one task, archives in parallel."""
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+        import tarfile
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                with tarfile.open(fileobj=io.BytesIO(batch.column(0)[k].as_py())) as tar:
+                    for member in tar:
+                        if member.isfile():
+                            lines = [x for x in tar.extractfile(member).read().decode().splitlines() if x.strip()]
+                            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string")
+    return as_items(lines.select(F.from_json("line", ROW).alias("r")).select("r.name", "r.items"))
