@@ -47,6 +47,11 @@ def test_personal_data(edge, empty):
     spans = {r["i"]: r["spans"] for r in got}
     assert spans[10] == "iban:5:32" and spans[12] == "ssn:4:15" and spans[11] == "email:0:5,email:5:11"
     assert pii.report(empty).count() == 0
+    texts = ["123-45-6789 is my SSN", "lessn 123-45-6789", "ip 1.2.3.4", "ship 1.2.3.4", "x" * 3000 + " ssn " + "y" * 36 + "123-45-6789", "x" * 3000 + " ssn " + "y " * 18 + "123-45-6789", "social security: \U0001f600 123-45-6789", "1.2.3.4" + " " * 40 + "host"]
+    got = pii.report(edge.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.scores for r in got] == ["ssn:0:0.80", "", "ip:3:0.80", "ip:5:0.60", "", "ssn:3041:0.80", "ssn:19:0.80", "ip:0:0.60"]
+    many = edge.sparkSession.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("a@b.cd "), 25_000).alias("text"))
+    assert pii.report(many).first().n_email == 25_000
     clean = {r["doc_id"]: r for r in rows_of(pii.redacted(edge))}
     assert clean[9]["text"] == "card [CARD] not 4111 1111 1111 1112" and clean[9]["n_chars"] == len(clean[9]["text"])
     assert clean[0]["text"] is None and clean[16]["text"] == edge.filter("doc_id = 16").first().text

@@ -2,13 +2,15 @@
 
 Everything is DataFrame expressions.  Kinds, in order: email, ip, card, phone (the base kinds: a match that passes its
 check is a span whatever its score), then iban (mod-97) and ssn, which are reported when their score reaches ``ACCEPT``.
-A score is the kind's prior, raised by a checksum and by a context word within ``NEAR`` characters before the span.
+A score is the kind's prior, raised by a checksum and by a context word, whole, within ``NEAR`` characters before or after
+the span.
 
 Matches are leftmost and don't overlap within a kind; spans of different kinds may.  Offsets are code points, the end is
 exclusive.  The patterns are written so that they match what the plain forms match, in linear time on any text: runs are
 possessive, and an email may only start where its run of characters starts or where the match before it ended.
 
-Null and empty texts have no spans.  Rows are independent, so repeated rows give equal rows; an empty table gives an empty
+Null and empty texts have no spans.  A text may have any length and any number of spans: places come from sums by blocks and
+context from pieces of ``CHUNK`` characters, so the work doesn't grow with the square of either.  Rows are independent, so repeated rows give equal rows; an empty table gives an empty
 result.  Result columns replace input columns of the same name.
 """
 
@@ -21,6 +23,7 @@ from .common import let
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 NEAR = 40
+CHUNK = 1024
 ACCEPT = 0.5
 LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -110,22 +113,36 @@ def found(text: Column, kind: str) -> Column:
     """The kind's spans in a text."""
     prior, check, near, words = SCORES[kind]
 
-    def span(x: Column) -> Column:
-        start, m = x["start"], x["match"]
-        before = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
-        score = F.lit(prior + check) + F.when(before.rlike(words), F.lit(near)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score"))
-
-    def alone(x: Column) -> Column:
+    def part(chunks: Column, at: Column, n: int) -> Column:
+        """n characters from a place on, read from the pieces that hold them."""
+        k = (at / CHUNK).cast("int")
+        return F.substring(F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit(""))), at - k * CHUNK + 1, F.lit(n))
+
+    def span(chunks: Column, x: Column) -> Column:
+        start, end = x["start"], x["start"] + F.length(x["match"])
+        # one character more on the far side tells whether a word is whole
+        before = F.when(start > NEAR, part(chunks, start - NEAR - 1, NEAR + 1)).otherwise(F.concat(F.lit(" "), F.substring(part(chunks, F.lit(0), NEAR), F.lit(1), start)))
+        after = F.concat(part(chunks, end, NEAR + 1), F.lit(" "))
+        context = F.lower(before).rlike(f"[^a-z](?:{words})(?:[^a-z]|$)") | F.lower(after).rlike(f"(?:^|[^a-z])(?:{words})[^a-z]")
+        score = F.lit(prior + check) + F.when(context, F.lit(near)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
+
+    def alone(chunks: Column, x: Column) -> Column:
         """Neither the character before nor the one after is a letter or digit."""
-        end = x["start"] + F.length(x["match"])
-        return ~F.substring(text, F.greatest(x["start"], F.lit(1)), F.when(x["start"] > 0, 1).otherwise(0)).rlike("[A-Za-z0-9]") & ~F.substring(text, end + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+        before = F.when(x["start"] > 0, part(chunks, x["start"] - 1, 1)).otherwise("")
+        return ~before.rlike("[A-Za-z0-9]") & ~part(chunks, x["start"] + F.length(x["match"]), 1).rlike("[A-Za-z0-9]")
+
+    def spans(matches: Column) -> Column:
+        def of(chunks: Column) -> Column:
+            if kind in BASE:
+                return F.transform(matches, lambda x: span(chunks, x))
+            return F.filter(F.transform(F.filter(matches, lambda x: alone(chunks, x)), lambda x: span(chunks, x)), lambda s: s["score"] >= ACCEPT)
+
+        return F.when(F.size(matches) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), of)).otherwise(none)
 
-    good = F.filter(located(text, PATTERNS[kind]), lambda x: valid(kind, x["match"]) & (F.lit(True) if kind in BASE else alone(x)))
-    spans = F.transform(good, span)
-    if kind not in BASE:
-        spans = F.filter(spans, lambda s: s["score"] >= ACCEPT)
-    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    none = F.expr(f"cast(array() as {SPANS})")
+    good = F.filter(located(text, PATTERNS[kind]), lambda x: valid(kind, x["match"]))
+    return F.when(text.rlike(NEEDS[kind]), let(good, spans)).otherwise(none)
 
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, name: str = "spans") -> DataFrame:
@@ -136,13 +153,13 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, n
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: id, counts of the base kinds, the digest of the base spans, and all spans as text."""
+    """One row for each document: id, counts of the base kinds, the digest of the base spans, all spans as text, and their scores."""
     every = detect(docs, text, [id_col], "__spans")
     mark = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("__spans", lambda s: s["kind"].isin(*BASE))
     of = lambda kind: lambda s: s["kind"] == kind
     count = [F.size(F.filter("__spans", of(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return every.select(id_col, *count, F.sha2(F.array_join(F.transform(base, mark), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("__spans", mark), ",").alias("spans"))
+    return every.select(id_col, *count, F.sha2(F.array_join(F.transform(base, mark), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("__spans", mark), ",").alias("spans"), F.array_join(F.transform("__spans", lambda s: F.concat_ws(":", s["kind"], s["start"], F.format_string("%.2f", s["score"]))), ",").alias("scores"))
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -176,14 +193,15 @@ def _oracle() -> str:
         "ssn": PATTERNS["ssn"],
     }
     kinds = "\n  UNION ALL ".join(f"SELECT r, {o} AS o, '{k}' AS kind, t, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for o, (k, p) in enumerate(plain.items()))
-    near = " OR ".join(f"kind = '{k}' AND regexp_matches(before, '{SCORES[k][3]}')" for k in ("iban", "ssn"))
+    near = " OR ".join(f"kind = '{k}' AND (regexp_matches(before, '[^a-z](?:{words})(?:[^a-z]|$)') OR regexp_matches(after, '(?:^|[^a-z])(?:{words})[^a-z]'))" for k, (_, _, _, words) in SCORES.items())
+    score = " ".join(f"WHEN '{k}' THEN {prior + check!r}::DOUBLE + CASE WHEN near THEN {bonus!r}::DOUBLE ELSE 0 END" for k, (prior, check, bonus, _) in SCORES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 k AS (
   {kinds}),
 e AS (SELECT r, o, kind, t, unnest(m) AS s, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
 p AS (SELECT *, CAST(sum(length(gap)) OVER w + sum(length(s)) OVER w - length(s) AS BIGINT) AS a FROM e WINDOW w AS (PARTITION BY r, o ORDER BY i)),
-q AS (SELECT *, a + length(s) AS z, lower(substr(t, CAST(greatest(a - {NEAR}, 0) + 1 AS BIGINT), CAST(least(a, {NEAR}) AS BIGINT))) AS before,
+q AS (SELECT *, a + length(s) AS z, lower(CASE WHEN a > {NEAR} THEN substr(t, a - {NEAR}, {NEAR + 1}) ELSE ' ' || substr(t, 1, a) END) AS before, lower(substr(t, a + length(s) + 1, {NEAR + 1}) || ' ') AS after,
         regexp_replace(s, '[^0-9]', '', 'g') AS digits, replace(s, ' ', '') AS tight,
         CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END || substr(t, a + length(s) + 1, 1) AS around FROM p),
 ok AS (SELECT *, ({near}) AS near FROM q WHERE CASE kind
@@ -196,9 +214,10 @@ ok AS (SELECT *, ({near}) AS near FROM q WHERE CASE kind
        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda x, y: CASE WHEN y > 9 THEN (x * 100 + y) % 97 ELSE (x * 10 + y) % 97 END) = 1
   ELSE NOT regexp_matches(around, '[A-Za-z0-9]') AND NOT regexp_matches(s, '^(?:000|666|9)|-00-|-0000$') END),
 f AS (SELECT r, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p,
-        string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) FILTER (o < 4) AS b, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) AS s
-      FROM ok WHERE o < 5 OR near GROUP BY r)
-SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+        string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) FILTER (o < 4) AS b, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) AS s,
+        string_agg(kind || ':' || a || ':' || printf('%.2f', score), ',' ORDER BY o, a) AS c2
+      FROM (SELECT *, CASE kind {score} END AS score FROM ok) WHERE o < 4 OR score >= {ACCEPT} GROUP BY r)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(c2, '') AS scores
 FROM d LEFT JOIN f USING (r)"""
 
 
