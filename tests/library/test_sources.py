@@ -38,8 +38,8 @@ def test_result_sets_dont_mix(spark):
         ResultSet.new(c, "track") - 3
     with pytest.raises(ValueError):
         ResultSet.new(c, "tracks").page(0)
-    with pytest.raises(ValueError):
-        ResultSet.new(c, "track", mood="nowhere")
+    with pytest.raises(Exception, match="unknown mood: nowhere"):
+        ResultSet.new(c, "track", mood="nowhere").df.collect()  # known when the rows are read
 
 
 def test_tags_of_files(spark):

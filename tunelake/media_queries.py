@@ -378,7 +378,7 @@ def name_part_order(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey AS path, CASE WHEN p_partkey = 7 THEN 'Seven' WHEN p_partkey % 2 = 0 THEN p_name || ' (feat. x, y)' ELSE p_name END AS title, p_type AS album, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ' (with x and y)' ELSE p_brand END AS artist, CASE p_partkey % 3 WHEN 0 THEN 'K-Pop' WHEN 1 THEN 'J-Pop' END AS genre FROM part")
 def album_info_from_match(spark: SparkSession, d: str) -> DataFrame:
     m = star(spark, d, "part").selectExpr("p_partkey AS path", "p_name AS name", "concat(p_type, ' ') AS album", "p_brand AS artist", "IF(p_partkey % 2 = 0, array('x', 'y'), array()) AS collaborators", "CASE p_partkey % 3 WHEN 0 THEN 'Korean' WHEN 1 THEN 'Japanese' ELSE 'English' END AS language", "1 AS disk", "p_size AS num")
-    own = spark.range(1).selectExpr("7L AS path", "'title' AS field", "'Seven' AS value")
+    own = star(spark, d, "part").filter("p_partkey = 7").selectExpr("p_partkey AS path", "'title' AS field", "'Seven' AS value")
     return update.overridden(update.album_info(m), own).select("path", "title", "album", "artist", "genre")
 
 
