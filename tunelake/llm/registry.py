@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, lm, phrases, pieces, pii, quality, rules, sharding, simhash, toxicity, urls
+from . import decontam, dialogs, licenses, lm, phrases, pieces, pii, quality, rules, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogs.report(table(spark, sf_dir, "conversations"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -78,9 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_rules": op9,
         "op10_toxicity": op10,
         "op11_url_filters": op11,
+        "op12_conversations": op12,
         "op13_phrases": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.ORACLE, "op2_decontamination": decontam.ORACLE, "op4_licenses": licenses.ORACLE, "op11_url_filters": urls.ORACLE, "op13_phrases": phrases.ORACLE}
+    return {"op1_pii": pii.ORACLE, "op2_decontamination": decontam.ORACLE, "op4_licenses": licenses.ORACLE, "op11_url_filters": urls.ORACLE, "op12_conversations": dialogs.ORACLE, "op13_phrases": phrases.ORACLE}
