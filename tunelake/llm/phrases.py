@@ -11,7 +11,7 @@ are summed across shards, phrases with fewer than ``min_count`` occurrences go,
 parts of a phrase that are one word shorter must be.  Tasks test that with a bitmap of 2**``bits`` places for each length, of
 fixed size whatever the corpus: a place that is shared lets a phrase through to the exact sums, none is ever lost.
 
-Words are known across shards by XXH64 of language and word; two words of one id raise an error instead of a wrong sum.
+Words are known across shards by XXH64 of language and word; two frequent words of one id raise an error.
 A phrase that lies in a longer candidate with at least ``share`` percent of its count is dropped; as counts fall with length,
 the candidates one word longer decide.  Products are decimals of 38 digits, exact for counts below 10**16.
 
@@ -22,6 +22,7 @@ overlap that a shard of weight -1 takes back.  Ties go by count, then phrase.  O
 
 from __future__ import annotations
 
+import copy
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ SHARE = 50
 TOP = 2000
 SHARD_WORDS = 1 << 20
 CHUNK_BYTES = 4 << 20
+PART = 1 << 17
 BITS = 26
 MARK = b"\xff"
 #: A-Z become a-z, a tab a blank, and every byte that ends a piece one that no UTF-8 text holds.
@@ -128,6 +130,15 @@ class Phrases:
         self.at = [self.start[1:-1], self.start[1:-1]]
         self.size = np.diff(self.start)[1:]
 
+    def parts(self, limit: int = PART) -> Iterator[Phrases]:
+        """The phrases in parts that occur about so often together: each can be extended by itself, in bounded memory."""
+        nth = np.cumsum(self.size) // limit
+        for own in np.split(np.arange(len(nth)), np.flatnonzero(np.diff(nth)) + 1):
+            part = copy.copy(self)
+            part.at = list(self.at)
+            part.keep(own)
+            yield part
+
     def keep(self, which: np.ndarray) -> None:
         self.words, self.at, self.size = self.words[which], [a[which] for a in self.at], self.size[which]
 
@@ -242,10 +253,10 @@ def words(own: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["ids"], np.int64)), pa.array(n), pa.array([r["lang"]] * len(n), pa.string()), pa.array(vocabulary, pa.binary()).cast(pa.string())], ["w0", "n", "lang", "say"])
 
     rows = own.select("lang", "weight", "vocabulary", "ids", "counts").mapInArrow(run, "w0 bigint, n bigint, lang string, say string")
-    it = F.struct("lang", "say")
-    summed = rows.groupBy("w0").agg(F.sum("n").alias("f"), F.min(it).alias("a"), F.max(it).alias("b")).filter(F.col("f") >= min_count)
-    one = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.lit("two words share an id")))
-    return common.written(summed.select("w0", "f", one.alias("a")).select("w0", "f", "a.lang", "a.say"))
+    found = common.written(rows.groupBy("w0", "lang", "say").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
+    if found.groupBy("w0").count().filter("count > 1").head(1):
+        raise ValueError("two frequent words share an id")
+    return found
 
 
 def grams(own: DataFrame, k: int, maps: list, min_count: int = MIN_COUNT) -> DataFrame:
@@ -255,15 +266,15 @@ def grams(own: DataFrame, k: int, maps: list, min_count: int = MIN_COUNT) -> Dat
         for batch in batches:
             for r in batch.to_pylist():
                 ids = np.r_[np.zeros(1, np.uint64), np.frombuffer(r["ids"], np.uint64)]
-                found = Phrases(*(np.frombuffer(r[c], t) for c, t in (("counts", np.int64), ("left", np.uint64), ("right", np.uint64))))
-                for j in range(1, k):
-                    found.keep(known(maps[j - 1].value, ids[found.words]))
-                    found.extend(j % 2)
-                own = ids[found.words]
-                # what it was extended from is frequent; so must the part at its other end be
-                kept = known(maps[k - 2].value, own[:, 1:] if k % 2 == 0 else own[:, :-1])
-                columns = [pa.array(np.ascontiguousarray(own[kept, j]).view(np.int64)) for j in range(k)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array((found.size[kept] * r["weight"]).astype(np.int32))], [*[f"w{j}" for j in range(k)], "n"])
+                for found in Phrases(*(np.frombuffer(r[c], t) for c, t in (("counts", np.int64), ("left", np.uint64), ("right", np.uint64)))).parts():
+                    for j in range(1, k):
+                        found.keep(known(maps[j - 1].value, ids[found.words]))
+                        found.extend(j % 2)
+                    own = ids[found.words]
+                    # what it was extended from is frequent; so must the part at its other end be
+                    kept = known(maps[k - 2].value, own[:, 1:] if k % 2 == 0 else own[:, :-1])
+                    columns = [pa.array(np.ascontiguousarray(own[kept, j]).view(np.int64)) for j in range(k)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array((found.size[kept] * r["weight"]).astype(np.int32))], [*[f"w{j}" for j in range(k)], "n"])
 
     names = [f"w{j}" for j in range(k)]
     rows = own.select("weight", "ids", "counts", "left", "right").mapInArrow(run, ", ".join(f"{c} bigint" for c in names) + ", n int")
