@@ -38,9 +38,11 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 SHARE = 50
 TOP = 2000
-SHARD_WORDS = 1 << 20
-CHUNK_BYTES = 4 << 20
+SHARD_WORDS = 1 << 19
+CHUNK_BYTES = 1 << 20
 PART = 1 << 17
+#: Row groups of a few shards, so that a task that reads them needn't hold many.
+GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "2"}
 BITS = 26
 MARK = b"\xff"
 #: A-Z become a-z, a tab a blank, and every byte that ends a piece one that no UTF-8 text holds.
@@ -48,7 +50,7 @@ PIECES = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?" or 10 <= b <=
 
 
 def tokens(text: bytes | None) -> Iterator[list[bytes]]:
-    """The words of a text, with a mark at each piece's end, in lists of a few megabytes that end with a piece where they can."""
+    """The words of a text, with a mark at each piece's end, in lists of about a megabyte of text that end with a piece where they can."""
     text, at = (text or b"").translate(PIECES), 0
     while at < len(text):
         end = len(text)
@@ -239,7 +241,7 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int =
         for key in list(open_):
             yield from done(key)
 
-    return common.written(source.mapInArrow(run, schema))
+    return common.written(source.mapInArrow(run, schema), **GROUPS)
 
 
 def words(own: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -247,7 +249,8 @@ def words(own: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 vocabulary = r["vocabulary"].split(b" ")
                 n = np.frombuffer(r["counts"], np.int64)[1:] * r["weight"]
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["ids"], np.int64)), pa.array(n), pa.array([r["lang"]] * len(n), pa.string()), pa.array(vocabulary, pa.binary()).cast(pa.string())], ["w0", "n", "lang", "say"])
