@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import common
-from .decontam import Ranks
+from .ranks import Ranks
 
 MIN_COUNT = 10
 MAX_WORDS = 3
 SHARE = 50
 TOP = 2000
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 CHUNK_BYTES = 1 << 20
 PART = 1 << 17
 #: Row groups of a few shards, so that a task that reads them needn't hold many.
@@ -267,7 +267,8 @@ def grams(own: DataFrame, k: int, maps: list, min_count: int = MIN_COUNT) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for row in range(batch.num_rows):
+                r = batch.slice(row, 1).to_pylist()[0]
                 ids = np.r_[np.zeros(1, np.uint64), np.frombuffer(r["ids"], np.uint64)]
                 for found in Phrases(*(np.frombuffer(r[c], t) for c, t in (("counts", np.int64), ("left", np.uint64), ("right", np.uint64)))).parts():
                     for j in range(1, k):
