@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tunelake import media_queries  # noqa: F401
+from tunelake import entity_queries, media_queries  # noqa: F401
 from tunelake.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -76,18 +76,25 @@ def test_fuzzy_titles_of_other_first_letters(spark):
 
 
 def test_restore_of_whole_lists(spark, tables):
-    from tunelake.functions.text import weighted_ratio
+    from tunelake.functions import names
 
     parts = tables.sql("SELECT p_partkey, p_brand, p_type, p_name FROM part").fetchall()
+    known = {}
+
+    def score(a, b):
+        if (a, b) not in known:
+            known[a, b] = names.score(*[dict.fromkeys(names.FIELDS) | {"eng": x, "versions": ()} for x in (a, b)])
+        return known[a, b]
+
     best = {}
     for key, artist, album, title in parts:
         if key % 3 == 0:
-            found = [(1 if album == c[2] else 2, -weighted_ratio(title, c[3]), c[0]) for c in parts if c[0] % 3 and c[1] == artist]
+            found = [(1 if (artist, album) == c[1:3] else 3, -score(title, c[3]), c[0]) for c in parts if c[0] % 3 and score(artist, c[1]) >= 90 and score(album, c[2]) >= 90]
             best[key] = min((x for x in found if x[1] <= -90), default=(0, 0, None))[2]
     here = {p[0] for p in parts if p[0] % 3}
     items = tables.sql("SELECT 'list ' || user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, CAST(floor(value) AS BIGINT) FROM events").fetchall()
     want = sorted(repr((n, p, k, k in here, None if k in here else best.get(k))) for n, p, k in items)
-    got = QUERIES["playlist_restore_whole"](spark, DATA).select("name", "pos", "track_key", "kept", "replacement").collect()
+    got = QUERIES["playlist_restore"](spark, DATA).select("name", "pos", "track_key", "kept", "replacement").collect()
     assert sorted(repr(tuple(r)) for r in got) == want and max(p for _, p, _ in items) >= 20 and any(best.values())
 
 
@@ -99,7 +106,7 @@ def test_fuzzy_album_candidates(spark, tables):
     pairs = [(a, b) for a in parts if a[0] % 2 == 0 for b in parts if b[0] % 2 and a[1] == b[1]]
     near = {(a[0], b[0]): weighted_ratio(a[2], b[2]) >= 90 for a, b in pairs}
     want = {(a[0], b[0], "name" if near[a[0], b[0]] else "number") for a, b in pairs if near[a[0], b[0]] or a[4] == b[4]}
-    assert {tuple(r) for r in QUERIES["album_candidates_fuzzy"](spark, DATA).collect()} == want
+    assert {tuple(r) for r in QUERIES["album_candidates"](spark, DATA).collect()} == want
 
 
 def test_album_candidates_whose_names_differ(spark):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from . import fuzzy
 from .scalar import script
 from .text import fuzz_process, weighted_ratio
 
@@ -181,39 +183,65 @@ def should_merge(a: Column, b: Column) -> Column:
     return is_version_of(a, b) & ~equal
 
 
-def match_keys(name: dict, threshold: int) -> set[tuple[str, int]]:
-    """(key, length of its spelling): names that score the threshold share a key; from 90 on, of lengths within 3 to 2.
+def squeezings(name: dict) -> list[str]:
+    """Each spelling of a name without blanks, and without a soundtrack suffix."""
+    out: dict[str, None] = {}
+    for f in ("eng", "non_eng", "romanized"):
+        if name[f]:
+            bare = name[f][:-4].strip() if name[f].lower().endswith(" ost") else name[f]
+            out |= dict.fromkeys(x for x in (squeezed(name[f]), squeezed(bare)) if x)
+    return list(out)
+
+
+def match_keys(name: dict, threshold: int, counts: np.ndarray | None = None) -> set[tuple[str, int]]:
+    """(key, length of its spelling): names that score the threshold share a key.
 
-    Spellings are compared without blanks.  A ratio of 90 leaves three letters in a row (shorter ones must be equal) and partial
-    matches stay under 90, so the keys are the spellings and their trigrams.  Lower thresholds take single letters, which any
-    ratio over 0 shares.  What spells a Hangul text has its consonants, at any length.
+    Spellings are compared without blanks, as one word.  From ``fuzzy.LEAST`` on the keys are sets of the rarest letter pairs by the counts, so
+    many that no pair is lost; lower thresholds take single letters, which any ratio over 0 shares.  A Hangul text meets what
+    spells it by its consonants, at any length: its key is marked as such, since two others needn't meet by them.
     """
     out = set()
+    for text in squeezings(name):
+        keys = fuzzy.prefix_keys([text], threshold, counts) if threshold >= fuzzy.LEAST else set(text)
+        out.update((k, len(text)) for k in keys)
     for f in ("eng", "non_eng", "romanized"):
-        if not name[f]:
-            continue
-        bare = name[f][:-4].strip() if name[f].lower().endswith(" ost") else name[f]
-        for text in {squeezed(name[f]), squeezed(bare)}:
-            parts = {text[i : i + 3] for i in range(len(text) - 2)} if threshold >= 90 else set(text)
-            out.update((k, len(text)) for k in (text, *parts))
-        out.update((mark + of(x), 0) for x in (name[f], bare) for mark, of in (("~", sounds), ("=", spelled)))
+        if name[f]:
+            bare = name[f][:-4].strip() if name[f].lower().endswith(" ost") else name[f]
+            for x in (name[f], bare):
+                out.add(("~" + sounds(x), -1 if _script(x) == "hangul" else 0))
+                out.add(("=" + spelled(x), 0))
     return out
 
 
-def keyed(df: DataFrame, threshold: int, name: str = "name") -> DataFrame:
+def counted(*frames: DataFrame, name: str = "name") -> np.ndarray:
+    """How often the letter pairs of the names' spellings occur, by bucket."""
+
+    @F.pandas_udf("array<int>")
+    def buckets(c: pd.DataFrame) -> pd.Series:
+        return pd.Series([[fuzzy.bucket(g) for text in squeezings(x) for g in fuzzy.letter_pairs([text])] for x in c.to_dict("records")], dtype=object)
+
+    return fuzzy.totals(*[df.select(buckets(_plain(name)).alias("b")) for df in frames])
+
+
+def _plain(name: str) -> Column:
+    return F.struct(*[F.col(f"{name}.{f}").alias(f) for f in FIELDS])
+
+
+def keyed(df: DataFrame, threshold: int, name: str = "name", counts: np.ndarray | None = None) -> DataFrame:
     """A row for each match key of each name: the columns, ``__k`` and ``__len``."""
+    shared = None if counts is None else df.sparkSession.sparkContext.broadcast(counts)
 
     @F.pandas_udf("array<struct<k:string,n:int>>")
     def make(c: pd.DataFrame) -> pd.Series:
-        return pd.Series([[{"k": k, "n": n} for k, n in sorted(match_keys(x, threshold))] for x in c.to_dict("records")], dtype=object)
+        return pd.Series([[{"k": k, "n": n} for k, n in sorted(match_keys(x, threshold, shared and shared.value))] for x in c.to_dict("records")], dtype=object)
 
-    plain = F.struct(*[F.col(f"{name}.{f}").alias(f) for f in FIELDS])
-    return df.withColumn("__x", F.explode(make(plain))).select(*df.columns, F.col("__x.k").alias("__k"), F.col("__x.n").alias("__len"))
+    return df.withColumn("__x", F.explode(make(_plain(name)))).select(*df.columns, F.col("__x.k").alias("__k"), F.col("__x.n").alias("__len"))
 
 
 def lengths_fit(a: Column, b: Column, threshold: int) -> Column:
-    """Lengths of spellings that can score the threshold."""
-    return 2 * F.greatest(a, b) <= 3 * F.least(a, b) if threshold >= 90 else F.lit(True)
+    """Lengths of spellings that can score the threshold; of two with the same consonants one must be Hangul."""
+    near = 2 * F.greatest(a, b) <= 3 * F.least(a, b) if threshold >= fuzzy.LEAST else F.lit(True)
+    return F.when((a > 0) & (b > 0), near).otherwise((a < 0) | (b < 0) | F.col("__k").startswith("="))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -230,15 +258,19 @@ def best_match(left: DataFrame, right: DataFrame, id_left: str, id_right: str, n
 def best_matches(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", threshold: int = 90) -> DataFrame:
     """(left id, right id, score) of all pairs whose names, or any of their versions, score the threshold.
 
-    Candidates come from an equi-join on the match keys, which no pair that scores the threshold escapes.
+    Names that are equal are one; candidates come from an equi-join on the match keys, which no pair that scores the threshold
+    escapes, and each pair of names is scored once.
     """
 
-    def keys_of(df: DataFrame, key: str, side: str) -> DataFrame:
-        plain = F.struct(*[F.col(f"{name}.{f}").alias(f) for f in FIELDS])
-        every = F.concat(F.array(plain).cast(VERSIONS), F.coalesce(F.col(f"{name}.versions"), F.array().cast(VERSIONS)))
-        one = df.select(F.col(key).alias(side), F.explode(every).alias(f"{side}_name"))
-        return keyed(one, threshold, f"{side}_name").withColumnRenamed("__len", f"{side}_len")
-
-    pairs = keys_of(left, id_left, "l").join(keys_of(right, id_right, "r"), "__k").filter(lengths_fit(F.col("l_len"), F.col("r_len"), threshold)).select("l", "l_name", "r", "r_name").distinct()
-    scored = pairs.withColumn("score", score_udf("l_name", "r_name")).filter(F.col("score") >= threshold)
-    return scored.groupBy("l", "r").agg(F.max("score").alias("score")).select(F.col("l").alias(id_left), F.col("r").alias(f"{id_right}_match"), "score")
+    def named(df: DataFrame, key: str, side: str) -> DataFrame:
+        every = F.concat(F.array(_plain(name)).cast(VERSIONS), F.coalesce(F.col(f"{name}.versions"), F.array().cast(VERSIONS)))
+        return df.select(F.col(key).alias(side), F.explode(every).alias(f"{side}_name")).withColumn(f"{side}_json", F.to_json(f"{side}_name"))
+
+    sides = {"l": named(left, id_left, "l"), "r": named(right, id_right, "r")}
+    own = {s: df.groupBy(f"{s}_json").agg(F.first(f"{s}_name").alias("name")) for s, df in sides.items()}
+    counts = counted(*own.values()) if threshold >= fuzzy.LEAST else None
+    keys = {s: keyed(df, threshold, counts=counts).select(F.col(f"{s}_json"), F.col("name").alias(f"{s}_name"), "__k", F.col("__len").alias(f"{s}_len")) for s, df in own.items()}
+    pairs = keys["l"].join(keys["r"], "__k").filter(lengths_fit(F.col("l_len"), F.col("r_len"), threshold)).groupBy("l_json", "r_json").agg(F.first("l_name").alias("l_name"), F.first("r_name").alias("r_name"))
+    scored = pairs.withColumn("score", score_udf("l_name", "r_name")).filter(F.col("score") >= threshold).select("l_json", "r_json", "score")
+    met = scored.join(sides["l"].select("l", "l_json"), "l_json").join(sides["r"].select("r", "r_json"), "r_json")
+    return met.groupBy("l", "r").agg(F.max("score").alias("score")).select(F.col("l").alias(id_left), F.col("r").alias(f"{id_right}_match"), "score")

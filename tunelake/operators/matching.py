@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tunelake.functions import names
+from tunelake.functions import fuzzy, names
 from tunelake.functions.text import weighted_ratio_udf
 
 from .pages import keep_if_any
@@ -29,19 +29,15 @@ def album_candidates(files: DataFrame, entries: DataFrame, threshold: int = 90)
     e = entries.select("entry", *[F.col(c).alias(f"e_{c}") for c in columns])
     both = F.col("artist") == F.col("e_artist")
     counted = files.join(e, both & (F.col("type") == F.col("e_type")) & (F.col("num") == F.col("e_num")))
-    # names that score the threshold share a match key, so only those pairs are scored
-    f, g = (names.keyed(df.withColumn("__name", _as_name(F.col(c))), threshold, "__name").drop("__name").withColumnRenamed("__len", n) for df, c, n in ((files, "name", "__f"), (e, "e_name", "__e")))
-    near = f.join(g, ["__k"]).filter(both & names.lengths_fit(F.col("__f"), F.col("__e"), threshold) & F.col("repackage").eqNullSafe(F.col("e_repackage")) & compatible(F.col("type"), F.col("e_type")))
+    # of all pairs that score the threshold, none is lost
+    near = fuzzy.candidates(files.select("artist", F.col("name").alias("left")), e.select(F.col("e_artist").alias("artist"), F.col("e_name").alias("right")), ("artist",), threshold).drop("score")
+    near = files.join(near.withColumnRenamed("artist", "__artist"), (F.col("artist") == F.col("__artist")) & (F.col("name") == F.col("left"))).join(e, (F.col("artist") == F.col("e_artist")) & (F.col("right") == F.col("e_name")) & F.col("repackage").eqNullSafe(F.col("e_repackage")) & compatible(F.col("type"), F.col("e_type")))
     every = near.select(*counted.columns).unionByName(counted).distinct().withColumn("score", weighted_ratio_udf("name", "e_name"))
     named = (F.col("score") >= threshold) & F.col("repackage").eqNullSafe(F.col("e_repackage"))
     numbered = F.coalesce((F.col("type") == F.col("e_type")) & (F.col("num") == F.col("e_num")), F.lit(False))
     return every.filter(named | numbered).select("album", "entry", "score", F.when(named, "name").otherwise("number").alias("by"))
 
 
-def _as_name(c: Column) -> Column:
-    return F.struct(*[(c if f == "eng" else F.lit(None).cast("string")).alias(f) for f in names.FIELDS])
-
-
 def track_overlap(candidates: DataFrame, files: DataFrame, tracks: DataFrame) -> DataFrame:
     """(album, entry, n_files, n_tracks, share): positions whose lower-case titles agree, over the album's files.
 
@@ -60,16 +56,6 @@ def narrowed(overlap: DataFrame, share: float = 0.7) -> DataFrame:
     return keep_if_any(even.withColumn("__most", F.col("share") > share), "album", "__most").select("album", "entry")
 
 
-def replacement_candidates(gone: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(track_key, replacement, score, priority) for items whose track is gone: same artist and album, then same artist.
-
-    gone: track_key, artist, album, title; tracks: key, artist, album, title.
-    """
-    t = tracks.select("artist", F.col("album").alias("__album"), F.col("key").alias("replacement"), F.col("title").alias("__title"))
-    pairs = gone.join(t, "artist").withColumn("priority", F.when(F.col("album") == F.col("__album"), 1).otherwise(2))
-    return pairs.select("track_key", "replacement", weighted_ratio_udf("title", "__title").alias("score"), "priority")
-
-
 def unresolved(wanted: DataFrame, found: DataFrame, key: str, other: Column) -> DataFrame:
     """Titles that no page was found for, with the spelling to try next (title case for upper-case ones)."""
     left = wanted.join(found.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")
@@ -85,16 +71,12 @@ def pages_by_title(pages: DataFrame, title: str = "title", site: str = "site", p
 def members(edges: DataFrame, groups: DataFrame, people: DataFrame, threshold: int = 90) -> DataFrame:
     """(group, member): people linked to a group, found by name among its links.
 
-    edges: group, name; groups: group; people: member, name.  Candidates share a match key, as all that score the threshold do.
+    edges: group, name; groups: group; people: member, name.  All pairs of names that score the threshold are found.
     """
-
-    def spelled(df: DataFrame, side: str) -> DataFrame:
-        return names.keyed(df.withColumn("__name", _as_name(F.col("name"))), threshold, "__name").drop("__name").withColumnsRenamed({"name": f"{side}_name", "__len": f"{side}_len"})
-
-    e = spelled(edges.join(groups.select("group").distinct(), "group", "left_semi").select("group", "name"), "e")
-    p = spelled(people.select("member", "name"), "p")
-    pairs = e.join(p, "__k").filter(names.lengths_fit(F.col("e_len"), F.col("p_len"), threshold)).select("group", "member", "e_name", "p_name").distinct()
-    return pairs.filter(weighted_ratio_udf("e_name", "p_name") >= threshold).select("group", "member").distinct()
+    e = edges.join(groups.select("group").distinct(), "group", "left_semi").select("group", F.col("name").alias("left"))
+    p = people.select("member", F.col("name").alias("right"))
+    near = fuzzy.candidates(e.select("left"), p.select("right"), threshold=threshold)
+    return near.join(e, "left").join(p, "right").select("group", "member").distinct()
 
 
 def top_per_group(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:
@@ -144,15 +126,18 @@ def replacement_tiers(gone: DataFrame, tracks: DataFrame, threshold: int = 90) -
 
     Priorities: 1 the same artist and album by id, 2 by title, 3 an artist and album whose names score the threshold.
     gone: track_key, artist_key, album_key, artist, album, title; tracks: key and likewise.
+    Albums are paired first, by their keys or names, so that tracks meet within albums only; of titles and names each pair is scored
+    once.
     """
-    title = names.from_enclosed(F.col("title")).alias("name")
-    titles = names.best_matches(gone.select("track_key", title), tracks.select("key", title), "track_key", "key", threshold=threshold)
-    t = tracks.select(F.col("key").alias("replacement"), *[F.col(c).alias(f"__{c}") for c in ("artist_key", "album_key", "artist", "album")])
-    pairs = titles.withColumnRenamed("key_match", "replacement").join(gone.drop("title"), "track_key").join(t, "replacement")
-    for c in ("artist", "album"):
-        a, b = (pairs.select(F.col(n).alias("t")).distinct().select(F.col("t").alias(c), names.from_enclosed(F.col("t")).alias("name")) for n in (c, f"__{c}"))
-        near = names.best_matches(a, b, c, c, threshold=threshold).select(c, F.col(f"{c}_match").alias(f"__{c}"), F.lit(True).alias(f"__near_{c}"))
-        pairs = pairs.join(near, [c, f"__{c}"], "left")
-    same = lambda a, b: F.coalesce((F.col(a) == F.col(f"__{a}")) & (F.col(b) == F.col(f"__{b}")), F.lit(False))
-    priority = F.when(same("artist_key", "album_key"), 1).when(same("artist", "album"), 2).when(F.col("__near_artist") & F.col("__near_album"), 3)
-    return pairs.select("track_key", "replacement", "score", priority.alias("priority")).filter("priority IS NOT NULL")
+
+    def near(a: DataFrame, b: DataFrame, c: str) -> DataFrame:
+        x, y = (df.select(F.col(c).alias("t")).dropna().distinct().select(F.col("t").alias(c), names.from_enclosed(F.col("t")).alias("name")) for df in (a, b))
+        return names.best_matches(x, y, c, c, threshold=threshold)
+
+    t = tracks.select(F.col("key").alias("replacement"), *[F.col(c).alias(f"{c}_match") for c in ("artist_key", "album_key", "artist", "album", "title")])
+    keyed = gone.join(t, (F.col("artist_key") == F.col("artist_key_match")) & (F.col("album_key") == F.col("album_key_match"))).withColumn("priority", F.lit(1))
+    named = gone.join(t, (F.col("artist") == F.col("artist_match")) & (F.col("album") == F.col("album_match"))).withColumn("priority", F.lit(2))
+    alike = gone.join(near(gone, tracks, "artist").drop("score"), "artist").join(near(gone, tracks, "album").drop("score"), "album").join(t, ["artist_match", "album_match"]).withColumn("priority", F.lit(3))
+    cells = [df.select("track_key", "title", "replacement", "title_match", "priority") for df in (keyed, named, alike)]
+    met = cells[0].union(cells[1]).union(cells[2]).groupBy("track_key", "title", "replacement", "title_match").agg(F.min("priority").alias("priority"))
+    return met.join(near(gone, tracks, "title"), ["title", "title_match"]).select("track_key", "replacement", "score", "priority")

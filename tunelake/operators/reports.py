@@ -174,3 +174,8 @@ def missing_analysis(server: tuple[DataFrame, ...]) -> DataFrame:
     """Tracks without loudness keys, with album, artist and section; for the nested shapes see :func:`nested`."""
     rows = chain(*server, "audio", "track", "album", "artist").filter(num_loudness_keys(F.col("extra")) == 0)
     return rows.select("track_id", F.col("track_index").alias("track_num"), F.col("track_title").alias("track"), F.col("album_title").alias("album"), F.col("artist_title").alias("artist"), "section")
+
+
+def subtotals(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """(by, level, sums): the sums of each group, of ever fewer columns from the right, and of all; level has a bit for each column summed over."""
+    return rows.rollup(*by).agg(F.grouping_id(*by).cast("int").alias("level"), *[c.alias(n) for n, c in sums.items()]).select(*by, "level", *sums)

@@ -199,7 +199,7 @@ class ResultSet:
         this order the earlier is always the better, so nothing is swapped.  All titles of an artist are candidates that
         share a match key; distinct pairs of titles are scored once.
         """
-        from tunelake.functions import names
+        from tunelake.functions import fuzzy, names
 
         least = round(100 * threshold)
         first = self.unique()
@@ -207,10 +207,11 @@ class ResultSet:
         nodes = checkpointed(first.df.select("key", first._artist().alias("artist"), F.lower("title").alias("t"), F.row_number().over(w).alias("n")))
         spelled = nodes.filter("t IS NOT NULL").select("t").distinct().select("t", names.from_enclosed(F.col("t")).alias("name"))
         spelled = checkpointed(spelled.select("t", F.struct(*[F.col(f"name.{f}").alias(f) for f in names.FIELDS]).alias("name")))
-        at = nodes.join(names.keyed(spelled, least).select("t", "__k", "__len"), "t")
+        at = nodes.join(names.keyed(spelled, least, counts=names.counted(spelled) if least >= fuzzy.LEAST else None).select("t", "__k", "__len"), "t")
         a, b = (at.select("artist", "__k", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "t", "__len")]) for side in "ab")
-        same = a["artist"].eqNullSafe(b["artist"]) & (a["__k"] == b["__k"]) & F.expr("n_a < n_b") & names.lengths_fit(F.col("__len_a"), F.col("__len_b"), least)
-        pairs = checkpointed(a.join(b, same).select(a["artist"], "n_a", "n_b", F.least("t_a", "t_b").alias("x"), F.greatest("t_a", "t_b").alias("y")).distinct())
+        same = a["artist"].eqNullSafe(b["artist"]) & (a["__k"] == b["__k"]) & F.expr("n_a < n_b")
+        met = a.join(b, same).select(a["artist"], a["__k"], "n_a", "n_b", "t_a", "t_b", "__len_a", "__len_b").filter(names.lengths_fit(F.col("__len_a"), F.col("__len_b"), least))
+        pairs = checkpointed(met.select("artist", "n_a", "n_b", F.least("t_a", "t_b").alias("x"), F.greatest("t_a", "t_b").alias("y")).distinct())
         titles = pairs.select("x", "y").distinct()
         for c in "xy":
             titles = titles.join(spelled.select(F.col("t").alias(c), F.col("name").alias(f"name_{c}")), c)

@@ -207,20 +207,12 @@ def playlist_info(spark: SparkSession, d: str) -> DataFrame:
     return playlists.info(catalog.playlist_items(spark, d), p)
 
 
-@query("SELECT name, pos, track_key, track_key % 3 <> 0 AS kept, CASE WHEN track_key % 3 = 0 THEN track_key + 1 END AS replacement FROM items WHERE pos < 20", ITEMS)
-def playlist_restore(spark: SparkSession, d: str) -> DataFrame:
-    items = catalog.playlist_items(spark, d).filter("pos < 20")
-    keys = items.select("track_key").distinct()
-    found = keys.select("track_key", F.explode(F.array(F.struct((F.col("track_key") + 1).alias("replacement"), F.lit(95).alias("score"), F.lit(2).alias("priority")), F.struct((F.col("track_key") + 2).alias("replacement"), F.lit(93).alias("score"), F.lit(2).alias("priority")), F.struct((F.col("track_key") + 3).alias("replacement"), F.lit(80).alias("score"), F.lit(1).alias("priority")))).alias("c")).select("track_key", "c.*")
-    return playlists.restore(items, keys.filter("track_key % 3 <> 0").select(F.col("track_key").alias("key")), found)
-
-
 @query()
-def playlist_restore_whole(spark: SparkSession, d: str) -> DataFrame:
+def playlist_restore(spark: SparkSession, d: str) -> DataFrame:
     """Every item of every list; a third of the tracks is gone, and what replaces them is searched among the others."""
-    p = star(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.col("p_name").alias("title"))
+    p = star(spark, d, "part").selectExpr("p_partkey AS key", "p_brand AS artist_key", "p_type AS album_key", "p_brand AS artist", "p_type AS album", "p_name AS title")
     here, gone = p.filter("key % 3 <> 0"), p.filter("key % 3 = 0").withColumnRenamed("key", "track_key")
-    return playlists.restore(catalog.playlist_items(spark, d), here, matching.replacement_candidates(gone, here))
+    return playlists.restore(catalog.playlist_items(spark, d), here, matching.replacement_tiers(gone, here))
 
 
 @query("SELECT key, name FROM track, (VALUES ('unrated'), ('3 stars and up'), ('4 stars and up'), ('5 stars'), ('singles of the nineties')) r(name) WHERE CASE name WHEN 'unrated' THEN user_rating IS NULL WHEN '3 stars and up' THEN user_rating >= 6 WHEN '4 stars and up' THEN user_rating >= 8 WHEN '5 stars' THEN user_rating = 10 ELSE parent_year BETWEEN 1990 AND 1999 AND index = 1 END", TRACK)
@@ -550,19 +542,9 @@ def _entries(spark: SparkSession, d: str, side: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias(side), F.concat("p_brand", F.lit("/"), "p_size").alias("artist"), F.col("p_name").alias("name"), F.expr("CASE WHEN p_size % 2 = 0 THEN 'EP' ELSE 'Album' END AS type"), (F.col("p_partkey") % 3).alias("num"), F.lit(False).alias("repackage"))
 
 
-@query("SELECT a.p_partkey AS album, b.p_partkey AS entry, CASE WHEN a.p_name = b.p_name THEN 'name' ELSE 'number' END AS by FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 AND (a.p_name = b.p_name OR a.p_partkey % 3 = b.p_partkey % 3)")
-def album_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return matching.album_candidates(_entries(spark, d, "album"), _entries(spark, d, "entry"), 100).select("album", "entry", "by")
-
-
-@query("SELECT a.l_orderkey AS album, b.l_orderkey AS entry FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) b ON b.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) WHERE a.l_orderkey % 5 = 0 AND (a.n = b.n OR NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c WHERE c.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) AND c.n = a.n))")
-def candidates_narrowed(spark: SparkSession, d: str) -> DataFrame:
-    return _narrowed(spark, d, "l_orderkey % 5 = 0")
-
-
-def _narrowed(spark: SparkSession, d: str, files: str) -> DataFrame:
+def _narrowed(spark: SparkSession, d: str) -> DataFrame:
     line = star(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("num"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("title"))
-    files = line.filter(files).withColumnRenamed("l_orderkey", "album")
+    files = line.withColumnRenamed("l_orderkey", "album")
     pairs = files.select("album").distinct().select("album", F.explode(F.array(F.col("album") + 1, F.col("album") + 2)).alias("entry"))
     tracks = line.withColumnRenamed("l_orderkey", "entry")
     pairs = pairs.join(tracks.select("entry").distinct(), "entry", "left_semi")
@@ -570,15 +552,15 @@ def _narrowed(spark: SparkSession, d: str, files: str) -> DataFrame:
 
 
 @query()
-def album_candidates_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """As album_candidates, at the operator's own threshold."""
+def album_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the same artist and type by fuzzy name, or by number."""
     return matching.album_candidates(_entries(spark, d, "album"), _entries(spark, d, "entry")).select("album", "entry", "by")
 
 
 @query("SELECT a.l_orderkey AS album, b.l_orderkey AS entry FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) b ON b.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) WHERE a.n = b.n OR NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c WHERE c.l_orderkey IN (a.l_orderkey + 1, a.l_orderkey + 2) AND c.n = a.n)")
-def candidates_narrowed_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As candidates_narrowed, with all orders as files."""
-    return _narrowed(spark, d, "true")
+def candidates_narrowed(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as files against the next two as entries."""
+    return _narrowed(spark, d)
 
 
 @query("SELECT c_nationkey AS title, c_mktsegment AS site, min(c_custkey) AS page FROM customer GROUP BY ALL")
@@ -587,9 +569,9 @@ def pages_by_title(spark: SparkSession, d: str) -> DataFrame:
     return matching.pages_by_title(c).select("title", F.explode("pages").alias("site", "page"))
 
 
-@query("SELECT n_name, CASE WHEN n_name = upper(n_name) THEN upper(n_name[1]) || lower(n_name[2:]) ELSE n_name END AS retry FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) AND NOT contains(n_name, ' ')")
+@query("SELECT n_name, CASE WHEN n_name = upper(n_name) THEN array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE n_name END AS retry FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def unresolved_titles(spark: SparkSession, d: str) -> DataFrame:
-    n = star(spark, d, "nation").filter("NOT contains(n_name, ' ')")
+    n = star(spark, d, "nation")
     found = n.join(star(spark, d, "supplier").filter("s_acctbal < 0"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
     return matching.unresolved(n, found, "n_name", F.col("n_name")).select("n_name", "retry")
 

@@ -8,6 +8,7 @@ filters and column pruning reach the Parquet scans.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -104,10 +105,18 @@ def from_star(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows in the checkpoint folder, without their lineage; on one machine a temporary folder will do."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+    """The rows as a table in the checkpoint folder, without their lineage; on one machine a temporary folder will do.
+
+    A table, as what Spark keeps of a checkpoint's plan grows from round to round of a loop.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-"))
-    return df.checkpoint()
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
