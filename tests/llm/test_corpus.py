@@ -441,6 +441,29 @@ def license_texts():
     }
 
 
+def test_licence_words_decide(spark):
+    """A copyright line isn't a licence of its own, grants say whether later versions count, tags name one, and a chain keeps its ends."""
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause")
+    grant = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+    texts = {
+        "Copyright (c) 2010, X. All rights reserved.\n\n" + bsd: "BSD-3-Clause",
+        "a\n(c) 2020 X Corp. All rights reserved.\nb": "LicenseRef-Proprietary",
+        "Those who say that all rights reserved by law are void.": "",
+        grant + " It is given away in the hope": "GPL-2.0-only",
+        "// SPDX-License-Identifier: MIT\nint x;": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: Unknown-1.0": "",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://x.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.": "LGPL-3.0",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.licenses for r in licenses.report(docs).orderBy("doc_id").collect()] == list(texts.values())
+    one, two, three = ("one", "alpha beta gamma delta"), ("two", "gamma delta epsilon zeta"), ("three", "epsilon zeta eta theta iota")
+    chain = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta x")], "doc_id long, text string")
+    assert licenses.report(chain, templates=(one, two, three)).first().licenses == "one,three"
+    many = spark.createDataFrame([(1, "Released under the MIT License. And so on. " * 3000)], "doc_id long, text string")
+    assert licenses.report(many).first().n_license_units == 3000
+
+
 def test_licenses(spark, edge, empty):
     got = {r["doc_id"]: r for r in rows_of(licenses.report(edge))}
     assert got[16]["licenses"] == "MIT" and got[16]["best_dice"] == 1.0 and got[16]["n_license_units"] == 1
@@ -636,7 +659,7 @@ def test_queries_match_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got = registry.queries()[name](spark, "/root/testdata/sf0.001")
     want = con.sql(registry.oracle_sql()[name])

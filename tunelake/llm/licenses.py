@@ -8,8 +8,10 @@ key words a template has under ``DICE`` / (2 - ``DICE``) of its bigrams left, th
 without any key word is passed over, a window is made only where a key occurs, and one whose number of bigrams rules the
 coefficient out isn't compared.
 
-Of matches that overlap only the best is reported: the higher coefficient, then the longer template, the one listed first,
-the first place.  A match that overlaps a better one is left out even if that one is left out itself.
+Matches are taken best first, by the higher coefficient, then the longer template, the one listed first, the first place; one
+that overlaps one taken before is left out.  Those taken are kept by regions of the text, so each is held against its
+neighbours only.  A notice that grants later versions must say so in its window, whatever its coefficient.  Bare ``All rights
+reserved`` counts where it ends a line that is nothing else, or a copyright line, and only if no other licence is found.
 
 Null, empty and one-word texts match nothing.  A text may have any length and hold any number of notices.  Rows are
 independent, so repeated rows give equal rows; columns besides the id and the text aren't read, so their names can't clash.
@@ -18,6 +20,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
 
@@ -26,7 +29,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import let
 from .license_texts import TEMPLATES
 
+#: The template that only counts by itself, the line that it takes, and the bigram that makes a grant one for later versions.
+BARE, LINE, LATER = "LicenseRef-Proprietary", r"(?im)^[^0-9a-z\n]*((copyright|\(c\)|©)[^\n]*)?all rights reserved[^0-9a-z\n]*$", "later version"
+
 DICE = 0.75
+#: A window may begin so many words before the text; with the template's number it makes one integer, of which repetitions go in linear time.
+LEAD = 1 << 16
 #: Words are letters, digits and all that isn't ASCII.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words too frequent in any text to be keys.
@@ -73,42 +81,56 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
     """One row for each document: id, n_lines, matches (template, licence, start and size in words, dice), none overlapped by a better one."""
     made = [(n, name, template_words(t)) for n, (name, t) in enumerate(templates)]
     bound = dice / (2 - dice)  # sizes a and b allow the coefficient only if min / max is at least this
-    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(name).alias("license"), F.lit(len(w)).alias("size"), F.array(*map(F.lit, sorted(set(pairs(w))))).alias("b")) for n, name, w in made])
+    fixed = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)  # noqa: E731  a literal, without a call for each entry
+    known = fixed([{"n": n, "license": name, "size": len(w), "later": name.endswith("-or-later") and LATER in pairs(w), "b": sorted(set(pairs(w)))} for n, name, w in made], "array<struct<n:int,license:string,size:int,later:boolean,b:array<string>>>")
+    region = max(len(w) for _, _, w in made)
     stems = key_words(templates, dice)
     starts = sorted({w[0] for w in stems})
     #: a superset of the texts with a key word, cheap: only where a word begins
     hint = "(?i)(?<![0-9A-Za-z])(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in stems if w[0] == c)})" for c in starts) + ")"
-    stem_set = F.array(*map(F.lit, stems))
-    places = F.create_map(*[x for pair, of in sorted(keys(templates, dice).items()) for x in (F.lit(pair), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(at).alias("at")) for n, at in of]))])
+    stem_set = fixed(stems, "array<string>")
+    places = fixed({pair: [{"n": n, "at": at} for n, at in of] for pair, of in sorted(keys(templates, dice).items())}, "map<string,array<struct<n:int,at:int>>>")
     kind = "array<struct<template:int,license:string,start:int,size:int,dice:double>>"
 
     def matches(w: Column) -> Column:
         pair = lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
         own = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(stem_set, x), i)), lambda i: i.isNotNull())
         near = F.filter(F.array_distinct(F.flatten(F.transform(own, lambda i: F.array(i - 1, i)))), lambda i: (i >= 0) & (i < F.size(w) - 1))
-        found = F.flatten(F.transform(near, lambda i: F.coalesce(F.transform(F.try_element_at(places, pair(i)), lambda k: F.struct(k["n"].alias("n"), (i - k["at"]).alias("at"))), F.expr("cast(array() as array<struct<n:int,at:int>>)"))))
+        found = F.flatten(F.transform(near, lambda i: F.coalesce(F.transform(F.try_element_at(places, pair(i)), lambda k: F.shiftleft(k["n"].cast("long"), 32) + (i - k["at"] + LEAD)), F.expr("cast(array() as array<bigint>)"))))
 
         def window(c: Column) -> Column:
-            t = F.get(known, c["n"])
-            start = F.greatest(c["at"], F.lit(0))
-            size = F.least(t["size"] + c["at"], F.size(w)) - start
+            n, at = F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - LEAD
+            t = F.get(known, n)
+            start = F.greatest(at, F.lit(0))
+            size = F.least(t["size"] + at, F.size(w)) - start
 
             def compared(b: Column) -> Column:
-                a, n = F.size(b), F.size(t["b"])
-                value = F.when(F.least(a, n) >= F.lit(bound) * F.greatest(a, n), F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (a + n)).otherwise(F.lit(0.0))
-                return F.struct(c["n"].alias("template"), t["license"].alias("license"), start.alias("start"), size.alias("size"), value.alias("dice"))
+                a, z = F.size(b), F.size(t["b"])
+                fits = (F.least(a, z) >= F.lit(bound) * F.greatest(a, z)) & (~t["later"] | F.array_contains(b, LATER))
+                value = F.when(fits, F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (a + z)).otherwise(F.lit(0.0))
+                return F.struct(n.alias("template"), t["license"].alias("license"), start.alias("start"), size.alias("size"), value.alias("dice"))
 
-            own = F.slice(w, start + 1, size)
-            return let(F.array_distinct(F.transform(F.slice(own, F.lit(1), F.greatest(size - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, start + i + 1)))), compared)
+            # by places: a slice would copy the whole text for each window
+            own = F.when(size > 1, F.transform(F.sequence(start, start + size - 2), pair)).otherwise(F.expr("cast(array() as array<string>)"))
+            return let(F.array_distinct(own), compared)
 
         good = F.filter(F.transform(F.array_distinct(found), window), lambda m: m["dice"] >= dice)
-        rank = lambda m: F.struct((-m["dice"]).alias("d"), (-F.get(known, m["template"])["size"]).alias("s"), m["template"].alias("t"), m["start"].alias("p"))
-        over = lambda m, o: (o["start"] < m["start"] + m["size"]) & (m["start"] < o["start"] + o["size"]) & (rank(o) < rank(m))
-        return let(good, lambda g: F.filter(g, lambda m: ~F.exists(g, lambda o: over(m, o))))
+        ranked = F.sort_array(F.transform(good, lambda m: F.struct((-m["dice"]).alias("d"), (-F.get(known, m["template"])["size"]).alias("s"), m["template"].alias("t"), m["start"].alias("p"), m.alias("m"))))
+        none = F.expr(f"cast(array() as {kind})")
+
+        def take(taken: Column, r: Column) -> Column:
+            m, at = r["m"], F.floor(r["m"]["start"] / region).cast("int")
+            near = F.flatten(F.transform(F.array(at - 1, at, at + 1), lambda k: F.coalesce(F.get(taken, k), none)))
+            meets = F.exists(near, lambda o: (o["start"] < m["start"] + m["size"]) & (m["start"] < o["start"] + o["size"]))
+            return F.when(meets, taken).otherwise(F.transform(taken, lambda x, k: F.when(k == at, F.concat(x, F.array(m))).otherwise(x)))
+
+        empty = F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / region).cast("int")), lambda _: none)
+        return let(ranked, lambda g: F.when(F.size(g) == 0, none).otherwise(F.flatten(F.aggregate(g, empty, take))))
 
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = F.filter(F.split(F.translate(t, UPPER, LOWER), BREAKS), lambda x: x != "")
     got = F.when(t.rlike(hint), let(words, matches).cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
+    got = let(got, lambda g: F.when(F.exists(g, lambda m: m["license"] == BARE), F.filter(g, lambda m: (m["license"] != BARE) | t.rlike(LINE) & ~F.exists(g, lambda o: o["license"] != BARE))).otherwise(g))
     lines = F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1
     return docs.select(F.col(id_col), lines.cast("long").alias("n_lines"), got.alias("matches"))
 
@@ -129,22 +151,24 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -
 
 def _oracle() -> str:
     made = [(n, name, template_words(t)) for n, (name, t) in enumerate(TEMPLATES)]
-    rows = ", ".join(f"({n}, '{name}', {len(w)}, {sorted(set(pairs(w)))!r})" for n, name, w in made)
+    rows = ", ".join(f"({n}, '{name}', {len(w)}, {str(name.endswith('-or-later') and LATER in pairs(w)).lower()}, {sorted(set(pairs(w)))!r})" for n, name, w in made)
     places = ", ".join(f"('{pair}', {n}, {at})" for pair, of in sorted(keys(TEMPLATES).items()) for n, at in of)
     bound = DICE / (2 - DICE)
     return rf"""
-WITH t(n, license, size, b) AS (VALUES {rows}),
+WITH RECURSIVE t(n, license, size, later, b) AS (VALUES {rows}),
 k(pair, n, place) AS (VALUES {places}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(translate(t, '{UPPER}', '{LOWER}'), '{BREAKS}'), lambda x: x <> '') AS w FROM d),
 p AS (SELECT r, unnest(range(0, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM w WHERE len(w) > 1),
 s AS (SELECT DISTINCT r, n, i - place AS lead FROM p JOIN k USING (pair)),
-c AS (SELECT r, s.n, license, size AS full_size, b, w, greatest(lead, 0) AS a, least(lead + size, len(w)) AS z FROM s JOIN t ON s.n = t.n JOIN w USING (r)),
-g AS (SELECT r, n, license, full_size, b, a, z, list_distinct(list_transform(range(a + 1, z), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM c),
-m AS (SELECT r, n, license, full_size, a, z, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g WHERE least(len(g), len(b)) >= {bound!r}::DOUBLE * greatest(len(g), len(b))),
-o AS (SELECT * FROM m WHERE dice >= {DICE}),
-f AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM o AS x WHERE x.r = o.r AND x.a < o.z AND o.a < x.z AND
-  (x.dice > o.dice OR x.dice = o.dice AND (x.full_size > o.full_size OR x.full_size = o.full_size AND (x.n < o.n OR x.n = o.n AND x.a < o.a))))),
+c AS (SELECT r, s.n, license, size AS full_size, later, b, w, greatest(lead, 0) AS a, least(lead + size, len(w)) AS z FROM s JOIN t ON s.n = t.n JOIN w USING (r)),
+g AS (SELECT r, n, license, full_size, later, b, a, z, list_distinct(list_transform(range(a + 1, z), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM c),
+m AS (SELECT r, n, license, full_size, a, z, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g WHERE least(len(g), len(b)) >= {bound!r}::DOUBLE * greatest(len(g), len(b)) AND (NOT later OR list_contains(g, '{LATER}'))),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, full_size DESC, n, a) AS i FROM m WHERE dice >= {DICE}),
+walk AS (SELECT r, i, [{{'a': a, 'z': z, 'n': n, 'license': license, 'dice': dice}}] AS taken FROM o WHERE i = 1
+  UNION ALL SELECT k.r, o.i, CASE WHEN len(list_filter(k.taken, lambda x: x.a < o.z AND o.a < x.z)) > 0 THEN k.taken ELSE list_append(k.taken, {{'a': o.a, 'z': o.z, 'n': o.n, 'license': o.license, 'dice': o.dice}}) END FROM walk k JOIN o ON o.r = k.r AND o.i = k.i + 1),
+u AS (SELECT r, x.a AS a, x.n AS n, x.license AS license, x.dice AS dice, bool_or(x.license <> '{BARE}') OVER (PARTITION BY r) AS others FROM (SELECT r, unnest(taken) AS x FROM (SELECT r, arg_max(taken, i) AS taken FROM walk GROUP BY r))),
+f AS (SELECT u.* FROM u JOIN d USING (r) WHERE license <> '{BARE}' OR NOT others AND regexp_matches(d.t, '{LINE}')),
 e AS (SELECT r, count(*) AS units, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, arg_min(license, (-dice, n, a)) AS best, max(dice) AS dice FROM f GROUP BY r)
 SELECT doc_id, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS BIGINT) AS n_lines, coalesce(units, 0) AS n_license_units, coalesce(licenses, '') AS licenses, best AS best_license, dice AS best_dice
 FROM d LEFT JOIN e USING (r)"""
