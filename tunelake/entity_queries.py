@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunelake.functions import names
+from tunelake.functions import lists, names, spelling
 from tunelake.operators import editions, entities
 from tunelake.queries import query
+from tunelake.sources import catalog
 from tunelake.sources.catalog import star
+from tunelake.streaming import ratings
 
 #: Orders as editions of a customer's album, each with some of the numbers 1 to 27; every eleventh is a record's side.
 EDITIONS = """e AS (SELECT o_custkey AS album, o_orderkey AS edition, o_orderkey AS pos, o_orderkey % 11 = 0 AS side FROM orders),
@@ -244,3 +246,64 @@ def report_with_subtotals(spark: SparkSession, d: str) -> DataFrame:
 
     rows = star(spark, d, "lineitem").selectExpr("l_returnflag AS section", "l_suppkey AS artist", "l_orderkey AS album", "bigint(l_quantity) AS seconds")
     return reports.subtotals(rows, ["section", "artist", "album"], n_tracks=F.count("*"), seconds=F.sum("seconds"))
+
+
+#: Parts as artist lists of eight kinds, by name and brand.
+LISTS = """l AS (SELECT p_partkey AS id, p_name AS n, p_brand AS b FROM part)"""
+_ROWS = {
+    0: [("b", None, None, None, []), ("n", None, None, None, []), ("n", "청하", None, None, [])],
+    1: [("n", "기희현", "b", None, []), ("b", "전소미", None, None, [])],
+    2: [("n", "지민", "b", None, [])],
+    3: [("n", "지민", "b", None, [])],
+    4: [("n", "딘딘", None, None, []), ("b", "민아", None, None, [])],
+    5: [("n", "손동운", "'Highlight'", "하이라이트", []), ("b", "서령", "'GWSN'", "공원소녀", [])],
+    6: [("n", "주헌", "'MONSTA X'", "몬스타엑스", [])],
+    7: [("b", None, None, None, ["n", "'x'"])],
+}
+
+
+def _listed(rows: list) -> str:
+    text = lambda x: f"'{x}'" if x else "NULL"
+    return "[" + ", ".join(f"{{'pos': {k}, 'eng': {e}, 'non_eng': CAST({text(o)} AS VARCHAR), 'group_eng': CAST({g or 'NULL'} AS VARCHAR), 'group_non_eng': CAST({text(h)} AS VARCHAR), 'members': CAST([{', '.join(m)}] AS VARCHAR[])}}" for k, (e, o, g, h, m) in enumerate(rows, 1)) + "]"
+
+
+@query("SELECT id, CAST(r.pos AS INTEGER) AS pos, r.eng, r.non_eng, r.group_eng, r.group_non_eng, array_to_string(r.members, '|') AS members FROM (SELECT id, unnest(CASE id % 8 " + " ".join(f"WHEN {k} THEN {_listed(v)}" for k, v in _ROWS.items()) + " END) AS r FROM l)", LISTS)
+def artist_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The artists of all lists as rows, by the table function in SQL."""
+    text = """CASE p_partkey % 8 WHEN 0 THEN concat(p_brand, ', ', p_name, ', 청하 (', p_name, ')') WHEN 1 THEN concat('기희현, 전소미 (', p_name, ' (', p_brand, '), ', p_brand, ')')
+      WHEN 2 THEN concat('지민 [', p_name, ' (', p_brand, ')]') WHEN 3 THEN concat(p_name, ' (지민) (', p_brand, ')') WHEN 4 THEN concat('딘딘 & 민아 (', p_name, ' & ', p_brand, ')')
+      WHEN 5 THEN concat('손동운 (하이라이트) X 서령 (공원소녀) [', p_name, ' (Highlight) X ', p_brand, ' (GWSN)]') WHEN 6 THEN concat('주헌 (몬스타엑스) (', p_name, ' (MONSTA X))') ELSE concat(p_brand, ' (', p_name, ', x)') END"""
+    rows = star(spark, d, "part").selectExpr("p_partkey AS id", f"{text} AS text")
+    name = lists.register(spark)
+    return spark.sql(f"SELECT id, pos, eng, non_eng, group_eng, group_non_eng, array_join(members, '|') AS members FROM {{rows}} r, LATERAL {name}(r.text)", rows=rows)
+
+
+@query()
+def english_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How English all documents are, by a dictionary learned from those marked so."""
+    docs = star(spark, d, "documents")
+    return spelling.english_share(docs, spelling.dictionary(docs.filter("lang = 'en'")), "doc_id")
+
+
+@query(
+    "SELECT path, file_stars, rated_at, epoch_us(rated_at) + 12 * 3600000000 > (SELECT epoch_us(max(ts)) - 3600000000 FROM events) AS live FROM (SELECT CAST(user_id AS VARCHAR) AS path, arg_max(CAST(floor(value) AS INTEGER), ts) AS file_stars, max(ts) AS rated_at FROM events GROUP BY user_id)"
+)
+def rating_stream_last(spark: SparkSession, d: str) -> DataFrame:
+    """Events as rating files, streamed into the last rating of each user and whether it has expired."""
+    files, sink, state = (catalog.scratch(spark) for _ in range(3))
+    star(spark, d, "events").selectExpr("string(user_id) AS path", "int(floor(value)) AS file_stars", "ts AS at").write.parquet(files)
+    stream = spark.readStream.schema("path string, file_stars int, at timestamp").parquet(files)
+    ratings.last_ratings(stream, sink, state).awaitTermination()
+    return ratings.settled(spark.read.schema(ratings.LAST).parquet(sink)).withColumnRenamed("at", "rated_at")
+
+
+@query("SELECT date_trunc('hour', ts) AS begin, count(*) AS n, round(avg(CAST(floor(value) AS INTEGER)), 6) AS stars FROM events GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def rating_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts and means of the streamed ratings, as far as the watermark has closed them."""
+    files, sink, state = (catalog.scratch(spark) for _ in range(3))
+    star(spark, d, "events").selectExpr("string(user_id) AS path", "int(floor(value)) AS file_stars", "ts AS at").write.parquet(files)
+    stream = spark.readStream.schema("path string, file_stars int, at timestamp").parquet(files)
+    rows = ratings.rate_windows(stream).select("window.start", "n", "stars")
+    rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("start timestamp, n bigint, stars double").parquet(sink)
+    return out.select(F.col("start").alias("begin"), "n", F.round("stars", 6).alias("stars"))

@@ -104,12 +104,8 @@ def from_star(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog({k: (lambda f=f: f(spark, sf_dir)) for k, f in made.items()})
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as a table in the checkpoint folder, without their lineage; on one machine a temporary folder will do.
-
-    A table, as what Spark keeps of a checkpoint's plan grows from round to round of a loop.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, which driver and executors share; on one machine a temporary folder will do."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
@@ -117,6 +113,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as a table in the checkpoint folder, without their lineage.
+
+    A table, as what Spark keeps of a checkpoint's plan grows from round to round of a loop.
+    """
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
