@@ -4,7 +4,7 @@ Words are what lies between ASCII white space, A-Z lower-cased; each document en
 training documents (crc32 of the id modulo ``HOLDOUT`` isn't ``HELD``).
 
 The network's output is factored: a softmax over classes, then one within the class.  The most frequent words are symbols,
-the number of distinct words to the power of 0.4, in as many classes as a class has symbols; so both grow with the corpus.  Every other word, seen or not, belongs to one of ``SPELLINGS`` classes by its last two bytes, and within that it has
+the number of distinct words to the power of 0.54, in as many classes as a class has symbols; so both grow with the corpus.  Every other word, seen or not, belongs to one of ``SPELLINGS`` classes by its last two bytes, and within that it has
 its add-one share of the class's counts.  All counts are over all training documents.
 
 The network is trained by truncated backpropagation through windows of ``WINDOW`` tokens, many documents in lockstep, each
@@ -47,7 +47,7 @@ WIDTH = 16
 WINDOW = 32
 LANES = 256
 #: Longer documents are trained on in pieces of so many tokens, each from a zero state; scores carry the state on.
-PIECE = 1024
+PIECE = 4096
 #: Positions whose outputs are computed at once in scoring.
 BATCH = 1 << 13
 #: Steps that a task should make on its part at least; it runs fewer lanes for that.
@@ -434,7 +434,7 @@ def count(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int
     top = frequent(counts, hot)
     if n and not any(w == END for w, _ in top):  # every document has one, so it goes with the hot words in any case
         top = [*top[: hot - 1], (END, own.count())]
-    size = max(8, round(v**0.2))
+    size = max(8, round(v**0.27))
     known = top[: size * size]
     if n and not any(w == END for w, _ in known):
         known = [*known[:-1], next(x for x in top if x[0] == END)]
