@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tunelake.functions import lists, names, spelling
-from tunelake.operators import editions, entities
-from tunelake.queries import query
+from tunelake.functions import lists, names, scalar, spelling
+from tunelake.operators import editions, entities, tags
+from tunelake.operators.results import ResultSet
+from tunelake.queries import TRACK, query
 from tunelake.sources import catalog
 from tunelake.sources.catalog import star
 from tunelake.streaming import ratings
@@ -307,3 +308,43 @@ def rating_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("start timestamp, n bigint, stars double").parquet(sink)
     return out.select(F.col("start").alias("begin"), "n", F.round("stars", 6).alias("stars"))
+
+
+@query(
+    """SELECT artist, page_id, k, same AND NOT differ AS version, same AS partial, same AND NOT differ AND NOT equal AS merges FROM (SELECT artist, page_id, k, coalesce(lower(e1) = lower(e2), false) OR coalesce(lower(n1) = lower(n2), false) OR coalesce(lower(r1) = lower(r2), false) AS same,
+  coalesce(lower(e1) <> lower(e2), false) OR coalesce(lower(n1) <> lower(n2), false) OR coalesce(lower(r1) <> lower(r2), false) AS differ, e1 IS NOT DISTINCT FROM e2 AND n1 IS NOT DISTINCT FROM n2 AND r1 IS NOT DISTINCT FROM r2 AS equal
+  FROM (SELECT artist, page_id, row_number() OVER w AS k, eng AS e1, non_eng AS n1, romanized AS r1, lag(eng) OVER w AS e2, lag(non_eng) OVER w AS n2, lag(romanized) OVER w AS r2 FROM p WINDOW w AS (PARTITION BY artist ORDER BY page_id, eng NULLS FIRST, non_eng NULLS FIRST, romanized NULLS FIRST)) WHERE k > 1)""",
+    NAMES,
+)
+def name_versions_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Each name of an artist against the one before it: a version of it, at least in part, and whether they would merge."""
+    w = Window.partitionBy("artist").orderBy("page_id", *[F.col(f"name.{f}").asc_nulls_first() for f in ("eng", "non_eng", "romanized")])
+    rows = _names(spark, d).distinct().select("artist", "page_id", "name", F.row_number().over(w).cast("long").alias("k"), F.lag("name").over(w).alias("last")).filter("k > 1")
+    a, b = F.col("name"), F.col("last")
+    return rows.select("artist", "page_id", "k", names.is_version_of(a, b).alias("version"), names.is_version_of(a, b, partial=True).alias("partial"), names.should_merge(a, b).alias("merges"))
+
+
+@query("SELECT key, user_rating FROM track WHERE coalesce(user_rating, 0) >= 8", TRACK)
+def op_with_rating(spark: SparkSession, d: str) -> DataFrame:
+    return ResultSet.new(catalog.from_star(spark, d), "track").with_rating(8, "gte").df.select("key", "user_rating")
+
+
+@query("SELECT path, array_to_string(list_filter([trim(p_name), trim(p_type), 'x', ''], lambda v: v <> ''), ';') AS text FROM (SELECT *, p_partkey AS path FROM part)")
+def tags_text(spark: SparkSession, d: str) -> DataFrame:
+    return star(spark, d, "part").select(F.col("p_partkey").alias("path"), tags.text_of(F.array(F.concat(F.lit(" "), "p_name"), "p_type", F.lit(" x "), F.lit(" "))).alias("text"))
+
+
+@query("SELECT p_partkey AS path, p_brand || '/' || p_name || '-' || p_size || '/' || p_type AS safe FROM part")
+def path_safe(spark: SparkSession, d: str) -> DataFrame:
+    return star(spark, d, "part").select(F.col("p_partkey").alias("path"), scalar.safe_path(F.col("p_brand"), F.concat_ws("-", "p_name", "p_size"), F.col("p_type")).alias("safe"))
+
+
+@query(
+    "SELECT path, codec, length_text, title, artist, genre FROM (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_size % 2 = 0 THEN 'flac' ELSE 'mp3' END AS codec, CAST(p_size * 11 // 60 AS BIGINT) || ':' || lpad(CAST(p_size * 11 % 60 AS VARCHAR), 2, '0') AS length_text, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS title, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 4 <> 0 THEN p_brand END AS artist, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS genre FROM part)"
+)
+def metadata_table(spark: SparkSession, d: str) -> DataFrame:
+    """Technical columns and common tags of every file in one row; every fifth file has no tags."""
+    p = star(spark, d, "part")
+    files = p.selectExpr("string(p_partkey) AS path", "IF(p_size % 2 = 0, 'flac', 'mp3') AS codec", "double(p_size * 11) AS length", "192000L AS bitrate", "44100 AS sample_rate", "p_size % 2 = 0 AS lossless", "bigint(p_size) AS size")
+    own = p.filter("p_partkey % 5 > 0").selectExpr("string(p_partkey) AS path", "explode(array(named_struct('tag', 'title', 'value', p_name), named_struct('tag', 'genre', 'value', p_type), named_struct('tag', 'artist', 'value', IF(p_partkey % 4 <> 0, p_brand, NULL)))) AS t").select("path", "t.tag", "t.value")
+    return tags.metadata(own, files).select("path", "codec", F.col("length").alias("length_text"), "title", "artist", "genre")

@@ -47,7 +47,7 @@ def explode_tags(files: DataFrame) -> DataFrame:
 
 
 def text_of(values: Column) -> Column:
-    return F.array_join(F.filter(F.transform(values, F.trim), lambda v: v != ""), ";")
+    return F.array_join(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""), ";")
 
 
 def unique_values(tags: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def change_counts(diff: DataFrame) -> DataFrame:
 def common_changes(diff: DataFrame, files: DataFrame) -> DataFrame:
     """(tag, old, new) of tags that change in the same way in every file; files has a path column."""
     total = files.select("path").distinct().agg(F.count("*").alias("total"))
-    by = diff.groupBy("tag").agg(F.count("*").alias("n"), F.min("old").alias("old"), F.max("old").alias("o"), F.min("new").alias("new"), F.max("new").alias("w"))
-    same = by.filter("old <=> o AND new <=> w")
+    by = diff.groupBy("tag").agg(F.count("*").alias("n"), F.min("old").alias("old"), F.max("old").alias("o"), F.min("new").alias("new"), F.max("new").alias("w"), F.count("old").alias("some_old"), F.count("new").alias("some_new"))
+    same = by.filter("old <=> o AND new <=> w AND some_old IN (0, n) AND some_new IN (0, n)")
     return same.join(F.broadcast(total), same["n"] == F.col("total")).select("tag", "old", "new")
 
 
@@ -170,6 +170,13 @@ def common_row(tags: DataFrame, names: tuple[str, ...] = COMMON) -> DataFrame:
     return tags.groupBy("path").pivot("tag", list(names)).agg(F.when(F.count("value") > 0, F.array_join(F.array_sort(F.collect_list(F.trim("value"))), ";")))
 
 
+def metadata(tags: DataFrame, files: DataFrame) -> DataFrame:
+    """One row for each file: its technical columns, then its common tags; a file without tags has none."""
+    wide = common_row(tags)
+    own = [F.col(c).alias(f"tag_{c}" if c in files.columns else c) for c in wide.columns if c != "path"]
+    return technical(files).join(wide.select("path", *own), "path", "left")
+
+
 def merged_artists(wide: DataFrame) -> DataFrame:
     """The pivoted table with artist and album artist in one column where all files agree in both."""
     one = wide.select(F.count_if(~F.col("artist").eqNullSafe(F.col("album_artist")))).scalar() == 0

@@ -350,10 +350,16 @@ def tags_diff_genre_sets(spark: SparkSession, d: str) -> DataFrame:
     return tags.tag_diff(old, new, add=True)
 
 
-@query("SELECT 'genre' AS tag, 'a' AS old, 'b' AS new")
+#: What a retagging would change: a constant, a tag of each file, one that only some have, one whose new values differ, one that is added.
+CHANGES = """diff AS (SELECT p_partkey AS path, unnest([{'tag': 'genre', 'old': 'a', 'new': 'b'}, {'tag': 'title', 'old': p_name, 'new': 'x'}, {'tag': 'comment', 'old': 'c', 'new': CASE WHEN p_partkey % 2 = 0 THEN 'd' ELSE 'e' END}, {'tag': 'source', 'old': NULL, 'new': 'rip'},
+  {'tag': 'artist', 'old': CASE WHEN p_partkey % 4 <> 0 THEN 'f' END, 'new': 'g'}]) AS c FROM part)"""
+
+
+@query("SELECT c.tag AS tag, min(c.old) AS old, min(c.new) AS new FROM diff GROUP BY c.tag HAVING count(DISTINCT path) = (SELECT count(*) FROM part) AND count(DISTINCT coalesce('=' || c.old, '')) = 1 AND count(DISTINCT coalesce('=' || c.new, '')) = 1", CHANGES)
 def tags_common_changes(spark: SparkSession, d: str) -> DataFrame:
     p = star(spark, d, "part")
-    diff = p.select(F.col("p_partkey").alias("path"), F.explode(F.expr("array(named_struct('tag', 'genre', 'old', 'a', 'new', 'b'), named_struct('tag', 'title', 'old', p_name, 'new', 'x'))")).alias("c")).select("path", "c.*")
+    some = "named_struct('tag', 'comment', 'old', 'c', 'new', IF(p_partkey % 2 = 0, 'd', 'e')), named_struct('tag', 'source', 'old', string(null), 'new', 'rip'), named_struct('tag', 'artist', 'old', IF(p_partkey % 4 <> 0, 'f', null), 'new', 'g')"
+    diff = p.select(F.col("p_partkey").alias("path"), F.explode(F.expr(f"array(named_struct('tag', 'genre', 'old', 'a', 'new', 'b'), named_struct('tag', 'title', 'old', p_name, 'new', 'x'), {some})")).alias("c")).select("path", "c.*")
     return tags.common_changes(diff, p.select(F.col("p_partkey").alias("path")))
 
 
