@@ -8,8 +8,9 @@ blocks that overlap by one word less than the longest phrase, each with a termin
 whole within some block and suffixes are told apart after a block's length at most.  A very long document simply
 spans several shards' worth of blocks, its words counted once.
 
-Test phrases go to the tasks in blocks of about ``PHRASE_BYTES``, one pass over the documents for each block, so that
-what is broadcast stays bounded whatever the benchmark's size; an item that is longer is cut between its windows.
+Test phrases go to the tasks in blocks of about ``PHRASE_BYTES``, so that what is broadcast stays bounded whatever the
+benchmark's size; an item that is longer is cut between its windows.  With more than one block the shards' indexes are
+written as a table, once, and every block is searched in them.
 
 Null and empty texts have no words and no hits; null or wordless benchmark items have no phrases.  Repeated items count
 by their id, repeated documents are separate rows.  Occurrences that overlap or tie are merged.  New columns replace input
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -153,46 +155,102 @@ class Phrases:
         self.longest = max(self.by_length, default=1)
 
 
+class Shard:
+    """The FM-index of a shard's documents, and where its positions lie in them."""
+
+    def __init__(self, docs: list[list[bytes]], longest: int):
+        """longest: the words of the longest phrase that may be searched."""
+        numbers: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
+        lengths = np.array([len(d) for d in docs])
+        flat = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(docs)), np.int32, int(lengths.sum()))
+        first = np.r_[0, np.cumsum(lengths)]
+        # blocks: [begin, end) in flat, every one within a document and overlapping the next
+        step = BLOCK
+        counts = np.where(lengths > 0, np.maximum(1, -(-(lengths - (longest - 1)) // step)), 0)
+        doc = np.repeat(np.arange(len(docs)), counts)
+        nth = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+        begin = first[doc] + nth * step
+        end = np.minimum(begin + step + longest - 1, first[doc + 1])
+        size = end - begin + 1
+        top = np.r_[0, np.cumsum(size)]
+        inside = np.arange(top[-1]) - np.repeat(top[:-1], size)
+        source = np.repeat(begin, size) + inside
+        text = np.where(inside == np.repeat(size, size) - 1, 0, np.r_[flat, 0][source]).astype(np.int32)
+        self.index, self.words, self.first, self.source = FMIndex(text, inside, len(numbers) + 1), list(numbers), first, source.astype(np.int32)
+
+    def find(self, phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
+        """(document, merged spans of words, items) for the documents in which any phrase occurs."""
+        first, total, numbers = self.first, int(self.first[-1]), {w: k for k, w in enumerate(self.words, 1)}
+        own = np.array([numbers.get(w, 0) for w in phrases.vocabulary], np.int64)
+        hit, items = np.zeros(total + 1, np.int32), defaultdict(set)
+        for n, (rows, of) in phrases.by_length.items():
+            live, low, high = self.index.search(own[rows])
+            many = high - low
+            if not len(live):
+                continue
+            at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            place = self.source[self.index.locate(at)]
+            where, phrase = np.searchsorted(first, place, "right") - 1, np.repeat(live, many)
+            fresh = np.unique(np.stack([place, phrase]), axis=1)[0]  # overlaps of blocks show some twice
+            np.add.at(hit, fresh, 1)
+            np.add.at(hit, fresh + n, -1)
+            for d, p in np.unique(np.stack([where, phrase]), axis=1).T:
+                items[int(d)] |= of[int(p)]
+        covered = np.cumsum(hit[:-1]) > 0
+        for d, found in sorted(items.items()):
+            edge = np.flatnonzero(np.diff(np.r_[False, covered[first[d] : first[d + 1]], False]))
+            yield d, [(int(a), int(b)) for a, b in edge.reshape(-1, 2)], found
+
+
 def find(shard: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
-    """(document, merged spans of words, items) for the documents of a shard in which any phrase occurs."""
-    if not phrases.by_length or not any(shard):
-        return
-    numbers: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
-    lengths = np.array([len(d) for d in shard])
-    flat = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(shard)), np.int32, int(lengths.sum()))
-    first = np.r_[0, np.cumsum(lengths)]
-    # blocks: [begin, end) in flat, every one within a document and overlapping the next
-    step = BLOCK
-    counts = np.where(lengths > 0, np.maximum(1, -(-(lengths - (phrases.longest - 1)) // step)), 0)
-    doc = np.repeat(np.arange(len(shard)), counts)
-    nth = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-    begin = first[doc] + nth * step
-    end = np.minimum(begin + step + phrases.longest - 1, first[doc + 1])
-    size = end - begin + 1
-    top = np.r_[0, np.cumsum(size)]
-    inside = np.arange(top[-1]) - np.repeat(top[:-1], size)
-    source = np.repeat(begin, size) + inside
-    text = np.where(inside == np.repeat(size, size) - 1, 0, np.r_[flat, 0][source]).astype(np.int32)
-    index = FMIndex(text, inside, len(numbers) + 1)
-    own = np.array([numbers.get(w, 0) for w in phrases.vocabulary], np.int64)
-    hit, items = np.zeros(len(flat) + 1, np.int32), defaultdict(set)
-    for n, (rows, of) in phrases.by_length.items():
-        live, low, high = index.search(own[rows])
-        many = high - low
-        if not len(live):
-            continue
-        at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        place = source[index.locate(at)]
-        where, phrase = np.searchsorted(first, place, "right") - 1, np.repeat(live, many)
-        fresh = np.unique(np.stack([place, phrase]), axis=1)[0]  # overlaps of blocks show some twice
-        np.add.at(hit, fresh, 1)
-        np.add.at(hit, fresh + n, -1)
-        for d, p in np.unique(np.stack([where, phrase]), axis=1).T:
-            items[int(d)] |= of[int(p)]
-    covered = np.cumsum(hit[:-1]) > 0
-    for d, found in sorted(items.items()):
-        edge = np.flatnonzero(np.diff(np.r_[False, covered[first[d] : first[d + 1]], False]))
-        yield d, [(int(a), int(b)) for a, b in edge.reshape(-1, 2)], found
+    """:meth:`Shard.find` of the documents of a shard, without an index if there is nothing to find."""
+    if phrases.by_length and any(shard):
+        yield from Shard(shard, phrases.longest).find(phrases)
+
+
+def cut(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Rows of about so many words together, and their words; the text is the last column."""
+    for batch in batches:
+        shard, n, since = [], 0, 0
+        texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+        for k in range(batch.num_rows):
+            shard.append(words_of(texts[k].as_py()))
+            n += len(shard[-1])
+            if n >= shard_words:
+                yield batch.slice(since, k + 1 - since), shard
+                shard, n, since = [], 0, k + 1
+        if shard:
+            yield batch.slice(since), shard
+
+
+#: Row groups of a shard or two, so that a task that reads indexes needn't hold many.
+GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "2"}
+
+
+def indexed(own: DataFrame, longest: int, shard_words: int) -> DataFrame:
+    """A written table of the shards of own (row, t): ``rows``, their ``lengths`` in words, and the ``shard``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, shard in cut(batches, shard_words):
+            made = pickle.dumps(Shard(shard, longest)) if any(shard) else None
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([[len(d) for d in shard]], pa.list_(pa.int64())), pa.array([made], pa.binary())], ["rows", "lengths", "shard"])
+
+    return common.written(own.select("row", "t").mapInArrow(run, "rows array<bigint>, lengths array<bigint>, shard binary"), **GROUPS)
+
+
+def _searched(shards: DataFrame, phrases) -> DataFrame:
+    """(row, spans, items) of the documents in which any of the phrases occurs, from the indexes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = batch.column(0)[k].as_py()
+                found = [(rows[d], [{"start": a, "end": b} for a, b in merged], sorted(items)) for d, merged, items in pickle.loads(batch.column(1)[k].as_py()).find(phrases.value)]
+                if found:
+                    row, spans, items = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], ["row", "spans", "items"])
+
+    return shards.select("rows", "shard").filter("shard IS NOT NULL").mapInArrow(run, "row bigint, spans array<struct<start:int, end:int>>, items array<string>")
 
 
 OUT = "n_words bigint, spans array<struct<start:int, end:int>>, items array<string>"
@@ -216,17 +274,8 @@ def _pass(docs: DataFrame, keep: list[str], text: str, phrases, shard_words: int
             columns = [*part.columns[:-1], [len(d) for d in shard], spans, items]
             return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, named, strict=True)], schema=named)
 
-        for batch in batches:
-            shard, n, since = [], 0, 0
-            texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
-            for k in range(batch.num_rows):
-                shard.append(words_of(texts[k].as_py()))
-                n += len(shard[-1])
-                if n >= shard_words:
-                    yield done(batch.slice(since, k + 1 - since), shard)
-                    shard, n, since = [], 0, k + 1
-            if shard:
-                yield done(batch.slice(since), shard)
+        for part, shard in cut(batches, shard_words):
+            yield done(part, shard)
 
     return source.mapInArrow(run, schema)
 
@@ -264,15 +313,15 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _pass(docs, keep, text, share(first), shard_words)
-    # more phrases than one block: each block's hits are written before the next block is sent out, then they are joined by row
+    # more phrases than one block: each shard is indexed once, for phrases of any length, and every block is searched in the
+    # indexes; its hits are written before the next block is sent out, then they are joined by row
     inner = {f"c{i}": c for i, c in enumerate(keep)}
     own = common.written(docs.select(*[F.col(f"`{c}`").alias(i) for i, c in inner.items()], F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("row")))
-    words, hits = None, []
+    shards = indexed(own.withColumn("t", F.col("t").cast("string")), window, shard_words)
+    words, hits = shards.select(F.explode(F.arrays_zip("rows", "lengths")).alias("x")).select(F.col("x.rows").alias("row"), F.col("x.lengths").alias("n_words")), []
     for block in itertools.chain([first, second], blocks):
         phrases = share(block)
-        found = common.written(_pass(own, ["row"], "t", phrases, shard_words))
-        words = found.select("row", "n_words") if words is None else words
-        hits.append(found.filter(F.size("items") > 0).select("row", "spans", "items"))
+        hits.append(common.written(_searched(shards, phrases)))
         phrases.unpersist()
     met = functools.reduce(DataFrame.union, hits).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.expr("""aggregate(spans, cast(array() as array<struct<start:int, end:int>>), (done, s) ->
