@@ -45,7 +45,9 @@ HOLDOUT, HELD = 7, 2
 SPELLINGS = 32
 WIDTH = 16
 WINDOW = 32
-LANES = 256
+#: Gradients of fewer tokens weigh less in a step.
+FEW = 256
+LANES = 512
 #: Longer documents are trained on in pieces of so many tokens, each from a zero state; scores carry the state on.
 PIECE = 4096
 #: Positions whose outputs are computed at once in scoring.
@@ -355,7 +357,7 @@ class Trainer:
         self.t += 1
         self.tokens += n
         g = self.g
-        g /= max(n, LANES)
+        g /= max(n, FEW)
         np.clip(g, -1, 1, out=g)
         self.m *= 0.9
         self.m += 0.1 * g
