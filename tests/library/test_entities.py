@@ -96,3 +96,41 @@ def test_searches_end_and_rings_close(spark):
     got = {r.id: (r.artist, r.by) for r in entities.member_lookup(wanted, edges, artists).collect()}
     assert got == {1: ("m", "member"), 2: ("m", "name"), 3: (None, "none"), 4: (None, "none")}
     assert names.score({"eng": "a", "non_eng": None, "romanized": None}, {"eng": "a", "non_eng": None, "romanized": None}) == 100
+
+
+def test_album_lookup_by_brute_force(spark):
+    from tunelake.functions.text import weighted_ratio
+
+    parts = [tuple(r) for r in spark.read.parquet(f"{DATA}/part.parquet").selectExpr("p_partkey", "concat('a', p_size % 3)", "p_name").collect()]
+    entries = [p for p in parts if p[0] % 2]
+    want = {}
+    for key, artist, title in parts:
+        if key % 2:
+            continue
+        here = [e for e in entries if e[1] == artist]
+        near = lambda t: sorted((-s, e[0]) for e in here if (s := weighted_ratio(t, e[2])) >= 90)
+        if key % 10 == 0 and any(e[0] == key + 1 for e in entries):
+            want[key] = (key + 1, "url")
+        elif found := near(f"{title} 사랑" if key % 4 == 0 else title):
+            want[key] = (found[0][1], "name")
+        elif key % 4 == 0 and (found := near(title)):
+            want[key] = (found[0][1], "part")
+    got = {r.album: (r.entry, r.by) for r in QUERIES["album_lookup"](spark, DATA).collect()}
+    assert got == want and {b for _, b in want.values()} == {"url", "name", "part"}
+
+
+def test_match_scores_by_brute_force(spark):
+    parts = [tuple(r) for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey", "p_brand", "p_name").collect()]
+    plain = lambda t: {"eng": t, "non_eng": None, "romanized": None, "versions": ()}
+    known, want = {}, {}
+    for key, _, title in parts:
+        if key % 3 == 0:
+            own = title if key % 2 == 0 else title + "s"
+            for other, brand, name_ in parts:
+                if (own, name_) not in known:
+                    known[own, name_] = names.score(plain(own), plain(name_))
+                if known[own, name_] >= 90:
+                    k = (key, "edition" if other % 2 == 0 else "part", brand)
+                    want[k] = max(want.get(k, 0), known[own, name_])
+    got = {(r.id, r.kind, r.target): r.score for r in QUERIES["match_scores"](spark, DATA).collect()}
+    assert got == want

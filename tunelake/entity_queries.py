@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tunelake.functions import lists, names, scalar, spelling
-from tunelake.operators import editions, entities, tags
+from tunelake.operators import editions, entities, matching, tags
 from tunelake.operators.results import ResultSet
 from tunelake.queries import TRACK, query
 from tunelake.sources import catalog
@@ -348,3 +348,23 @@ def metadata_table(spark: SparkSession, d: str) -> DataFrame:
     files = p.selectExpr("string(p_partkey) AS path", "IF(p_size % 2 = 0, 'flac', 'mp3') AS codec", "double(p_size * 11) AS length", "192000L AS bitrate", "44100 AS sample_rate", "p_size % 2 = 0 AS lossless", "bigint(p_size) AS size")
     own = p.filter("p_partkey % 5 > 0").selectExpr("string(p_partkey) AS path", "explode(array(named_struct('tag', 'title', 'value', p_name), named_struct('tag', 'genre', 'value', p_type), named_struct('tag', 'artist', 'value', IF(p_partkey % 4 <> 0, p_brand, NULL)))) AS t").select("path", "t.tag", "t.value")
     return tags.metadata(own, files).select("path", "codec", F.col("length").alias("length_text"), "title", "artist", "genre")
+
+
+@query()
+def album_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every other part as an album of files, the rest as entries: by url, name, number, or a part of a name in two scripts."""
+    p = star(spark, d, "part")
+    shared = "concat('a', p_size % 3) AS artist", "'EP' AS type", "false AS repackage"
+    files = p.filter("p_partkey % 2 = 0").selectExpr("p_partkey AS album", "IF(p_partkey % 10 = 0, concat('u', p_partkey + 1), NULL) AS url", "IF(p_partkey % 4 = 0, concat(p_name, ' 사랑'), p_name) AS name", "p_partkey % 7 AS num", *shared)
+    entries = p.filter("p_partkey % 2 = 1").selectExpr("p_partkey AS entry", "concat('u', p_partkey) AS url", "p_name AS name", "100 + p_partkey % 7 AS num", *shared)
+    return matching.album_lookup(files, entries)
+
+
+@query()
+def match_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Names of a third of the parts, as they are and turned round, against those of all brands' and sizes' parts."""
+    name = lambda c: f"named_struct('eng', {c}, 'non_eng', string(null), 'romanized', string(null), 'lit', string(null), 'versions', cast(array() AS {names.VERSIONS})) AS name"
+    p = star(spark, d, "part")
+    wanted = p.filter("p_partkey % 3 = 0").selectExpr("p_partkey AS id", name("IF(p_partkey % 2 = 0, p_name, concat(p_name, 's'))"))
+    targets = p.selectExpr("IF(p_partkey % 2 = 0, 'edition', 'part') AS kind", "p_brand AS target", name("p_name")).distinct()
+    return matching.match_scores(wanted, targets).select("id", "kind", "target", "score").distinct()

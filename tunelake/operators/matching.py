@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tunelake.functions import fuzzy, names
 from tunelake.functions.text import weighted_ratio_udf
 
+from tunelake.sources.catalog import checkpointed
+
 from .pages import keep_if_any
 
 COMPATIBLE = (("EP", "Mini Album"), ("EP", "Single"))
@@ -100,16 +102,31 @@ def artist_lookup(files: DataFrame, artists: DataFrame, threshold: int = 90) ->
     return direct.select("path", "artist", F.lit("url").alias("by")).unionByName(by_name)
 
 
+def script_parts(c: Column) -> Column:
+    """What a name in two scripts says in either, if it does in both; else nothing."""
+    latin = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\p{L}&&[^\p{IsLatin}]]+", " "), r"\s+", " "))
+    other = F.trim(F.regexp_replace(F.regexp_replace(c, r"\p{IsLatin}+", " "), r"\s+", " "))
+    return F.when(latin.rlike(r"\p{L}") & other.rlike(r"\p{L}"), F.array(latin, other)).otherwise(F.array().cast("array<string>"))
+
+
 def album_lookup(files: DataFrame, entries: DataFrame, threshold: int = 90) -> DataFrame:
-    """(album, entry, by): by the url tag, else the best of the candidates by name, else one of the artist's type and number.
+    """(album, entry, by): by the url tag, else the best of the candidates by name, else one of the artist's type and number; what
+    still has none and a name in two scripts is tried again with what it says in either (``part``).
 
     files: album, url and what album_candidates takes; entries: entry, url and likewise.
     """
     direct = files.select("album", "url").join(entries.select("url", "entry").dropna(), "url").groupBy("album").agg(F.min("entry").alias("entry"))
-    rest = files.join(direct.select("album"), "album", "left_anti")
-    order = F.struct(F.when(F.col("by") == "name", 0).otherwise(1).alias("o"), (-F.col("score")).alias("s"), "entry", "by")
-    found = album_candidates(rest.drop("url"), entries.drop("url"), threshold).groupBy("album").agg(F.min(order).alias("b"))
-    return direct.select("album", "entry", F.lit("url").alias("by")).unionByName(found.select("album", "b.entry", "b.by"))
+    rest = files.join(direct.select("album"), "album", "left_anti").drop("url")
+
+    def found(df: DataFrame) -> DataFrame:
+        order = F.struct(F.when(F.col("by") == "name", 0).otherwise(1).alias("o"), (-F.col("score")).alias("s"), "entry", "by")
+        best = album_candidates(df, entries.drop("url"), threshold).groupBy("album").agg(F.min(order).alias("b"))
+        return best.select("album", "b.entry", "b.by")
+
+    first = checkpointed(found(rest))
+    split = rest.join(first.select("album"), "album", "left_anti").withColumn("name", F.explode(script_parts(F.col("name"))))
+    again = found(split).withColumn("by", F.lit("part"))
+    return direct.select("album", "entry", F.lit("url").alias("by")).unionByName(first).unionByName(again)
 
 
 def match_scores(wanted: DataFrame, targets: DataFrame, least: int = 90) -> DataFrame:
