@@ -47,7 +47,7 @@ WIDTH = 16
 WINDOW = 32
 #: Gradients of fewer tokens weigh less in a step.
 FEW = 256
-LANES = 512
+LANES = 256
 #: Longer documents are trained on in pieces of so many tokens, each from a zero state; scores carry the state on.
 PIECE = 4096
 #: Positions whose outputs are computed at once in scoring.
