@@ -80,16 +80,15 @@ def classify(pages: DataFrame, requested: str = "WikiEntity", key: str = "url",
 
 def album_type(categories: Column) -> Column:
     """The first type in order that any category names, UNKNOWN without one; ``ep`` alone is an EP."""
-    out = F.lit("UNKNOWN")
-    # a category counts for its own first type only; of all categories' types the first in order wins
-    rank = F.array_min(F.filter(F.transform(categories, _rank), lambda r: r.isNotNull()))
-    for i, (name, *_) in enumerate(ALBUM_TYPES):
-        out = F.when(rank == i, name).otherwise(out)
-    return out
+    # a category counts for its own first type only; of all categories' types the first in order wins.  Each category is folded
+    # once and the rank used once: expressions over arrays are not shared, so each further use would count it again
+    folded = F.transform(categories, lambda c: F.translate(F.lower(F.trim(c)), "-_", "  "))
+    rank = F.array_min(F.transform(folded, _rank))
+    return F.coalesce(F.get(F.array(*[F.lit(name) for name, *_ in ALBUM_TYPES]), rank), F.lit("UNKNOWN"))
 
 
 def _rank(c: Column) -> Column:
-    c = F.translate(F.lower(F.trim(c)), "-_", "  ")
+    """The place of the first type that a folded category names."""
     out = F.when(c.isin("ep", "eps"), 1)
     for i, (_, parts, *_) in reversed(list(enumerate(ALBUM_TYPES))):
         hit = F.lit(False)
