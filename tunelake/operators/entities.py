@@ -147,9 +147,17 @@ def member_lookup(wanted: DataFrame, edges: DataFrame, artists: DataFrame, thres
 
     wanted: id, name, group (or null); edges: group, member; artists: artist, name.
     """
-    pairs = names.best_matches(wanted.select("id", "name"), artists.select("artist", "name"), "id", "artist", threshold=threshold).withColumnRenamed("artist_match", "artist")
-    inside = closure(edges).select("group", F.col("member").alias("artist"), "depth")
-    met = pairs.join(wanted.select("id", "group"), "id").join(inside, ["group", "artist"], "left")
-    order = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("d"), (-F.col("score")).alias("s"), "artist")
-    best = met.groupBy("id").agg(F.min(order).alias("b")).select("id", "b.artist", F.when(F.col("b.d") < 1 << 30, "member").otherwise("name").alias("by"))
-    return wanted.select("id").join(best, "id", "left").select("id", "artist", F.coalesce("by", F.lit("none")).alias("by"))
+    c, far = F.col, 1 << 30
+    spelled = lambda df, key: df.filter("name IS NOT NULL").groupBy(F.to_json("name").alias(key)).agg(F.first("name").alias("name"))
+    pairs = names.best_matches(spelled(wanted, "own"), spelled(artists, "other"), "own", "other", threshold=threshold).withColumnRenamed("other_match", "other")
+    # of all artists of one name only the first can be chosen, and of those within a group the nearest
+    called = artists.select("artist", F.to_json("name").alias("other"))
+    inside = closure(edges).select("group", c("member").alias("artist"), "depth").join(called, "artist").groupBy(c("group").alias("__g"), "other").agg(F.min(F.struct("depth", "artist")).alias("m"))
+    first = called.groupBy("other").agg(F.min("artist").alias("artist"))
+    asked = wanted.select("group", F.to_json("name").alias("own"))
+    met = asked.distinct().join(pairs, "own").join(first, "other").join(inside.withColumnRenamed("other", "__o"), (c("group") == c("__g")) & (c("other") == c("__o")), "left")
+    order = F.struct(F.coalesce("m.depth", F.lit(far)).alias("d"), (-c("score")).alias("s"), F.coalesce("m.artist", "artist").alias("artist"))
+    best = met.groupBy(c("group").alias("__g"), c("own").alias("__n")).agg(F.min(order).alias("b"))
+    each = wanted.select("id", "group", F.to_json("name").alias("own")).join(best, c("group").eqNullSafe(c("__g")) & (c("own") == c("__n")), "left").groupBy("id").agg(F.min("b").alias("b"))
+    by = F.when(c("b").isNull(), "none").when(c("b.d") < far, "member").otherwise("name")
+    return wanted.select("id").join(each, "id", "left").select("id", "b.artist", by.alias("by"))
