@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import itertools
+from collections.abc import Iterator
 
-from tunelake.sources.catalog import checkpointed
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
-def _parents(editions: DataFrame) -> DataFrame:
-    """editions with ``parent`` and ``by``: what each continues, given the last numbers so far (``top``).
+def _lists(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(edition, num, title, source, by) of rows (album, pos, edition, side, num, title) in this order, an album after the other.
 
-    The latest earlier edition of the album that ends one before this one begins; else the one before it.  That is an as-of join:
-    an edition offers the number after its last, asks for its first, and takes the last offer of that number before it, so no two
-    editions of an album are paired but by one window.
+    Of editions with the same last number only the latest can be continued, so an album holds one list for each last number.
     """
-    asks = F.col("first") > 1
-    offer = F.struct("pos", "edition")
-    events = editions.select("album", "pos", "edition", (F.col("top") + 1).alias("num"), offer.alias("offer"), F.lit(False).alias("asks"))
-    events = events.unionByName(editions.filter(asks).select("album", "pos", "edition", F.col("first").alias("num"), F.lit(None).cast(events.schema["offer"].dataType).alias("offer"), F.lit(True).alias("asks")))
-    before = Window.partitionBy("album", "num").orderBy("pos", F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    fits = events.withColumn("fit", F.last("offer", ignorenulls=True).over(before)).filter("asks").select(F.col("edition").alias("__e"), "fit")
-    last = F.lag("edition").over(Window.partitionBy("album").orderBy("pos"))
-    out = editions.withColumn("prev", last).join(fits, F.col("edition") == F.col("__e"), "left")
-    parent = F.when(asks & ~F.coalesce("side", F.lit(False)), F.coalesce("fit.edition", "prev"))
-    by = F.when(parent.isNull(), "own").when(F.col("fit").isNotNull(), "continued").otherwise("overlaid")
-    return out.select("album", "edition", "pos", "side", "first", "last", "top", parent.alias("parent"), by.alias("by"))
+    for _, album in itertools.groupby(rows, lambda r: r[0]):
+        ends: dict = {}  # the last number so far: the list that ends there
+        waiting: list[tuple] = []  # lists of the same place don't continue each other
+        before = at = None
+        for (pos, edition, side), tracks in itertools.groupby(album, lambda r: r[1:4]):
+            if pos != at:
+                ends.update(waiting)
+                waiting, at = [], pos
+            own: dict = {}
+            for *_, num, title in tracks:
+                if num not in own or own[num][0] is not None and (title is None or title < own[num][0]):
+                    own[num] = title, edition
+            nums = [n for n in own if n is not None]
+            first, top = min(nums, default=None), max(nums, default=None)
+            by = "own"
+            if first is not None and first > 1 and not side and before is not None:
+                by = "continued" if first - 1 in ends else "overlaid"
+                parent = ends[first - 1] if by == "continued" else before[1]
+                own = parent | own
+                if by == "overlaid" and before[0] is not None:
+                    top = max(top, before[0])
+            before = top, own
+            if top is not None:
+                waiting.append(before)
+            for num, (title, source) in own.items():
+                yield edition, num, title, source, by
 
 
 def continuation(editions: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -32,34 +47,29 @@ def continuation(editions: DataFrame, tracks: DataFrame) -> DataFrame:
 
     An edition whose first number is over 1 continues the latest earlier edition of its album that ends right before it
     (``continued``), or is laid over the edition before it by number (``overlaid``); sides of a record and first editions stand
-    alone (``own``).  What an edition ends with is known once what it is laid over is, so last numbers are settled in rounds, as
-    many as editions are laid over one another; then each number is taken from the nearest edition of the chain that has it.
-    An edition without tracks takes no part.
+    alone (``own``).  What an edition ends with is known once what it is laid over is, so an album's editions are read in order,
+    as a sorted stream: one exchange by album, whatever the length of its chains.  Each number is taken from the nearest edition
+    of the chain that has it.  An edition without tracks takes no part.
 
     editions: edition, album, pos, side (null: no); tracks: edition, num, title.
     """
-    ends = tracks.groupBy("edition").agg(F.min("num").alias("first"), F.max("num").alias("last"))
-    rows = checkpointed(editions.select("album", "edition", "pos", "side").join(ends, "edition").withColumn("top", F.col("last")))
-    while True:
-        found = _parents(rows)
-        of = found.select(F.col("edition").alias("__p"), F.col("top").alias("__top"))
-        top = F.when(F.col("by") == "overlaid", F.greatest("last", "__top")).otherwise(F.col("last"))
-        settled = checkpointed(found.join(of, F.col("parent") == F.col("__p"), "left").withColumn("now", top))
-        if settled.filter("now <> top").isEmpty():
-            break
-        rows = settled.select("album", "edition", "pos", "side", "first", "last", F.col("now").alias("top"))
-    jump = settled.filter("parent IS NOT NULL").select("edition", "parent", F.lit(1).alias("far"))
-    reach = settled.select("edition", F.col("edition").alias("source"), F.lit(0).alias("far"))
-    while True:  # twice as far up the chains a round
-        step = jump.select(F.col("edition").alias("source"), F.col("parent").alias("__a"), F.col("far").alias("__f"))
-        up = lambda df, at: df.join(step, at).select("edition", F.col("__a").alias(at), (F.col("far") + F.col("__f")).alias("far"))
-        reach = checkpointed(reach.unionByName(up(reach, "source")))
-        jump = checkpointed(up(jump.withColumnRenamed("parent", "source"), "source").withColumnRenamed("source", "parent"))
-        if jump.isEmpty():
-            break
-    listed = reach.join(tracks.select(F.col("edition").alias("source"), "num", "title"), "source")
-    nearest = listed.groupBy("edition", "num").agg(F.min(F.struct("far", "title", "source")).alias("t"))
-    return nearest.join(settled.select("edition", "by"), "edition").select("edition", "num", "t.title", "t.source", "by")
+    rows = editions.select("album", "pos", "edition", "side").join(tracks.select("edition", "num", "title"), "edition").select("album", "pos", "edition", "side", "num", "title")
+    schema = T.StructType([rows.schema[c] for c in ("edition", "num", "title")] + [T.StructField("source", rows.schema["edition"].dataType), T.StructField("by", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict = {}
+
+        def read():
+            for batch in batches:
+                kinds.update(zip(batch.schema.names, batch.schema.types))
+                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+        lists = _lists(read())
+        while some := list(itertools.islice(lists, 20_000)):
+            types = kinds["edition"], kinds["num"], kinds["title"], kinds["edition"], pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types, strict=True)], ["edition", "num", "title", "source", "by"])
+
+    return rows.repartition("album").sortWithinPartitions("album", "pos", "edition", "num").mapInArrow(run, schema)
 
 
 def zip_files(albums: DataFrame, files: DataFrame, tracks: DataFrame) -> DataFrame:
