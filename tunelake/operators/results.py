@@ -196,8 +196,8 @@ class ResultSet:
         """As unique, and an artist's track goes if its title matches, as a name, that of a better one that stays.
 
         Better is unique's order.  The reference takes tracks as they come and swaps in the better of two that match; in
-        this order the earlier is always the better, so nothing is swapped.  All titles of an artist are candidates that
-        share a match key; distinct pairs of titles are scored once.
+        this order the earlier is always the better, so nothing is swapped.  Titles that match are found among the distinct
+        ones of all artists, so keys and scores grow with these, not with the tracks.
         """
         from tunelake.functions import fuzzy, names
 
@@ -207,16 +207,16 @@ class ResultSet:
         nodes = checkpointed(first.df.select("key", first._artist().alias("artist"), F.lower("title").alias("t"), F.row_number().over(w).alias("n")))
         spelled = nodes.filter("t IS NOT NULL").select("t").distinct().select("t", names.from_enclosed(F.col("t")).alias("name"))
         spelled = checkpointed(spelled.select("t", F.struct(*[F.col(f"name.{f}").alias(f) for f in names.FIELDS]).alias("name")))
-        at = nodes.join(names.keyed(spelled, least, counts=names.counted(spelled) if least >= fuzzy.LEAST else None).select("t", "__k", "__len"), "t")
-        a, b = (at.select("artist", "__k", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "t", "__len")]) for side in "ab")
-        same = a["artist"].eqNullSafe(b["artist"]) & (a["__k"] == b["__k"]) & F.expr("n_a < n_b")
-        met = a.join(b, same).select(a["artist"], a["__k"], "n_a", "n_b", "t_a", "t_b", "__len_a", "__len_b").filter(names.lengths_fit(F.col("__len_a"), F.col("__len_b"), least))
-        pairs = checkpointed(met.select("artist", "n_a", "n_b", F.least("t_a", "t_b").alias("x"), F.greatest("t_a", "t_b").alias("y")).distinct())
-        titles = pairs.select("x", "y").distinct()
-        for c in "xy":
-            titles = titles.join(spelled.select(F.col("t").alias(c), F.col("name").alias(f"name_{c}")), c)
-        titles = titles.filter(names.score_udf("name_x", "name_y") >= least).select("x", "y")
-        gone = _greedy(pairs.join(titles, ["x", "y"]).select("artist", "n_a", "n_b"))
+        at = names.keyed(spelled, least, counts=names.counted(spelled) if least >= fuzzy.LEAST else None)
+        x, y = (at.select("__k", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "name", "__len")]) for side in "xy")
+        met = x.join(y, "__k").filter(F.expr("t_x < t_y") & names.lengths_fit(F.col("__len_x"), F.col("__len_y"), least)).groupBy("t_x", "t_y").agg(F.first("name_x").alias("name_x"), F.first("name_y").alias("name_y"))
+        tasks = self.df.sparkSession.sparkContext.defaultParallelism * 4
+        near = checkpointed(met.repartition(tasks, "t_x", "t_y").filter(names.score_udf("name_x", "name_y") >= least).select("t_x", "t_y"))
+        # an artist has a title once, so each track asks for those of the artist that match its own
+        either = near.select(F.col("t_x").alias("t"), F.col("t_y").alias("__t")).union(near.select("t_y", "t_x"))
+        asks = nodes.join(either, "t").select(F.col("artist").alias("__a"), F.col("n").alias("n_a"), "__t")
+        pairs = asks.join(nodes, F.col("artist").eqNullSafe(F.col("__a")) & (F.col("t") == F.col("__t"))).filter("n_a < n").select("artist", "n_a", F.col("n").alias("n_b"))
+        gone = _greedy(pairs)
         dropped = nodes.join(gone, nodes["artist"].eqNullSafe(gone["__artist"]) & (nodes["n"] == gone["__n"]), "left_semi").select(F.col("key").alias("__k"))
         return first._with(first.df.join(dropped, first.df["key"] == F.col("__k"), "left_anti"))
 
