@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tunelake.sources.catalog import checkpointed
 
 from . import fuzzy
 from .scalar import script
@@ -244,33 +247,65 @@ def lengths_fit(a: Column, b: Column, threshold: int) -> Column:
     return F.when((a > 0) & (b > 0), near).otherwise((a < 0) | (b < 0) | F.col("__k").startswith("="))
 
 
+def _hashable(df: pd.DataFrame) -> list[tuple]:
+    """The fields of each name and its versions."""
+    versions = [None if v is None or not len(v) else tuple(tuple(x.get(f) for f in FIELDS) for x in v) for v in df["versions"]] if "versions" in df else [None] * len(df)
+    return list(zip(*[df[f].tolist() for f in FIELDS], versions, strict=True))
+
+
+@functools.lru_cache(1 << 16)
+def _score(a: tuple, b: tuple) -> int:
+    x, y = (dict(zip(FIELDS, n)) | {"versions": [dict(zip(FIELDS, v)) for v in n[4] or ()]} for n in (a, b))
+    return score(x, y)
+
+
 @F.pandas_udf(T.IntegerType())
 def score_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return pd.Series([score(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)])
+    """Pairs that occur again are remembered, up to a number; a name without spellings scores 0."""
+    none = (None,) * 5
+    return pd.Series([0 if x == none or y == none else _score(x, y) for x, y in zip(_hashable(a), _hashable(b), strict=True)], dtype="int32")
 
 
 def best_match(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", threshold: int = 90) -> DataFrame:
     """For each left row its best right row by the score of the names or of any of their versions."""
-    w = Window.partitionBy(id_left).orderBy(F.desc("score"), f"{id_right}_match")
-    return best_matches(left, right, id_left, id_right, name, threshold).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    best = lambda pairs: pairs.groupBy(id_left).agg(F.min(F.struct((-F.col("score")).alias("s"), f"{id_right}_match")).alias("b")).select(id_left, f"b.{id_right}_match", (-F.col("b.s")).alias("score"))
+    if threshold >= 100:
+        return best(best_matches(left, right, id_left, id_right, name, threshold))
+    # nothing is over 100, and few pairs come near it: what scores that needs no other candidates
+    top = checkpointed(best(best_matches(left, right, id_left, id_right, name, 100)))
+    rest = left.join(top.select(F.col(id_left).alias("__top")), F.col(id_left) == F.col("__top"), "left_anti")
+    return top.unionByName(best(best_matches(rest, right, id_left, id_right, name, threshold)))
 
 
 def best_matches(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", threshold: int = 90) -> DataFrame:
     """(left id, right id, score) of all pairs whose names, or any of their versions, score the threshold.
 
     Names that are equal are one; candidates come from an equi-join on the match keys, which no pair that scores the threshold
-    escapes, and each pair of names is scored once.
+    escapes, and each pair of names is scored once.  Left rows of equal names and versions are one class, which meets the right
+    rows once; its result is joined with its rows last.
     """
 
-    def named(df: DataFrame, key: str, side: str) -> DataFrame:
+    def named(df: DataFrame, key: Column, side: str) -> DataFrame:
         every = F.concat(F.array(_plain(name)).cast(VERSIONS), F.coalesce(F.col(f"{name}.versions"), F.array().cast(VERSIONS)))
-        return df.select(F.col(key).alias(side), F.explode(every).alias(f"{side}_name")).withColumn(f"{side}_json", F.to_json(f"{side}_name"))
-
-    sides = {"l": named(left, id_left, "l"), "r": named(right, id_right, "r")}
-    own = {s: df.groupBy(f"{s}_json").agg(F.first(f"{s}_name").alias("name")) for s, df in sides.items()}
+        return df.select(key.alias(side), F.explode(every).alias(f"{side}_name")).withColumn(f"{side}_json", F.to_json(f"{side}_name"))
+
+    spelled = F.to_json(name)
+    classes = left.filter(F.col(name).isNotNull()).groupBy(spelled.alias("__c")).agg(F.first(name).alias(name))
+    sides = {"l": named(classes, F.col("__c"), "l"), "r": named(right, F.col(id_right), "r")}
+    # few bytes make many keys and scores: their number of tasks is given, not found by size
+    tasks = left.sparkSession.sparkContext.defaultParallelism * 4
+    own = {s: df.groupBy(f"{s}_json").agg(F.first(f"{s}_name").alias("name")).repartition(tasks, f"{s}_json") for s, df in sides.items()}
     counts = counted(*own.values()) if threshold >= fuzzy.LEAST else None
     keys = {s: keyed(df, threshold, counts=counts).select(F.col(f"{s}_json"), F.col("name").alias(f"{s}_name"), "__k", F.col("__len").alias(f"{s}_len")) for s, df in own.items()}
-    pairs = keys["l"].join(keys["r"], "__k").filter(lengths_fit(F.col("l_len"), F.col("r_len"), threshold)).groupBy("l_json", "r_json").agg(F.first("l_name").alias("l_name"), F.first("r_name").alias("r_name"))
-    scored = pairs.withColumn("score", score_udf("l_name", "r_name")).filter(F.col("score") >= threshold).select("l_json", "r_json", "score")
-    met = scored.join(sides["l"].select("l", "l_json"), "l_json").join(sides["r"].select("r", "r_json"), "r_json")
-    return met.groupBy("l", "r").agg(F.max("score").alias("score")).select(F.col("l").alias(id_left), F.col("r").alias(f"{id_right}_match"), "score")
+
+    def meeting(side: str) -> DataFrame:
+        """Keys by consonants only for pairs of which one is Hangul at least: other texts have few of them, and many share one."""
+        mixed = {"l": ("hangul first", "hangul last"), "r": ("hangul last", "hangul first")}[side]
+        way = F.when(~F.col("__k").startswith("~"), F.array(F.lit(""))).when(F.col(f"{side}_len") < 0, F.array(F.lit("hangul"), F.lit(mixed[0]))).otherwise(F.array(F.lit(mixed[1])))
+        return keys[side].withColumn("__way", F.explode(way))
+
+    pairs = meeting("l").join(meeting("r"), ["__k", "__way"]).filter(lengths_fit(F.col("l_len"), F.col("r_len"), threshold)).groupBy("l_json", "r_json").agg(F.first("l_name").alias("l_name"), F.first("r_name").alias("r_name"))
+    scored = pairs.repartition(tasks, "l_json", "r_json").withColumn("score", score_udf("l_name", "r_name")).filter(F.col("score") >= threshold).select("l_json", "r_json", "score")
+    met = scored.join(sides["l"].select("l", "l_json"), "l_json").join(sides["r"].select("r", "r_json").distinct(), "r_json").groupBy("l", "r").agg(F.max("score").alias("score"))
+    rows = left.select(F.col(id_left).alias("__id"), spelled.alias("l")).distinct().join(met, "l")
+    return rows.groupBy("__id", "r").agg(F.max("score").alias("score")).select(F.col("__id").alias(id_left), F.col("r").alias(f"{id_right}_match"), "score")
