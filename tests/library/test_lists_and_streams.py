@@ -60,6 +60,21 @@ def test_all_entries_within_two_edits(spark):
     assert [(r.word, r.n) for r in learned] == [("go", 3)]
 
 
+def test_words_of_one_beginning_do_not_all_meet(spark):
+    """Few pairs share a key where all words begin alike, and none that is near is lost: marks, long words, letters of any script."""
+    ends = ["".join(p) for p in itertools.product(("ka", "lo", "mi", "nu", "re"), repeat=3)]
+    entries = [f"thingtion{e}" for e in ends[::2]] + [f"{'abcdefghijklm' * 2}{e}" for e in ends[:9]] + ["한국어", "x", "yz", "wv"]
+    some = [f"thingtion{e}" for e in ends[1::2]] + [f"thingtion{e}##" for e in ends[:20]] + [f"#{'abcdefghijklm' * 2}{e}" for e in ends[:12]] + ["한국", "日本", "a", "zy", "$$$", "#y#", "yz###"]
+    known = spark.createDataFrame([(w, 10 + k % 3) for k, w in enumerate(entries)], "word string, n long")
+    found = spark.createDataFrame([(w,) for w in some], "word string")
+    got = {r.word: (r.entry, r.distance) for r in spelling.nearest(found, known).collect()}
+    for w in some:
+        best = min(((d, -(10 + k % 3), e) for k, e in enumerate(entries) if (d := edits(w, e)) <= 2), default=None)
+        assert got[w] == ((best[2], best[0]) if best else (None, None)), w
+    left, right = (spelling.neighbourhoods(x.filter("word LIKE 'thingtion%'").select("word")) for x in (found, known))
+    assert left.join(right.withColumnRenamed("word", "entry"), "k").select("word", "entry").distinct().count() < left.select("word").distinct().count() * right.select("word").distinct().count() / 4
+
+
 def test_last_ratings_expire_and_late_rows_are_dropped(spark, tmp_path):
     at = lambda h, m=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h, minutes=m)
     schema = "path string, file_stars int, at timestamp"
