@@ -20,7 +20,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a five-word shingle similarity of 0.8 the document with the smallest id stays."""
+    """Of each group linked by a five-word shingle similarity of 0.8 the document with the smallest id stays.
+
+    Fingerprints propose links by op5's method, bands those that fingerprints don't show; the similarity is exact.
+    """
     return neardup.keep_one(docs)
 
 

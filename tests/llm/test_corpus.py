@@ -704,6 +704,22 @@ def test_near_dedup_links_all_pairs_of_the_similarity(spark, edge, empty):
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
 
 
+def test_near_dedup_links_fingerprints(spark, monkeypatch):
+    """Without any band the pairs that the fingerprints propose are still linked, and only those that are similar."""
+    from tunelake.llm import neardup
+
+    base = [f"w{k}" for k in range(400)]
+    rows = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(base + base[:40]), " ".join(reversed(base)), "", None]
+    monkeypatch.setattr(neardup, "bands", lambda hashes: [])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    fps = [simhash.voted(neardup.shingles((t or "").encode())) for t in rows]
+    near = [i for i in range(1, 4) if (fps[0] ^ fps[i]).bit_count() <= simhash.DISTANCE]
+    assert 1 in near and 3 not in near
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == [i for i in range(5) if i not in near]
+    monkeypatch.setattr(neardup, "SIMILARITY", (999, 1000))
+    assert len(neardup.keep_one(docs).collect()) == 5
+
+
 def test_blocks_of_a_band_link_all_pairs(spark, monkeypatch):
     import random
 

@@ -1,6 +1,8 @@
-"""Near-copies by word shingles: MinHash bands propose pairs, the exact Jaccard similarity of the shingle sets decides.
+"""Near-copies by word shingles: SimHash fingerprints and then MinHash bands propose pairs, the exact Jaccard similarity decides.
 
-A text is the set of its five-word shingles (all its words where it has fewer).  Of two sets at similarity s, a band of four
+A text is the set of its five-word shingles (all its words where it has fewer).  Pairs come first from the fingerprints of the
+sets, by the method of :mod:`.simhash`: deletion-variant signatures, equality of keys, links at three bits or less, and the sets
+of one fingerprint in a chain.  Two sets at similarity 0.8 differ in more bits as a rule, so bands bring what is still apart: of two sets at similarity s, a band of four
 minima is equal with probability s**4, so one of sixteen bands at least is with 0.9998 at 0.8.  Every pair with an equal band
 is decided exactly.  A shingle that only one set has is in no intersection, so what a set holds besides bounds it: sets with
 too many shingles of their own, and pairs that can't reach the similarity, go without a comparison, as do pairs that are in
@@ -18,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
-from .simhash import connected_components, spread
+from .simhash import connected_components, links as fingerprint_links, spread, voted
 
 WIDTH = 5
 #: A similarity as numerator and denominator, so that it is tested on whole numbers.
@@ -54,7 +56,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, ``fp`` (a hash of the shingle set), ``size`` and ``bands``."""
+    """The kept columns, ``fp`` (a hash of the shingle set), ``size``, ``bands`` and ``sim`` (its SimHash)."""
 
     def make():
         def run(texts: list) -> dict:
@@ -62,13 +64,27 @@ def signatures(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
             for t in texts:
                 if t not in seen:
                     s = shingles(t)
-                    seen[t] = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), len(s), bands(s)
-            fp, size, keys = zip(*[seen[t] for t in texts]) if texts else ((), (), ())
-            return {"fp": list(fp), "size": list(size), "bands": list(keys)}
+                    sim = voted(s)
+                    seen[t] = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), len(s), bands(s), sim - (sim >> 63 << 64)
+            fp, size, keys, sims = zip(*[seen[t] for t in texts]) if texts else ((), (), (), ())
+            return {"fp": list(fp), "size": list(size), "bands": list(keys), "sim": list(sims)}
 
         return run
 
-    return common.map_text(docs, make, [("fp", "bigint"), ("size", "int"), ("bands", "array<bigint>")], text, keep)
+    return common.map_text(docs, make, [("fp", "bigint"), ("size", "int"), ("bands", "array<bigint>"), ("sim", "bigint")], text, keep)
+
+
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are linked, as far as their sizes (nodes: fp, size, sim) allow the similarity."""
+    chain = Window.partitionBy("sim").orderBy("fp")
+    same = nodes.select(F.lag(F.struct("fp", "size")).over(chain).alias("a"), F.struct("fp", "size").alias("b")).filter("a IS NOT NULL")
+    first = nodes.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("first"))
+    found = fingerprint_links(first.select(F.col("sim").alias("fp"))).filter("a <> b").select(F.col("a").alias("sim_a"), F.col("b").alias("sim_b")).distinct()
+    for c in "ab":
+        found = found.join(first.select(F.col("sim").alias(f"sim_{c}"), F.col("first").alias(c)), f"sim_{c}")
+    high, low = SIMILARITY
+    alike = same.union(found.select("a", "b")).filter(low * F.least("a.size", "b.size") >= high * F.greatest("a.size", "b.size"))
+    return common.checkpoint(alike.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct())
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,12 +140,14 @@ def _can_reach(held: Column, sizes: Column) -> Column:
 
 
 def components(table: DataFrame, text: str) -> DataFrame:
-    """(node, root) for the sets with a near-copy; table: the text, __row, fp, size, bands."""
-    nodes = table.groupBy("fp").agg(F.min("__row").alias("__row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    """(node, root) for the sets with a near-copy; table: the text, __row, fp, size, bands, sim."""
+    nodes = common.written(table.groupBy("fp").agg(F.min("__row").alias("__row"), *[F.first(c).alias(c) for c in ("size", "bands", "sim")]))
+    pairs = proposed(nodes)
     keyed = common.written(nodes.select("fp", "size", "__row", F.explode("bands").alias("k")))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     keyed = common.written(keyed.join(shared, "k", "left_semi"))
-    own = table.join(keyed.select("__row").distinct(), "__row", "left_semi").select("fp", text)
+    linked_too = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")), "fp", "left_semi")
+    own = table.join(keyed.select("__row").union(linked_too.select("__row")).distinct(), "__row", "left_semi").select("fp", text)
 
     def make():
         return lambda texts: {"set": [shingles(t).view(np.int64) for t in texts]}
@@ -138,7 +156,8 @@ def components(table: DataFrame, text: str) -> DataFrame:
     alone = sets.select("fp", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n = 1").groupBy("fp").agg(F.count("*").alias("alone"))
     keyed = keyed.join(alone, "fp", "left").select("k", "fp", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("held"))
     keyed = common.written(keyed.filter(_can_reach(F.col("held"), F.col("size") + F.col("held"))))
-    links, roots = None, keyed.select(F.col("fp").alias("node"), F.col("fp").alias("root")).filter("false")
+    links = _near(pairs, sets)
+    roots = common.checkpoint(connected_components(links))
     for turn in range(ROUNDS + 1):
         at = keyed.join(roots, keyed.fp == roots.node, "left").select("k", "fp", "size", "held", F.coalesce("root", "fp").alias("root"))
         if turn < ROUNDS:
@@ -151,7 +170,7 @@ def components(table: DataFrame, text: str) -> DataFrame:
         else:
             apart = at.groupBy("k").agg((F.min("root") < F.max("root")).alias("more")).filter("more").select("k")
             found = _compared(at.join(apart, "k", "left_semi"), sets)
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         roots = common.checkpoint(connected_components(links))
     return roots
 

@@ -37,10 +37,13 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     grams = map(b" ".join, zip(*[words[k:] for k in range(width)])) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
-    counts = np.zeros(64, np.int64)
+    return voted(np.fromiter((digest(g, seed) for g in grams), np.uint64, max(1, len(words) - width + 1)))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set if it is in over half of them."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 16384):
         part = hashes[at : at + 16384]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
