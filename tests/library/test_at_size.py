@@ -74,3 +74,9 @@ def test_long_chains_of_editions_take_no_rounds(spark):
     spark.sparkContext.setJobGroup("other", "other")
     got = {(r.edition, r.num): (r.source, r.by) for r in found.collect()}
     assert len(got) == 897 and got[1, 4] == (1, "own") and {got[300, n][0] for n in (2, 4, 6)} == {298, 299, 300}
+
+
+def test_files_and_tracks_meet_in_one_exchange(spark):
+    """However an album's way is chosen, its files are exchanged by album, its tracks by edition, and both once together."""
+    plan = QUERIES["zip_by_evidence"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5

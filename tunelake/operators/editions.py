@@ -82,28 +82,37 @@ def zip_files(albums: DataFrame, files: DataFrame, tracks: DataFrame) -> DataFra
 
     albums: album, edition, part; files: album, path, disk, num; tracks: edition, part, num, available.
     """
-    within = Window.partitionBy("edition", "part")
-    t = tracks.select("edition", "part", "available", F.row_number().over(within.orderBy("num")).alias("nth"))
-    over_all = Window.partitionBy("edition").orderBy("part", "nth")
-    t = t.withColumn("nth_available", F.count_if("available").over(within.orderBy("nth"))).withColumn("nth_all", F.row_number().over(over_all))
-    parts = tracks.select("edition", "part").distinct().withColumn("disk", F.row_number().over(Window.partitionBy("edition").orderBy("part")))
-    t = t.join(parts, ["edition", "part"])
-    f = files.select("album", "path", "disk", "num", F.row_number().over(Window.partitionBy("album").orderBy("num", "path")).alias("at"), F.row_number().over(Window.partitionBy("album").orderBy("disk", "num", "path")).alias("at_all"))
-
-    numbers = f.groupBy("album").agg(F.count("*").alias("n_files"), F.countDistinct("num").alias("n_nums"), F.min("num").alias("low"), F.max("num").alias("high"))
-    own = t.groupBy("edition", "part").agg(F.count("*").alias("n_tracks"), F.count_if("available").alias("n_available"))
-    whole = t.groupBy("edition").agg(F.count("*").alias("n_all"), F.count_if("available").alias("n_all_available"), F.min("part").alias("first"), F.countDistinct("part").alias("n_parts"))
-    both = f.join(albums.select("album", "edition"), "album").join(t.select("edition", "disk", F.col("nth").alias("num"), "available"), ["edition", "disk", "num"])
-    met = both.groupBy("album").agg(F.count("*").alias("n_met"), F.count_if("available").alias("n_met_available"))
-
-    c, n = F.col, F.col("n_files")
+    c, file = F.col, F.col("file")
+    within, edition, album = Window.partitionBy("edition", "part"), Window.partitionBy("edition"), Window.partitionBy("album")
+    t = tracks.select("edition", "part", "available", F.row_number().over(within.orderBy("num")).alias("nth"), F.dense_rank().over(edition.orderBy("part")).alias("disk"))
+    t = t.withColumn("nth_available", F.count_if("available").over(within.orderBy("nth"))).withColumn("nth_all", F.row_number().over(edition.orderBy("part", "nth")))
+    by_num = album.orderBy("num", "path")
+    first = c("num").isNotNull() & ~F.coalesce(F.lag("num").over(by_num) == c("num"), F.lit(False))
+    f = files.select("album", "path", "disk", "num", F.row_number().over(by_num).alias("at"), F.row_number().over(album.orderBy("disk", "num", "path")).alias("at_all"), first.alias("new_num"))
+
+    # an album's files and tracks in one place: one exchange, and windows instead of joins
+    own = albums.select("album", "edition", c("part").alias("own"))
+    here = f.join(own, "album").withColumn("file", F.lit(True))
+    there = t.filter("part IS NOT NULL").join(own, "edition").withColumn("file", F.lit(False))
+    rows = here.unionByName(there, allowMissingColumns=True)
+    whole = "album", "edition", "own"
+    over = Window.partitionBy(*whole)
+    mine = ~file & (c("part") == c("own"))
+    counts = {"n_files": file, "n_nums": c("new_num"), "n_tracks": mine, "n_available": mine & c("available"), "n_all": ~file, "n_all_available": ~file & c("available"), "n_parts": ~file & (c("nth") == 1)}
+    rows = rows.select("*", *[F.count_if(x).over(over).alias(k) for k, x in counts.items()], *[g(x).over(over).alias(k) for k, g, x in (("low", F.min, "num"), ("high", F.max, "num"), ("first", F.min, "part"))])
+    same = Window.partitionBy(*whole, "disk", F.when(file, c("num")).otherwise(c("nth")))
+    known = file & c("disk").isNotNull() & c("num").isNotNull()
+    rows = rows.select("*", (known & (F.count_if(~file).over(same) > 0)).alias("meets"), (known & (F.count_if(~file & c("available")).over(same) > 0)).alias("meets_available"))
+    rows = rows.select("*", F.count_if("meets").over(over).alias("n_met"), F.count_if("meets_available").over(over).alias("n_met_available")).filter("n_tracks > 0")
+
+    n = F.col("n_files")
     numbered = lambda most: (c("n_nums") == n) & (c("low") >= 1) & (c("high") <= most)
-    disks = (n > c("n_tracks")) & (c("n_parts") > 1) & (c("part") == c("first"))
+    disks = (n > c("n_tracks")) & (c("n_parts") > 1) & (c("own") == c("first"))
     way = F.when(n == c("n_tracks"), "position")
     way = way.when(disks & (c("n_all") == n), "disks").when(disks & (c("n_all_available") == n) & (c("n_met_available") == n), "disk and number of available")
     way = way.when(disks & (c("n_met") == n), "disk and number").when(disks, "disks")
     way = way.when((c("n_available") == n) & numbered(c("n_available")), "number of available").when(numbered(c("n_tracks")), "number").otherwise("position")
-    chosen = albums.join(numbers, "album").join(own, ["edition", "part"]).join(whole, "edition").join(met, "album", "left").select("album", "edition", "part", way.alias("by"))
+    rows = rows.withColumn("by", way)
 
     def key(ways: dict[str, tuple]) -> Column:
         out = F.lit(None).cast("struct<disk:int,n:int>")
@@ -117,6 +126,7 @@ def zip_files(albums: DataFrame, files: DataFrame, tracks: DataFrame) -> DataFra
     for by in ("disk and number", "disk and number of available"):
         left[by] = (c("disk"), c("num"))
         right[by] = (c("disk"), c("nth") if by == "disk and number" else F.when(c("available"), c("nth")))
-    x = f.join(chosen, "album").select("album", "path", "by", key(left).alias("k"))
-    y = t.join(chosen.withColumnRenamed("part", "__own"), "edition").filter((c("part") == c("__own")) | c("by").startswith("disk")).select("album", "part", "nth", key(right).alias("k"))
-    return x.select("album", "path", "by", "k.disk", "k.n").join(y.select("album", "part", "nth", "k.disk", "k.n"), ["album", "disk", "n"]).select("album", "path", "part", "nth", "by")
+    taken = file | (c("part") == c("own")) | c("by").startswith("disk")
+    rows = rows.filter(taken).select(*whole, "path", "part", "nth", "by", "file", F.when(file, key(left)).otherwise(key(right)).alias("k")).filter("k.disk IS NOT NULL AND k.n IS NOT NULL")
+    partner = F.max(F.when(~file, F.struct("part", "nth"))).over(Window.partitionBy(*whole, "k.disk", "k.n"))
+    return rows.select("album", "path", "by", "file", partner.alias("t")).filter(file & c("t").isNotNull()).select("album", "path", "t.part", "t.nth", "by")
