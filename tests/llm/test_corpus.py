@@ -765,3 +765,13 @@ def test_labelled_sample_passes_over_what_does_not_fit(spark):
     assert len(sample(5000)) == docs.count() and len(sample(5000, 5)) == 5
     with pytest.raises(ValueError):
         sample(9)
+
+
+def test_near_dedup_takes_the_driver_few_jobs(spark, edge):
+    """Each job leaves its plans and stages with the driver, so their number is what it needs memory for."""
+    from tunelake.llm import neardup
+
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    assert neardup.keep_one(edge).count() > 0
+    assert jobs() - before < 100

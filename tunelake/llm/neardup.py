@@ -5,10 +5,11 @@ sets, by the method of :mod:`.simhash`: deletion-variant signatures, equality of
 of one fingerprint in a chain.  Two sets at similarity 0.8 differ in more bits as a rule, so bands bring what is still apart: of two sets at similarity s, a band of four
 minima is equal with probability s**4, so one of sixteen bands at least is with 0.9998 at 0.8.  Every pair with an equal band
 is decided exactly.  A shingle that only one set has is in no intersection, so what a set holds besides bounds it: sets with
-too many shingles of their own, and pairs that can't reach the similarity, go without a comparison, as do pairs that are in
-one component already.  In two rounds each band's members are compared with one of them, first one with few shingles of its
-own.  Bands whose members are still apart then go to tasks in blocks of bounded weight, each block with each other, where
-products of incidence matrices give all intersections; only a spanning forest of the links leaves a task.
+too many shingles of their own, and pairs that can't reach the similarity, go without a comparison.  With the pairs of the
+fingerprints each band's members are compared with one of them that has few shingles of its own.  Bands whose members are
+still apart then go to tasks in blocks of bounded weight, each block with each other, where products of incidence matrices
+give all intersections; only a spanning forest of the links leaves a task.  So components are found twice: each time takes
+the driver many jobs, whose plans it keeps.
 
 Null texts count as empty.  Texts of one set, repeated rows and empty texts among them, are one node; of equal ids any one row
 stays.  A text may have any length: its shingles are in one task's memory.  Columns of any names pass through.  An empty table
@@ -29,7 +30,8 @@ WIDTH = 5
 #: A similarity as numerator and denominator, so that it is tested on whole numbers.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 16, 4
-ROUNDS = 2
+#: Members of a band that all its others are compared with.
+ROUNDS = 1
 #: Shingles of a block, each set counting ``LEAST`` more; two blocks at most meet in a task.
 BLOCK, LEAST = 1 << 20, 512
 
@@ -156,23 +158,20 @@ def components(table: DataFrame, text: str) -> DataFrame:
     alone = sets.select("fp", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n = 1").groupBy("fp").agg(F.count("*").alias("alone"))
     keyed = keyed.join(alone, "fp", "left").select("k", "fp", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("held"))
     keyed = common.written(keyed.filter(_can_reach(F.col("held"), F.col("size") + F.col("held"))))
-    links = _near(pairs, sets)
-    roots = common.checkpoint(connected_components(links))
-    for turn in range(ROUNDS + 1):
-        at = keyed.join(roots, keyed.fp == roots.node, "left").select("k", "fp", "size", "held", F.coalesce("root", "fp").alias("root"))
-        if turn < ROUNDS:
-            a, b = (at.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "held", "root")]) for side in "ab")
-            first = F.lit(0) if turn else F.col("size_a") - F.col("held_a")
-            pivot = a.groupBy("k").agg(F.min(F.struct(first, F.xxhash64("fp_a", F.lit(turn)).alias("h"), "fp_a", "size_a", "held_a", "root_a")).alias("p"))
-            pairs = b.join(pivot.select("k", "p.fp_a", "p.size_a", "p.held_a", "p.root_a"), "k")
-            pairs = pairs.filter((F.col("root_a") != F.col("root_b")) & _can_reach(F.least("held_a", "held_b"), F.col("size_a") + F.col("size_b")))
-            found = _near(pairs.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct(), sets)
-        else:
-            apart = at.groupBy("k").agg((F.min("root") < F.max("root")).alias("more")).filter("more").select("k")
-            found = _compared(at.join(apart, "k", "left_semi"), sets)
-        links = links.union(found)
-        roots = common.checkpoint(connected_components(links))
-    return roots
+    a, b = (keyed.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "held")]) for side in "ab")
+    for turn in range(ROUNDS):
+        first = F.lit(0) if turn else F.col("size_a") - F.col("held_a")
+        pivot = a.groupBy("k").agg(F.min(F.struct(first, F.xxhash64("fp_a", F.lit(turn)).alias("h"), "fp_a", "size_a", "held_a")).alias("p"))
+        met = b.join(pivot.select("k", "p.fp_a", "p.size_a", "p.held_a"), "k")
+        met = met.filter((F.col("fp_a") != F.col("fp_b")) & _can_reach(F.least("held_a", "held_b"), F.col("size_a") + F.col("size_b")))
+        pairs = pairs.union(met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")))
+    links = _near(pairs.distinct(), sets)
+    roots = connected_components(links)
+    at = common.written(keyed.join(roots, keyed.fp == roots.node, "left").select("k", "fp", "size", F.coalesce("root", "fp").alias("root")))
+    apart = at.groupBy("k").agg((F.min("root") < F.max("root")).alias("more")).filter("more").select("k")
+    # further links join components, so their roots stand for them
+    further = _compared(at.join(apart, "k", "left_semi"), sets)
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(further))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ therefore indexed under its 64 one-wildcard segments; equal keys are brought tog
 by its full distance.  Within a key only a spanning forest of the verified links goes on, never all pairs.  A key held
 by more than ``run_limit`` fingerprints is cut again, by one-wildcard variants of the two halves of its other segment;
 what then shares a key agrees in 46 bits, so no group can exceed 2**18 fingerprints.  Connected components come from
-alternating large-star and small-star steps on the links, checkpointed after each round.
+alternating large-star and small-star steps on the links, checkpointed after each round, until all are stars.
 
 Null and empty texts have the fingerprint zero and are linked like any other.  A text may have any length: its shingles are
 in one task's memory.  A bit that is set in exactly half of the hashes is zero.  Repeated rows have one fingerprint and fall
@@ -165,22 +165,27 @@ def links(fps: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     return first.filter("k is null").select("a", "b").union(deep.select("a", "b"))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each u of the distinct edges (u, v) has one v, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select("v", F.lit(0)))
+    met = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return not met.agg(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("n") > F.col("up")))).first()[0]
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of its component."""
-    e = common.checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    was = None
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = common.checkpoint(e)
     for _ in range(rounds):
+        if _stars(e):
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, both.u == low.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         met = large.join(low, large.u == low.w)
         small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         e = common.checkpoint(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            break
-        was = now
     else:
         raise RuntimeError("the components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -189,7 +194,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def components(keyed: DataFrame, id_col: str = "doc_id", run_limit: int = RUN_LIMIT) -> DataFrame:
     """For each distinct fingerprint in keyed (fp, id_col): (fp, component_id), the smallest id reachable."""
     distinct = common.checkpoint(keyed.groupBy("fp").agg(F.min(id_col).alias("low")))
-    roots = common.checkpoint(connected_components(links(distinct.select("fp"), run_limit)))
+    roots = connected_components(links(distinct.select("fp"), run_limit))
     named = roots.join(distinct, roots.node == distinct.fp).select("node", "root", "low")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = named.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
