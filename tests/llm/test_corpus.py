@@ -775,3 +775,25 @@ def test_near_dedup_takes_the_driver_few_jobs(spark, edge):
     before = jobs()
     assert neardup.keep_one(edge).count() > 0
     assert jobs() - before < 100
+
+
+def test_outputs_are_made_in_chunks(monkeypatch):
+    """Not all positions' class outputs at once, which leave the cache; probabilities and gradients are those of one chunk."""
+    import tracemalloc
+
+    v = lm.Vocabulary({bytes(str(i), "ascii"): i for i in range(40_000)}, 200, np.full(40_000, 2.0), np.full(lm.SPELLINGS, 9.0), np.full(lm.SPELLINGS, 4.0))
+    rng, p = np.random.default_rng(3), lm.start(v)
+    states, last = rng.uniform(-1, 1, (8000, lm.WIDTH)).astype(np.float32), rng.integers(v.known, v.n, 8000)
+    got = []
+    for chunk in (lm.CHUNK, 10_000):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        for targets in (last, rng.permutation(8000)):
+            grads = {k: np.zeros(x.shape) for k, x in p.items()}
+            tracemalloc.start()
+            logp, back = lm.outputs(p, v, states, np.sort(targets), grads)
+            got.append((logp, back, grads["to_class"], grads["to_word"], tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+    every = 8000 * (v.learned + lm.SPELLINGS) * 4
+    assert got[2][4] - got[0][4] > every / 2  # bytes
+    for a, b in ((got[0], got[2]), (got[1], got[3])):
+        assert all(np.allclose(x, y, rtol=1e-3, atol=1e-3) for x, y in zip(a[:4], b[:4], strict=True))

@@ -52,6 +52,8 @@ LANES = 256
 PIECE = 4096
 #: Positions whose outputs are computed at once in scoring.
 BATCH = 1 << 13
+#: Positions whose class outputs are computed at once.
+CHUNK = 512
 #: Steps that a task should make on its part at least; it runs fewer lanes for that.
 STEPS = 24
 #: Tokens that a task gathers before it trains on their documents.
@@ -158,51 +160,59 @@ def shaped(x: np.ndarray, v: Vocabulary, width: int = WIDTH) -> dict[str, np.nda
     return out
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """A copy with the last two axes exchanged."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 def forward(p: dict, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
-    """States (steps, lanes, width) after each of the input ids (steps, lanes), and what the way back needs.
+    """States (steps, lanes, width) after each of the input ids (steps, lanes), and what the way back needs (lanes last).
 
     fresh: where a document begins; the state is zero before it.
     """
-    d = h.shape[1]
-    x = p["inputs"][ids]
-    before, s, n, states = (np.empty((*ids.shape, d), x.dtype) for _ in range(4))
-    gates = np.empty((*ids.shape, 2 * d), x.dtype)
+    d, lanes = h.shape[1], ids.shape[1]
+    x = _turned(np.take(p["inputs"], ids, axis=0))  # lanes last, so that what belongs to a gate lies together
+    before, s, n, states = (np.empty((len(ids), d, lanes), x.dtype) for _ in range(4))
+    gates, a = np.empty((len(ids), 2 * d, lanes), x.dtype), np.empty((3 * d, lanes), x.dtype)
+    recur, bias, h = np.ascontiguousarray(p["recur"].T), p["bias_n"][:, None], h.T
     begins = fresh.any(axis=1) if fresh is not None else np.zeros(len(ids), bool)
     for t in range(len(ids)):
         np.copyto(before[t], h)
         if begins[t]:
-            before[t][fresh[t]] = 0
+            before[t][:, fresh[t]] = 0
         h, g, m, to = before[t], gates[t], n[t], states[t]
-        a = h @ p["recur"]
-        np.add(x[t, :, : 2 * d], a[:, : 2 * d], out=g)
-        np.exp(np.negative(g, out=g), out=g)
-        g += 1
-        np.reciprocal(g, out=g)
-        np.add(a[:, 2 * d :], p["bias_n"], out=s[t])
-        np.multiply(g[:, :d], s[t], out=m)
-        m += x[t, :, 2 * d :]
+        np.matmul(recur, h, out=a)
+        np.add(x[t, : 2 * d], a[: 2 * d], out=g)
+        g *= 0.5  # the logistic function by the hyperbolic tangent
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        np.add(a[2 * d :], bias, out=s[t])
+        np.multiply(g[:d], s[t], out=m)
+        m += x[t, 2 * d :]
         np.tanh(m, out=m)
         np.subtract(h, m, out=to)
-        to *= g[:, d:]
+        to *= g[d:]
         to += m
         h = to
-    return states, (before, gates, s, n, fresh, begins)
+    return _turned(states), (before, gates, s, n, fresh, begins)
 
 
-def _powers(states: np.ndarray, w: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of all outputs, the logarithms of their sums, and what turns them into probabilities."""
-    x = states @ w
+def _powers(x: np.ndarray, bound: float, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials in place of the outputs x; the logarithms of their sums, and what turns them into probabilities."""
     top = x.max(axis=1) if bound > 80 else np.zeros(len(x), x.dtype)  # otherwise none is too large
     if bound > 80:
         x -= top[:, None]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    return x, np.log(total) + top, 1 / total[:, None]
+    total = x @ ones
+    return np.log(total) + top, 1 / total[:, None]
 
 
 def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each of the sorted keys once, and the sums of its rows."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    if rows.shape[1] % 2 == 0:  # two columns in one complex number are added at once
+        return keys[first], np.add.reduceat(rows.view(f"c{2 * rows.itemsize}"), first, axis=0).view(rows.dtype)
     return keys[first], np.add.reduceat(rows, first, axis=0)
 
 
@@ -212,67 +222,80 @@ def outputs(p: dict, v: Vocabulary, states: np.ndarray, targets: np.ndarray, gra
     A target that is a class by spelling has the class's probability only.
     """
     order, d, slope = np.argsort(targets.astype(v.type), kind="stable"), states.shape[1], grads is not None
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
     targets, s = targets[order], np.ones((len(order), d + 1), states.dtype)
-    s[:, :d] = states[order]
+    s[:, :d] = np.take(states, order, axis=0)
     kind, words = v.kind(targets), int(np.searchsorted(targets, v.known))
-    by_class, by_word = np.ascontiguousarray(p["to_class"].T), p["to_word"].transpose(0, 2, 1).reshape(-1, d + 1)
-    of_class, of_word = by_class[kind], by_word[targets[:words]]
-    logp = np.einsum("td,td->t", s, of_class, dtype=np.float64)
-    logp[:words] += np.einsum("td,td->t", s[:words], of_word)
-    bounds = np.abs(p["to_word"]).sum(axis=1).max(axis=1)
-    x, logz, inv = _powers(s, p["to_class"], np.abs(by_class).sum(axis=1).max())
-    logp -= logz
-    back = None
+    by_class, by_word = np.ascontiguousarray(p["to_class"].T), _turned(p["to_word"])
+    of_class, of_word = np.take(by_class, kind, axis=0), np.take(by_word.reshape(-1, d + 1), targets[:words], axis=0)
+    logp, bound, ones = np.einsum("td,td->t", s, of_class).astype(np.float64), np.abs(by_class).sum(axis=1).max(), np.ones(len(by_class), s.dtype)
+    back, own = np.empty_like(s) if slope else None, np.empty((min(CHUNK, len(s)), len(by_class)), s.dtype)
+    for at in range(0, len(s), CHUNK):  # so that a chunk's outputs stay in the cache
+        rows = slice(at, at + CHUNK)
+        x = np.matmul(s[rows], p["to_class"], out=own[: len(s) - at])
+        logz, inv = _powers(x, bound, ones)
+        logp[rows] -= logz
+        if slope:
+            grads["to_class"] += (x.T @ (s[rows] * inv)).T
+            np.matmul(x, by_class, out=back[rows])
+            back[rows] *= inv
     if slope:
-        grads["to_class"] += (s * inv).T @ x
-        back = x @ by_class
-        back *= inv
         back -= of_class
         at, sums = _sums(s, kind)
         grads["to_class"][:, at] -= sums.T
-        if words:
-            back[:words] -= of_word
+    if words:
+        edges = np.searchsorted(targets, np.minimum(np.arange(v.learned + 1) * v.size, v.known)).tolist()
+        own = [(c, slice(i, j)) for c, (i, j) in enumerate(itertools.pairwise(edges)) if i < j]
+        x = np.empty((words, v.size), s.dtype)
+        for c, rows in own:
+            np.matmul(s[rows], p["to_word"][c], out=x[rows])
+        logz, inv = _powers(x, np.abs(by_word).sum(axis=2).max(), np.ones(v.size, s.dtype))
+        logp[:words] += np.einsum("td,td->t", s[:words], of_word) - logz
+        if slope:
+            scaled, more = s[:words] * inv, np.empty((words, d + 1), s.dtype)
+            for c, rows in own:
+                grads["to_word"][c] += scaled[rows].T @ x[rows]
+                np.matmul(x[rows], by_word[c], out=more[rows])
+            more *= inv
+            more -= of_word
+            back[:words] += more
             at, sums = _sums(s[:words], targets[:words])
             grads["to_word"][at // v.size, :, at % v.size] -= sums
-    edges = np.searchsorted(targets, np.minimum(np.arange(v.learned + 1) * v.size, v.known))
-    for c in np.flatnonzero(np.diff(edges)):
-        own = slice(edges[c], edges[c + 1])
-        x, logz, inv = _powers(s[own], p["to_word"][c], bounds[c])
-        logp[own] -= logz
-        if slope:
-            grads["to_word"][c] += (s[own] * inv).T @ x
-            back[own] += (x @ by_word[c * v.size : (c + 1) * v.size]) * inv
-    out = np.empty_like(logp)
-    out[order] = logp
-    if not slope:
-        return out, None
-    placed = np.empty((len(order), d), back.dtype)
-    placed[order] = back[:, :d]
-    return out, placed
+    return np.take(logp, place), np.take(back, place, axis=0)[:, :d] if slope else None
 
 
 def backward(p: dict, ids: np.ndarray, kept: tuple, back: np.ndarray, grads: dict) -> None:
     """Adds the gradients through a window; back: the gradients of its states (steps, lanes, width)."""
     before, gates, s, n, fresh, begins = kept
     d = back.shape[2]
-    r, z = gates[..., :d], gates[..., d:]
-    by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), s * r * (1 - r)
-    da, dn, dh, recur = np.empty((*ids.shape, 3 * d), back.dtype), np.empty_like(back), np.zeros_like(back[0]), np.ascontiguousarray(p["recur"].T)
+    r, z, back = gates[:, :d], gates[:, d:], _turned(back)
+    left = 1 - z
+    by_n, by_z, by_r = n * n, before - n, 1 - r
+    np.subtract(1, by_n, out=by_n)
+    by_n *= left
+    by_z *= z
+    by_z *= left
+    by_r *= r
+    by_r *= s
+    da, dn, dh = np.empty((len(ids), 3 * d, ids.shape[1]), back.dtype), np.empty_like(back), np.zeros_like(back[0])
     for t in range(len(ids) - 1, -1, -1):
         dh += back[t]
         np.multiply(dh, by_n[t], out=dn[t])
-        np.multiply(dn[t], by_r[t], out=da[t, :, :d])
-        np.multiply(dh, by_z[t], out=da[t, :, d : 2 * d])
-        np.multiply(dn[t], r[t], out=da[t, :, 2 * d :])
+        np.multiply(dn[t], by_r[t], out=da[t, :d])
+        np.multiply(dh, by_z[t], out=da[t, d : 2 * d])
+        np.multiply(dn[t], r[t], out=da[t, 2 * d :])
         dh *= z[t]
-        dh += da[t] @ recur
+        dh += p["recur"] @ da[t]
         if begins[t]:
-            dh[fresh[t]] = 0
-    grads["recur"] += before.reshape(-1, d).T @ da.reshape(-1, 3 * d)
-    grads["bias_n"] += da[..., 2 * d :].sum(axis=(0, 1))
-    da[..., 2 * d :] = dn
-    order = np.argsort(ids.ravel(), kind="stable")
-    at, sums = _sums(da.reshape(-1, 3 * d)[order], ids.ravel()[order])
+            dh[:, fresh[t]] = 0
+    rows = _turned(da).reshape(-1, 3 * d)
+    grads["recur"] += (rows.T @ _turned(before).reshape(-1, d)).T
+    grads["bias_n"] += da[:, 2 * d :].sum(axis=(0, 2))
+    rows[:, 2 * d :] = dn.transpose(0, 2, 1).reshape(-1, d)
+    ids = ids.ravel().astype(np.uint16 if len(p["inputs"]) <= 1 << 16 else np.uint32)
+    order = np.argsort(ids, kind="stable")
+    at, sums = _sums(np.take(rows, order, axis=0), ids[order])
     grads["inputs"][at] += sums
 
 
@@ -303,7 +326,7 @@ def windows(docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW) ->
         nth = np.arange(at, min(at + window, int(sizes[0])))[:, None]
         mask = nth < sizes[None, :live]
         place = np.where(mask, nth + tops[None, :live], 0)
-        yield *(np.where(mask, x[place], x.dtype.type(0)) for x in (fresh, of, given, target)), mask
+        yield *(x[place] if mask.all() else np.where(mask, x[place], x.dtype.type(0)) for x in (fresh, of, given, target)), mask
 
 
 def score_documents(p: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int = LANES, window: int = 2 * WINDOW) -> np.ndarray:
@@ -347,8 +370,11 @@ class Trainer:
         for fresh, _, given, target, mask in windows(docs, lanes):
             states, kept = forward(self.p, given, h[: given.shape[1]], fresh)
             h = states[-1]
-            back = np.zeros_like(states)
-            back[mask] = outputs(self.p, self.v, states[mask], target[mask], self.grads)[1]
+            if mask.all():
+                back = outputs(self.p, self.v, states.reshape(-1, states.shape[2]), target.ravel(), self.grads)[1].reshape(states.shape)
+            else:
+                back = np.zeros_like(states)
+                back[mask] = outputs(self.p, self.v, states[mask], target[mask], self.grads)[1]
             backward(self.p, given, kept, back, self.grads)
             self.step(int(mask.sum()))
 
