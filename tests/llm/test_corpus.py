@@ -6,6 +6,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -797,3 +798,46 @@ def test_outputs_are_made_in_chunks(monkeypatch):
     assert got[2][4] - got[0][4] > every / 2  # bytes
     for a, b in ((got[0], got[2]), (got[1], got[3])):
         assert all(np.allclose(x, y, rtol=1e-3, atol=1e-3) for x, y in zip(a[:4], b[:4], strict=True))
+
+
+def test_words_are_cut_by_the_batch(spark, monkeypatch):
+    """Slices of texts give the words and ends that each text alone gives, whatever its bytes."""
+    texts = [None, "", " \t", "A", "\x0b\x1c É\xa0X \x85 a", " a" * 5, "x\x00 \x00", "b", "ü", "\r\nlong" * 40_000, "Za"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    monkeypatch.setattr(lm, "SLICE", 50)
+    parts = list(lm.slices(batch, 0))
+    assert len(parts) > 1 and [t for p in parts for t in p.column(0).to_pylist()] == texts
+    raw = pa.array([b"A\xff \xc3 \xfe\n", b"\xff"], pa.binary())
+    odd = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())  # bytes that aren't UTF-8 may lie in a column of texts
+    for column in (batch.column(0), batch.column(0).slice(3, 5), odd):
+        words, n = lm.cut(column)
+        made = iter(words.to_pylist())
+        want = [lm.tokens(t) for t in column.cast(pa.large_binary()).to_pylist()]
+        assert [[*(next(made) for _ in range(k)), lm.END] for k in n.tolist()] == want
+        by_end = np.array([lm.spelling(w) for w in lm.ENDS])
+        assert lm.spellings(words, by_end).tolist() == [lm.spelling(w) for w in words.to_pylist()]
+    counts = {bytes(r.word): r.n for r in lm.token_counts(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)).collect()}
+    assert counts == collections.Counter(w for t in texts for w in lm.tokens(None if t is None else t.encode()))
+
+
+def test_windows_write_into_the_same_arrays():
+    """After the first window training makes few new arrays, and what a window returns doesn't depend on those before."""
+    import tracemalloc
+
+    rng, v = np.random.default_rng(2), vocabulary()
+    p, room = lm.start(v), lm.Room()
+    grads = {k: np.zeros_like(x) for k, x in p.items()}
+    peaks = []
+    for lanes in (256, 256, 100):
+        ids, h = rng.integers(0, v.n, (32, lanes)), rng.uniform(-1, 1, (lanes, lm.WIDTH)).astype(np.float32)
+        got = {k: np.zeros_like(x) for k, x in p.items()}
+        for own, g in ((room, got), (None, grads)):
+            for x in g.values():
+                x.fill(0)
+            tracemalloc.start()
+            states, kept = lm.forward(p, ids, h, room=own)
+            lm.backward(p, ids, kept, lm.outputs(p, v, states.reshape(-1, lm.WIDTH), ids.ravel(), g, own)[1].reshape(states.shape), g, own)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert all(np.array_equal(got[k], grads[k]) for k in p)
+    assert peaks[2] < peaks[3] / 3

@@ -30,13 +30,14 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import common
@@ -54,6 +55,8 @@ PIECE = 4096
 BATCH = 1 << 13
 #: Positions whose class outputs are computed at once.
 CHUNK = 512
+#: Positions whose words' outputs are computed at once.
+GROUP = 2048
 #: Steps that a task should make on its part at least; it runs fewer lanes for that.
 STEPS = 24
 #: Tokens that a task gathers before it trains on their documents.
@@ -62,27 +65,44 @@ POOL = 1 << 21
 RATES = (8e-3, 8e-3, 6e-3, 6e-3, 4e-3, 4e-3, 2e-3, 1e-3)
 HOT = 100_000
 END = b""
+#: Bytes of text whose words are taken apart at once, and words of which counts are gathered before they go on.
+SLICE, GATHERED = 1 << 23, 1 << 20
+#: Ends of words: one byte, two bytes.
+ENDS = [*(bytes([b]) for b in range(256)), *(bytes([a, b]) for a in range(256) for b in range(256))]
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").translate(common.LOWER).split(), END]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``SLICE`` bytes of text in a column."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // SLICE
+    edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+    return (batch.slice(i, j - i) for i, j in itertools.pairwise(edges) if i < j)
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The :func:`tokens` of all texts but their ends, one text after the other, and how many each text has."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    lists = pc.ascii_split_whitespace(texts)
+    words, n = lists.flatten().cast(pa.large_binary()), np.diff(lists.offsets.to_numpy())
+    empty = pc.binary_length(texts).to_numpy() == 0
+    return (words.filter(pc.not_equal(words, END)), n - empty) if empty.any() else (words, n)
+
+
 def spelling(word: bytes) -> int:
     """The class of a word that isn't a symbol, by its last two bytes."""
     return zlib.crc32(word[-2:]) % SPELLINGS
 
 
-class Spellings(dict):
-    """Last two bytes -> the id of the class by spelling."""
-
-    def __init__(self, known: int):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, end: bytes) -> int:
-        self[end] = out = self.known + spelling(end)
-        return out
+def spellings(words: pa.Array, made: np.ndarray) -> np.ndarray:
+    """:func:`spelling` of each word of one byte or more; made: those of all ends, by their bytes (see ``ENDS``)."""
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last, size = data[edges[1:] - 1].astype(np.int32), np.diff(edges)
+    return made[np.where(size > 1, 256 + 256 * data[np.maximum(edges[1:] - 2, 0)].astype(np.int32), 0) + last]
 
 
 def spelling_of(word: Column) -> Column:
@@ -160,42 +180,67 @@ def shaped(x: np.ndarray, v: Vocabulary, width: int = WIDTH) -> dict[str, np.nda
     return out
 
 
-def _turned(x: np.ndarray) -> np.ndarray:
+class Room:
+    """Arrays by name that are written again in each window, as fresh ones cost as much as what is done with them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size = math.prod(shape)
+        own = self.held.get(name)
+        if own is None or len(own) < size or own.dtype != kind:
+            own = self.held[name] = np.empty(size, kind)
+        return own[:size].reshape(shape)
+
+
+def _turned(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """A copy with the last two axes exchanged."""
-    return np.ascontiguousarray(x.transpose(0, 2, 1))
+    if out is None:
+        return np.ascontiguousarray(x.transpose(0, 2, 1))
+    np.copyto(out, x.transpose(0, 2, 1))
+    return out
 
 
-def forward(p: dict, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+def _taken(rows: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    return np.take(rows, at, axis=0, out=out, mode="clip")  # unlike the default mode, it writes in place
+
+
+def forward(p: dict, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, room: Room | None = None) -> tuple[np.ndarray, tuple]:
     """States (steps, lanes, width) after each of the input ids (steps, lanes), and what the way back needs (lanes last).
 
-    fresh: where a document begins; the state is zero before it.
+    fresh: where a document begins; the state is zero before it.  What is returned lies in the room, up to its next use here.
     """
-    d, lanes = h.shape[1], ids.shape[1]
-    x = _turned(np.take(p["inputs"], ids, axis=0))  # lanes last, so that what belongs to a gate lies together
-    before, s, n, states = (np.empty((len(ids), d, lanes), x.dtype) for _ in range(4))
-    gates, a = np.empty((len(ids), 2 * d, lanes), x.dtype), np.empty((3 * d, lanes), x.dtype)
+    (steps, lanes), d, kind = ids.shape, h.shape[1], p["inputs"].dtype
+    room = Room() if room is None else room
+    shape = steps, d, lanes
+    given = _taken(p["inputs"], ids, room("given", (steps, lanes, 3 * d), kind))
+    x = _turned(given, room("x", (steps, 3 * d, lanes), kind))  # lanes last, so that what belongs to a gate lies together
+    before, s, n, states = (room(k, shape, kind) for k in ("before", "s", "n", "states"))
+    gates, a = room("gates", (steps, 2 * d, lanes), kind), room("a", (3 * d, lanes), kind)
     recur, bias, h = np.ascontiguousarray(p["recur"].T), p["bias_n"][:, None], h.T
-    begins = fresh.any(axis=1) if fresh is not None else np.zeros(len(ids), bool)
-    for t in range(len(ids)):
-        np.copyto(before[t], h)
-        if begins[t]:
-            before[t][:, fresh[t]] = 0
-        h, g, m, to = before[t], gates[t], n[t], states[t]
-        np.matmul(recur, h, out=a)
-        np.add(x[t, : 2 * d], a[: 2 * d], out=g)
-        g *= 0.5  # the logistic function by the hyperbolic tangent
-        np.tanh(g, out=g)
-        g *= 0.5
-        g += 0.5
-        np.add(a[2 * d :], bias, out=s[t])
-        np.multiply(g[:d], s[t], out=m)
-        m += x[t, 2 * d :]
-        np.tanh(m, out=m)
-        np.subtract(h, m, out=to)
-        to *= g[d:]
-        to += m
-        h = to
-    return _turned(states), (before, gates, s, n, fresh, begins)
+    recur[: 2 * d] *= -1
+    begins = fresh.any(axis=1) if fresh is not None else np.zeros(steps, bool)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            np.copyto(before[t], h)
+            if begins[t]:
+                before[t][:, fresh[t]] = 0
+            h, g, m, to = before[t], gates[t], n[t], states[t]
+            np.matmul(recur, h, out=a)
+            np.subtract(a[: 2 * d], x[t, : 2 * d], out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.divide(1, g, out=g)
+            np.add(a[2 * d :], bias, out=s[t])
+            np.multiply(g[:d], s[t], out=m)
+            m += x[t, 2 * d :]
+            np.tanh(m, out=m)
+            np.subtract(h, m, out=to)
+            to *= g[d:]
+            to += m
+            h = to
+    return _turned(states, room("out", (steps, lanes, d), kind)), (before, gates, s, n, fresh, begins)
 
 
 def _powers(x: np.ndarray, bound: float, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,86 +261,117 @@ def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(rows, first, axis=0)
 
 
-def outputs(p: dict, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def _groups(edges: list[int]) -> Iterator[list[tuple[int, slice]]]:
+    """The classes that have rows, and which, in groups of about ``GROUP`` rows."""
+    group: list[tuple[int, slice]] = []
+    for c, (i, j) in enumerate(itertools.pairwise(edges)):
+        if i < j:
+            group.append((c, slice(i, j)))
+            if j - group[0][1].start >= GROUP:
+                yield group
+                group = []
+    if group:
+        yield group
+
+
+def outputs(p: dict, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: dict | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target; with grads, adds the parameters' gradients of minus their sum and returns the states'.
 
-    A target that is a class by spelling has the class's probability only.
+    A target that is a class by spelling has the class's probability only.  The states' gradients lie in the room.
     """
-    order, d, slope = np.argsort(targets.astype(v.type), kind="stable"), states.shape[1], grads is not None
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    targets, s = targets[order], np.ones((len(order), d + 1), states.dtype)
-    s[:, :d] = np.take(states, order, axis=0)
-    kind, words = v.kind(targets), int(np.searchsorted(targets, v.known))
+    order, (size, d), kind, slope = np.argsort(targets.astype(v.type), kind="stable"), states.shape, states.dtype, grads is not None
+    room = Room() if room is None else room
+    narrow = d + 1
+    targets, s = targets[order], room("with_one", (size, narrow), kind)
+    s[:, :d] = _taken(states, order, room("ordered", (size, d), kind))
+    s[:, d] = 1
+    classes, words = v.kind(targets), int(np.searchsorted(targets, v.known))
     by_class, by_word = np.ascontiguousarray(p["to_class"].T), _turned(p["to_word"])
-    of_class, of_word = np.take(by_class, kind, axis=0), np.take(by_word.reshape(-1, d + 1), targets[:words], axis=0)
-    logp, bound, ones = np.einsum("td,td->t", s, of_class).astype(np.float64), np.abs(by_class).sum(axis=1).max(), np.ones(len(by_class), s.dtype)
-    back, own = np.empty_like(s) if slope else None, np.empty((min(CHUNK, len(s)), len(by_class)), s.dtype)
-    for at in range(0, len(s), CHUNK):  # so that a chunk's outputs stay in the cache
+    own = _taken(by_class, classes, room("own", (size, narrow), kind))
+    logp, bound, ones = np.einsum("td,td->t", s, own).astype(np.float64), np.abs(p["to_class"]).sum(axis=0).max(), np.ones(len(by_class), kind)
+    back = room("back", (size, narrow), kind) if slope else None
+    every, scaled = room("every", (min(CHUNK, size), len(by_class)), kind), room("scaled", (min(CHUNK, size), narrow), kind)
+    for at in range(0, size, CHUNK):  # so that a chunk's outputs stay in the cache
         rows = slice(at, at + CHUNK)
-        x = np.matmul(s[rows], p["to_class"], out=own[: len(s) - at])
+        x = np.matmul(s[rows], p["to_class"], out=every[: size - at])
         logz, inv = _powers(x, bound, ones)
         logp[rows] -= logz
         if slope:
-            grads["to_class"] += (x.T @ (s[rows] * inv)).T
+            grads["to_class"] += (x.T @ np.multiply(s[rows], inv, out=scaled[: size - at])).T
             np.matmul(x, by_class, out=back[rows])
             back[rows] *= inv
     if slope:
-        back -= of_class
-        at, sums = _sums(s, kind)
+        back -= own
+        at, sums = _sums(s, classes)
         grads["to_class"][:, at] -= sums.T
     if words:
-        edges = np.searchsorted(targets, np.minimum(np.arange(v.learned + 1) * v.size, v.known)).tolist()
-        own = [(c, slice(i, j)) for c, (i, j) in enumerate(itertools.pairwise(edges)) if i < j]
-        x = np.empty((words, v.size), s.dtype)
-        for c, rows in own:
-            np.matmul(s[rows], p["to_word"][c], out=x[rows])
-        logz, inv = _powers(x, np.abs(by_word).sum(axis=2).max(), np.ones(v.size, s.dtype))
-        logp[:words] += np.einsum("td,td->t", s[:words], of_word) - logz
+        own = _taken(by_word.reshape(-1, narrow), targets[:words], room("own", (words, narrow), kind))
+        logp[:words] += np.einsum("td,td->t", s[:words], own)
+        bound, ones = np.abs(p["to_word"]).sum(axis=1).max(), np.ones(v.size, kind)
+        for group in _groups(np.searchsorted(targets, np.minimum(np.arange(v.learned + 1) * v.size, v.known)).tolist()):
+            first, rows = group[0][1].start, slice(group[0][1].start, group[-1][1].stop)
+            x = room("words", (rows.stop - first, v.size), kind)
+            for c, at in group:
+                np.matmul(s[at], p["to_word"][c], out=x[at.start - first : at.stop - first])
+            logz, inv = _powers(x, bound, ones)
+            logp[rows] -= logz
+            if slope:
+                scaled, more = np.multiply(s[rows], inv, out=room("scaled_words", (len(x), narrow), kind)), room("more", (len(x), narrow), kind)
+                for c, at in group:
+                    mine = slice(at.start - first, at.stop - first)
+                    grads["to_word"][c] += scaled[mine].T @ x[mine]
+                    np.matmul(x[mine], by_word[c], out=more[mine])
+                more *= inv
+                back[rows] += more
         if slope:
-            scaled, more = s[:words] * inv, np.empty((words, d + 1), s.dtype)
-            for c, rows in own:
-                grads["to_word"][c] += scaled[rows].T @ x[rows]
-                np.matmul(x[rows], by_word[c], out=more[rows])
-            more *= inv
-            more -= of_word
-            back[:words] += more
+            back[:words] -= own
             at, sums = _sums(s[:words], targets[:words])
             grads["to_word"][at // v.size, :, at % v.size] -= sums
-    return np.take(logp, place), np.take(back, place, axis=0)[:, :d] if slope else None
+    given = np.empty_like(logp)
+    given[order] = logp
+    if not slope:
+        return given, None
+    out = room("states_back", (size, d), kind)
+    out[order] = back[:, :d]
+    return given, out
 
 
-def backward(p: dict, ids: np.ndarray, kept: tuple, back: np.ndarray, grads: dict) -> None:
+def backward(p: dict, ids: np.ndarray, kept: tuple, back: np.ndarray, grads: dict, room: Room | None = None) -> None:
     """Adds the gradients through a window; back: the gradients of its states (steps, lanes, width)."""
     before, gates, s, n, fresh, begins = kept
-    d = back.shape[2]
-    r, z, back = gates[:, :d], gates[:, d:], _turned(back)
-    left = 1 - z
-    by_n, by_z, by_r = n * n, before - n, 1 - r
+    (steps, lanes, d), kind = back.shape, back.dtype
+    room = Room() if room is None else room
+    shape = steps, d, lanes
+    r, z, back = gates[:, :d], gates[:, d:], _turned(back, room("back_turned", shape, kind))
+    left, by_n, by_z, by_r, dn = (room(k, shape, kind) for k in ("left", "by_n", "by_z", "by_r", "dn"))
+    np.subtract(1, z, out=left)
+    np.multiply(n, n, out=by_n)
     np.subtract(1, by_n, out=by_n)
     by_n *= left
+    np.subtract(before, n, out=by_z)
     by_z *= z
     by_z *= left
+    np.subtract(1, r, out=by_r)
     by_r *= r
     by_r *= s
-    da, dn, dh = np.empty((len(ids), 3 * d, ids.shape[1]), back.dtype), np.empty_like(back), np.zeros_like(back[0])
-    for t in range(len(ids) - 1, -1, -1):
+    da, dh, more, recur = room("da", (steps, 3 * d, lanes), kind), np.zeros((d, lanes), kind), np.empty((d, lanes), kind), p["recur"]
+    for t in range(steps - 1, -1, -1):
         dh += back[t]
         np.multiply(dh, by_n[t], out=dn[t])
         np.multiply(dn[t], by_r[t], out=da[t, :d])
         np.multiply(dh, by_z[t], out=da[t, d : 2 * d])
         np.multiply(dn[t], r[t], out=da[t, 2 * d :])
         dh *= z[t]
-        dh += p["recur"] @ da[t]
+        dh += np.matmul(recur, da[t], out=more)
         if begins[t]:
             dh[:, fresh[t]] = 0
-    rows = _turned(da).reshape(-1, 3 * d)
-    grads["recur"] += (rows.T @ _turned(before).reshape(-1, d)).T
+    rows = _turned(da, room("given", (steps, lanes, 3 * d), kind)).reshape(-1, 3 * d)
+    grads["recur"] += (rows.T @ _turned(before, room("out", (steps, lanes, d), kind)).reshape(-1, d)).T
     grads["bias_n"] += da[:, 2 * d :].sum(axis=(0, 2))
     rows[:, 2 * d :] = dn.transpose(0, 2, 1).reshape(-1, d)
     ids = ids.ravel().astype(np.uint16 if len(p["inputs"]) <= 1 << 16 else np.uint32)
     order = np.argsort(ids, kind="stable")
-    at, sums = _sums(np.take(rows, order, axis=0), ids[order])
+    at, sums = _sums(_taken(rows, order, room("x", rows.shape, kind)), ids[order])
     grads["inputs"][at] += sums
 
 
@@ -333,15 +409,16 @@ def score_documents(p: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int =
     """The natural log probability of each document's ids, the state carried through all of its windows."""
     total, h = np.zeros(len(docs)), np.zeros((lanes, p["recur"].shape[0]), p["recur"].dtype)
     held: list[tuple] = []
+    room = Room()
 
     def done() -> None:
         own, states, target = map(np.concatenate, zip(*held, strict=True))
-        total[:] += np.bincount(own, outputs(p, v, states, target)[0], len(docs))
+        total[:] += np.bincount(own, outputs(p, v, states, target, room=room)[0], len(docs))
         held.clear()
 
     for fresh, own, given, target, mask in windows(docs, lanes, window):
-        states, _ = forward(p, given, h[: given.shape[1]], fresh)
-        h = states[-1]
+        states, _ = forward(p, given, h[: given.shape[1]], fresh, room)
+        h = states[-1].copy()
         held.append((own[mask], states[mask], target[mask]))
         if sum(len(x[0]) for x in held) >= BATCH:  # few lanes are left where long documents go on
             done()
@@ -353,7 +430,8 @@ def score_documents(p: dict, v: Vocabulary, docs: list[np.ndarray], lanes: int =
 class Trainer:
     """Adam over truncated windows; parameters, gradients and moments are flat arrays.
 
-    second: the second moments to go on with, from the rounds before.
+    second: the second moments to go on with, from the rounds before.  Moments are kept as sums, without the share of the
+    newest in them (0.1, 0.005), so fewer passes over all parameters are needed.
     """
 
     def __init__(self, x: np.ndarray, v: Vocabulary, rate: float, second: np.ndarray | None = None):
@@ -361,21 +439,21 @@ class Trainer:
         self.x, self.fixed = np.array(x, np.float32), second is not None
         self.g, self.m = np.zeros_like(self.x), np.zeros_like(self.x)
         self.second = np.array(second, np.float32) if self.fixed else np.zeros_like(self.x)
-        self.p, self.grads = shaped(self.x, v), shaped(self.g, v)
+        self.p, self.grads, self.room = shaped(self.x, v), shaped(self.g, v), Room()
 
     def train(self, docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> None:
         docs = [d[k : k + PIECE] for d in docs for k in range(0, len(d), PIECE)]
         lanes = min(lanes, max(8, sum(map(len, docs)) // (WINDOW * steps)))
         h = np.zeros((lanes, self.p["recur"].shape[0]), np.float32)
         for fresh, _, given, target, mask in windows(docs, lanes):
-            states, kept = forward(self.p, given, h[: given.shape[1]], fresh)
-            h = states[-1]
+            states, kept = forward(self.p, given, h[: given.shape[1]], fresh, self.room)
+            h = states[-1].copy()
             if mask.all():
-                back = outputs(self.p, self.v, states.reshape(-1, states.shape[2]), target.ravel(), self.grads)[1].reshape(states.shape)
+                back = outputs(self.p, self.v, states.reshape(-1, states.shape[2]), target.ravel(), self.grads, self.room)[1].reshape(states.shape)
             else:
                 back = np.zeros_like(states)
-                back[mask] = outputs(self.p, self.v, states[mask], target[mask], self.grads)[1]
-            backward(self.p, given, kept, back, self.grads)
+                back[mask] = outputs(self.p, self.v, states[mask], target[mask], self.grads, self.room)[1]
+            backward(self.p, given, kept, back, self.grads, self.room)
             self.step(int(mask.sum()))
 
     def step(self, n: int) -> None:
@@ -383,47 +461,54 @@ class Trainer:
         self.t += 1
         self.tokens += n
         g = self.g
-        g /= max(n, FEW)
+        g *= 1 / max(n, FEW)
         np.clip(g, -1, 1, out=g)
         self.m *= 0.9
-        self.m += 0.1 * g
+        self.m += g
         self.second *= 0.995
         g *= g
-        g *= 0.005
         self.second += g
         np.sqrt(self.second, out=g)
-        if not self.fixed:
-            g *= 1 / np.sqrt(1 - 0.995**self.t)
-        g += 1e-6
+        root = math.sqrt(0.005 / (1 if self.fixed else 1 - 0.995**self.t))
+        g += 1e-6 / root
         np.divide(self.m, g, out=g)
-        g *= self.rate / (1 - 0.9**self.t)
+        g *= 0.1 * self.rate / (1 - 0.9**self.t) / root
         self.x -= g
         g.fill(0)
 
 
-def _texts(batch: pa.RecordBatch, column: int = 0) -> list:
-    return batch.column(column).cast(pa.large_binary()).to_pylist()
-
-
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over one column of texts: each task sums its batches, then words meet."""
+    """(word, n) over one column of texts: each task sums its slices, then words meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["word", "n"])
+        def out(c: pa.Table) -> Iterator[pa.RecordBatch]:
+            return c.select(["word", "n"]).cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches()
 
-        c: Counter = Counter()
+        held, rows, ends = [], 0, 0
         for batch in batches:
-            for text in _texts(batch):
-                c.update(tokens(text))
-                if len(c) > 300_000:
-                    yield out(c)
-                    c.clear()
-        yield out(c)
+            for part in slices(batch, 0):
+                c = cut(part.column(0))[0].value_counts()
+                held.append(pa.table({"word": c.field("values"), "n": c.field("counts")}))
+                rows, ends = rows + len(c), ends + len(part)
+                if rows > GATHERED:
+                    held = [_summed_counts(held)]
+                    rows = len(held[0])
+                    if rows > GATHERED // 2:
+                        yield from out(held[0])
+                        held, rows = [], 0
+        if ends:
+            held.append(pa.table({"word": pa.array([END], pa.large_binary()), "n": pa.array([ends], pa.int64())}))
+            yield from out(_summed_counts(held))
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _summed_counts(tables: list[pa.Table]) -> pa.Table:
+    if len(tables) == 1:
+        return tables[0]
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """Words by falling count: those of the highest classes of counts (64 to a doubling) that hold ``most`` words or fewer.
 
@@ -496,36 +581,39 @@ def encoded(docs: DataFrame, words: Words, id_col: str = "doc_id", text: str = "
         v, hot = shared.value
         fields = list(to_arrow_schema(schema))
         # one look-up a word: the hot words by place, all others at the last one
-        last, place = len(hot), {w: k for k, w in enumerate(hot)}
+        last, listed = len(hot), pa.array(hot, pa.large_binary())
         symbol = np.array([*[v.symbols.get(w, v.known + spelling(w)) for w in hot], 0], v.type)
-        logs, shares = np.append(np.log10(np.array(list(hot.values()), np.float64) + 1), 0.0), v.shares()
-        classes = Spellings(v.known)
-        classes[END] = v.symbols[END]
-
-        def one(t: bytes | None) -> tuple:
-            said = tokens(t)
-            at = np.fromiter(map(place.get, said, itertools.repeat(last)), np.int32, len(said))
-            ids, value, missing = symbol[at], logs[at], np.flatnonzero(at == last)
-            rare = [said[i] for i in missing.tolist()]
-            ids[missing] = [classes[w[-2:]] for w in rare]
-            other = ids >= v.known
-            return len(said), len(said) - len(rare), value.sum(), value[other].sum(), shares[ids[other] - v.known].sum(), Counter(rare), ids.tobytes()
-
-        def lists(counters: tuple) -> pa.Array:
+        logs, shares = np.append(np.log10(np.array(list(hot.values()), np.float64) + 1), 0.0), np.append(np.zeros(v.known), v.shares())
+        by_end = np.array([v.known + spelling(w) for w in ENDS], v.type)
+        end = next((k for k, w in enumerate(hot) if w == END), last)
+
+        def made(texts: pa.Array) -> list:
+            words, n = cut(texts)
+            place = pc.index_in(words, value_set=listed).fill_null(last).to_numpy()
+            missing = place == last
+            coded = words.filter(pa.array(missing)).dictionary_encode()
+            others, code = coded.dictionary, coded.indices.to_numpy()
+            symbols = symbol[place]
+            symbols[missing] = spellings(others, by_end)[code]
+            edges = np.concatenate([[0], np.cumsum(n + 1)])
+            starts, ends = edges[:-1], edges[1:] - 1
+            word = np.ones(edges[-1], bool)
+            word[ends] = False
+            at, ids = np.full(len(word), end, np.int32), np.full(len(word), v.symbols[END], v.type)
+            at[word], ids[word] = place, symbols
+            value = logs[at]
+            sums = [np.add.reduceat(x, starts, dtype=x.dtype if x.dtype == np.float64 else np.int64) for x in (at < last, value, value * (ids >= v.known), shares[ids])]
+            pairs, times = np.unique(np.repeat(np.arange(len(n)), n)[missing] * len(others) + code, return_counts=True)
             kind = fields[8].type
-            words = pa.array([w for c in counters for w in c], kind.value_type[0].type)
-            times = pa.array([k for c in counters for k in c.values()], kind.value_type[1].type)
-            edges = np.concatenate([[0], np.cumsum([len(c) for c in counters])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([words, times], fields=list(kind.value_type)), type=kind)
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                found: dict = {}
-                rows = [found[t] if t in found else found.setdefault(t, one(t)) for t in _texts(batch, 3)]
-                made = list(zip(*rows, strict=True)) if rows else [()] * 7
-                columns = [*batch.columns[:3], *made[:5], lists(made[5]), made[6]]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema([pa.field(f.name, f.type) for f in fields]))
+            found = pa.StructArray.from_arrays([others.take(pa.array(pairs % max(len(others), 1))).cast(kind.value_type[0].type), pa.array(times, kind.value_type[1].type)], fields=list(kind.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(len(n) + 1) * len(others)), pa.int32()), found, type=kind)
+            held = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges * v.type.itemsize), pa.py_buffer(ids)])
+            return [pa.array(x) for x in (n + 1, *sums)] + [lists, held]
+
+        for batch in batches:
+            for part in slices(batch, 3):
+                columns = [*part.columns[:3], *made(part.column(3))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema([pa.field(f.name, f.type) for f in fields]))
 
     return common.written(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
@@ -627,7 +715,8 @@ def scored(table: DataFrame, model: LanguageModel, id_col: str = "doc_id") -> Da
 
     network = table.select("row", "ids").mapInArrow(run, "row long, network double")
     rare = table.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    met = rare.join(words.counts, "word").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("l"))
+    # no key is frequent and each task's share of the counts fits in its memory, so neither side is sorted
+    met = rare.join(words.counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("l"))
     out = table.drop("ids", "rare", "part").join(network, "row").join(met, "row", "left").fillna(0, ["k", "l"])
     return out.select(
         F.col("id").alias(id_col),
