@@ -809,7 +809,8 @@ def test_words_are_cut_by_the_batch(spark, monkeypatch):
     assert len(parts) > 1 and [t for p in parts for t in p.column(0).to_pylist()] == texts
     raw = pa.array([b"A\xff \xc3 \xfe\n", b"\xff"], pa.binary())
     odd = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())  # bytes that aren't UTF-8 may lie in a column of texts
-    for column in (batch.column(0), batch.column(0).slice(3, 5), odd):
+    many = pa.array([f"  One Two{k} three é\n" * (k % 5) for k in range(3000)])
+    for column in (batch.column(0), batch.column(0).slice(3, 5), odd, many.slice(1000, 1500), many.slice(2999)):
         words, n = lm.cut(column)
         made = iter(words.to_pylist())
         want = [lm.tokens(t) for t in column.cast(pa.large_binary()).to_pylist()]

@@ -85,7 +85,11 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The :func:`tokens` of all texts but their ends, one text after the other, and how many each text has."""
-    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    texts = texts.cast(pa.large_string()).fill_null("")
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[edges[0] : edges[-1]]  # Arrow's functions of ASCII lose words of a slice, so it gets its own bytes
+    texts = pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(edges - edges[0]), pa.py_buffer(bytes(data).translate(common.LOWER))])
+    texts = pc.ascii_trim_whitespace(texts)
     lists = pc.ascii_split_whitespace(texts)
     words, n = lists.flatten().cast(pa.large_binary()), np.diff(lists.offsets.to_numpy())
     empty = pc.binary_length(texts).to_numpy() == 0
