@@ -75,6 +75,23 @@ def test_fuzzy_titles_of_other_first_letters(spark):
     assert got == sorted([*want, *(r[0] for r in rows if r[2] is None)])
 
 
+def test_fuzzy_titles_take_the_joined_tracks_once(spark):
+    from tunelake.sources import catalog
+
+    got = QUERIES["dedup_unique_fuzzy"](spark, DATA)
+    assert got.inputFiles() and not any(f"{DATA}/" in f for f in got.inputFiles())
+    # tracks of some columns are the same rows, and of the tables between the joins the last alone keeps its rows
+    before = spark.conf.get(catalog.CLEANUP, None)
+    for columns in (("key", "title", "grandparent_key", "user_rating", "added_at"), ("media", "index"), tuple(catalog.READS)):
+        some = catalog.tracks(spark, DATA, columns)
+        assert tuple(some.columns) == columns and some.schema == catalog.tracks(spark, DATA).select(*columns).schema
+        assert some.exceptAll(catalog.tracks(spark, DATA).select(*columns)).isEmpty() and some.count() == catalog.tracks(spark, DATA).count() > 0
+    assert spark.conf.get(catalog.CLEANUP, None) == before
+    old = catalog.checkpointed(spark.range(100), large=True)
+    new = catalog.checkpointed(old.filter("id < 50"), large=True, last=old)
+    assert new.count() == 50 and spark.read.parquet(old.inputFiles()[0].rpartition("/")[0]).count() == 0
+
+
 def test_restore_of_whole_lists(spark, tables):
     from tunelake.functions import names
 

@@ -174,7 +174,9 @@ class ResultSet:
 
     def _artist(self) -> Column:
         """What stands for a track's artist: of various artists' albums, the original title."""
-        own = F.when(F.col("grandparent_title") == "Various Artists", F.col("original_title")) if "grandparent_title" in self.df.columns else F.lit(None).cast("string")
+        if "grandparent_title" not in self.df.columns:
+            return F.col("grandparent_key")
+        own = F.when(F.col("grandparent_title") == "Various Artists", F.col("original_title"))
         return F.coalesce(own, F.col("grandparent_key").cast("string"))
 
     def _best_first(self, rated: bool = True, latest: bool = True, singles: bool = False) -> list:
@@ -197,28 +199,33 @@ class ResultSet:
 
         Better is unique's order.  The reference takes tracks as they come and swaps in the better of two that match; in
         this order the earlier is always the better, so nothing is swapped.  Titles that match are found among the distinct
-        ones of all artists, so keys and scores grow with these, not with the tracks.
+        ones of all artists, so keys and scores grow with these, not with the tracks.  What unique leaves is written once, with all
+        columns of the frame, so a frame of few columns takes less disk.
         """
         from tunelake.functions import fuzzy, names
 
         least = round(100 * threshold)
-        first = self.unique()
-        w = Window.partitionBy(first._artist()).orderBy(*first._best_first())
-        nodes = checkpointed(first.df.select("key", first._artist().alias("artist"), F.lower("title").alias("t"), F.row_number().over(w).alias("n")))
-        spelled = nodes.filter("t IS NOT NULL").select("t").distinct().select("t", names.from_enclosed(F.col("t")).alias("name"))
+        first = self._with(checkpointed(self.unique().df, large=True))
+        t = F.lower("title")
+        spelled = first.df.select(t.alias("t")).filter("t IS NOT NULL").distinct().select("t", names.from_enclosed(F.col("t")).alias("name"))
         spelled = checkpointed(spelled.select("t", F.struct(*[F.col(f"name.{f}").alias(f) for f in names.FIELDS]).alias("name")))
         at = names.keyed(spelled, least, counts=names.counted(spelled) if least >= fuzzy.LEAST else None)
         x, y = (at.select("__k", *[F.col(c).alias(f"{c}_{side}") for c in ("t", "name", "__len")]) for side in "xy")
         met = x.join(y, "__k").filter(F.expr("t_x < t_y") & names.lengths_fit(F.col("__len_x"), F.col("__len_y"), least)).groupBy("t_x", "t_y").agg(F.first("name_x").alias("name_x"), F.first("name_y").alias("name_y"))
         tasks = self.df.sparkSession.sparkContext.defaultParallelism * 4
         near = checkpointed(met.repartition(tasks, "t_x", "t_y").filter(names.score_udf("name_x", "name_y") >= least).select("t_x", "t_y"))
-        # an artist has a title once, so each track asks for those of the artist that match its own
-        either = near.select(F.col("t_x").alias("t"), F.col("t_y").alias("__t")).union(near.select("t_y", "t_x"))
-        asks = nodes.join(either, "t").select(F.col("artist").alias("__a"), F.col("n").alias("n_a"), "__t")
-        pairs = asks.join(nodes, F.col("artist").eqNullSafe(F.col("__a")) & (F.col("t") == F.col("__t"))).filter("n_a < n").select("artist", "n_a", F.col("n").alias("n_b"))
-        gone = _greedy(pairs)
-        dropped = nodes.join(gone, nodes["artist"].eqNullSafe(gone["__artist"]) & (nodes["n"] == gone["__n"]), "left_semi").select(F.col("key").alias("__k"))
-        return first._with(first.df.join(dropped, first.df["key"] == F.col("__k"), "left_anti"))
+        # only tracks of such titles go on; an artist has a title once, so two rows of an artist's pair of titles are a link
+        linked = near.select(F.explode(F.array("t_x", "t_y")).alias("__t")).distinct()
+        w = Window.partitionBy("artist").orderBy(*first._best_first())
+        nodes = first.df.join(linked, t == F.col("__t"), "left_semi").withColumn("artist", first._artist()).withColumn("n", F.row_number().over(w)).select("artist", "key", "n", t.alias("t"))
+        ends = nodes.join(near.select("*", F.explode(F.array("t_x", "t_y")).alias("t")), "t")
+        place = F.struct("n", "key")
+        pairs = ends.groupBy("artist", "t_x", "t_y").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a.n < b.n")
+        pairs = checkpointed(pairs.select("artist", F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("b.key").alias("__k")), large=True)
+        gone = _greedy(pairs.select("artist", "n_a", "n_b"))
+        dropped = pairs.join(gone, pairs["artist"].eqNullSafe(gone["__artist"]) & (pairs["n_b"] == gone["__n"]), "left_semi").select("__k").distinct()
+        alone, others = (first.df.join(linked, t == F.col("__t"), how) for how in ("left_anti", "left_semi"))
+        return first._with(alone.union(others.join(dropped, F.col("key") == F.col("__k"), "left_anti")))
 
     def _same(self, other: ResultSet) -> None:
         if not isinstance(other, ResultSet):
