@@ -71,6 +71,71 @@ def test_disambiguation_by_stages(spark):
     assert rows[6] == [("Category:l12", "entity", False)] and rows[7] == [(None, "none", True)]
 
 
+def test_disambiguation_by_groups_and_native_names(spark):
+    # groups go by names that come near, with their spelling in parentheses; empty lists and nulls tell nothing
+    q = [(k, name("Cold Ring"), name("Cold Ring"), groups) for k, groups in ((1, ["Velvet Harbor"]), (2, ["벨벳 하버 (Velvet Harbor)"]), (3, []), (4, [None, "Iron Meadow"]))]
+    c = [(k, link, name("cold ring"), groups) for k in (1, 2, 3, 4) for link, groups in (("near", ["velvet harbors", None]), ("far", ["iron meadow"]))]
+    # the other script alone finds what the English name kept out, among all that the entity left
+    q += [(5, name("Cold Ring", "차가운 반지"), None, None), (6, name("Cold Ring", "차가운 반지"), name("Other Title"), None), (7, name(None, "차가운 반지", None, "Cold Ring"), None, None)]
+    c += [(k, link, n, None) for k in (5, 6) for link, n in (("a", name("Cold ring")), ("b", name("cold Ring", "다른 말")), ("c", name("Other Title", "차가운 반지")), ("d", name("x", "다른 말")))]
+    c += [(7, "e", name(None, "차가운 반지", None, "x"), None), (7, "f", name(None, "차가운반지"), None), (7, "g", name("y"), None)]
+    schema = f"name {NAME}, groups array<string>"
+    got = entities.disambiguation(spark.createDataFrame(q, f"query int, name {NAME}, entity {NAME}, groups array<string>"), spark.createDataFrame(c, f"query int, link string, {schema}")).collect()
+    rows = {}
+    for r in sorted(got):
+        rows.setdefault(r.query, []).append((r.link, r.stage, r.ambiguous))
+    assert rows[1] == rows[2] == [("near", "entity", False)] and rows[4] == [("far", "entity", False)]
+    assert rows[3] == [("far", "name", True), ("near", "name", True)]
+    assert rows[5] == [("c", "native", False)] and rows[6] == [("c", "entity", False)]
+    assert rows[7] == [("e", "native", True), ("f", "native", True)]
+
+
+def test_disambiguation_fuzzy_by_brute_force(spark):
+    from functools import cache
+
+    from tunelake.entity_queries import _searched_parts
+
+    plain = lambda n: n and tuple(n[f] for f in names.FIELDS)
+    match = cache(lambda a, b: bool(a and b) and names.score(*[dict(zip(names.FIELDS, n)) for n in (a, b)]) >= 90)
+    near = cache(lambda a, b: names.score(*[dict.fromkeys(names.FIELDS) | {"eng": n} for n in (a, b)]) >= 90)
+
+    def one(q, c):
+        """What is left, the stage that decided, whether more than one is left or none was."""
+        groups, ways = q.groups or (), []
+        if len(c) > 1 and q.entity:
+            ways.append(("entity", lambda x: match(plain(q.entity), plain(x.name)) and (x.link.startswith("Category:") or not groups or not x.groups or any(near(g, h) for g in groups for h in x.groups))))
+        if len(c) == 1:
+            return c, "only", False
+        left, stage = c, "only"
+        for stage, test in ways:
+            found = [x for x in left if test(x)]
+            if len(found) < 2:
+                return found or left, stage, not found
+            left = found
+        if q.name:
+            found = [x for x in left if match(plain(q.name), plain(x.name))]
+            stage = "name"
+            if len(found) > 1 and q.name.eng and q.name.non_eng:
+                stage, before = "native", found
+                found = [x for x in left if match((None, q.name.non_eng, None, None), plain(x.name))]
+                left = before
+            return found or left, stage, len(found) != 1
+        return left, stage, True
+
+    queries, candidates = (df.collect() for df in _searched_parts(spark, DATA))
+    links = {}
+    for x in candidates:
+        if "disambiguation" not in x.link:
+            links.setdefault(x.query, []).append(x)
+    want = []
+    for q in queries:
+        left, stage, ambiguous = one(q, links[q.query]) if q.query in links else ([None], "none", True)
+        want += [(q.query, x and x.link, stage, ambiguous) for x in left]
+    got = [tuple(r) for r in QUERIES["disambiguation_fuzzy"](spark, DATA).select("query", "link", "stage", "ambiguous").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {(r[2], r[3]) for r in got} >= {("only", False), ("entity", False), ("entity", True), ("name", False), ("name", True), ("native", False), ("native", True), ("none", True)}
+
+
 def test_names_fold_in_order(spark):
     rows = [(1, 3, name("Abc", None, "r")), (1, 1, name("abc", "가")), (1, 2, name(None, "가", None, "l")), (1, 4, name("Abc", "나")), (1, 5, name("xyz")), (1, 6, name("xyz")), (2, 1, name(None, "가")), (2, 2, name("d")), (2, 3, name("d", "가")), (3, 1, name())]
     df = spark.createDataFrame(rows, f"artist int, page_id int, name {NAME}")

@@ -93,6 +93,7 @@ def spelled(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
+@functools.lru_cache(1 << 16)
 def squeezed(text: str) -> str:
     """A spelling to compare: folded, without blanks."""
     return fuzz_process(text).replace(" ", "")
@@ -103,6 +104,8 @@ def romanizes(non_eng: str, eng: str) -> bool:
     own = spelled(non_eng)
     if not any("가" <= c <= "힣" for c in own):
         return False
+    if sounds(own) != sounds(eng):
+        return False
     rule = ""
     for c in own:
         if "가" <= c <= "힣":
@@ -126,33 +129,45 @@ def sounds(text: str) -> str:
     return "".join(c for k, c in enumerate(out) if not k or out[k - 1] != c)
 
 
-def scores(a: dict, b: dict, romanized: int = 95, ost: bool = True) -> list[int]:
+def _rated(x: str, y: str, least: int) -> int:
+    """The weighted ratio of two squeezed texts; 0 where their lengths or letters alone keep it below the least, of ``fuzzy.LEAST`` or more."""
+    if least >= fuzzy.LEAST and x and y:
+        if 2 * max(len(x), len(y)) >= 3 * min(len(x), len(y)):
+            return 0
+        shared = sum(min(x.count(c), y.count(c)) for c in set(x))
+        if 200 * shared < (least - 1) * (len(x) + len(y)):
+            return 0
+    return weighted_ratio(x, y)
+
+
+def scores(a: dict, b: dict, romanized: int = 95, ost: bool = True, least: int = 0) -> list[int]:
     """Every score of two names and of their versions, 0 to 100.
 
     Spellings in the same script by the weighted ratio (averaged with the English parts' where they are equal), English ones
-    likewise, ``romanized`` where one spells the other, and all that again without a soundtrack suffix.
+    likewise, ``romanized`` where one spells the other, and all that again without a soundtrack suffix.  least: lower scores may be
+    told as 0.
     """
     out, english = [], None
     if a["non_eng"] and b["non_eng"] and _script(a["non_eng"]) == _script(b["non_eng"]):
-        found = weighted_ratio(squeezed(a["non_eng"]), squeezed(b["non_eng"]))
+        found = _rated(squeezed(a["non_eng"]), squeezed(b["non_eng"]), least)
         if found == 100 and a["eng"] and b["eng"]:
             english = weighted_ratio(squeezed(a["eng"]), squeezed(b["eng"]))
             found = (found + english) // 2
         out.append(found)
     if a["eng"] and b["eng"]:
-        out.append(weighted_ratio(squeezed(a["eng"]), squeezed(b["eng"])))
+        out.append(_rated(squeezed(a["eng"]), squeezed(b["eng"]), least))
     for x, y in ((a, b), (b, a)):
         other = y["eng"] or y["romanized"]
         if other and (x["romanized"] and spelled(x["romanized"]) == spelled(other) or x["non_eng"] and romanizes(x["non_eng"], other)):
             out.append(romanized if english is None else (romanized + english) // 2)
     for x, y in ((a, b), (b, a)):
         for version in (x.get("versions") if x.get("versions") is not None else ()):
-            out += scores({**version, "versions": ()}, {**y, "versions": () if x is b else y.get("versions")}, romanized, ost)
+            out += scores({**version, "versions": ()}, {**y, "versions": () if x is b else y.get("versions")}, romanized, ost, least)
     if ost:
         for x, y in ((a, b), (b, a)):
             if any(v and v.lower().endswith(" ost") for v in map(x.get, FIELDS)):
                 bare = {f: x[f][:-4].strip() if x[f] and x[f].lower().endswith(" ost") else x[f] for f in FIELDS}
-                return out + scores({**bare, "versions": x.get("versions")}, y, romanized, False)
+                return out + scores({**bare, "versions": x.get("versions")}, y, romanized, False, least)
     return out
 
 
@@ -254,9 +269,9 @@ def _hashable(df: pd.DataFrame) -> list[tuple]:
 
 
 @functools.lru_cache(1 << 16)
-def _score(a: tuple, b: tuple) -> int:
+def _score(a: tuple, b: tuple, least: int = 0) -> int:
     x, y = (dict(zip(FIELDS, n)) | {"versions": [dict(zip(FIELDS, v)) for v in n[4] or ()]} for n in (a, b))
-    return score(x, y)
+    return max(scores(x, y, least=least), default=0)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -266,6 +281,28 @@ def score_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series([0 if x == none or y == none else _score(x, y) for x, y in zip(_hashable(a), _hashable(b), strict=True)], dtype="int32")
 
 
+def reaches(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the names score the threshold; a name without spellings doesn't."""
+
+    @F.pandas_udf(T.BooleanType())
+    def test(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        none = (None,) * 5
+        return pd.Series([x != none and y != none and _score(x, y, threshold) >= threshold for x, y in zip(_hashable(a), _hashable(b), strict=True)], dtype=bool)
+
+    return test(a, b)
+
+
+def any_reaches(a: Column, b: Column, threshold: int) -> Column:
+    """Whether a name of one list scores the threshold with one of the other."""
+    own = lambda xs: [] if xs is None else [n for x in xs if x is not None for n in [(*(x[f] for f in FIELDS), None)] if any(n)]
+
+    @F.pandas_udf(T.BooleanType())
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([any(_score(x, y, threshold) >= threshold for x in own(p) for y in own(q)) for p, q in zip(a, b, strict=True)], dtype=bool)
+
+    return test(a, b)
+
+
 def best_match(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", threshold: int = 90) -> DataFrame:
     """For each left row its best right row by the score of the names or of any of their versions."""
     best = lambda pairs: pairs.groupBy(id_left).agg(F.min(F.struct((-F.col("score")).alias("s"), f"{id_right}_match")).alias("b")).select(id_left, f"b.{id_right}_match", (-F.col("b.s")).alias("score"))

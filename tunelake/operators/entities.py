@@ -15,7 +15,7 @@ NAME = f"struct<eng:string,non_eng:string,romanized:string,lit:string,versions:{
 def matches(a: Column, b: Column, threshold: int = 90) -> Column:
     """Whether two names score the threshold."""
     some = lambda x: F.when(x.isNull(), F.lit(None).cast(NAME)).otherwise(x)
-    return F.coalesce(names.score_udf(some(a), some(b)) >= threshold, F.lit(False))
+    return names.reaches(some(a), some(b), threshold)
 
 
 def native(name: Column) -> Column:
@@ -23,12 +23,19 @@ def native(name: Column) -> Column:
     return F.struct(*[(name[f] if f == "non_eng" else F.lit(None).cast("string")).alias(f) for f in names.FIELDS], F.array().cast(names.VERSIONS).alias("versions"))
 
 
-def disambiguation(queries: DataFrame, candidates: DataFrame, same: Callable[[Column, Column], Column] = matches) -> DataFrame:
+def groups_match(a: Column, b: Column, threshold: int = 90) -> Column:
+    """Whether a group of one list has a name that scores the threshold with one of the other; each goes by its spellings."""
+    own = lambda g: F.transform(g, names.from_enclosed)
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False)) | names.any_reaches(own(a), own(b), threshold)
+
+
+def disambiguation(queries: DataFrame, candidates: DataFrame, same: Callable[[Column, Column], Column] = matches, same_groups: Callable[[Column, Column], Column] = groups_match) -> DataFrame:
     """(query, link, stage, ambiguous): what each query's candidates narrow down to, and the stage that decided.
 
     One candidate is taken as it is (``only``).  If the entity is known elsewhere, those stay whose name matches it and which, where
-    both have groups, share one (``entity``); a category page's groups don't count.  Then those stay that match the name searched
-    for (``name``), then, where that has two scripts and more than one is left, those that match its other script (``native``).
+    both have groups, have one whose name matches (``entity``); a category page's groups don't count.  Then those stay that match the
+    name searched for (``name``).  Where that has two scripts and more than one is left, those stay of all that the entity left that
+    match its other script alone (``native``), be their English names others.
     The first stage that leaves one decides; a stage that leaves none, or the last if it leaves more, makes the query ambiguous:
     then what was left before or after it is listed, and a query without candidates gets a row without a link.
 
@@ -40,13 +47,13 @@ def disambiguation(queries: DataFrame, candidates: DataFrame, same: Callable[[Co
     fold = lambda a: F.transform(a, lambda g: F.lower(F.trim(g)))
     q = queries.select("query", "name", "entity", fold(c("groups")).alias("groups"))
     own = candidates.select("query", "link", c("name").alias("c_name"), fold(c("groups")).alias("c_groups")).join(q, "query")
-    apart = (F.size("groups") > 0) & (F.size("c_groups") > 0) & ~F.arrays_overlap("groups", "c_groups") & ~F.lower("link").startswith("category:")
+    apart = (F.size("groups") > 0) & (F.size("c_groups") > 0) & ~same_groups(c("groups"), c("c_groups")) & ~F.lower("link").startswith("category:")
     fits = c("entity").isNull() | same(c("entity"), c("c_name")) & ~F.coalesce(apart, F.lit(False))
-    two = c("name.eng").isNotNull() & c("name.non_eng").isNotNull()
+    two = F.coalesce("name.eng", "name.lit").isNotNull() & c("name.non_eng").isNotNull()
     tested = own.select("query", "link", c("entity").isNotNull().alias("known"), c("name").isNotNull().alias("named"), F.coalesce(two, F.lit(False)).alias("two"), fits.alias("fits"), same(c("name"), c("c_name")).alias("by_name"), same(native(c("name")), c("c_name")).alias("by_native"))
     tested = checkpointed(tested)
     level = lambda *flags: F.array(F.lit(True), *flags)  # noqa: E731  what a candidate passes, stage by stage
-    passed = tested.select("query", "link", "known", "named", "two", level(c("fits"), c("fits") & c("by_name"), c("fits") & c("by_name") & c("by_native")).alias("passed"))
+    passed = tested.select("query", "link", "known", "named", "two", level(c("fits"), c("fits") & c("by_name"), c("fits") & c("by_native")).alias("passed"))
     count = lambda k: F.count_if(c("passed")[k])
     n = passed.groupBy("query").agg(F.first("known").alias("known"), F.first("named").alias("named"), F.first("two").alias("two"), *[count(k).alias(f"n{k}") for k in range(4)])
     #: where the cascade stops: the stage, how far a listed candidate must have passed, and whether that decides
